@@ -65,29 +65,34 @@ class MlpModel:
         """Units of hidden layer ``layer`` (1-based)."""
         return self.layers[layer - 1][0].shape[1]
 
-    def activations(self, x: np.ndarray, force: tuple[int, int, float] | None = None) -> list[np.ndarray]:
-        """Every hidden layer's ReLU output, then the logits.
-
-        ``force`` = (layer, neuron, value) replaces one ReLU output by a constant.
-        """
+    def activations(self, x: np.ndarray, top: int | None = None) -> list[np.ndarray]:
+        """Every hidden layer's ReLU output, then the logits; only the first ``top`` layers if given."""
         out, h = [], x
-        for number, (w, b) in enumerate(self.layers, start=1):
-            h = h @ w + b
-            if number < len(self.layers):
-                h = np.maximum(h, 0.0)
-                if force is not None and force[0] == number:
-                    h = h.copy()
-                    h[:, force[1]] = force[2]
+        for number in range(1, (top or len(self.layers)) + 1):
+            h = self._layer(number, h)
             out.append(h)
         return out
 
+    def _layer(self, number: int, h: np.ndarray) -> np.ndarray:
+        w, b = self.layers[number - 1]
+        z = h @ w + b
+        return np.maximum(z, 0.0) if number < len(self.layers) else z
+
+    def proba_forced(self, hidden: np.ndarray, layer: int, neuron: int, value: float) -> np.ndarray:
+        """p(class 1) from the output of ``layer`` with one of its neurons replaced by a constant."""
+        h = hidden.copy()
+        h[:, neuron] = value
+        for number in range(layer + 1, len(self.layers) + 1):
+            h = self._layer(number, h)
+        return fixed_np(self.softmax(h)[:, 1])
+
     @staticmethod
     def softmax(logits: np.ndarray) -> np.ndarray:
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    def proba(self, x: np.ndarray, force: tuple[int, int, float] | None = None) -> np.ndarray:
-        return fixed_np(self.softmax(self.activations(x, force)[-1])[:, 1])
+    def proba(self, x: np.ndarray) -> np.ndarray:
+        return fixed_np(self.softmax(self.activations(x)[-1])[:, 1])
 
     def backward(self, acts: list[np.ndarray], delta: np.ndarray, top: int) -> np.ndarray:
         """Push ``delta`` (gradient at the output of layer ``top``) down to the inputs."""
@@ -107,9 +112,9 @@ class MlpModel:
 
     def pair_gradient(self, x: np.ndarray, other: np.ndarray, layer: int, mask: np.ndarray) -> np.ndarray:
         """Gradient at ``x`` of cross-entropy between masked hidden vectors of ``x`` and ``other``."""
-        acts = self.activations(x)
+        acts = self.activations(x, layer)
         mine = acts[layer - 1] * mask
-        theirs = self.activations(other)[layer - 1] * mask
+        theirs = self.activations(other, layer)[-1] * mask
         delta = (self.softmax(mine) - theirs) * mask
         return self.backward(acts, delta, layer)
 

@@ -13,7 +13,14 @@ from counterfair.functions.scalar import q
 from counterfair.operators.expand import Domain
 from counterfair.operators.joins import attach_by_key
 from counterfair.operators.picks import debug_sample, top_neurons
-from counterfair.operators.score import MATRIX_ROWS, array_udf, batch_totals, forced_accuracy, forced_metrics
+from counterfair.operators.score import (
+    array_udf,
+    batch_totals,
+    forced_accuracy,
+    forced_metrics,
+    number_udf,
+    variant_chunks,
+)
 
 RATE_EPSILON = 1e-7
 
@@ -23,22 +30,17 @@ def pairwise_max_distance(df: DataFrame, model: MlpModel, domain: Domain, out: s
 
     A row's variants are compared inside its Arrow batch; no pair ever becomes a table row.
     """
-    features, grid = list(model.features), domain.grid()
-    slots = [features.index(n) for n in domain.names]
-    chunk = max(1, MATRIX_ROWS // (len(grid) * len(grid)))
+    features, size = list(model.features), domain.size
 
     def distances(x: np.ndarray) -> np.ndarray:
-        parts = []
-        for start in range(0, len(x), chunk):
-            rows = x[start : start + chunk]
-            wide = np.repeat(rows, len(grid), axis=0)
-            wide[:, slots] = np.tile(grid, (len(rows), 1))
+        parts = [np.zeros((0, model.hidden_count))]
+        for n, wide in variant_chunks(x, features, domain, size):
             per_layer = []
             for act in model.activations(wide)[:-1]:
-                a = act.reshape(len(rows), len(grid), -1)
+                a = act.reshape(n, size, -1)
                 per_layer.append(np.abs(a[:, :, None, :] - a[:, None, :, :]).mean(axis=3).max(axis=(1, 2)))
             parts.append(np.stack(per_layer, axis=1))
-        return np.concatenate(parts) if parts else np.zeros((0, model.hidden_count))
+        return np.concatenate(parts)
 
     return df.withColumn(out, array_udf(distances, features))
 
@@ -117,7 +119,7 @@ def neuron_scores(df: DataFrame, model: MlpModel, layer: int, protected: str, lo
     def totals(x: np.ndarray) -> dict[str, np.ndarray]:
         other = x.copy()
         other[:, slot] = np.where(x[:, slot] == low, high, low)
-        both = np.abs(model.activations(x)[layer - 1]) + np.abs(model.activations(other)[layer - 1])
+        both = np.abs(model.activations(x, layer)[-1]) + np.abs(model.activations(other, layer)[-1])
         return {"sum": both.sum(axis=0), "n": np.full(both.shape[1], float(len(x)))}
 
     cells = batch_totals(df, features, totals, model.width(layer), ["sum", "n"])
@@ -214,6 +216,4 @@ def neuron_debug(
 
 
 def _hit(model: MlpModel, label: str) -> Column:
-    from counterfair.operators.score import number_udf
-
     return (((number_udf(model.proba, list(model.features)) > 0.5).cast("int")) == F.col(label)).cast("int")

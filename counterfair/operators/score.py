@@ -137,17 +137,24 @@ def variant_probabilities(df: DataFrame, model, domain: Domain, out: str = "pv")
     return df.withColumn(out, array_udf(lambda x: _variant_scores(x, features, model, domain), features))
 
 
-def _variant_scores(x: np.ndarray, features: list[str], model, domain: Domain) -> np.ndarray:
+def variant_chunks(x: np.ndarray, features: list[str], domain: Domain, per_row: int = 1) -> Iterator[tuple[int, np.ndarray]]:
+    """(rows, matrix) pieces of a batch with every row expanded over the domain.
+
+    A piece holds at most ``MATRIX_ROWS / per_row`` variants (or one row's), whatever the batch size.
+    """
     grid = domain.grid()
     slots = [features.index(n) for n in domain.names]
-    chunk = max(1, MATRIX_ROWS // len(grid))
-    parts = []
+    chunk = max(1, MATRIX_ROWS // (len(grid) * per_row))
     for start in range(0, len(x), chunk):
         rows = x[start : start + chunk]
         wide = np.repeat(rows, len(grid), axis=0)
         wide[:, slots] = np.tile(grid, (len(rows), 1))
-        parts.append(model.proba(wide).reshape(len(rows), len(grid)))
-    return np.concatenate(parts) if parts else np.zeros((0, len(grid)))
+        yield len(rows), wide
+
+
+def _variant_scores(x: np.ndarray, features: list[str], model, domain: Domain) -> np.ndarray:
+    parts = [model.proba(wide).reshape(n, domain.size) for n, wide in variant_chunks(x, features, domain)]
+    return np.concatenate(parts) if parts else np.zeros((0, domain.size))
 
 
 METRIC_FIELDS = [
@@ -189,28 +196,27 @@ def row_metrics(df: DataFrame, model, domain: Domain, eps: float = 0.025) -> Dat
     return df.mapInArrow(measure, schema)
 
 
-def forced_metrics(df: DataFrame, model: MlpModel, domain: Domain, layer: int, forces: list[list[float]], eps: float = 0.025) -> DataFrame:
+def forced_metrics(
+    df: DataFrame, model: MlpModel, domain: Domain, layer: int, forces: list[list[float]], eps: float = 0.025
+) -> DataFrame:
     """K of every row with each neuron of one layer held at each constant: (…, force, neuron, k).
 
-    ``forces[f][n]`` is the constant of force f for neuron n.
+    ``forces[f][n]`` is the constant of force f for neuron n. Layers below are computed once.
     """
     features, edges = list(model.features), np.arange(0, 1, eps)
-
-    class Forced:
-        def __init__(self, neuron: int, value: float):
-            self.force = (layer, neuron, value)
-
-        def proba(self, x: np.ndarray) -> np.ndarray:
-            return model.proba(x, self.force)
+    cells = [(neuron, value) for values in forces for neuron, value in enumerate(values)]
 
     def grid_of(x: np.ndarray) -> np.ndarray:
-        columns = []
-        for values in forces:
-            for neuron, value in enumerate(values):
-                p = _variant_scores(x, features, Forced(neuron, value), domain)
+        parts = [np.zeros((0, len(cells)))]
+        for n, wide in variant_chunks(x, features, domain):
+            hidden = model.activations(wide, layer)[-1]
+            columns = []
+            for neuron, value in cells:
+                p = model.proba_forced(hidden, layer, neuron, value).reshape(n, domain.size)
                 bins = np.sort(np.digitize(p, edges), axis=1)
                 columns.append((np.diff(bins, axis=1) > 0).sum(axis=1) + 1.0)
-        return np.stack(columns, axis=1)
+            parts.append(np.stack(columns, axis=1))
+        return np.concatenate(parts)
 
     width = len(forces[0])
     counted = df.withColumn("_k", array_udf(grid_of, features))
@@ -251,8 +257,9 @@ def forced_accuracy(df: DataFrame, model: MlpModel, label: str, layer: int, forc
 
     def hits(x: np.ndarray) -> dict[str, np.ndarray]:
         rows, truth = x[:, :-1], x[:, -1] > 0.5
+        hidden = model.activations(rows, layer)[-1]
         right = [
-            float(((model.proba(rows, (layer, neuron, value)) > 0.5) == truth).sum())
+            float(((model.proba_forced(hidden, layer, neuron, value) > 0.5) == truth).sum())
             for values in forces
             for neuron, value in enumerate(values)
         ]

@@ -179,7 +179,7 @@ EDGES_SQL = "[" + ", ".join(double(float(e)) for e in np.arange(0, 1, EPS)) + "]
 
 
 def bin_sql(p: str = "p") -> str:
-    return f"CAST(len(list_filter({EDGES_SQL}, e -> e <= {p})) - 1 AS INT)"
+    return f"CAST(len(list_filter({EDGES_SQL}, lambda e: e <= {p})) - 1 AS INT)"
 
 
 VARIANTS_SQL = f"""{APPLICANTS_SQL}, {DOMAIN_SQL},
