@@ -184,11 +184,14 @@ def neuron_debug(
 ) -> dict[str, DataFrame]:
     """Whole debugging run: sample, biased layer, force grid, effects, ranking and report.
 
-    ``rows`` is the labelled table, ``found`` holds discriminatory rows with their K.
+    ``rows`` is the labelled table, ``found`` holds discriminatory rows with their K. ``row_id`` is a
+    whole number; a row drawn twice counts as two samples.
     """
     features = list(model.features)
     sample = debug_sample(found, row_id, samples, seed).select(
-        F.monotonically_increasing_id().alias("sample"), *[q(f) for f in features], F.col("k").alias("init_k")
+        (q(row_id) * 2 + (F.col("part") == "random").cast("int")).alias("sample"),
+        *[q(f) for f in features],
+        F.col("k").alias("init_k"),
     )
     sample = sample.cache()
     rated = pairwise_max_distance(sample, model, domain).withColumn("rate", layer_change_rate(F.col("distance")))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from counterfair.functions.models import LogisticModel, MlpModel
 from counterfair.functions.scalar import q
 from counterfair.operators.expand import Domain
+from counterfair.session import broadcast_if_small, cut_lineage
 
 # Variants held in one matrix inside a task; 32k x 64 doubles is 16 MB.
 MATRIX_ROWS = 32_768
@@ -107,21 +108,24 @@ def layer_outputs(df: DataFrame, model: MlpModel, keys: list[str]) -> DataFrame:
 def layer_outputs_relational(df: DataFrame, weights: DataFrame, features: list[str], key: str) -> DataFrame:
     """(key, layer, neuron, act) by joins and sums over a ``weights(layer, i, j, w)`` table.
 
-    One shuffle per layer. Use it where no network object is at hand; ``layer_outputs`` is narrow.
+    The rows are partitioned by key once; every layer's sums then stay in place, because the weights
+    are broadcast (after a count) and (key, neuron) groups are already together. ``layer_outputs``
+    does the same without building a row per weight; this form needs no network object.
     """
     depth = weights.agg(F.max("layer")).first()[0]
     units = F.array(*[F.struct(F.lit(i).alias("i"), q(f).cast("double").alias("a")) for i, f in enumerate(features)])
-    bias_unit = F.array(F.struct(F.lit(-1).alias("i"), F.lit(1.0).alias("a")))
-    current = df.select(q(key).alias(key), F.inline(F.concat(bias_unit, units)))
+    current = df.select(q(key).alias(key), F.inline(units)).repartition(key)
     outputs = []
     for number in range(1, depth + 1):
-        w = weights.filter(F.col("layer") == number).select("i", "j", "w")
-        total = current.join(w, "i").groupBy(key, "j").agg(F.sum(F.col("a") * F.col("w")).alias("a"))
-        if number < depth:
-            total = total.withColumn("a", F.greatest("a", F.lit(0.0)))
-        outputs.append(total.select(key, F.lit(number).alias("layer"), F.col("j").alias("neuron"), F.col("a").alias("act")))
-        ones = total.select(key).distinct().select(key, F.lit(-1).alias("i"), F.lit(1.0).alias("a"))
-        current = total.select(key, F.col("j").alias("i"), "a").unionByName(ones)
+        here = weights.filter(F.col("layer") == number)
+        links = broadcast_if_small(here.filter(F.col("i") >= 0).select("i", "j", "w"))
+        bias = broadcast_if_small(here.filter(F.col("i") < 0).select("j", F.col("w").alias("b")))
+        sums = current.join(links, "i").groupBy(key, "j").agg(F.sum(F.col("a") * F.col("w")).alias("s"))
+        z = F.col("s") + F.col("b")
+        act = z if number == depth else F.greatest(z, F.lit(0.0))
+        layer = cut_lineage(sums.join(bias, "j").select(key, "j", act.alias("a")))
+        outputs.append(layer.select(key, F.lit(number).alias("layer"), F.col("j").alias("neuron"), F.col("a").alias("act")))
+        current = layer.withColumnRenamed("j", "i")
     result = outputs[0]
     for extra in outputs[1:]:
         result = result.unionByName(extra)

@@ -64,7 +64,7 @@ FEATURES = ["seg", "reg", "bal", "n_ord"]
 PROTECTED = ["seg", "reg"]
 FREE = ["bal", "n_ord"]
 EPS = 0.025
-LOGISTIC = LogisticModel(tuple(FEATURES), (0.35, -0.3, 0.12, -0.05), -0.2)
+LOGISTIC = LogisticModel(tuple(FEATURES), (0.35, -0.3, 0.45, -0.12), -1.5)
 WIDTHS = [64, 32, 16, 8, 4, 2]
 
 

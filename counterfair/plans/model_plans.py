@@ -249,12 +249,12 @@ def _distances(spark, sf):
 @query(
     "j6_pairwise_max_distance",
     f"WITH {DISTANCE_SQL} " + " UNION ALL ".join(
-        f"SELECT row_id, {n} AS layer, {rounded(f'd{n}', DIGITS)} AS distance FROM dist" for n in range(1, HIDDEN_COUNT + 1)
+        f"SELECT row_id, {n} AS layer, {rounded(f'd{n}', 9)} AS distance FROM dist" for n in range(1, HIDDEN_COUNT + 1)
     ),
 )
 def _(spark, sf):
     long = _distances(spark, sf).select("row_id", F.posexplode("distance").alias("pos", "d"))
-    return long.select("row_id", (F.col("pos") + 1).alias("layer"), fixed(F.col("d"), DIGITS).alias("distance"))
+    return long.select("row_id", (F.col("pos") + 1).alias("layer"), fixed(F.col("d"), 9).alias("distance"))
 
 
 @query(

@@ -10,18 +10,19 @@ DOCUMENT_SCHEMA = "messages ARRAY<STRUCT<role: STRING, content: STRING>>"
 LINE_SCHEMA = f"doc STRING, pos BIGINT, {MESSAGE_SCHEMA}"
 
 
-def read_chat_json(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+def read_chat_json(spark: SparkSession, path: str, form: str = "file") -> DataFrame:
     """(doc, pos, role, content) in message order; content is text or the raw JSON of an object.
 
-    ``per_line`` reads the splittable form written by ``write_chat_json``. The document form holds
-    all messages of a file in one JSON value, so one file is one task.
+    ``form`` is ``file`` (one document per file), ``documents`` (one per line) or ``messages`` (one
+    message per line, the splittable form). A document is always parsed by one task.
     """
-    if per_line:
+    if form == "messages":
         return spark.read.json(path, schema=LINE_SCHEMA)
-    documents = spark.read.json(path, schema=DOCUMENT_SCHEMA, multiLine=True)
-    return documents.select(
-        F.col("_metadata.file_path").alias("doc"), F.posexplode("messages").alias("pos", "message")
-    ).select("doc", "pos", "message.role", "message.content")
+    documents = spark.read.json(path, schema=f"doc STRING, {DOCUMENT_SCHEMA}", multiLine=form == "file")
+    name = F.coalesce("doc", F.col("_metadata.file_path"))
+    return documents.select(name.alias("doc"), F.posexplode("messages").alias("pos", "message")).select(
+        "doc", F.col("pos").cast("bigint").alias("pos"), "message.role", "message.content"
+    )
 
 
 def split_roles(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -29,15 +30,18 @@ def split_roles(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return messages.filter(F.col("role") == "system"), messages.filter(F.col("role") == "user")
 
 
-def write_chat_json(messages: DataFrame, path: str, documents: bool = False) -> None:
-    """Write (doc, pos, role, content): one message per line, or one document per line on request.
+def write_chat_json(messages: DataFrame, path: str, form: str = "messages") -> None:
+    """Write (doc, pos, role, content) in any of the forms of ``read_chat_json``.
 
-    The document form gathers each document's messages in one row; keep it for documents that fit one.
+    The document forms gather a document's messages in one row; keep them for documents that fit one.
     """
-    if not documents:
+    if form == "messages":
         messages.select("doc", "pos", "role", "content").write.mode("overwrite").json(path)
         return
     ordered = F.array_sort(F.collect_list(F.struct("pos", "role", "content")))
-    packed = messages.groupBy("doc").agg(ordered.alias("m"))
+    packed = messages.groupBy(F.col("doc").cast("string").alias("doc")).agg(ordered.alias("m"))
     bare = F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    packed.select(bare.alias("messages")).write.mode("overwrite").json(path)
+    writer = packed.select("doc", bare.alias("messages")).write.mode("overwrite")
+    if form == "file":
+        writer = writer.option("maxRecordsPerFile", 1)
+    writer.json(path)
