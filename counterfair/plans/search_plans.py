@@ -1 +1,344 @@
-"""."""
+"""Queries over the searches. Their SQL unrolls the rounds as common table expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from counterfair.operators import metrics, search, train
+from counterfair.plans.base import (
+    APPLICANTS_SQL,
+    DOMAIN_SQL,
+    FEATURES,
+    FREE,
+    LOGISTIC,
+    PROTECTED,
+    applicants,
+    bin_sql,
+    digest_sql,
+    double,
+    formula_mlp,
+    probability_sql,
+    query,
+    space,
+    table,
+)
+from counterfair.plans.model_plans import MASK_LAYER, mask_values
+
+MAX_ITER = 10
+LOCAL_ROUNDS = 4
+
+
+def seeds(spark, sf) -> DataFrame:
+    return applicants(spark, sf).select(F.col("row_id").alias("seed_id"), *FEATURES)
+
+
+# SQL building blocks shared by the searches.
+HEAD_SQL = f"""{APPLICANTS_SQL}, {DOMAIN_SQL},
+limits AS (SELECT {', '.join(f'min({f}) AS lo_{f}, max({f}) AS hi_{f}' for f in FEATURES)},
+  max(reg) - min(reg) + 1 AS reg_span FROM applicants),
+seeds AS (SELECT row_id AS seed_id, 0 AS step, seg, reg, bal, n_ord FROM applicants)"""
+
+
+def _hash(tag: str, *parts: str) -> str:
+    return digest_sql(f"'{tag}'", "'0'", *[f"CAST({p} AS VARCHAR)" for p in parts])
+
+
+def _unit(tag: str, *parts: str) -> str:
+    return f"({_hash(tag, *parts)} / 4294967296e0)"
+
+
+def _clip(feature: str, expr: str) -> str:
+    return f"CAST(least(greatest({expr}, lo_{feature}), hi_{feature}) AS INT)"
+
+
+def _prob(**names: str) -> str:
+    """Probability with some features replaced by other columns."""
+    sql = probability_sql("@")
+    for f in FEATURES:
+        sql = sql.replace(f"@{f} ", f"{names.get(f, f)} ")
+    return sql
+
+
+def _gradient(p: str, weight: float) -> str:
+    return f"(({p} - CAST({p} > 0.5 AS INT)) * {double(weight)})"
+
+
+def _variants_sql(n: str, source: str, keys: str) -> str:
+    """v<n>: all (seg, reg) variants of each row of ``source``; m<n>: members per bin."""
+    return f"""
+v{n} AS (SELECT *, {bin_sql()} AS bin FROM (SELECT {keys}, CAST((s.seg - lo_seg) * reg_span + r.reg - lo_reg AS INT) AS variant_id,
+    {_prob(seg='s.seg', reg='r.reg', bal='x.bal', n_ord='x.n_ord')} AS p FROM {source} x CROSS JOIN segs s CROSS JOIN regs r CROSS JOIN limits)),
+m{n} AS (SELECT {keys.replace('x.', '')}, bin, list(variant_id ORDER BY variant_id) AS ids, count(*) AS n, min(variant_id) AS first
+  FROM v{n} GROUP BY ALL)"""
+
+
+def _pick(tag: str, parts: tuple[str, ...]) -> str:
+    return f"ids[{_hash(tag, *parts)} % len(ids) + 1]"
+
+
+MOVE_COLUMNS = ", ".join(
+    f"sign({_gradient('p1', w)}) * CASE WHEN zero_s THEN sign({_gradient('p2', w)}) WHEN zero_n THEN sign({_gradient('p1', w)})"
+    f" ELSE CAST(sign({_gradient('p1', w)}) = sign({_gradient('p2', w)}) AS INT) END AS mv_{f}"
+    for f, w in zip(FEATURES, LOGISTIC.weights)
+    if f in FREE
+)
+
+
+def _step_sql(n: int, source: str) -> str:
+    """r<n>: one global round over ``source``(seed_id, step, features)."""
+    at = ("seed_id", "step")
+    still = " AND ".join(f"mv_{f} = 0" for f in FREE)
+    shifted = ", ".join(
+        _clip(
+            f,
+            f"{f} + CASE WHEN {still} THEN CASE WHEN {_hash('feature', *at)} % {len(FREE)} = {i}"
+            f" THEN CASE WHEN {_hash('sign', *at)} % 2 = 0 THEN 1 ELSE -1 END ELSE 0 END ELSE mv_{f} END",
+        )
+        + f" AS next_{f}"
+        for i, f in enumerate(FREE)
+    )
+    return f"""{_variants_sql(str(n), source, 'x.seed_id, x.step, x.bal, x.n_ord')},
+big{n} AS (SELECT seed_id, step, {_pick('member', at)} AS member, {_pick('partner', at)} AS partner FROM m{n}
+  QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY n DESC, first) = 1),
+low{n} AS (SELECT seed_id, {_pick('low', at)} AS low FROM m{n} QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY bin) = 1),
+high{n} AS (SELECT seed_id, {_pick('high', at)} AS high FROM m{n} QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY bin DESC) = 1),
+k{n} AS (SELECT seed_id, bal, n_ord, CAST(count(*) AS INT) AS k, CAST(max(bin) - min(bin) AS INT) AS spread FROM m{n} GROUP BY ALL),
+j{n} AS (SELECT k.*, b.step, CAST(member AS INT) AS member, CAST(partner AS INT) AS partner, CAST(low AS INT) AS low, CAST(high AS INT) AS high,
+    CAST(member // reg_span + lo_seg AS INT) AS seg, CAST(member % reg_span + lo_reg AS INT) AS reg,
+    CAST(partner // reg_span + lo_seg AS INT) AS t_seg, CAST(partner % reg_span + lo_reg AS INT) AS t_reg
+  FROM k{n} k JOIN big{n} b USING (seed_id) JOIN low{n} USING (seed_id) JOIN high{n} USING (seed_id) CROSS JOIN limits),
+g{n} AS (SELECT *, {_prob()} AS p1, {_prob(seg='t_seg', reg='t_reg')} AS p2 FROM j{n}),
+z{n} AS (SELECT *, p1 = CAST(p1 > 0.5 AS INT) AS zero_s, p2 = CAST(p2 > 0.5 AS INT) AS zero_n FROM g{n}),
+y{n} AS (SELECT *, {MOVE_COLUMNS} FROM z{n}),
+r{n} AS (SELECT y.*, {shifted}, seg AS next_seg, reg AS next_reg FROM y{n} y CROSS JOIN limits)"""
+
+
+STEP_COLUMNS = ["seed_id", "k", "spread", "seg", "reg", "bal", "n_ord", "low", "high", "next_bal", "next_n_ord"]
+
+
+@query("g1_search_step", f"WITH {HEAD_SQL}, {_step_sql(0, 'seeds')} SELECT {', '.join(STEP_COLUMNS)} FROM r0")
+def _(spark, sf):
+    start = seeds(spark, sf).withColumn("step", F.lit(0))
+    return search.search_step(start, LOGISTIC, space(spark, sf, PROTECTED)).select(*STEP_COLUMNS)
+
+
+def _global_sql(rounds: int) -> str:
+    """paths and uniq: every position of every seed, and the earliest one per masked key."""
+    steps = [_step_sql(0, "seeds")]
+    for n in range(1, rounds + 1):
+        names = ", ".join(f"next_{f} AS {f}" for f in FEATURES)
+        steps.append(f"st{n} AS (SELECT seed_id, {n} AS step, {names} FROM r{n - 1})")
+        steps.append(_step_sql(n, f"st{n}"))
+    columns = "seed_id, step, seg, reg, bal, n_ord, k, spread, low, high"
+    paths = " UNION ALL ".join(f"SELECT {columns} FROM r{n}" for n in range(rounds + 1))
+    return f"""{HEAD_SQL}, {', '.join(steps)}, paths AS ({paths}),
+uniq AS (SELECT * FROM paths QUALIFY row_number() OVER (PARTITION BY bal, n_ord ORDER BY step, seed_id) = 1)"""
+
+
+GLOBAL_SQL = _global_sql(MAX_ITER)
+
+
+@query(
+    "g1_global_search",
+    f"WITH {GLOBAL_SQL} SELECT 'global' AS phase, seed_id, step, 0 AS seg, 0 AS reg, bal, n_ord, k, spread FROM uniq",
+)
+def _(spark, sf):
+    return search.global_search(seeds(spark, sf), LOGISTIC, space(spark, sf, PROTECTED), MAX_ITER).drop("elapsed")
+
+
+def _choice_sql(parts: tuple[str, ...]) -> str:
+    """Feature index drawn with probability inverse to |g| + |h| over the two free features."""
+    weights = dict(zip(FEATURES, LOGISTIC.weights))
+    sums = {f: f"(abs({_gradient('p1', weights[f])}) + abs({_gradient('p2', weights[f])}))" for f in FREE}
+    a, b = (f"1e0 / {sums[f]}" for f in FREE)
+    either_zero = " OR ".join(f"{sums[f]} = 0" for f in FREE)
+    first = f"CASE WHEN {either_zero} THEN 0.5e0 ELSE ({a}) / ({a} + {b}) END"
+    return f"CASE WHEN {first} > {_unit('feature', *parts)} THEN '{FREE[0]}' ELSE '{FREE[1]}' END"
+
+
+def _local_sql(rounds: int) -> str:
+    ctes = []
+    for n in range(rounds):
+        at = ("seed_id", "origin", str(n))
+        ctes.append(f"""
+lg{n} AS (SELECT *, {_prob()} AS p1, {_prob(seg='t_seg', reg='t_reg')} AS p2 FROM wk{n}),
+lc{n} AS (SELECT *, {_choice_sql(at)} AS pick, CASE WHEN {_hash('sign', *at)} % 2 = 0 THEN 1 ELSE -1 END AS sgn FROM lg{n}),
+lt{n} AS (SELECT seed_id, origin, spread AS old_spread, seg, reg, t_seg, t_reg, bal AS old_bal, n_ord AS old_n_ord,
+    {', '.join(_clip(f, f"{f} + CASE WHEN pick = '{f}' THEN sgn ELSE 0 END") + f' AS {f}' for f in FREE)} FROM lc{n}, limits),
+{_variants_sql(f'l{n}', f'lt{n}', 'x.seed_id, x.origin, x.bal, x.n_ord')},
+lk{n} AS (SELECT seed_id, origin, CAST(count(*) AS INT) AS k, CAST(max(bin) - min(bin) AS INT) AS spread FROM ml{n} GROUP BY ALL),
+ld{n} AS (SELECT t.*, k, spread, spread >= old_spread OR {_unit('accept', *at)} < exp(spread - old_spread) AS keep
+  FROM lt{n} t JOIN lk{n} USING (seed_id, origin)),
+wk{n + 1} AS (SELECT seed_id, origin, CASE WHEN keep THEN spread ELSE old_spread END AS spread, seg, reg, t_seg, t_reg,
+    {', '.join(f'CASE WHEN keep THEN {f} ELSE old_{f} END AS {f}' for f in FREE)} FROM ld{n})""")
+    tried = " UNION ALL ".join(f"SELECT seed_id, {n} AS step, bal, n_ord, k, spread FROM ld{n}" for n in range(rounds))
+    return ", ".join(ctes) + f""", tried AS ({tried}),
+fresh AS (SELECT * FROM tried t WHERE NOT EXISTS (SELECT 1 FROM uniq u WHERE u.bal = t.bal AND u.n_ord = t.n_ord)
+  QUALIFY row_number() OVER (PARTITION BY bal, n_ord ORDER BY step, seed_id) = 1)"""
+
+
+def _starts_sql(source: str) -> str:
+    return f"""wk0 AS (SELECT seed_id, step AS origin, spread, CAST(low // reg_span + lo_seg AS INT) AS seg,
+    CAST(low % reg_span + lo_reg AS INT) AS reg, CAST(high // reg_span + lo_seg AS INT) AS t_seg,
+    CAST(high % reg_span + lo_reg AS INT) AS t_reg, bal, n_ord FROM {source} CROSS JOIN limits WHERE k >= 2)"""
+
+
+@query(
+    "g2_local_search",
+    f"""WITH {_global_sql(0)}, {_starts_sql('uniq')}, {_local_sql(LOCAL_ROUNDS)}
+      SELECT 'global' AS phase, seed_id, step, 0 AS seg, 0 AS reg, bal, n_ord, k, spread FROM uniq
+      UNION ALL SELECT 'local', seed_id, step, 0, 0, bal, n_ord, k, spread FROM fresh""",
+)
+def _(spark, sf):
+    found = search.global_search(seeds(spark, sf), LOGISTIC, space(spark, sf, PROTECTED), 0, LOCAL_ROUNDS)
+    return found.drop("elapsed")
+
+
+@query("g1_global_search_network")
+def _(spark, sf):
+    found = search.global_search(seeds(spark, sf), formula_mlp(), space(spark, sf, PROTECTED), MAX_ITER, LOCAL_ROUNDS)
+    return found.drop("elapsed")
+
+
+@query("g1_clustered_seeds_search")
+def _(spark, sf):
+    rows, _ = train.seed_clusters(applicants(spark, sf), FEATURES)
+    order = metrics.round_robin_seeds(rows, "cluster", "row_id", 1000)
+    start = order.select(F.col("row_id").alias("seed_id"), *FEATURES)
+    return search.global_search(start, formula_mlp(), space(spark, sf, PROTECTED), MAX_ITER).drop("elapsed")
+
+
+# Single-attribute searches on reg: the masked key is (seg, bal, n_ord).
+KEY = ["seg", "bal", "n_ord"]
+
+
+def _flip_sql(n: str, source: str, keep: str) -> str:
+    """f<n>: each row of ``source`` with its partner value and whether some reg changes the class."""
+    return f"""
+fv{n} AS (SELECT {keep}, x.seg, x.reg, x.bal, x.n_ord, r.reg AS other, {_prob(seg='x.seg', reg='x.reg', bal='x.bal', n_ord='x.n_ord')} AS own_p,
+    {_prob(seg='x.seg', reg='r.reg', bal='x.bal', n_ord='x.n_ord')} AS p FROM {source} x CROSS JOIN regs r),
+fd{n} AS (SELECT *, (p > 0.5) <> (own_p > 0.5) AS flip, abs(greatest(p, 1e0 - p) - greatest(own_p, 1e0 - own_p)) AS diff FROM fv{n}),
+f{n} AS (SELECT * EXCLUDE (other, own_p, p, flip, diff), coalesce(min(other) FILTER (flip),
+    arg_max(other, diff * 1e12 - other * 1e-3) FILTER (other <> reg AND diff > 0), any_value(reg)) AS n_value,
+    coalesce(bool_or(flip), false) AS flips FROM fd{n} GROUP BY ALL)"""
+
+
+def _flip_walk_sql(rounds: int) -> str:
+    ctes = []
+    for n in range(rounds):
+        at = ("seed_id", "'local'", str(n))
+        weights = dict(zip(FEATURES, LOGISTIC.weights))
+        sums = {f: f"(abs({_gradient('p1', weights[f])}) + abs({_gradient('p2', weights[f])}))" for f in KEY}
+        zero = " OR ".join(f"{sums[f]} = 0" for f in KEY)
+        total = " + ".join(f"1e0 / {sums[f]}" for f in KEY)
+        probs = {f: f"CASE WHEN {zero} THEN 1e0 / {len(KEY)} ELSE (1e0 / {sums[f]}) / ({total}) END" for f in KEY}
+        ctes.append(f"""
+wg{n} AS (SELECT *, {_prob()} AS p1, {_prob(reg='n_value')} AS p2 FROM ww{n}),
+wp{n} AS (SELECT *, {', '.join(f'{probs[f]} AS q_{f}' for f in KEY)}, {_unit('feature', *at)} AS u,
+    CASE WHEN {_hash('sign', *at)} % 2 = 0 THEN 1 ELSE -1 END AS sgn FROM wg{n}),
+wc{n} AS (SELECT *, CASE WHEN q_seg > u THEN 'seg' WHEN q_seg + q_bal > u THEN 'bal' ELSE 'n_ord' END AS pick FROM wp{n}),
+wm{n} AS (SELECT seed_id, n_value AS old_n, reg, {', '.join(_clip(f, f"{f} + CASE WHEN pick = '{f}' THEN sgn ELSE 0 END") + f' AS {f}' for f in KEY)}
+  FROM wc{n}, limits),
+{_flip_sql(f'w{n}', f'wm{n}', 'x.seed_id, x.old_n')},
+ww{n + 1} AS (SELECT seed_id, old_n AS n_value, seg, reg, bal, n_ord FROM fw{n})""")
+    tried = " UNION ALL ".join(f"SELECT seed_id, {n} AS step, seg, bal, n_ord, flips FROM fw{n}" for n in range(rounds))
+    return ", ".join(ctes) + f", walked AS ({tried})"
+
+
+def _adf_sql(rounds: int, local_rounds: int) -> str:
+    at = ("seed_id", "step")
+    ctes, finds = [], []
+    weights = dict(zip(FEATURES, LOGISTIC.weights))
+    for n in range(rounds + 1):
+        source = "seeds" if n == 0 else f"as{n}"
+        ctes.append(_flip_sql(f"a{n}", source, f"x.seed_id, {n} AS step"))
+        seen = f"WHERE NOT EXISTS (SELECT 1 FROM found{n - 1} d WHERE d.seg = h.seg AND d.bal = h.bal AND d.n_ord = h.n_ord)" if n else ""
+        ctes.append(f"""hit{n} AS (SELECT seed_id, step, seg, reg, bal, n_ord, n_value FROM fa{n} WHERE flips),
+new{n} AS (SELECT * FROM hit{n} h {seen} QUALIFY row_number() OVER (PARTITION BY seg, bal, n_ord ORDER BY seed_id) = 1),
+found{n} AS (SELECT * FROM new{n}{f' UNION ALL SELECT * FROM found{n - 1}' if n else ''})""")
+        finds.append(n)
+        if n == rounds:
+            break
+        moves = ", ".join(
+            f"sign({_gradient('p1', weights[f])}) * CASE WHEN zero_s THEN sign({_gradient('p2', weights[f])}) WHEN zero_n THEN sign({_gradient('p1', weights[f])})"
+            f" ELSE CAST(sign({_gradient('p1', weights[f])}) = sign({_gradient('p2', weights[f])}) AS INT) END AS mv_{f}"
+            for f in KEY
+        )
+        still = " AND ".join(f"mv_{f} = 0" for f in KEY)
+        shifted = ", ".join(
+            _clip(
+                f,
+                f"{f} + CASE WHEN {still} THEN CASE WHEN {_hash('feature', *at)} % {len(KEY)} = {i}"
+                f" THEN CASE WHEN {_hash('sign', *at)} % 2 = 0 THEN 1 ELSE -1 END ELSE 0 END ELSE mv_{f} END",
+            )
+            + f" AS {f}"
+            for i, f in enumerate(KEY)
+        )
+        ctes.append(f"""
+al{n} AS (SELECT a.*, {_prob()} AS p1, {_prob(reg='n_value')} AS p2 FROM fa{n} a WHERE seed_id NOT IN (SELECT seed_id FROM found{n})),
+az{n} AS (SELECT *, p1 = CAST(p1 > 0.5 AS INT) AS zero_s, p2 = CAST(p2 > 0.5 AS INT) AS zero_n FROM al{n}),
+am{n} AS (SELECT *, {moves} FROM az{n}),
+as{n + 1} AS (SELECT seed_id, reg, {shifted} FROM am{n} CROSS JOIN limits)""")
+    tried = " UNION ALL ".join(f"SELECT seed_id, step, seg, bal, n_ord, flips FROM fa{n}" for n in range(rounds + 1))
+    local = f"""ww0 AS (SELECT seed_id, n_value, seg, reg, bal, n_ord FROM found{rounds}), {_flip_walk_sql(local_rounds)},"""
+    first = "row_number() OVER (PARTITION BY seg, bal, n_ord ORDER BY NOT flips, step, seed_id) = 1"
+    return f"""{HEAD_SQL}, {', '.join(ctes)}, {local}
+tried AS ({tried}),
+visited AS (SELECT * FROM tried QUALIFY {first}),
+visited_local AS (SELECT * FROM walked w WHERE NOT EXISTS (SELECT 1 FROM visited v WHERE v.seg = w.seg AND v.bal = w.bal AND v.n_ord = w.n_ord)
+  QUALIFY {first})"""
+
+
+@query(
+    "g4_adf_search",
+    f"""WITH {_adf_sql(MAX_ITER, LOCAL_ROUNDS)}
+      SELECT 'global' AS phase, seed_id, step, seg, bal, n_ord, CAST(flips AS INT) AS disc FROM visited
+      UNION ALL SELECT 'local', seed_id, step, seg, bal, n_ord, CAST(flips AS INT) FROM visited_local""",
+)
+def _(spark, sf):
+    return search.adf_search(seeds(spark, sf), LOGISTIC, space(spark, sf, ["reg"]), MAX_ITER, LOCAL_ROUNDS)
+
+
+@query("g4_adf_search_network")
+def _(spark, sf):
+    return search.adf_search(seeds(spark, sf), formula_mlp(), space(spark, sf, ["reg"]), MAX_ITER, LOCAL_ROUNDS)
+
+
+def _draw_sql() -> str:
+    columns = ", ".join(
+        f"CAST(lo_{f} + {digest_sql(chr(39) + '0' + chr(39), chr(39) + f + chr(39), 'CAST(id AS VARCHAR)')} % (hi_{f} - lo_{f} + 1) AS INT) AS {f}"
+        for f in FEATURES
+    )
+    return f"drawn AS (SELECT id AS seed_id, {columns} FROM (SELECT unnest(range(0, (SELECT count(*) FROM customer))) AS id), limits)"
+
+
+@query(
+    "g3_random_search",
+    f"""WITH {HEAD_SQL}, {_draw_sql()}, {_flip_sql('q', 'drawn', 'x.seed_id')}
+      SELECT 'global' AS phase, seed_id, 0 AS step, seg, bal, n_ord, CAST(flips AS INT) AS disc FROM fq
+      QUALIFY row_number() OVER (PARTITION BY seg, bal, n_ord ORDER BY NOT flips, seed_id) = 1""",
+)
+def _(spark, sf):
+    samples = table(spark, sf, "customer").count()
+    return search.random_search(spark, LOGISTIC, space(spark, sf, ["reg"]), samples)
+
+
+@query("g3_random_search_walk")
+def _(spark, sf):
+    samples = table(spark, sf, "customer").count()
+    return search.random_search(spark, formula_mlp(), space(spark, sf, ["reg"]), samples, LOCAL_ROUNDS)
+
+
+@query("g5_neuron_guided_search")
+def _(spark, sf):
+    mask = mask_values(spark, sf)
+    where = space(spark, sf, ["reg"])
+    return search.neuron_guided_search(seeds(spark, sf), formula_mlp(), where, MASK_LAYER, mask, MAX_ITER, LOCAL_ROUNDS)
+
+
+@query("a13_search_comparison")
+def _(spark, sf):
+    adf = search.adf_search(seeds(spark, sf), formula_mlp(), space(spark, sf, ["reg"]), MAX_ITER, LOCAL_ROUNDS)
+    timed = adf.withColumns({"trial": F.lit(0), "elapsed": F.col("step").cast("double")})
+    return metrics.compare_report(timed, ["trial"])
