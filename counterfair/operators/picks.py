@@ -5,48 +5,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from counterfair.functions.scalar import hash_int, score_bin
-
-
-def bins_of(pv: Column, eps: float = 0.025) -> Column:
-    return F.transform(pv, lambda p: score_bin(p, eps))
-
-
-def k_of(bins: Column) -> Column:
-    return F.size(F.array_distinct(bins))
-
-
-def spread_of(bins: Column) -> Column:
-    return F.array_max(bins) - F.array_min(bins)
-
-
-def members_of(bins: Column, wanted: Column) -> Column:
-    """Zero-based variant numbers that fall in one bin."""
-    numbered = F.transform(bins, lambda b, i: F.struct(b.alias("b"), i.alias("i")))
-    return F.transform(F.filter(numbered, lambda e: e["b"] == wanted), lambda e: e["i"])
-
-
-def largest_bin(bins: Column) -> Column:
-    """The bin with the most variants; the first one met on ties."""
-    distinct = F.array_distinct(bins)
-    counts = F.transform(distinct, lambda b: F.size(F.filter(bins, lambda x: x == b)))
-    return F.element_at(distinct, F.array_position(counts, F.array_max(counts)).cast("int"))
+from counterfair.functions.scalar import hash_int
+
+
+def pinned(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated exactly once per row.
+
+    As generator output they are plain attributes, so the optimizer cannot copy their (interpreted)
+    array expressions into every later use, such as the inputs of a Python scoring step.
+    """
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def partition_members(df: DataFrame, bins: str = "bins") -> DataFrame:
+    """Add k, spread and the variant numbers in the largest, lowest and highest bin.
+
+    The largest bin is the one with the most variants, the first one met on ties. Each step is pinned,
+    so no array is scanned again for every element of another.
+    """
+    b = F.col(bins)
+    ends = {"_seen": F.array_distinct(b), "_low": F.array_min(b), "_high": F.array_max(b)}
+    sizes = F.transform("_seen", lambda one: F.size(F.filter(b, lambda x: x == one)))
+    largest = F.element_at("_seen", F.array_position("_sizes", F.array_max("_sizes")).cast("int"))
+
+    def members(wanted: str) -> Column:
+        numbered = F.transform(b, lambda x, i: F.when(x == F.col(wanted), i))
+        return F.filter(numbered, lambda i: i.isNotNull())
+
+    staged = pinned(pinned(pinned(df, ends), {"_sizes": sizes}), {"_largest": largest})
+    listed = pinned(
+        staged,
+        {
+            "largest": members("_largest"),
+            "lowest": members("_low"),
+            "highest": members("_high"),
+            "k": F.size("_seen"),
+            "spread": F.col("_high") - F.col("_low"),
+        },
+    )
+    return listed.drop("_seen", "_low", "_high", "_sizes", "_largest")
 
 
-def hashed_member(members: Column, *parts: Column) -> Column:
-    return F.element_at(members, (hash_int(*parts) % F.size(members)).cast("int") + 1)
+def hashed_member(members: str, tag: str, *parts: Column) -> Column:
+    at = hash_int(F.lit(tag), *parts) % F.size(members)
+    return F.element_at(members, at.cast("int") + 1)
 
 
-def largest_partition_pick(bins: Column, *parts: Column) -> tuple[Column, Column]:
-    """(member, partner), both from the largest bin."""
-    members = members_of(bins, largest_bin(bins))
-    return hashed_member(members, F.lit("member"), *parts), hashed_member(members, F.lit("partner"), *parts)
+def largest_partition_pick(df: DataFrame, *parts: Column) -> DataFrame:
+    """Add (member, partner), both from the largest bin; needs ``partition_members``."""
+    return pinned(
+        df,
+        {"member": hashed_member("largest", "member", *parts), "partner": hashed_member("largest", "partner", *parts)},
+    )
 
 
-def extreme_partition_pick(bins: Column, *parts: Column) -> tuple[Column, Column]:
-    """(member of the lowest bin, partner from the highest bin)."""
-    low, high = members_of(bins, F.array_min(bins)), members_of(bins, F.array_max(bins))
-    return hashed_member(low, F.lit("low"), *parts), hashed_member(high, F.lit("high"), *parts)
+def extreme_partition_pick(df: DataFrame, *parts: Column) -> DataFrame:
+    """Add (low, high): a member of the lowest bin and its partner from the highest."""
+    return pinned(
+        df, {"low": hashed_member("lowest", "low", *parts), "high": hashed_member("highest", "high", *parts)}
+    )
 
 
 def max_difference_partner(pv: Column, own: Column) -> tuple[Column, Column]:

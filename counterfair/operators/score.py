@@ -24,10 +24,12 @@ def _matrix(parts: tuple[pd.Series, ...]) -> np.ndarray:
     return np.column_stack([p.to_numpy(dtype=float) for p in parts])
 
 
-def array_udf(fn: Callable[[np.ndarray], np.ndarray], features: list[str]) -> Column:
-    """``fn(matrix) -> matrix`` as an ARRAY<DOUBLE> column, one Arrow batch at a time."""
+def array_udf(
+    fn: Callable[[np.ndarray], np.ndarray], features: list[str], element: T.DataType = T.DoubleType()
+) -> Column:
+    """``fn(matrix) -> matrix`` as an array column, one Arrow batch at a time."""
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    @F.pandas_udf(T.ArrayType(element))
     def apply(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for parts in batches:
             yield pd.Series(list(fn(_matrix(parts))))
@@ -141,6 +143,16 @@ def variant_probabilities(df: DataFrame, model, domain: Domain, out: str = "pv")
     return df.withColumn(out, array_udf(lambda x: _variant_scores(x, features, model, domain), features))
 
 
+def variant_bins(df: DataFrame, model, domain: Domain, eps: float = 0.025, out: str = "bins") -> DataFrame:
+    """Score bins of all variants of a row as one array, in variant order."""
+    features, edges = list(model.features), np.arange(0, 1, eps)
+
+    def binned(x: np.ndarray) -> np.ndarray:
+        return (np.digitize(_variant_scores(x, features, model, domain), edges) - 1).astype(np.int32)
+
+    return df.withColumn(out, array_udf(binned, features, T.IntegerType()))
+
+
 def variant_chunks(x: np.ndarray, features: list[str], domain: Domain, per_row: int = 1) -> Iterator[tuple[int, np.ndarray]]:
     """(rows, matrix) pieces of a batch with every row expanded over the domain.
 

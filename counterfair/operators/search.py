@@ -27,7 +27,7 @@ from counterfair.operators import picks
 from counterfair.operators.expand import Domain
 from counterfair.operators.joins import not_seen
 from counterfair.operators.prepare import column_difference, mask_protected, union_tables
-from counterfair.operators.score import array_udf, variant_probabilities
+from counterfair.operators.score import array_udf, variant_bins, variant_probabilities
 from counterfair.session import cut_lineage
 
 
@@ -68,9 +68,8 @@ def _hash_parts(space: SearchSpace, *names: str) -> list[Column]:
 
 
 def _with_variants(frontier: DataFrame, model, space: SearchSpace) -> DataFrame:
-    scored = variant_probabilities(frontier, model, space.domain)
-    binned = scored.withColumn("bins", picks.bins_of(F.col("pv"), space.eps))
-    return binned.withColumns({"k": picks.k_of(F.col("bins")), "spread": picks.spread_of(F.col("bins"))})
+    """Adds the score bins of all variants."""
+    return variant_bins(frontier, model, space.domain, space.eps)
 
 
 def _random_move(space: SearchSpace, *parts: Column) -> Column:
@@ -106,17 +105,16 @@ def search_step(frontier: DataFrame, model, space: SearchSpace) -> DataFrame:
     Columns in: seed_id, step, features. Adds k, spread, low and high picks for the local search.
     """
     parts = _hash_parts(space, "seed_id", "step")
-    seen = _with_variants(frontier, model, space)
-    member, partner = picks.largest_partition_pick(F.col("bins"), *parts)
-    low, high = picks.extreme_partition_pick(F.col("bins"), *parts)
-    picked = seen.withColumns({"member": member, "partner": partner, "low": low, "high": high}).drop("pv", "bins")
+    seen = picks.partition_members(_with_variants(frontier, model, space)).drop("bins")
+    picked = picks.extreme_partition_pick(picks.largest_partition_pick(seen, *parts), *parts)
+    picked = picked.drop("largest", "lowest", "highest")
     domain = space.domain
     moved = picked.withColumns({p: domain.value(p, F.col("member")) for p in space.protected})
     twins = {p: domain.value(p, F.col("partner")) for p in space.protected}
     graded = _pair_gradients(moved, model, space, twins)
     move = sign_move(F.col("grad"), F.col("grad_twin"), space.movable())
     chosen = F.when(F.exists("_move", lambda v: v != 0), F.col("_move")).otherwise(_random_move(space, *parts))
-    stepped = graded.withColumn("_move", move).withColumn("_move", chosen)
+    stepped = picks.pinned(graded.withColumn("_move", move), {"_move": chosen})
     nexts = {
         f"next_{f}": space.clip(f, q(f) + F.element_at("_move", i + 1)) for i, f in enumerate(space.features)
     }
@@ -174,6 +172,12 @@ def local_starts(found: DataFrame, space: SearchSpace) -> DataFrame:
     )
 
 
+def _drawn_feature(df: DataFrame, probs: Column, parts: list[Column]) -> DataFrame:
+    """Adds ``_at``, the index of the feature to move."""
+    drawn = weighted_choice(F.col("_p"), hash_unit(F.lit("feature"), *parts))
+    return picks.pinned(picks.pinned(df, {"_p": probs}), {"_at": drawn}).drop("_p")
+
+
 def local_step(walkers: DataFrame, model, space: SearchSpace, step: int) -> DataFrame:
     """One local round: every walker tries one feature, one step up or down.
 
@@ -185,17 +189,18 @@ def local_step(walkers: DataFrame, model, space: SearchSpace, step: int) -> Data
     graded = _pair_gradients(walkers, model, space, twins)
     probs = inverse_gradient_prob(F.col("grad"), F.col("grad_twin"), space.movable())
     sign = F.when(hash_int(F.lit("sign"), *parts) % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
-    chosen = graded.withColumn("_p", probs).withColumn("_at", weighted_choice(F.col("_p"), hash_unit(F.lit("feature"), *parts)))
+    chosen = _drawn_feature(graded, probs, parts)
     tried = chosen.withColumns(
         {
             f"try_{f}": space.clip(f, q(f) + F.when(F.col("_at") == i, sign).otherwise(F.lit(0)))
             for i, f in enumerate(space.features)
         }
     )
-    probe = tried.drop("grad", "grad_twin", "_p", "_at", "pv", "bins", "k").withColumnRenamed("spread", "_spread")
+    probe = tried.drop("grad", "grad_twin", "_at", "k").withColumnRenamed("spread", "_spread")
     names = {f: f"_at_{f}" for f in space.features}
     at_try = probe.withColumnsRenamed(names).withColumnsRenamed({f"try_{f}": f for f in space.features})
-    scored = _with_variants(at_try, model, space).drop("pv", "bins")
+    ends = {"k": F.size(F.array_distinct("bins")), "spread": F.array_max("bins") - F.array_min("bins")}
+    scored = _with_variants(at_try, model, space).withColumns(ends).drop("bins")
     accept = (F.col("spread") >= F.col("_spread")) | (
         hash_unit(F.lit("accept"), *parts) < F.exp((F.col("spread") - F.col("_spread")).cast("double"))
     )
@@ -228,7 +233,8 @@ def _flip_view(frontier: DataFrame, model, space: SearchSpace) -> DataFrame:
     scored = variant_probabilities(frontier, model, space.domain)
     partner, flips = picks.max_difference_partner(F.col("pv"), (q(name) - lo).cast("int"))
     value = F.when(F.col("_partner") >= 0, F.col("_partner") + lo).otherwise(q(name))
-    return scored.withColumns({"_partner": partner, "flips": flips}).withColumn("n_value", value).drop("pv", "_partner")
+    judged = picks.pinned(scored, {"_partner": partner, "flips": flips})
+    return judged.withColumn("n_value", value).drop("pv", "_partner")
 
 
 def _flip_walk(starts: DataFrame, model, space: SearchSpace, max_rounds: int, gradients) -> DataFrame:
@@ -238,8 +244,7 @@ def _flip_walk(starts: DataFrame, model, space: SearchSpace, max_rounds: int, gr
         parts = [F.lit(space.salt), F.col("seed_id"), F.lit("local"), F.lit(step)]
         probs = inverse_gradient_prob(F.col("grad"), F.col("grad_twin"), space.movable())
         sign = F.when(hash_int(F.lit("sign"), *parts) % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
-        chosen = gradients(walkers).withColumn("_p", probs)
-        chosen = chosen.withColumn("_at", weighted_choice(F.col("_p"), hash_unit(F.lit("feature"), *parts)))
+        chosen = _drawn_feature(gradients(walkers), probs, parts)
         stepped = chosen.withColumns(
             {
                 f: space.clip(f, q(f) + F.when(F.col("_at") == i, sign).otherwise(F.lit(0)))
@@ -314,7 +319,7 @@ def adf_search(seeds: DataFrame, model, space: SearchSpace, max_iter: int = 10,
     def next_move(df: DataFrame, parts: list[Column]) -> DataFrame:
         move = sign_move(F.col("grad"), F.col("grad_twin"), space.movable())
         chosen = F.when(F.exists("_move", lambda v: v != 0), F.col("_move")).otherwise(_random_move(space, *parts))
-        return df.withColumn("_move", move).withColumn("_move", chosen)
+        return picks.pinned(df.withColumn("_move", move), {"_move": chosen})
 
     start = seeds.select("seed_id", *[q(f) for f in space.features])
     return guided_search(start, model, space, max_iter, local_rounds, gradients, next_move)
@@ -349,7 +354,7 @@ def neuron_guided_search(
         stuck = ~F.exists("grad", lambda g: g != 0) | (F.col("m1") == F.col("m3"))
         shuffled = F.array(*[(hash_int(F.lit(f), *parts) % 3 - 1).cast("double") for f in space.features])
         move = F.zip_with(F.when(stuck, shuffled).otherwise(signs), space.movable(), lambda a, b: a * b)
-        moved = df.withColumn("_move", move)
+        moved = picks.pinned(df, {"_move": move})
         return moved.withColumns({"m1": F.col("m2"), "m2": F.col("m3"), "m3": F.col("_move")})
 
     start = seeds.select(
@@ -396,13 +401,13 @@ def random_step(walkers: DataFrame, model, space: SearchSpace, weights: WalkWeig
     down = F.array(*[F.lit(w) for w in weights.down])
     lows = F.array(*[F.lit(space.bounds[f][0]) for f in space.features])
     highs = F.array(*[F.lit(space.bounds[f][1]) for f in space.features])
-    chosen = walkers.withColumn("at", weighted_choice(probs, hash_unit(F.lit("feature"), *parts)))
+    chosen = picks.pinned(walkers, {"at": weighted_choice(probs, hash_unit(F.lit("feature"), *parts))})
     slot = F.col("at") + 1
     value = F.element_at(F.array(*[q(f).cast("int") for f in space.features]), slot)
     edge = (value == F.element_at(lows, slot)) | (value == F.element_at(highs, slot))
     chance = F.when(edge, F.lit(0.5)).otherwise(F.element_at(down, slot))
     direction = F.when(hash_unit(F.lit("direction"), *parts) < chance, F.lit(-1)).otherwise(F.lit(1))
-    moved = chosen.withColumn("direction", direction).withColumns(
+    moved = picks.pinned(chosen, {"direction": direction}).withColumns(
         {
             f: space.clip(f, q(f) + F.when(F.col("at") == i, F.col("direction")).otherwise(F.lit(0)))
             for i, f in enumerate(space.features)

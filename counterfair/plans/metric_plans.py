@@ -421,9 +421,9 @@ def _(spark, sf):
     return picks.debug_sample(metrics.k_partitions(variants(spark, sf), "row_id"), "row_id", 200)
 
 
-def _binned_rows(spark, sf):
-    scored = score.variant_probabilities(applicants(spark, sf), LOGISTIC, protected_domain(spark, sf))
-    return scored.withColumn("bins", picks.bins_of(F.col("pv"), EPS))
+def _member_rows(spark, sf):
+    binned = score.variant_bins(applicants(spark, sf), LOGISTIC, protected_domain(spark, sf), EPS)
+    return picks.partition_members(binned)
 
 
 def _member_sql(source: str, tag: str) -> str:
@@ -444,8 +444,7 @@ BIN_MEMBERS_SQL = f"""{VARIANTS_SQL}, members AS (
       FROM {_member_sql('largest', 'member')} a JOIN {_member_sql('largest', 'partner')} b USING (row_id)""",
 )
 def _(spark, sf):
-    member, partner = picks.largest_partition_pick(F.col("bins"), F.col("row_id"))
-    return _binned_rows(spark, sf).select("row_id", member.alias("member"), partner.alias("partner"))
+    return picks.largest_partition_pick(_member_rows(spark, sf), F.col("row_id")).select("row_id", "member", "partner")
 
 
 @query(
@@ -457,8 +456,7 @@ def _(spark, sf):
       FROM {_member_sql('lowest', 'low')} a JOIN {_member_sql('highest', 'high')} b USING (row_id)""",
 )
 def _(spark, sf):
-    low, high = picks.extreme_partition_pick(F.col("bins"), F.col("row_id"))
-    return _binned_rows(spark, sf).select("row_id", low.alias("low"), high.alias("high"))
+    return picks.extreme_partition_pick(_member_rows(spark, sf), F.col("row_id")).select("row_id", "low", "high")
 
 
 @query(
