@@ -34,11 +34,12 @@ def pairwise_max_distance(df: DataFrame, model: MlpModel, domain: Domain, out: s
 
     def distances(x: np.ndarray) -> np.ndarray:
         parts = [np.zeros((0, model.hidden_count))]
-        for n, wide in variant_chunks(x, features, domain, size):
+        for n, wide in variant_chunks(x, features, domain):
             per_layer = []
             for act in model.activations(wide)[:-1]:
                 a = act.reshape(n, size, -1)
-                per_layer.append(np.abs(a[:, :, None, :] - a[:, None, :, :]).mean(axis=3).max(axis=(1, 2)))
+                shifted = [np.abs(a[:, s:] - a[:, :-s]).mean(axis=2).max(axis=1) for s in range(1, size)]
+                per_layer.append(np.max(shifted, axis=0) if shifted else np.zeros(n))
             parts.append(np.stack(per_layer, axis=1))
         return np.concatenate(parts)
 

@@ -153,14 +153,14 @@ def variant_bins(df: DataFrame, model, domain: Domain, eps: float = 0.025, out:
     return df.withColumn(out, array_udf(binned, features, T.IntegerType()))
 
 
-def variant_chunks(x: np.ndarray, features: list[str], domain: Domain, per_row: int = 1) -> Iterator[tuple[int, np.ndarray]]:
+def variant_chunks(x: np.ndarray, features: list[str], domain: Domain) -> Iterator[tuple[int, np.ndarray]]:
     """(rows, matrix) pieces of a batch with every row expanded over the domain.
 
-    A piece holds at most ``MATRIX_ROWS / per_row`` variants (or one row's), whatever the batch size.
+    A piece holds at most ``MATRIX_ROWS`` variants (or one row's), whatever the batch size.
     """
     grid = domain.grid()
     slots = [features.index(n) for n in domain.names]
-    chunk = max(1, MATRIX_ROWS // (len(grid) * per_row))
+    chunk = max(1, MATRIX_ROWS // len(grid))
     for start in range(0, len(x), chunk):
         rows = x[start : start + chunk]
         wide = np.repeat(rows, len(grid), axis=0)

@@ -103,7 +103,7 @@ def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = label_encode(binned, "c_mktsegment", label_encoder(customer, "c_mktsegment"), "seg")
     placed = coded.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     joined = placed.join(per_customer, "c_custkey", "left")
-    return joined.select(
+    rows = joined.select(
         F.col("c_custkey").alias("row_id"),
         "seg",
         F.col("n_regionkey").cast("int").alias("reg"),
@@ -111,6 +111,17 @@ def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.least(F.coalesce("_n", F.lit(0)), F.lit(20)).cast("int").alias("n_ord"),
         F.coalesce((F.col("_avg") > overall).cast("int"), F.lit(0)).alias("label"),
     )
+    return by_row(rows, "row_id")
+
+
+def by_row(df: DataFrame, key: str) -> DataFrame:
+    """Partition by row id once, for everything that follows.
+
+    Expansion and scoring keep this partitioning, so per-row aggregates need no further shuffle. Where
+    a join has already hashed the rows this way Spark drops the exchange; where a small side was
+    broadcast, it spreads a few large input splits over all cores before the costly scoring.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 _BOUNDS: dict[str, dict[str, tuple[int, int]]] = {}
