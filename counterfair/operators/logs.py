@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from counterfair.operators.ordered import running_sum
+from counterfair.session import cut_lineage
 
 # Log messages of both generations. Each class counts lines that match any pattern.
 CALL_PATTERN = r"M_INSTANCE CALL: (\d+)"
@@ -54,17 +55,30 @@ def session_summary(
 
 
 def log_summary(lines: DataFrame, errors: dict[str, str] | None = None) -> DataFrame:
-    """One row per call of each run log (lines as given by ``sources.lines.read_run_log``)."""
+    """One row per call of each run log (lines as given by ``sources.lines.read_blocks``).
+
+    Every line is parsed where it is read. Lines that match nothing are dropped there, and the others
+    shrink to numbers and flags, so neither text nor noise is shuffled; the small rows are kept in the
+    checkpoint folder because the session count reads them twice.
+    """
     line = F.col("line")
-    calls = sessionize_by_marker(lines, line.rlike(CALL_PATTERN), ["file"], ["line_no"], "block")
-    return session_summary(
-        calls,
-        ["file", "call"],
-        regex_number(line, CALL_PATTERN),
-        regex_number(line, TRIES_PATTERN),
-        {n: line.rlike(p) for n, p in (errors or ERROR_PATTERNS).items()},
-        line.rlike(CRITICAL_PATTERN),
+    patterns = errors or ERROR_PATTERNS
+    parsed = lines.select(
+        "file",
+        "block",
+        "seq",
+        regex_number(line, CALL_PATTERN).alias("call_id"),
+        regex_number(line, TRIES_PATTERN).alias("tries"),
+        *[line.rlike(p).alias(n) for n, p in patterns.items()],
+        line.rlike(CRITICAL_PATTERN).alias("is_critical"),
     )
+    matched = F.col("call_id").isNotNull() | F.col("tries").isNotNull() | F.col("is_critical")
+    for n in patterns:
+        matched = matched | F.col(n)
+    events = cut_lineage(parsed.filter(matched))
+    calls = sessionize_by_marker(events, F.col("call_id").isNotNull(), ["file"], ["seq"], "block")
+    flags = {n: F.col(n) for n in patterns}
+    return session_summary(calls, ["file", "call"], F.col("call_id"), F.col("tries"), flags, F.col("is_critical"))
 
 
 def retry_counters(attempts: DataFrame, status: str = "status", max_retries: int = 5) -> DataFrame:

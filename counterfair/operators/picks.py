@@ -1,11 +1,15 @@
-"""Deterministic picks from a row's variants, held as arrays in variant order."""
+"""Deterministic picks from a row's variants, samples and rankings."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from counterfair.functions.scalar import hash_int
+from counterfair.operators.expand import Domain
+from counterfair.operators.score import array_udf, variant_scores
 
 
 def pinned(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -18,52 +22,57 @@ def pinned(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def partition_members(df: DataFrame, bins: str = "bins") -> DataFrame:
-    """Add k, spread and the variant numbers in the largest, lowest and highest bin.
-
-    The largest bin is the one with the most variants, the first one met on ties. Each step is pinned,
-    so no array is scanned again for every element of another.
-    """
-    b = F.col(bins)
-    ends = {"_seen": F.array_distinct(b), "_low": F.array_min(b), "_high": F.array_max(b)}
-    sizes = F.transform("_seen", lambda one: F.size(F.filter(b, lambda x: x == one)))
-    largest = F.element_at("_seen", F.array_position("_sizes", F.array_max("_sizes")).cast("int"))
-
-    def members(wanted: str) -> Column:
-        numbered = F.transform(b, lambda x, i: F.when(x == F.col(wanted), i))
-        return F.filter(numbered, lambda i: i.isNotNull())
-
-    staged = pinned(pinned(pinned(df, ends), {"_sizes": sizes}), {"_largest": largest})
-    listed = pinned(
-        staged,
-        {
-            "largest": members("_largest"),
-            "lowest": members("_low"),
-            "highest": members("_high"),
-            "k": F.size("_seen"),
-            "spread": F.col("_high") - F.col("_low"),
-        },
-    )
-    return listed.drop("_seen", "_low", "_high", "_sizes", "_largest")
+PICKS = ("k", "spread", "member", "partner", "low", "high")
 
 
-def hashed_member(members: str, tag: str, *parts: Column) -> Column:
-    at = hash_int(F.lit(tag), *parts) % F.size(members)
-    return F.element_at(members, at.cast("int") + 1)
+def pick_variants(bins: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """(k, spread, member, partner, low, high) per row from its variants' bins.
 
-
-def largest_partition_pick(df: DataFrame, *parts: Column) -> DataFrame:
-    """Add (member, partner), both from the largest bin; needs ``partition_members``."""
-    return pinned(
-        df,
-        {"member": hashed_member("largest", "member", *parts), "partner": hashed_member("largest", "partner", *parts)},
-    )
-
-
-def extreme_partition_pick(df: DataFrame, *parts: Column) -> DataFrame:
-    """Add (low, high): a member of the lowest bin and its partner from the highest."""
-    return pinned(
-        df, {"low": hashed_member("lowest", "low", *parts), "high": hashed_member("highest", "high", *parts)}
+    Member and partner come from the bin with the most variants (the first one met on ties), low from
+    the lowest and high from the highest bin; the row's four hashes say which of the variants there.
+    """
+    rows = np.arange(len(bins))[:, None]
+    counts = np.bincount((rows * (bins.max() + 1) + bins).ravel(), minlength=len(bins) * (bins.max() + 1))
+    counts = counts.reshape(len(bins), -1)
+    crowd = np.take_along_axis(counts, bins, axis=1)
+    largest = np.take_along_axis(bins, crowd.argmax(axis=1)[:, None], axis=1)
+    lowest, highest = bins.min(axis=1, keepdims=True), bins.max(axis=1, keepdims=True)
+
+    def nth(wanted: np.ndarray, h: np.ndarray) -> np.ndarray:
+        inside = bins == wanted
+        return (np.cumsum(inside, axis=1) == (h % inside.sum(axis=1) + 1)[:, None]).argmax(axis=1)
+
+    return np.stack(
+        [
+            (counts > 0).sum(axis=1),
+            (highest - lowest)[:, 0],
+            nth(largest, hashes[:, 0]),
+            nth(largest, hashes[:, 1]),
+            nth(lowest, hashes[:, 2]),
+            nth(highest, hashes[:, 3]),
+        ],
+        axis=1,
+    ).astype(np.int32)
+
+
+def partition_picks(df: DataFrame, model, domain: Domain, eps: float, *parts: Column) -> DataFrame:
+    """Add k, spread and the picked variant numbers member, partner, low and high.
+
+    Scores, bins and picks are one step per Arrow batch; ``parts`` seed the hashes, which stay in the JVM.
+    """
+    features, edges = list(model.features), np.arange(0, 1, eps)
+    tags = PICKS[2:]
+
+    def picked(x: np.ndarray) -> np.ndarray:
+        if not len(x):
+            return np.zeros((0, len(PICKS)), np.int32)
+        scores = variant_scores(x[:, : len(features)], features, model, domain)
+        return pick_variants(np.digitize(scores, edges) - 1, x[:, len(features) :].astype(np.int64))
+
+    hashed = df.withColumns({f"_h_{t}": hash_int(F.lit(t), *parts) for t in tags})
+    chosen = hashed.withColumn("_picks", array_udf(picked, [*features, *[f"_h_{t}" for t in tags]], T.IntegerType()))
+    return chosen.withColumns({n: F.col("_picks")[i] for i, n in enumerate(PICKS)}).drop(
+        "_picks", *[f"_h_{t}" for t in tags]
     )
 
 

@@ -58,7 +58,8 @@ def label_encoder(df: DataFrame, name: str, max_codes: int = 1_000_000) -> DataF
     from counterfair.operators.profile import dense_codes
 
     distinct = df.select(q(name).alias("value")).filter(F.col("value").isNotNull()).distinct()
-    return dense_codes(distinct, max_codes)
+    # Kept, so that size checks and every later join read the values instead of the table again.
+    return dense_codes(distinct.cache(), max_codes)
 
 
 def label_encode(df: DataFrame, name: str, encoder: DataFrame, out: str | None = None) -> DataFrame:

@@ -140,7 +140,7 @@ def variant_probabilities(df: DataFrame, model, domain: Domain, out: str = "pv")
     Variants never leave the row's task: expansion and scoring are one matrix step per Arrow batch.
     """
     features = list(model.features)
-    return df.withColumn(out, array_udf(lambda x: _variant_scores(x, features, model, domain), features))
+    return df.withColumn(out, array_udf(lambda x: variant_scores(x, features, model, domain), features))
 
 
 def variant_bins(df: DataFrame, model, domain: Domain, eps: float = 0.025, out: str = "bins") -> DataFrame:
@@ -148,7 +148,7 @@ def variant_bins(df: DataFrame, model, domain: Domain, eps: float = 0.025, out:
     features, edges = list(model.features), np.arange(0, 1, eps)
 
     def binned(x: np.ndarray) -> np.ndarray:
-        return (np.digitize(_variant_scores(x, features, model, domain), edges) - 1).astype(np.int32)
+        return (np.digitize(variant_scores(x, features, model, domain), edges) - 1).astype(np.int32)
 
     return df.withColumn(out, array_udf(binned, features, T.IntegerType()))
 
@@ -168,7 +168,7 @@ def variant_chunks(x: np.ndarray, features: list[str], domain: Domain) -> Iterat
         yield len(rows), wide
 
 
-def _variant_scores(x: np.ndarray, features: list[str], model, domain: Domain) -> np.ndarray:
+def variant_scores(x: np.ndarray, features: list[str], model, domain: Domain) -> np.ndarray:
     parts = [model.proba(wide).reshape(n, domain.size) for n, wide in variant_chunks(x, features, domain)]
     return np.concatenate(parts) if parts else np.zeros((0, domain.size))
 
@@ -194,7 +194,7 @@ def row_metrics(df: DataFrame, model, domain: Domain, eps: float = 0.025) -> Dat
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features])
-            p = _variant_scores(x, features, model, domain)
+            p = variant_scores(x, features, model, domain)
             bins = np.digitize(p, edges) - 1
             cell = np.arange(len(p))[:, None] * len(edges) + bins
             counts = np.bincount(cell.ravel(), minlength=len(p) * len(edges)).reshape(len(p), len(edges))

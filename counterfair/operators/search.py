@@ -67,21 +67,18 @@ def _hash_parts(space: SearchSpace, *names: str) -> list[Column]:
     return [F.lit(space.salt), *[F.col(n) for n in names]]
 
 
-def _with_variants(frontier: DataFrame, model, space: SearchSpace) -> DataFrame:
-    """Adds the score bins of all variants."""
-    return variant_bins(frontier, model, space.domain, space.eps)
-
-
-def _random_move(space: SearchSpace, *parts: Column) -> Column:
-    """One hashed free feature, one step up or down."""
+def _nonzero_move(df: DataFrame, move: Column, space: SearchSpace, parts: list[Column]) -> DataFrame:
+    """Adds ``_move``: the given one, or where that is zero one hashed free feature, up or down."""
     at = F.element_at(
         F.array(*[F.lit(space.features.index(f)) for f in space.free]),
         (hash_int(F.lit("feature"), *parts) % len(space.free)).cast("int") + 1,
     )
     sign = F.when(hash_int(F.lit("sign"), *parts) % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(len(space.features) - 1)), lambda i: F.when(i == at, sign).otherwise(F.lit(0.0))
-    )
+    known = picks.pinned(df, {"_move": move, "_at": at, "_sign": sign})
+    places = F.sequence(F.lit(0), F.lit(len(space.features) - 1))
+    other = F.transform(places, lambda i: F.when(i == F.col("_at"), F.col("_sign")).otherwise(F.lit(0.0)))
+    chosen = F.when(F.exists("_move", lambda v: v != 0), F.col("_move")).otherwise(other)
+    return picks.pinned(known, {"_move": chosen}).drop("_at", "_sign")
 
 
 def _apply_move(df: DataFrame, space: SearchSpace, move: str) -> DataFrame:
@@ -105,16 +102,13 @@ def search_step(frontier: DataFrame, model, space: SearchSpace) -> DataFrame:
     Columns in: seed_id, step, features. Adds k, spread, low and high picks for the local search.
     """
     parts = _hash_parts(space, "seed_id", "step")
-    seen = picks.partition_members(_with_variants(frontier, model, space)).drop("bins")
-    picked = picks.extreme_partition_pick(picks.largest_partition_pick(seen, *parts), *parts)
-    picked = picked.drop("largest", "lowest", "highest")
+    picked = picks.partition_picks(frontier, model, space.domain, space.eps, *parts)
     domain = space.domain
     moved = picked.withColumns({p: domain.value(p, F.col("member")) for p in space.protected})
     twins = {p: domain.value(p, F.col("partner")) for p in space.protected}
     graded = _pair_gradients(moved, model, space, twins)
     move = sign_move(F.col("grad"), F.col("grad_twin"), space.movable())
-    chosen = F.when(F.exists("_move", lambda v: v != 0), F.col("_move")).otherwise(_random_move(space, *parts))
-    stepped = picks.pinned(graded.withColumn("_move", move), {"_move": chosen})
+    stepped = _nonzero_move(graded, move, space, parts)
     nexts = {
         f"next_{f}": space.clip(f, q(f) + F.element_at("_move", i + 1)) for i, f in enumerate(space.features)
     }
@@ -200,7 +194,7 @@ def local_step(walkers: DataFrame, model, space: SearchSpace, step: int) -> Data
     names = {f: f"_at_{f}" for f in space.features}
     at_try = probe.withColumnsRenamed(names).withColumnsRenamed({f"try_{f}": f for f in space.features})
     ends = {"k": F.size(F.array_distinct("bins")), "spread": F.array_max("bins") - F.array_min("bins")}
-    scored = _with_variants(at_try, model, space).withColumns(ends).drop("bins")
+    scored = variant_bins(at_try, model, space.domain, space.eps).withColumns(ends).drop("bins")
     accept = (F.col("spread") >= F.col("_spread")) | (
         hash_unit(F.lit("accept"), *parts) < F.exp((F.col("spread") - F.col("_spread")).cast("double"))
     )
@@ -318,8 +312,7 @@ def adf_search(seeds: DataFrame, model, space: SearchSpace, max_iter: int = 10,
 
     def next_move(df: DataFrame, parts: list[Column]) -> DataFrame:
         move = sign_move(F.col("grad"), F.col("grad_twin"), space.movable())
-        chosen = F.when(F.exists("_move", lambda v: v != 0), F.col("_move")).otherwise(_random_move(space, *parts))
-        return picks.pinned(df.withColumn("_move", move), {"_move": chosen})
+        return _nonzero_move(df, move, space, parts)
 
     start = seeds.select("seed_id", *[q(f) for f in space.features])
     return guided_search(start, model, space, max_iter, local_rounds, gradients, next_move)

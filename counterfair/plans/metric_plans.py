@@ -421,9 +421,10 @@ def _(spark, sf):
     return picks.debug_sample(metrics.k_partitions(variants(spark, sf), "row_id"), "row_id", 200)
 
 
-def _member_rows(spark, sf):
-    binned = score.variant_bins(applicants(spark, sf), LOGISTIC, protected_domain(spark, sf), EPS)
-    return picks.partition_members(binned)
+def _picked(spark, sf):
+    return picks.partition_picks(
+        applicants(spark, sf), LOGISTIC, protected_domain(spark, sf), EPS, F.col("row_id")
+    )
 
 
 def _member_sql(source: str, tag: str) -> str:
@@ -444,7 +445,7 @@ BIN_MEMBERS_SQL = f"""{VARIANTS_SQL}, members AS (
       FROM {_member_sql('largest', 'member')} a JOIN {_member_sql('largest', 'partner')} b USING (row_id)""",
 )
 def _(spark, sf):
-    return picks.largest_partition_pick(_member_rows(spark, sf), F.col("row_id")).select("row_id", "member", "partner")
+    return _picked(spark, sf).select("row_id", "member", "partner")
 
 
 @query(
@@ -456,7 +457,7 @@ def _(spark, sf):
       FROM {_member_sql('lowest', 'low')} a JOIN {_member_sql('highest', 'high')} b USING (row_id)""",
 )
 def _(spark, sf):
-    return picks.extreme_partition_pick(_member_rows(spark, sf), F.col("row_id")).select("row_id", "low", "high")
+    return _picked(spark, sf).select("row_id", "low", "high")
 
 
 @query(

@@ -10,25 +10,30 @@ from counterfair.operators.ordered import running_last
 LINE_KEYS = ["file"]
 
 
-def read_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(file, block, line_no, line) for every line of every file.
-
-    A block is one input split, so numbering never needs a whole file in one task: lines are ranked
-    inside their split and the counts of the earlier splits are added.
-    """
+def read_blocks(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(file, block, seq, line): lines with their input split and their order inside it."""
     reader = spark.read.option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    lines = reader.text(path).select(
+    return reader.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("_seq"),
+        F.monotonically_increasing_id().alias("seq"),
         F.col("value").alias("line"),
     )
+
+
+def read_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(file, block, line_no, line) for every line of every file.
+
+    A block is one input split, so numbering never needs a whole file in one task: lines are ranked
+    inside their split and the counts of the earlier splits are added.
+    """
+    lines = read_blocks(spark, path, pattern)
     counts = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    rank = F.row_number().over(Window.partitionBy("file", "block").orderBy("_seq"))
+    rank = F.row_number().over(Window.partitionBy("file", "block").orderBy("seq"))
     return (
         lines.withColumn("_rank", rank)
         .join(offsets, ["file", "block"])
