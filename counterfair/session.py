@@ -17,14 +17,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``. Only a local master may fall back to a
     temporary folder; anywhere else an unset folder is an error, because executors could not see it.
     """
-    root = spark.conf.get(CHECKPOINT_CONF, None)
+    context = spark.sparkContext
+    root = context.getConf().get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="counterfair-")
-        spark.conf.set(CHECKPOINT_CONF, root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
     return root
 
 
