@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from counterfair.functions.scalar import fixed
-from counterfair.operators import expand, joins, prepare, profile
+from counterfair.operators import expand, joins, prepare, profile, recipes
 from counterfair.plans.base import (
     APPLICANTS_SQL,
     FEATURES,
@@ -365,3 +365,43 @@ def _(spark, sf):
 @query("u3_distinct_keys", f"{WITH} SELECT DISTINCT 0 AS seg, 0 AS reg, bal, n_ord FROM applicants")
 def _(spark, sf):
     return prepare.distinct_keys(applicants(spark, sf).select(*FEATURES), PROTECTED)
+
+
+# A raw, all-string customer table: blanks in a numeric column, an age column and a text label.
+RAW_SQL = """raw AS (SELECT CAST(c_nationkey + 20 AS VARCHAR) AS age, c_mktsegment AS segment,
+  CASE WHEN c_custkey % 7 = 0 THEN '' ELSE CAST(c_custkey AS VARCHAR) END AS number,
+  CASE WHEN c_acctbal > 5000 THEN 'rich' ELSE 'poor' END AS income FROM customer)"""
+
+
+def raw_customers(spark, sf):
+    return table(spark, sf, "customer").select(
+        (F.col("c_nationkey") + 20).cast("string").alias("age"),
+        F.col("c_mktsegment").alias("segment"),
+        F.when(F.col("c_custkey") % 7 == 0, "").otherwise(F.col("c_custkey").cast("string")).alias("number"),
+        F.when(F.col("c_acctbal") > 5000, "rich").otherwise("poor").alias("income"),
+    )
+
+
+@query(
+    "raw_table_recipe",
+    f"""WITH {RAW_SQL}, n AS (SELECT *, try_cast(nullif(number, '') AS DOUBLE) AS v FROM raw)
+      SELECT CAST(CAST(age AS INT) < 40 AS INT) AS age, CAST(dense_rank() OVER (ORDER BY segment) - 1 AS INT) AS segment,
+        floor(coalesce(v, (SELECT avg(v) FROM n)) * 1e4 + 0.5e0) / 1e4 AS number,
+        CAST(dense_rank() OVER (ORDER BY income) - 1 AS INT) AS income FROM n""",
+)
+def _(spark, sf):
+    ready = recipes.prepare_raw(raw_customers(spark, sf), age="plain")
+    return ready.table.withColumn("number", fixed(F.col("number"), 4))
+
+
+@query(
+    "raw_table_profile",
+    f"""WITH {RAW_SQL} SELECT 'age' AS col, 0 AS pos, 'categorical' AS kind, 0 AS lo, 1 AS hi, 'old,young' AS vals
+      UNION ALL SELECT 'segment', 1, 'categorical', 0, count(DISTINCT segment) - 1, string_agg(DISTINCT segment, ',' ORDER BY segment) FROM raw
+      UNION ALL SELECT 'number', 2, 'numeric', min(CAST(nullif(number, '') AS BIGINT)), max(CAST(nullif(number, '') AS BIGINT)), '' FROM raw""",
+)
+def _(spark, sf):
+    ready = recipes.prepare_raw(raw_customers(spark, sf), age="plain")
+    return ready.profile.select(
+        "col", "pos", "kind", "lo", "hi", F.coalesce(F.array_join("values", ","), F.lit("")).alias("vals")
+    )

@@ -5,23 +5,21 @@ Bounds, categories and codes are not listed here; ``operators.profile`` derives
 
 from __future__ import annotations
 
-# Reader settings, label column, dropped or kept columns, protected columns.
+# Reader settings, dropped or kept columns, protected columns. The label is the last
+# column unless ``target`` names it; ``age`` tells how the age column is cut into young and old.
 DATASETS: dict[str, dict] = {
-    "census": {
-        "target": "income",
-        "drop": ["education.num"],
-        "protected": ["sex", "race", "age"],
-    },
-    "bank": {"sep": ";", "target": "y", "protected": ["age"]},
-    "compas": {"target": "two_year_recid", "protected": ["race", "age", "sex"]},
-    "credit": {"target": "class", "protected": ["age", "sex"]},
-    "default": {"target": "default", "protected": ["age", "sex"]},
-    "diabetes": {"target": "Outcome", "protected": ["Age"]},
-    "heart": {"target": "num", "protected": ["sex", "age"]},
-    "students": {"sep": ";", "target": "G3", "protected": ["age", "sex"]},
+    "census": {"drop": ["education.num"], "age": "plain", "protected": ["sex", "race", "age"]},
+    "bank": {"sep": ";", "age": "plain", "protected": ["age"]},
+    "compas": {"protected": ["race", "age", "sex"]},
+    "credit": {"protected": ["age", "sex"]},
+    "default": {"lower": True, "drop": ["id"], "age": "plain", "protected": ["age", "sex"]},
+    "diabetes": {"protected": ["Age"]},
+    "heart": {"age": "plain", "protected": ["sex", "age"]},
+    "students": {"sep": ";", "protected": ["age", "sex"]},
     "lawschool": {
         "target": "bar_passed",
         "keep": ["race1", "gender", "lsat", "ugpa", "zfygpa", "bar_passed", "id", "gpa", "age"],
+        "age": "negated",
         "protected": ["race1", "gender", "age"],
     },
 }
@@ -100,3 +98,10 @@ REQUIRED_KEYS = [
     "Index", "Age", "Workclass", "fnlwgt", "Education", "Education.num", "Marital.status", "Occupation",
     "Relationship", "Race", "Sex", "Capital.gain", "Capital.loss", "Hours.per.week", "Native.country", "Income",
 ]
+
+# Student columns that are not label-encoded, and those whose codes start at 1.
+STUDENT_PLAIN = ["age", "absences", "G1", "G2", "G3"]
+STUDENT_SHIFTED = [
+    "Mjob", "Fjob", "guardian", "famrel", "reason", "traveltime", "studytime", "failures", "freetime",
+    "Dalc", "Walc", "health", "goout",
+]

@@ -20,22 +20,23 @@ def read_encoded_csv(spark: SparkSession, path: str, columns: list[str] | None =
 
 
 def read_raw_csv(spark: SparkSession, path: str, sep: str = ",", lower: bool = False) -> DataFrame:
-    """All-string table. Quotes are stripped, blanks stay '' and every field may be lower-cased."""
+    """All-string table. Quotes are stripped, blanks stay ''; ``lower`` lower-cases every field, names too."""
     raw = spark.read.csv(path, header=True, sep=sep, quote='"', inferSchema=False)
     fields = [F.coalesce(q(c), F.lit("")) for c in raw.columns]
     if lower:
         fields = [F.lower(f) for f in fields]
-    return raw.select(*[f.alias(c) for f, c in zip(fields, raw.columns)])
+    return raw.select(*[f.alias(c.lower() if lower else c) for f, c in zip(fields, raw.columns)])
 
 
 def read_dataset(spark: SparkSession, path: str, spec: dict) -> DataFrame:
-    """Raw table of a named dataset (``sources.datasets``): read, drop columns, label last."""
+    """Raw table of a named dataset (``sources.datasets``): read, keep or drop columns, label last."""
     from counterfair.operators.prepare import drop_cols, keep_cols, label_last
 
     raw = read_raw_csv(spark, path, spec.get("sep", ","), spec.get("lower", False))
     if spec.get("keep"):
         raw = keep_cols(raw, spec["keep"])
-    return label_last(drop_cols(raw, spec.get("drop", [])), spec["target"])
+    raw = drop_cols(raw, spec.get("drop", []))
+    return label_last(raw, spec.get("target", raw.columns[-1]))
 
 
 def write_report(report: DataFrame, path: str) -> None:
