@@ -138,9 +138,14 @@ def fuzzy_closest(value: Column, choices: Column, max_errors: int = 10) -> Colum
 
 
 def too_similar(original: Column, answer: Column, max_errors: int = 2) -> Column:
-    """True when some prefix of ``answer`` is within ``max_errors`` edits of ``original``."""
+    """True when some prefix of ``answer`` is within ``max_errors`` edits of ``original``.
+
+    A prefix that is longer than the original by more than ``max_errors`` cannot be, so a long answer
+    costs no more than a short one.
+    """
+    longest = F.least(F.length(answer), F.length(original) + max_errors)
     distances = F.transform(
-        F.sequence(F.lit(0), F.length(answer)),
+        F.sequence(F.lit(0), longest),
         lambda i: F.levenshtein(original, F.substr(answer, F.lit(1), i)),
     )
     return F.array_min(distances) <= max_errors

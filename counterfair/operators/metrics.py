@@ -146,15 +146,28 @@ def search_report(found: DataFrame, by: list[str]) -> DataFrame:
     return totals.join(tops, by)
 
 
-def time_to_nth(found: DataFrame, by: list[str], n: int = 1000, time: str = "elapsed") -> DataFrame:
-    """(by, time_to_first, time_to_n): NULL when fewer than ``n`` were found.
+def first_n(df: DataFrame, keys: list[str], order: str, n: int, out: str = "_r", salts: int = 32) -> DataFrame:
+    """The first ``n`` rows of each key by ``order`` (unique), with their rank.
 
-    The rank filter is pushed below the shuffle, so each task sends at most ``n`` rows per key.
+    Ranked twice: within hashed slices of the key, then among the slices' first ``n``. No task sorts a
+    whole hot key, and a row outside its slice's first ``n`` cannot be in the key's.
     """
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(time))
-    head = found.select(*by, time).withColumn("_r", rank).filter(F.col("_r") <= n)
+    slice_of = F.pmod(F.hash(q(order)), F.lit(salts))
+    inner = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(order))
+    outer = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    sliced = df.withColumn("_slice", slice_of).withColumn("_i", inner).filter(F.col("_i") <= n)
+    return sliced.withColumn(out, outer).filter(F.col(out) <= n).drop("_slice", "_i")
+
+
+def time_to_nth(found: DataFrame, by: list[str], n: int = 1000, time: str = "elapsed") -> DataFrame:
+    """(by, time_to_first, time_to_n): NULL when fewer than ``n`` were found."""
+    # Equal times share one row with their count, so a slice never holds more than n distinct times.
+    times = found.groupBy(*by, time).agg(F.count(F.lit(1)).alias("_n"))
+    head = first_n(times, by, time, n)
+    reached = Window.partitionBy(*by).orderBy(time).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    head = head.withColumn("_total", F.sum("_n").over(reached))
     return head.groupBy(*by).agg(
-        F.min(time).alias("time_to_first"), F.max(F.when(F.col("_r") == n, F.col(time))).alias("time_to_n")
+        F.min(time).alias("time_to_first"), F.min(F.when(F.col("_total") >= n, F.col(time))).alias("time_to_n")
     )
 
 
@@ -195,10 +208,6 @@ def oscillation_check(moves: DataFrame, seed: str, step: str, move: str) -> Data
 
 
 def round_robin_seeds(rows: DataFrame, cluster: str, row_id: str, limit: int) -> DataFrame:
-    """The i-th member of each cluster in turn until ``limit``.
-
-    No cluster can supply more than ``limit`` seeds, so the rank filter cuts each task's output first.
-    """
-    rank = F.row_number().over(Window.partitionBy(cluster).orderBy(row_id))
-    head = rows.withColumn("turn", rank).filter(F.col("turn") <= limit)
+    """The i-th member of each cluster in turn until ``limit``; no cluster can supply more than that."""
+    head = first_n(rows, [cluster], row_id, limit, "turn")
     return head.orderBy("turn", cluster).limit(limit)

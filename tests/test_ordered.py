@@ -69,3 +69,15 @@ def test_oscillation_and_time_to_nth(spark):
     found = spark.createDataFrame([(0, float(i)) for i in range(5)] + [(1, 7.0)], "trial INT, elapsed DOUBLE")
     got = {r["trial"]: (r["time_to_first"], r["time_to_n"]) for r in metrics.time_to_nth(found, ["trial"], 3).collect()}
     assert got == {0: (0.0, 2.0), 1: (7.0, None)}
+
+
+def test_first_n_of_a_hot_key_equals_plain_rank(spark):
+    df = skewed(spark)
+    plain = df.withColumn("_r", F.row_number().over(Window.partitionBy("k").orderBy("id"))).filter("_r <= 7")
+    assert sorted(map(str, metrics.first_n(df, ["k"], "id", 7, salts=5).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_time_to_nth_counts_equal_times(spark):
+    df = spark.createDataFrame([(0, 1.0)] * 3 + [(0, 2.0)] * 2, "trial INT, elapsed DOUBLE")
+    times = [metrics.time_to_nth(df, ["trial"], n).first()["time_to_n"] for n in (1, 3, 4, 5, 6)]
+    assert times == [1.0, 1.0, 2.0, 2.0, None]
