@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from counterfair.functions.scalar import fixed, q, sum_columns
 
 PROBABILITY_DIGITS = 9
+# Gradients are used by sign; sums that cancel must not leave one.
+GRADIENT_DIGITS = 12
 
 
 def fixed_np(values: np.ndarray, digits: int = PROBABILITY_DIGITS) -> np.ndarray:
@@ -100,7 +102,7 @@ class MlpModel:
             if number < len(self.layers):
                 delta = delta * (acts[number - 1] > 0)
             delta = delta @ self.layers[number - 1][0].T
-        return delta
+        return fixed_np(delta, GRADIENT_DIGITS)
 
     def gradient(self, x: np.ndarray) -> np.ndarray:
         """Cross-entropy gradient against the model's own class (ties share the target)."""

@@ -168,8 +168,7 @@ def _(spark, sf):
 
 # Neuron scores of one layer under a flip of reg, and the mask of its upper half.
 MASK_LAYER = 2
-FLIPPED_SQL = f"""{ROWS_SQL},
-reg_ends AS (SELECT min(reg) AS lo, max(reg) AS hi FROM applicants),
+MASK_SQL = f"""reg_ends AS (SELECT min(reg) AS lo, max(reg) AS hi FROM applicants),
 flipped AS (SELECT row_id, seg, CASE WHEN reg = lo THEN hi ELSE lo END AS reg, bal, n_ord FROM applicants, reg_ends),
 {forward_sql('flipped', 'x')},
 neuron_scores AS (SELECT neuron, round(avg(s), 9) AS score FROM (
@@ -177,6 +176,7 @@ neuron_scores AS (SELECT neuron, round(avg(s), 9) AS score FROM (
     FROM r6 r JOIN x6 x USING (row_id)) GROUP BY neuron),
 masked AS (SELECT neuron, score, CAST(score >= (SELECT score FROM neuron_scores ORDER BY score DESC LIMIT 1
     OFFSET {max(WIDTHS[MASK_LAYER - 1] // 2 - 1, 0)}) AS INT) AS mask FROM neuron_scores)"""
+FLIPPED_SQL = f"{ROWS_SQL}, {MASK_SQL}"
 
 
 def _mask(spark, sf):
