@@ -17,6 +17,7 @@ from counterfair.plans.base import (
     applicant_bounds,
     applicants,
     bin_sql,
+    digest_sql,
     double,
     formula_mlp,
     probability_sql,
@@ -329,7 +330,7 @@ def _forced_sql(source: str, name: str, keep: str) -> str:
     return f"{head}, {forward_sql('', name, LAYER + 1)}"
 
 
-FORCED_SQL = f"""{CONSTANTS_SQL}, {forward_sql('raw_variants', 'f')},
+GRID_SQL = f"""{CONSTANTS_SQL}, {forward_sql('raw_variants', 'f')},
 {_forced_sql('f6', 'k', 's.row_id, s.variant_id')},
 forced AS (SELECT row_id, force, neuron, CAST(count(DISTINCT {bin_sql('mp')}) AS INT) AS k
   FROM (SELECT row_id, force, neuron, {P_SQL} AS mp FROM k6) GROUP BY row_id, force, neuron),
@@ -340,10 +341,11 @@ init AS (SELECT row_id, CAST(count(DISTINCT mbin) AS INT) AS init_k
   FROM (SELECT row_id, {bin_sql('mp')} AS mbin FROM (SELECT row_id, {P_SQL} AS mp FROM f6)) GROUP BY row_id),
 base AS (SELECT round(avg(CAST(({P_SQL} > 0.5) = (label > 0.5) AS INT)), 3) AS acc FROM r6),
 grid AS (SELECT row_id AS sample, force, neuron, k, acc, init_k
-  FROM forced JOIN forced_acc USING (force, neuron) JOIN init USING (row_id)),
-kept AS (SELECT neuron, avg(CASE WHEN force = 0 THEN k END) AS k0, avg(CASE WHEN force = 1 THEN k END) AS k1, avg(init_k) AS ki
+  FROM forced JOIN forced_acc USING (force, neuron) JOIN init USING (row_id))"""
+EFFECTS_SQL = f"""kept AS (SELECT neuron, avg(CASE WHEN force = 0 THEN k END) AS k0, avg(CASE WHEN force = 1 THEN k END) AS k1, avg(init_k) AS ki
   FROM grid WHERE acc >= (SELECT acc FROM base) - 0.05e0 GROUP BY neuron),
 effects AS (SELECT neuron, {rounded('(k1 - ki) / ki - (k0 - ki) / ki', DIGITS)} AS effect FROM kept)"""
+FORCED_SQL = f"{GRID_SQL}, {EFFECTS_SQL}"
 
 
 def _constants(spark, sf):
@@ -388,11 +390,12 @@ def _(spark, sf):
     return _effects(spark, sf)
 
 
-TOP_SQL = f"""{FORCED_SQL}, signed AS (SELECT neuron, effect, CASE WHEN effect < 0 THEN 'pos' ELSE 'neg' END AS direction
+PLACES_SQL = """signed AS (SELECT neuron, effect, CASE WHEN effect < 0 THEN 'pos' ELSE 'neg' END AS direction
   FROM effects WHERE effect <> 0),
 places AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY abs(effect) DESC, neuron DESC) AS place FROM signed),
 slots AS (SELECT direction, place FROM (VALUES ('pos'), ('neg')) d(direction), (VALUES (1), (2), (3)) p(place)),
 ranked AS (SELECT slots.direction, slots.place, coalesce(neuron, -1) AS neuron, effect FROM slots LEFT JOIN places USING (direction, place))"""
+TOP_SQL = f"{FORCED_SQL}, {PLACES_SQL}"
 
 
 @query("t2_top_neurons", f"WITH {TOP_SQL} SELECT direction, place, neuron, effect FROM ranked")
@@ -409,12 +412,16 @@ def _chosen(direction: str, force: int, value: str) -> str:
     return f"avg(CASE WHEN force = {force} AND {worst} THEN {value} END)"
 
 
-@query(
-    "a20_debug_report",
-    f"WITH {TOP_SQL}, reported AS (SELECT (SELECT acc FROM base) AS a, avg(init_k) AS k,"
+REPORTED_SQL = (
+    f"reported AS (SELECT (SELECT acc FROM base) AS a, avg(init_k) AS k,"
     f" {_chosen('neg', 0, 'acc')} AS a_deactivated, {_chosen('neg', 0, 'k')} AS k_deactivated,"
     f" {_chosen('pos', 1, 'acc')} AS a_activated, {_chosen('pos', 1, 'k')} AS k_activated FROM grid)"
-    " SELECT " + ", ".join(f"{rounded(c, DIGITS)} AS {c}" for c in REPORT) + " FROM reported",
+)
+
+
+@query(
+    "a20_debug_report",
+    f"WITH {TOP_SQL}, {REPORTED_SQL} SELECT " + ", ".join(f"{rounded(c, DIGITS)} AS {c}" for c in REPORT) + " FROM reported",
 )
 def _(spark, sf):
     grid, base = _grid(spark, sf), _base_accuracy(spark, sf)
@@ -423,9 +430,49 @@ def _(spark, sf):
     return report.select(*[fixed(F.col(c), DIGITS).alias(c) for c in REPORT])
 
 
-@query("g6_neuron_debug")
+# The whole debugging run on a sample of the discriminatory rows; the biased layer is found, so the
+# grid is written for every later layer and only the found one gets constants.
+SAMPLES = 200
+TOP = SAMPLES // 5
+
+
+def _debug_run_sql() -> str:
+    parts, grids, accs = [], [], []
+    for layer in range(2, HIDDEN_COUNT + 1):
+        held = f"[CASE WHEN i - 1 = c.neuron THEN c.c ELSE s.h{layer}[i] END for i in range(1, {WIDTHS[layer - 1] + 1})]"
+        parts.append(f"""con{layer} AS (SELECT neuron, 0 AS force, act_min AS c FROM raw_stats WHERE layer = {layer} AND layer = (SELECT layer FROM biased)
+  UNION ALL SELECT neuron, 1, act_mean FROM raw_stats WHERE layer = {layer} AND layer = (SELECT layer FROM biased)),
+v{layer}_{layer} AS (SELECT s.row_id, s.variant_id, c.force, c.neuron, {held} AS h{layer}
+  FROM f6 s CROSS JOIN con{layer} c WHERE s.row_id IN (SELECT row_id FROM samples)),
+{forward_sql('', f'v{layer}_', layer + 1)},
+u{layer}_{layer} AS (SELECT s.row_id, s.label, c.force, c.neuron, {held} AS h{layer} FROM r6 s CROSS JOIN con{layer} c),
+{forward_sql('', f'u{layer}_', layer + 1)}""")
+        grids.append(f"SELECT row_id, force, neuron, {P_SQL} AS mp FROM v{layer}_6")
+        accs.append(f"SELECT force, neuron, label, {P_SQL} AS mp FROM u{layer}_6")
+    return f"""{RATE_SQL}, {forward_sql('applicants', 'r')},
+acts AS ({' UNION ALL '.join(
+    f'SELECT {n} AS layer, unnest(range(0, {WIDTHS[n - 1]})) AS neuron, unnest(h{n}) AS act FROM r6' for n in range(1, HIDDEN_COUNT + 1))}),
+raw_stats AS (SELECT layer, CAST(neuron AS INT) AS neuron, min(act) AS act_min, avg(act) AS act_mean FROM acts GROUP BY layer, neuron),
+mlp_k AS (SELECT row_id, CAST(count(DISTINCT {bin_sql('mp')}) AS INT) AS k, max(mp) AS p_max, min(mp) AS p_min FROM mlp_scored GROUP BY row_id),
+found AS (SELECT * FROM mlp_k WHERE p_max > 0.5 AND p_min < 0.5),
+samples AS (SELECT row_id, row_id * 2 AS sample, k AS init_k FROM (SELECT * FROM found ORDER BY k DESC, row_id LIMIT {TOP})
+  UNION ALL SELECT row_id, row_id * 2 + 1, k FROM (SELECT * FROM found ORDER BY {digest_sql("'0'", "CAST(row_id AS VARCHAR)")}, row_id LIMIT {SAMPLES - TOP})),
+best AS (SELECT greatest({_LATER}) AS top, {_LATER} FROM samples JOIN rates USING (row_id)),
+picked AS (SELECT CASE {' '.join(f'WHEN r{n} = top THEN {n}' for n in range(2, HIDDEN_COUNT + 1))} END AS layer FROM best),
+biased AS (SELECT layer FROM picked GROUP BY layer ORDER BY count(*) DESC, layer LIMIT 1),
+{', '.join(parts)},
+forced AS (SELECT row_id, force, neuron, CAST(count(DISTINCT {bin_sql('mp')}) AS INT) AS k FROM ({' UNION ALL '.join(grids)}) GROUP BY row_id, force, neuron),
+forced_acc AS (SELECT force, neuron, round(avg(CAST((mp > 0.5) = (label > 0.5) AS INT)), 3) AS acc FROM ({' UNION ALL '.join(accs)}) GROUP BY force, neuron),
+base AS (SELECT round(avg(CAST(({P_SQL} > 0.5) = (label > 0.5) AS INT)), 3) AS acc FROM r6),
+grid AS (SELECT sample, force, neuron, k, acc, init_k FROM samples JOIN forced USING (row_id) JOIN forced_acc USING (force, neuron)),
+{EFFECTS_SQL}, {PLACES_SQL}, {REPORTED_SQL}"""
+
+
+@query("g6_neuron_debug", f"WITH {_debug_run_sql()} SELECT (SELECT layer FROM biased) AS layer, " + ", ".join(f"{rounded(c, DIGITS)} AS {c}" for c in REPORT) + " FROM reported")
 def _(spark, sf):
     rows, model, domain = applicants(spark, sf), formula_mlp(), protected_domain(spark, sf)
     measured = score.row_metrics(rows, model, domain, EPS)
     found = measured.filter(metrics.discriminatory_score(F.col("p_min"), F.col("p_max")) == 1)
-    return debug.neuron_debug(rows, found, model, domain, "row_id", "label", samples=200, eps=EPS)["report"]
+    run = debug.neuron_debug(rows, found, model, domain, "row_id", "label", samples=SAMPLES, eps=EPS)
+    layer = run["layer"].select("layer").scalar()
+    return run["report"].select(layer.alias("layer"), *[fixed(F.col(c), DIGITS).alias(c) for c in REPORT])

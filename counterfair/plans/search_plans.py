@@ -415,7 +415,52 @@ def _(spark, sf):
     return search.random_search(spark, LOGISTIC, space(spark, sf, ["reg"]), samples)
 
 
-@query("g3_random_search_walk")
+def _walk_sql(model, rounds: int) -> str:
+    """Adaptive walk from the finds: the probabilities of each round come from the counts of the last."""
+    n_features = len(FEATURES)
+    ctes = [
+        f"""fresh_found AS (SELECT * FROM fq WHERE flips QUALIFY row_number() OVER (PARTITION BY seg, bal, n_ord ORDER BY seed_id) = 1),
+wa0 AS (SELECT seed_id, seg, reg, bal, n_ord FROM fresh_found),
+pw0 AS (SELECT [{', '.join([double(1.0 / n_features)] * n_features)}] AS fp, [{', '.join(['0.5e0'] * n_features)}] AS dp)"""
+    ]
+    for n in range(rounds):
+        at = ("seed_id", "'walk'", str(n))
+        cases = " ".join(
+            f"WHEN fp[{i + 1}] > 0 AND {' + '.join(f'fp[{j + 1}]' for j in range(i + 1))} > u * list_sum(fp) THEN {i}"
+            for i in range(n_features)
+        )
+        edge = " OR ".join(f"(pick = {i} AND ({f} = lo_{f} OR {f} = hi_{f}))" for i, f in enumerate(FEATURES))
+        gain = {
+            (i, d): f"coalesce((SELECT (sum(CAST(flips AS INT)) - sum(1 - CAST(flips AS INT))) * 0.001e0 FROM fz{n} WHERE pick = {i} AND direction = {d}), 0e0)"
+            for i in range(n_features)
+            for d in (-1, 1)
+        }
+        up = [f"greatest(greatest(fp[{i + 1}] + {gain[i, -1]}, 0e0) + {gain[i, 1]}, 0e0)" for i in range(n_features)]
+        down = [
+            f"least(greatest(least(greatest(dp[{i + 1}] + {gain[i, -1]}, 0e0), 1e0) - {gain[i, 1]}, 0e0), 1e0)" for i in range(n_features)
+        ]
+        ctes.append(f"""
+wb{n} AS (SELECT *, {_unit('feature', *at)} AS u FROM wa{n}, pw{n}),
+wd{n} AS (SELECT *, CASE {cases} ELSE -1 END AS pick FROM wb{n}),
+we{n} AS (SELECT *, CASE WHEN {_unit('direction', *at)} < CASE WHEN {edge} THEN 0.5e0 ELSE dp[pick + 1] END THEN -1 ELSE 1 END AS direction
+  FROM wd{n}, limits),
+wf{n} AS (SELECT seed_id, pick, direction, {', '.join(_clip(f, f'{f} + CASE WHEN pick = {i} THEN direction ELSE 0 END') + f' AS {f}' for i, f in enumerate(FEATURES))} FROM we{n}),
+{_flip_sql(model, f'z{n}', f'wf{n}', 'x.seed_id, x.pick, x.direction')},
+wa{n + 1} AS (SELECT seed_id, seg, reg, bal, n_ord FROM fz{n}),
+pu{n} AS (SELECT [{', '.join(up)}] AS fp, [{', '.join(down)}] AS dp FROM pw{n}),
+pw{n + 1} AS (SELECT [v / list_sum(fp) for v in fp] AS fp, dp FROM pu{n})""")
+    walked = " UNION ALL ".join(f"SELECT seed_id, {n} AS step, seg, bal, n_ord, flips FROM fz{n}" for n in range(rounds))
+    first = "row_number() OVER (PARTITION BY seg, bal, n_ord ORDER BY NOT flips, step, seed_id) = 1"
+    return f"""{HEAD_SQL}{model.ctes}, {_draw_sql()}, {_flip_sql(model, 'q', 'drawn', 'x.seed_id')}, {', '.join(ctes)},
+walked AS ({walked}),
+visited AS (SELECT seed_id, 0 AS step, seg, bal, n_ord, flips FROM fq QUALIFY {first}),
+visited_local AS (SELECT * FROM walked w WHERE NOT EXISTS (SELECT 1 FROM visited v WHERE v.seg = w.seg AND v.bal = w.bal AND v.n_ord = w.n_ord)
+  QUALIFY {first})
+SELECT 'global' AS phase, seed_id, step, seg, bal, n_ord, CAST(flips AS INT) AS disc FROM visited
+UNION ALL SELECT 'local', seed_id, step, seg, bal, n_ord, CAST(flips AS INT) FROM visited_local"""
+
+
+@query("g3_random_search_walk", f"WITH {_walk_sql(NETWORK, LOCAL_ROUNDS)}")
 def _(spark, sf):
     samples = table(spark, sf, "customer").count()
     return search.random_search(spark, formula_mlp(), space(spark, sf, ["reg"]), samples, LOCAL_ROUNDS)
