@@ -13,8 +13,23 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from counterfair.plans import registry  # noqa: E402
-from counterfair.plans.base import applicants, local_session, protected_domain, table  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from counterfair.operators import expand, logs, metrics, score, search  # noqa: E402
+from counterfair.plans import registry, source_plans  # noqa: E402
+from counterfair.plans.base import (  # noqa: E402
+    EPS,
+    FEATURES,
+    LOGISTIC,
+    PROTECTED,
+    applicants,
+    formula_mlp,
+    local_session,
+    protected_domain,
+    space,
+    table,
+)
+from counterfair.sources import lines  # noqa: E402
 
 HEADLINE = [
     "flagship_partition_report",
@@ -53,12 +68,26 @@ def main() -> None:
         began = time.perf_counter()
         registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - began, 3)
+    # Operator rates on the prepared table and a written log, without their preparation.
+    domain, ready = protected_domain(spark, sf_dir), applicants(spark, sf_dir).cache()
+    ready.count()
+    logs_path = source_plans.write_event_log(spark, sf_dir)
+    wide = expand.expand_protected(ready, domain)
+    start = ready.select(F.col("row_id").alias("seed_id"), *FEATURES, F.lit(0).alias("step"))
+
+    def per_second(amount: int, df) -> int:
+        began = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        return round(amount / (time.perf_counter() - began))
+
+    grouped = metrics.partition_report(metrics.add_bin(score.score_logistic(wide, LOGISTIC), EPS), "row_id")
+    where = space(spark, sf_dir, PROTECTED)
     rates = {
-        "logistic_variants_per_sec": round(rows * size / seconds["flagship_row_metrics"]),
-        "network_variants_per_sec": round(rows * size / seconds["m1_row_metrics"]),
-        "partition_rows_per_sec": round(rows / seconds["flagship_partition_report"]),
-        "log_lines_per_sec": round(events / seconds["a21_log_summary"]),
-        "search_round_sec": seconds["g1_search_step"],
+        "logistic_variants_per_sec": per_second(rows * size, score.row_metrics(ready, LOGISTIC, domain, EPS)),
+        "network_variants_per_sec": per_second(rows * size, score.row_metrics(ready, formula_mlp(), domain, EPS)),
+        "grouped_rows_per_sec": per_second(rows, grouped),
+        "search_seeds_per_sec": per_second(rows, search.search_step(start, LOGISTIC, where)),
+        "log_lines_per_sec": per_second(events, logs.log_summary(lines.read_blocks(spark, logs_path))),
     }
     print(
         json.dumps(

@@ -24,23 +24,22 @@ def with_blocks(
 
     Returns the frame and the block column, or None when no key exceeds ``max_rows``.
 
-    ``order`` must be numeric or a timestamp. The cut points of each hot key are its approximate
+    ``order`` must be numeric, a date or a timestamp. The cut points of each hot key are its approximate
     quantiles; rows with equal order values always share a block.
     """
     keys = list(keys)
-    number = order_number(df, order)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
+    # At most one row per ``max_rows`` rows of the table; kept, because it is read three times.
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows).cache()
     top = hot.agg(F.max("_n").alias("n"), F.count(F.lit(1)).alias("keys")).first()
     if not top["keys"]:
         return df, None
     parts = -(-2 * top["n"] // max_rows)
     cuts = (
-        df.withColumn("_o", number)
-        .join(broadcast_if_small(hot.select(*keys)), keys, "left_semi")
+        df.join(broadcast_if_small(hot.select(*keys)), keys, "left_semi")
         .groupBy(*keys)
-        .agg(F.percentile_approx("_o", [i / parts for i in range(1, parts)], 10 * parts).alias("_cuts"))
+        .agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10 * parts).alias("_cuts"))
     )
-    cut_count = F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= number))
+    cut_count = F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= F.col(order)))
     blocked = (
         df.join(broadcast_if_small(cuts), keys, "left")
         .withColumn("_block", F.when(F.col("_cuts").isNull(), 0).otherwise(cut_count))
@@ -49,13 +48,6 @@ def with_blocks(
     return blocked, "_block"
 
 
-def order_number(df: DataFrame, order: str) -> Column:
-    """Numeric form of an order column (microseconds for timestamps)."""
-    if df.schema[order].dataType.typeName().startswith("timestamp"):
-        return F.unix_micros(F.col(order).cast("timestamp"))
-    return F.col(order)
-
-
 def _frame(keys: Sequence[str], block: str | None, order: Sequence[str]):
     w = Window.partitionBy(*keys, *([block] if block else [])).orderBy(*order)
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

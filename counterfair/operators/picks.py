@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from counterfair.functions.scalar import hash_int
 from counterfair.operators.expand import Domain
-from counterfair.operators.score import array_udf, variant_scores
+from counterfair.operators.score import array_udf, score_bins, variant_scores
 
 
 def pinned(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -60,14 +60,14 @@ def partition_picks(df: DataFrame, model, domain: Domain, eps: float, *parts: Co
 
     Scores, bins and picks are one step per Arrow batch; ``parts`` seed the hashes, which stay in the JVM.
     """
-    features, edges = list(model.features), np.arange(0, 1, eps)
+    features = list(model.features)
     tags = PICKS[2:]
 
     def picked(x: np.ndarray) -> np.ndarray:
         if not len(x):
             return np.zeros((0, len(PICKS)), np.int32)
         scores = variant_scores(x[:, : len(features)], features, model, domain)
-        return pick_variants(np.digitize(scores, edges) - 1, x[:, len(features) :].astype(np.int64))
+        return pick_variants(score_bins(scores, eps), x[:, len(features) :].astype(np.int64))
 
     hashed = df.withColumns({f"_h_{t}": hash_int(F.lit(t), *parts) for t in tags})
     chosen = hashed.withColumn("_picks", array_udf(picked, [*features, *[f"_h_{t}" for t in tags]], T.IntegerType()))

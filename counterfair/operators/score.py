@@ -143,12 +143,31 @@ def variant_probabilities(df: DataFrame, model, domain: Domain, out: str = "pv")
     return df.withColumn(out, array_udf(lambda x: variant_scores(x, features, model, domain), features))
 
 
+def score_bins(p: np.ndarray, eps: float) -> np.ndarray:
+    """Array form of ``functions.scalar.score_bin``: the last edge ``i * eps`` that is <= p."""
+    bins = np.floor(p / eps)
+    bins += (bins + 1) * eps <= p
+    bins -= bins * eps > p
+    return np.minimum(bins, bin_count(eps) - 1).astype(np.int64)
+
+
+def bin_count(eps: float) -> int:
+    return len(np.arange(0, 1, eps))
+
+
+def distinct_bins(bins: np.ndarray, count: int) -> np.ndarray:
+    """Number of distinct bins per row."""
+    if count <= 63:
+        return np.bitwise_count(np.bitwise_or.reduce(np.left_shift(np.int64(1), bins), axis=1))
+    return (np.diff(np.sort(bins, axis=1), axis=1) > 0).sum(axis=1) + 1
+
+
 def variant_bins(df: DataFrame, model, domain: Domain, eps: float = 0.025, out: str = "bins") -> DataFrame:
     """Score bins of all variants of a row as one array, in variant order."""
-    features, edges = list(model.features), np.arange(0, 1, eps)
+    features = list(model.features)
 
     def binned(x: np.ndarray) -> np.ndarray:
-        return (np.digitize(variant_scores(x, features, model, domain), edges) - 1).astype(np.int32)
+        return score_bins(variant_scores(x, features, model, domain), eps).astype(np.int32)
 
     return df.withColumn(out, array_udf(binned, features, T.IntegerType()))
 
@@ -189,15 +208,15 @@ def row_metrics(df: DataFrame, model, domain: Domain, eps: float = 0.025) -> Dat
     """
     features = list(model.features)
     schema = T.StructType([*df.schema.fields, *METRIC_FIELDS])
-    edges = np.arange(0, 1, eps)
+    width = bin_count(eps)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features])
             p = variant_scores(x, features, model, domain)
-            bins = np.digitize(p, edges) - 1
-            cell = np.arange(len(p))[:, None] * len(edges) + bins
-            counts = np.bincount(cell.ravel(), minlength=len(p) * len(edges)).reshape(len(p), len(edges))
+            bins = score_bins(p, eps)
+            cell = np.arange(len(p))[:, None] * width + bins
+            counts = np.bincount(cell.ravel(), minlength=len(p) * width).reshape(len(p), width)
             share = counts / domain.size
             entropy = -(share * np.log2(np.where(share > 0, share, 1.0))).sum(axis=1)
             extra = [
@@ -219,7 +238,7 @@ def forced_metrics(
 
     ``forces[f][n]`` is the constant of force f for neuron n. Layers below are computed once.
     """
-    features, edges = list(model.features), np.arange(0, 1, eps)
+    features, count = list(model.features), bin_count(eps)
     cells = [(neuron, value) for values in forces for neuron, value in enumerate(values)]
 
     def grid_of(x: np.ndarray) -> np.ndarray:
@@ -229,8 +248,7 @@ def forced_metrics(
             columns = []
             for neuron, value in cells:
                 p = model.proba_forced(hidden, layer, neuron, value).reshape(n, domain.size)
-                bins = np.sort(np.digitize(p, edges), axis=1)
-                columns.append((np.diff(bins, axis=1) > 0).sum(axis=1) + 1.0)
+                columns.append(distinct_bins(score_bins(p, eps), count).astype(float))
             parts.append(np.stack(columns, axis=1))
         return np.concatenate(parts)
 

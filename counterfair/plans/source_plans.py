@@ -140,14 +140,14 @@ def _event_lines(spark, sf) -> DataFrame:
     )
 
 
-def _log_path(spark, sf) -> str:
+def write_event_log(spark, sf) -> str:
     path = shared_path(spark, "logs")
     write_ordered_files(_event_lines(spark, sf), ["event_id"], path)
     return path
 
 
 def _run_log(spark, sf) -> DataFrame:
-    return lines.read_run_log(spark, _log_path(spark, sf))
+    return lines.read_run_log(spark, write_event_log(spark, sf))
 
 
 def _run():
@@ -204,7 +204,7 @@ def _summary_sql(source: str, keys: str) -> str:
       {_summary_sql('counted', 'run, call')}""",
 )
 def _(spark, sf):
-    summary = logs.log_summary(lines.read_blocks(spark, _log_path(spark, sf)))
+    summary = logs.log_summary(lines.read_blocks(spark, write_event_log(spark, sf)))
     return summary.withColumns({"run": _run(), "tries": F.coalesce("tries", F.lit(-1))}).drop("file")
 
 

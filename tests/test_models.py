@@ -174,3 +174,12 @@ def test_two_class_tie_is_class_zero(spark):
     half = LogisticModel(("a",), (0.0,), 0.0)
     assert half.proba(np.array([[1.0]])).tolist() == [0.5]
     assert isinstance(formula_mlp(), MlpModel)
+
+
+@pytest.mark.parametrize("eps", [0.025, 0.1, 0.01, 1 / 3])
+def test_array_bins_are_digitize(eps):
+    edges = np.arange(0, 1, eps)
+    p = np.concatenate([edges, np.nextafter(edges, 2), np.nextafter(edges, -1)[1:], [1.0], np.random.default_rng(2).random(4000)])
+    assert np.array_equal(score.score_bins(p, eps), np.digitize(p, edges) - 1)
+    rows = score.score_bins(np.random.default_rng(3).random((50, 30)), eps)
+    assert score.distinct_bins(rows, score.bin_count(eps)).tolist() == [len(set(r)) for r in rows]

@@ -28,6 +28,14 @@ def test_blocked_scans_equal_plain_windows(spark):
     assert sorted(map(str, got_last.collect())) == sorted(map(str, want_last.collect()))
 
 
+def test_blocks_on_timestamps(spark):
+    for kind in ("timestamp", "timestamp_ntz"):
+        df = skewed(spark).withColumn("at", F.timestamp_seconds(F.col("t") * 3600 + 1_700_000_000).cast(kind))
+        blocked, block = ordered.with_blocks(df, ["k"], "at", max_rows=40)
+        ends = blocked.filter("k = 0").groupBy(block).agg(F.min("at").alias("lo"), F.max("at").alias("hi")).orderBy(block).collect()
+        assert len(ends) > 3 and all(a["hi"] < b["lo"] for a, b in zip(ends, ends[1:]))
+
+
 def test_no_hot_key_means_no_blocks(spark):
     df = skewed(spark)
     same, block = ordered.with_blocks(df, ["k"], "t")
