@@ -24,7 +24,11 @@ def train_classifier(
     trainer = MultilayerPerceptronClassifier(
         layers=[len(features), *hidden, 2], featuresCol="_features", labelCol=label, maxIter=max_iter, seed=seed
     )
-    return trainer.fit(_assembled(df, features))
+    rows = _assembled(df, features).persist()
+    try:
+        return trainer.fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def predict(df: DataFrame, features: list[str], model) -> DataFrame:
@@ -33,7 +37,9 @@ def predict(df: DataFrame, features: list[str], model) -> DataFrame:
 
 def train_logistic(df: DataFrame, features: list[str], label: str, max_iter: int = 100) -> LogisticModel:
     """Logistic regression as a model usable by every operator here."""
-    fitted = LogisticRegression(featuresCol="_features", labelCol=label, maxIter=max_iter).fit(_assembled(df, features))
+    rows = _assembled(df, features).persist()
+    fitted = LogisticRegression(featuresCol="_features", labelCol=label, maxIter=max_iter).fit(rows)
+    rows.unpersist()
     return LogisticModel(tuple(features), tuple(float(w) for w in fitted.coefficients), float(fitted.intercept))
 
 
@@ -49,7 +55,9 @@ def seed_clusters(
         except Exception:  # noqa: BLE001 - nothing saved there yet
             model = None
     if model is None:
-        model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(rows)
+        kept = rows.persist()
+        model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(kept)
+        kept.unpersist()
         if path:
             model.write().overwrite().save(path)
     return model.transform(rows).drop("_features").withColumn("cluster", F.col("cluster").cast("int")), model

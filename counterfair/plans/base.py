@@ -111,17 +111,23 @@ def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.least(F.coalesce("_n", F.lit(0)), F.lit(20)).cast("int").alias("n_ord"),
         F.coalesce((F.col("_avg") > overall).cast("int"), F.lit(0)).alias("label"),
     )
-    return by_row(rows, "row_id")
+    return by_row(rows, "row_id", customer.count())
 
 
-def by_row(df: DataFrame, key: str) -> DataFrame:
+ROWS_PER_PARTITION = 10_000
+
+
+def by_row(df: DataFrame, key: str, count: int) -> DataFrame:
     """Partition by row id once, for everything that follows.
 
     Expansion and scoring keep this partitioning, so per-row aggregates need no further shuffle. Where
     a join has already hashed the rows this way Spark drops the exchange; where a small side was
-    broadcast, it spreads a few large input splits over all cores before the costly scoring.
+    broadcast, it spreads a few large input splits over all cores before the costly scoring. ``count``
+    (from the file footers) keeps a small table from being cut into mostly empty partitions.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    session = df.sparkSession
+    wanted = max(session.sparkContext.defaultParallelism, count // ROWS_PER_PARTITION)
+    return df.repartition(min(int(session.conf.get("spark.sql.shuffle.partitions")), wanted), key)
 
 
 _BOUNDS: dict[str, dict[str, tuple[int, int]]] = {}
