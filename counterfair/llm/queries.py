@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterfair.llm import fingerprint, lines, mixing, warc
+from counterfair.llm import fingerprint, lines, mixing, sentencepieces, warc
 from counterfair.llm.common import ORACLES, QUERIES, query, read  # noqa: F401
 
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -102,3 +102,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_fingerprints")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_versions(read(spark, sf_dir, "documents"))
+
+
+@query("op10_sentencepieces")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(read(spark, sf_dir, "documents"))
