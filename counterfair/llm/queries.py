@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterfair.llm import fingerprint, lines, mixing, sentencepieces, warc
+from counterfair.llm import fingerprint, lines, mixing, quality, sentencepieces, warc
 from counterfair.llm.common import ORACLES, QUERIES, query, read  # noqa: F401
 
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -107,3 +107,24 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_sentencepieces")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(read(spark, sf_dir, "documents"))
+
+
+KEEP_SCORE = 0.3
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Trees:
+    """Trees for ``labels.quality``, learned from the rows that are not held out."""
+    labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality.train(docs.select("doc_id", "text"), labels.where(quality.is_training(F.col("doc_id"))))
+
+
+@query("op4_quality_scores")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality_model(spark, docs, sf_dir))
+    return scored.select(
+        "row.doc_id",
+        (~quality.is_training(F.col("row.doc_id"))).alias("held_out"),
+        "score",
+        (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"),
+    )
