@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterfair.llm import fingerprint, lines, mixing, quality, sentencepieces, warc
+from counterfair.llm import fingerprint, jaccard, lines, mixing, quality, sentencepieces, warc
 from counterfair.llm.common import ORACLES, QUERIES, query, read  # noqa: F401
 
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -128,3 +128,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"),
     )
+
+
+@query("op9_jaccard_classes")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
