@@ -16,13 +16,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = cut_lineage(both.where("a <> b").distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("l")).select("node", F.least("node", "l").alias("l")))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("l"))
     while True:
         seen = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("l").alias("m"))
         near = labels.join(seen, F.col("node") == F.col("a")).select("node", F.least("l", "m").alias("l"), F.col("l").alias("old"))
         of = near.select(F.col("node").alias("n2"), F.col("l").alias("l2"))
-        jumped = near.join(of, F.col("l") == F.col("n2"), "left")
-        after = cut_lineage(jumped.select("node", F.least("l", F.coalesce("l2", "l")).alias("l"), "old"))
-        if after.where("l <> old").isEmpty():
-            return after.select("node", F.col("l").alias("component"))
-        labels = after.select("node", "l")
+        jumped = near.join(of, F.col("l") == F.col("n2"))
+        labels = cut_lineage(jumped.select("node", F.least("l", "l2").alias("l"), "old"))
+        if labels.where("l <> old").isEmpty():
+            return labels.select("node", F.col("l").alias("component"))

@@ -6,9 +6,9 @@ rest, the core, is kept, and a document whose core is shorter than t n cannot li
 Classes with equal size and prefix form a group; groups that share a prefix member, and whose sizes and places allow
 the overlap, are expanded into classes and verified on their whole cores.
 
-Within the groups of one member not all pairs are formed. In two rounds each is compared with the most central one,
-that with the fewest members of its own; what then lies in one component needs no more comparison. Only pairs of
-different components are left for the last round, which compares them all.
+Within the groups of one member not all pairs are formed. Each is first compared with the most central one, that with
+the fewest members of its own; what then lies in one component needs no more comparison. Only pairs of different
+components are left, and these are all compared.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from counterfair.llm.common import staged
 from counterfair.llm.components import components
-from counterfair.llm.repeats import chunked, in_order, members, repeated_keys, repeated_of
+from counterfair.llm.repeats import chunked, in_order, members, repeated_keys, repeated_of, sizes_of
 from counterfair.llm.words import Words, chunks, mix, shingles
 
 PERCENT = 80
@@ -51,7 +51,8 @@ def shingle_sets(docs: DataFrame, text: str, key: str, width: int, percent: int)
 
     ``core`` is null where it is too small for any link.
     """
-    rows, parts = chunked(docs, text, key)
+    n_chunks, parts = sizes_of(docs, text)
+    rows = chunked(docs, text, key, n_chunks)
     keys_of = sets_of(width)
     masks = repeated_keys(rows, parts, keys_of)
 
@@ -106,32 +107,34 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     member = cores.join(grouped, ["n", "own", "prefix"]).select("rid", "g")
     member = staged(member, "jaccard-members")
 
-    # Members of one group: all against its first.
-    links = _verified(member.where("rid <> g").select(F.col("g").alias("a"), F.col("rid").alias("b")), cores, percent)
-    links = staged(links, "jaccard-links")
-    for last in (False, False, True):
-        of = components(links).withColumnRenamed("node", "rid")
-        label = member.join(of, "rid", "left").select("rid", "g", F.coalesce("component", "rid").alias("c"))
-        # A group takes part with each component that its members lie in.
-        classes = label.groupBy("g", "c").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("k"))
-        spots = places.join(classes.select("g", "c"), "g")
-        mixed = spots.groupBy("t").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.min(F.struct("own", "n", "g")).alias("_m"))
-        open_ = spots.join(mixed.where("_lo <> _hi"), "t")
-        if not last:
-            hub = open_.where("g = _m.g").groupBy("t").agg(F.first("g").alias("g"), F.first("n").alias("n"), F.first("at").alias("at"))
-            pairs = hub.alias("x").join(open_.alias("y"), F.expr("x.t = y.t AND x.g <> y.g"))
-        else:
-            pairs = open_.alias("x").join(open_.alias("y"), F.expr("x.t = y.t AND x.g < y.g AND x.c <> y.c"))
-        pairs = pairs.where(_possible("x", "y", percent)).select(F.col("x.g").alias("x"), F.col("y.g").alias("y"))
-        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        left = label.select(F.col("g").alias("x"), F.col("rid").alias("a"), F.col("c").alias("ca"))
-        right = label.select(F.col("g").alias("y"), F.col("rid").alias("b"), F.col("c").alias("cb"))
-        expanded = pairs.join(left, "x").join(right, "y").where("ca <> cb").select("a", "b")
-        if last:  # and members of one group that the first did not link
-            within = label.alias("x").join(label.alias("y"), F.expr("x.g = y.g AND x.rid < y.rid AND x.c <> y.c"))
-            expanded = expanded.union(within.select(F.col("x.rid"), F.col("y.rid"))).distinct()
-        links = staged(links.union(_verified(expanded, cores, percent)), "jaccard-links")
-    return links
+    def wanted(x: DataFrame, y: DataFrame, condition: str) -> DataFrame:
+        """Pairs of groups (x, y), each once, that ``condition`` names and sizes and places allow."""
+        both = x.alias("x").join(y.alias("y"), F.expr(condition)).where(_possible("x", "y", percent))
+        return both.select(F.least("x.g", "y.g").alias("x"), F.greatest("x.g", "y.g").alias("y")).distinct()
+
+    # All groups of a prefix member against the most central one, and the members of a group against its first.
+    hub = places.groupBy("t").agg(F.min(F.struct("own", "n", "g", "at")).alias("m"), F.count(F.lit(1)).alias("k"))
+    hub = hub.where("k > 1").select("t", "m.*")
+    pairs = wanted(hub, places, "x.t = y.t AND x.g <> y.g")
+    right = member.select(F.col("g").alias("y"), F.col("rid").alias("b"))
+    left = member.select(F.col("g").alias("x"), F.col("rid").alias("a"))
+    star = pairs.join(left, "x").join(right, "y").select("a", "b")
+    star = star.union(member.where("rid <> g").select("g", "rid")).distinct()
+    links = staged(_verified(star, cores, percent), "jaccard-links")
+
+    # What lies in different components by now: all pairs.
+    of = components(links).withColumnRenamed("node", "rid")
+    label = staged(member.join(of, "rid", "left").select("rid", "g", F.coalesce("component", "rid").alias("c")), "jaccard-labels")
+    spots = places.join(label.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "g")
+    mixed = spots.groupBy("t").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).where("_lo <> _hi")
+    open_ = spots.join(mixed, "t")
+    pairs = wanted(open_, open_, "x.t = y.t AND x.g < y.g AND (x.lo <> y.lo OR x.hi <> y.hi OR x.lo <> x.hi)")
+    left = label.select(F.col("g").alias("x"), F.col("rid").alias("a"), F.col("c").alias("ca"))
+    right = label.select(F.col("g").alias("y"), F.col("rid").alias("b"), F.col("c").alias("cb"))
+    rest = pairs.join(left, "x").join(right, "y").where("ca <> cb").select("a", "b")
+    within = label.alias("x").join(label.alias("y"), F.expr("x.g = y.g AND x.rid < y.rid AND x.c <> y.c"))
+    rest = rest.union(within.select("x.rid", "y.rid")).distinct()
+    return links.union(_verified(rest, cores, percent))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = PERCENT):

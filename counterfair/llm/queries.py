@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterfair.llm import fingerprint, jaccard, lines, mixing, quality, sentencepieces, warc
+from counterfair.llm import fingerprint, jaccard, lines, mixing, passages, quality, sentencepieces, vectors, warc
 from counterfair.llm.common import ORACLES, QUERIES, query, read  # noqa: F401
 
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -133,3 +133,26 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_jaccard_classes")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op5_shared_passages")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(read(spark, sf_dir, "documents"))
+
+
+VECTORS_SQL = """WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, e.vec_id = c.c AS kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id
+JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) c ON c.a = e.vec_id"""
+
+
+@query("op7_near_vectors", VECTORS_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))

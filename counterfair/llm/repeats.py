@@ -13,24 +13,32 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 8 << 20
 PART_BYTES = 8 << 20
 
 
-def chunked(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, int]:
-    """(chunk, doc_id, text) and the number of key parts; both numbers follow the bytes of text."""
+def sizes_of(docs: DataFrame, text: str) -> tuple[int, int]:
+    """Numbers of chunks and of key parts; both follow the bytes of text."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     chunks = max(1, -(-total // CHUNK_BYTES))
     parts = 16
     while parts * PART_BYTES < total:
         parts *= 2
+    return chunks, parts
+
+
+def chunked(docs: DataFrame, text: str, key: str, chunks: int) -> DataFrame:
+    """(chunk, doc_id, text): rows without id are spread by their text."""
     body = F.coalesce(F.col(text), F.lit(""))
-    spread = F.xxhash64(F.col(key), body)
-    rows = docs.select(F.pmod(spread, F.lit(chunks)).alias("chunk"), F.col(key).cast("long").alias("doc_id"), body.alias("text"))
-    return rows, parts
+    chunk = F.when(F.col(key).isNull(), chunk_of(F.xxhash64(body), chunks)).otherwise(chunk_of(F.col(key), chunks))
+    return docs.select(chunk.alias("chunk"), F.col(key).cast("long").alias("doc_id"), body.alias("text"))
+
+
+def chunk_of(key: Column, chunks: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("long")), F.lit(chunks))
 
 
 def in_order(rows: pd.DataFrame) -> tuple[list, list[bytes]]:

@@ -7,6 +7,7 @@ texts of a batch are joined by a space, so the same few array operations serve s
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -17,7 +18,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,13 +38,18 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-_POW = _powers(_BASE, CHUNK_BYTES + 1)
-_INV = _powers(_INVERSE, CHUNK_BYTES + 1)
+
+
+@lru_cache(maxsize=1)
+def _usual() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_BASE, CHUNK_BYTES), _powers(_INVERSE, CHUNK_BYTES)
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n < len(_POW):
-        return _POW[:n], _INV[:n]
+    """The first n powers of the base and of its inverse; those of usual lengths are kept in the worker."""
+    if n <= CHUNK_BYTES:
+        power, inverse = _usual()
+        return power[:n], inverse[:n]
     return _powers(_BASE, n), _powers(_INVERSE, n)
 
 
