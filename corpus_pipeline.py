@@ -1,11 +1,70 @@
-"""Documents to training tokens, in stages made of the operators in ``counterfair.llm``."""
+"""Documents to training tokens: five stages, each one operator of ``counterfair.llm`` on what the one before kept.
 
-STAGES = []
-ORACLE_SQL = None
+Every stage but the last returns the columns of the documents it was given.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from counterfair.llm import jaccard, lines, mixing, quality, sentencepieces
+from counterfair.llm.common import staged
+from counterfair.llm.queries import KEEP_SCORE, MIX_BLOCK, MIX_WEIGHTS, quality_model
+
+ORACLE_SQL = None  # trees, near-duplicate classes and tokens have no SQL form
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject (score of KEEP_SCORE or more)."""
+    scored = quality.score(docs, quality_model(spark, docs, sf_dir))
+    return scored.where(F.col("score") >= KEEP_SCORE).select("row.*")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that five or more documents share; a document left without text goes.
+
+    ``n_chars``, where there is one, is counted anew for the texts that changed.
+    """
+    out = lines.line_dedup(docs, min_chars=40, min_docs=5)
+    changed = F.col("n_dropped") > 0
+    new = {"text": F.when(changed, F.col("text")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    kept = out.where(~changed | (F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != ""))
+    return kept.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: that with the smallest id. Rows without id all stay."""
+    classes = jaccard.near_duplicates(docs)
+    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mixing schedule; those of sources that end early come again in later epochs."""
+    mixed = mixing.mix(docs, MIX_WEIGHTS, block_rows=MIX_BLOCK)
+    return mixed.repartitionByRange("position").sortWithinPartitions("position").select("row.*")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, in the order it was given."""
+    return sentencepieces.encode(docs)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("lines", drop_repeated_lines),
+    ("near_duplicates", keep_one_of_near_duplicates),
+    ("mix", mix_sources),
+    ("tokens", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of ``sf_dir``; what a stage returns is a Parquet table for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

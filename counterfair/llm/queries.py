@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterfair.llm import fingerprint, jaccard, lines, mixing, passages, quality, sentencepieces, vectors, warc
+from counterfair.llm import (
+    context_tree,
+    fingerprint,
+    jaccard,
+    lines,
+    mixing,
+    passages,
+    quality,
+    sentencepieces,
+    vectors,
+    warc,
+)
 from counterfair.llm.common import ORACLES, QUERIES, query, read  # noqa: F401
 
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -156,3 +167,8 @@ JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) c ON c.a = e.vec_id"""
 @query("op7_near_vectors", VECTORS_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query("op3_context_tree_scores")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score_texts(read(spark, sf_dir, "documents"))
