@@ -22,7 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that five or more documents share; a document left without text goes.
+    """Texts without the lines that five or more documents share, but for one document; no document goes.
 
     ``n_chars``, where there is one, is counted anew for the texts that changed.
     """
@@ -31,8 +31,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     new = {"text": F.when(changed, F.col("text")).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
-    kept = out.where(~changed | (F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != ""))
-    return kept.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
