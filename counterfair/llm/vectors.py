@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,10 +81,10 @@ def compare(left: np.ndarray, right: np.ndarray, turned_left: np.ndarray, turned
     return rows[good], cols[good]
 
 
-def _cell(rows: pd.DataFrame, axes: dict[int, np.ndarray], threshold: float) -> pd.DataFrame:
+def _cell(rows: pa.Table, axes: dict[int, np.ndarray], threshold: float) -> pa.Table:
     """Links within a tile, or between two: a count for each vector that has some, and a forest of edges."""
-    rows = rows.sort_values(["side", "rep", "vh"])
-    v = np.stack(rows["v"].to_numpy())
+    rows = rows.sort_by([(c, "ascending") for c in ("side", "rep", "vh")])
+    v = rows["v"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
     rep, vh, copies, side = (rows[c].to_numpy() for c in ("rep", "vh", "copies", "side"))
     turned = _turned(v, axes)
     n = int((side == 0).sum())
@@ -101,9 +102,9 @@ def _cell(rows: pd.DataFrame, axes: dict[int, np.ndarray], threshold: float) ->
         edges.append(_forest(a, b))
     x, y = _forest(*(np.concatenate(e) for e in zip(*edges)))
     some = np.flatnonzero(links)
-    counts = pd.DataFrame({"rep": rep[some], "vh": vh[some], "n": links[some]})
-    forest = pd.DataFrame({"rep": rep[x], "other": rep[y]})
-    return pd.concat([counts, forest]).reindex(columns=["rep", "vh", "n", "other"]).astype("Int64")
+    counts = pa.table({"rep": rep[some], "vh": vh[some], "n": links[some], "other": pa.nulls(len(some), pa.int64())})
+    none = pa.nulls(len(x), pa.int64())
+    return pa.concat_tables([counts, pa.table({"rep": rep[x], "vh": none, "n": none, "other": rep[y]})])
 
 
 def _turned(v: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
@@ -174,7 +175,7 @@ def near_vectors(vectors: DataFrame, vector: str = "embedding", key: str = "vec_
         cells.where("x <> y").select("x", "y", F.col("y").alias("tile"), F.lit(1).alias("side"))
     )
     members = tiled.select("tile", "v", "vh", "rep", "copies").join(sides, "tile")
-    found = members.groupBy("x", "y").applyInPandas(lambda rows: _cell(rows, axes, threshold), CELL)
+    found = members.groupBy("x", "y").applyInArrow(lambda rows: _cell(rows, axes, threshold), CELL)
     found = staged(found, "vectors-links")
 
     linked = found.where("n IS NOT NULL").groupBy("rep", "vh").agg(F.sum("n").alias("n"))
