@@ -151,9 +151,20 @@ def too_similar(original: Column, answer: Column, max_errors: int = 2) -> Column
     return F.array_min(distances) <= max_errors
 
 
+def is_json_object(text: Column) -> Column:
+    """True when the whole text is one JSON object, by the strict grammar.
+
+    Spark's JSON functions stop at the end of the first value and take single quotes; inside an array the
+    text must parse strictly and be exactly one element.
+    """
+    listed = F.concat(F.lit("["), text, F.lit("]"))
+    one = F.try_parse_json(listed).isNotNull() & (F.json_array_length(listed) == 1)
+    return F.coalesce(one & F.json_object_keys(text).isNotNull(), F.lit(False))
+
+
 def has_all_keys(json_text: Column, required: list[str]) -> Column:
     """True when the JSON object holds every required key; false for anything else."""
-    keys = F.json_object_keys(json_text)
+    keys = F.when(is_json_object(json_text), F.json_object_keys(json_text))
     missing = F.size(F.array_except(F.array(*[F.lit(k) for k in required]), keys))
     return F.coalesce(missing == 0, F.lit(False))
 
@@ -162,7 +173,7 @@ def json_parse_status(text: Column) -> Column:
     """``ok`` for a JSON object, ``format_error`` for other text, ``other_error`` for no answer."""
     return (
         F.when(text.isNull(), F.lit("other_error"))
-        .when(F.json_object_keys(text).isNull(), F.lit("format_error"))
+        .when(~is_json_object(text), F.lit("format_error"))
         .otherwise(F.lit("ok"))
     )
 
@@ -188,7 +199,14 @@ def path_part(path: Column, position: int) -> Column:
 
 
 def clipped(col: Column, lo, hi) -> Column:
-    return F.least(F.greatest(col, F.lit(lo)), F.lit(hi))
+    """Value held within the limits; NULL stays NULL (``greatest`` and ``least`` skip it)."""
+    return F.when(col.isNotNull(), F.least(F.greatest(col, F.lit(lo)), F.lit(hi)))
+
+
+def number(text: Column) -> Column:
+    """The number a text stands for, NULL for any other text; '1d' and '2f' are not numbers."""
+    plain = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:nan|inf|infinity))\s*$"
+    return F.when(text.rlike(plain), text.try_cast("double"))
 
 
 def sum_columns(cols: list[Column]) -> Column:

@@ -12,6 +12,7 @@ from counterfair.functions.scalar import (
     format_request,
     fuzzy_closest,
     has_all_keys,
+    is_json_object,
     json_parse_status,
     q,
     too_similar,
@@ -160,7 +161,7 @@ def flatten_pairs(messages: DataFrame, columns: list[str], doc: str = "doc", fir
     )
     rows = pairs.select(doc, "pair_id", F.inline(sides))
     values = F.from_json("content", "map<string,string>")
-    is_object = F.json_object_keys("content").isNotNull()
+    is_object = is_json_object(F.col("content"))
     return rows.withColumn("_m", F.when(is_object, values)).select(
         doc,
         "pair_id",

@@ -21,8 +21,8 @@ CRITICAL_PATTERN = r"CRITICAL - FAILED TO GENERATE COUNTER FACTUAL, MAX RETRIES
 
 
 def regex_number(line: Column, pattern: str) -> Column:
-    """First group as a number, NULL where the pattern is absent."""
-    return F.nullif(F.regexp_extract(line, pattern, 1), F.lit("")).cast("int")
+    """First group as a number, NULL where the pattern is absent or the number is beyond 64 bits."""
+    return F.nullif(F.regexp_extract(line, pattern, 1), F.lit("")).try_cast("bigint")
 
 
 def sessionize_by_marker(

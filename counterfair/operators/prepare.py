@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from counterfair.functions.scalar import clipped, q
+from counterfair.functions.scalar import clipped, number, q
 from counterfair.session import broadcast_if_small
 
 Bounds = dict[str, tuple[int, int]]
@@ -109,7 +109,7 @@ def binarize_label(col: Column, threshold: float = 10) -> Column:
 
 def mean_impute(df: DataFrame, names: list[str]) -> DataFrame:
     """Blank or non-numeric becomes NULL, then the column mean (one aggregate over all columns)."""
-    numeric = {n: F.nullif(q(n).cast("string"), F.lit("")).try_cast("double") for n in names}
+    numeric = {n: number(q(n).cast("string")) for n in names}
     means = df.agg(F.struct(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(numeric.values())])).scalar()
     return df.withColumns({n: F.coalesce(v, means[f"m{i}"]) for i, (n, v) in enumerate(numeric.items())})
 
@@ -138,12 +138,19 @@ def mask_protected(df: DataFrame, protected: list[str], drop: bool = False) -> D
 
 
 def parse_key_values(text: Column, keys: list[str]) -> list[Column]:
-    """Columns from ``Key: value`` lines; a missing key is NULL."""
-    pairs = F.str_to_map(text, F.lit("\n"), F.lit(":"))
-    clean = F.map_from_entries(
-        F.transform(F.map_entries(pairs), lambda e: F.struct(F.trim(e["key"]), F.trim(e["value"])))
-    )
-    return [F.try_element_at(clean, F.lit(k)).alias(k) for k in keys]
+    """Columns from ``Key: value`` lines; a missing key is NULL, of a repeated key the last line counts."""
+
+    def entry(line: Column) -> Column:
+        at = F.locate(":", line)
+        value = F.when(at > 0, F.trim(F.substr(line, at + 1)))
+        return F.struct(F.trim(F.substring_index(line, ":", 1)).alias("k"), value.alias("v"))
+
+    entries = F.transform(F.split(text, "\n"), entry)
+
+    def last(key: str) -> Column:
+        return F.try_element_at(F.filter(entries, lambda e: e["k"] == key), F.lit(-1))["v"].alias(key)
+
+    return [last(k) for k in keys]
 
 
 def column_difference(columns: list[str], protected: list[str]) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from counterfair.functions.scalar import q
+from counterfair.functions.scalar import number, q
 from counterfair.session import broadcast_if_small, cut_lineage, is_small
 
 
@@ -15,18 +15,14 @@ def _unpivot(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def detect_categorical(df: DataFrame, names: list[str], probe_rows: int | None = None) -> DataFrame:
-    """(col, categorical): 1 when some non-blank value is not a number; one aggregate over the table.
-
-    ``probe_rows`` looks at the first rows only, for callers who want that behaviour.
-    """
-    probed = df.limit(probe_rows) if probe_rows else df
+def detect_categorical(df: DataFrame, names: list[str]) -> DataFrame:
+    """(col, categorical): 1 when some non-blank value is not a number; one aggregate over the table."""
     flags = []
     for n in names:
         text = q(n).cast("string")
-        bad = text.try_cast("double").isNull() & text.isNotNull() & (text != "")
+        bad = number(text).isNull() & text.isNotNull() & (text != "")
         flags.append(F.max(bad.cast("int")).alias(n))
-    return probed.agg(*flags).unpivot([], [q(n) for n in names], "col", "categorical")
+    return df.agg(*flags).unpivot([], [q(n) for n in names], "col", "categorical")
 
 
 def category_values(df: DataFrame, names: list[str]) -> DataFrame:
@@ -63,7 +59,7 @@ def column_bounds(df: DataFrame, names: list[str]) -> DataFrame:
     """(col, lo, hi): floor of the minimum and ceiling of the maximum, [0, 0] if nothing is numeric."""
     aggs = []
     for n in names:
-        v = q(n).cast("string").try_cast("double")
+        v = number(q(n).cast("string"))
         aggs.append(
             F.struct(
                 F.lit(n).alias("col"),

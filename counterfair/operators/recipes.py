@@ -33,7 +33,7 @@ class Prepared:
         return prepare.union_tables(*parts)
 
 
-def prepare_raw(raw: DataFrame, age: str | None = None, age_column: str = "age", probe_rows: int | None = None) -> Prepared:
+def prepare_raw(raw: DataFrame, age: str | None = None, age_column: str = "age") -> Prepared:
     """Encode an all-string table whose last column is the label.
 
     Age is cut into young and old if asked; categorical columns are found and label-encoded, the
@@ -43,7 +43,7 @@ def prepare_raw(raw: DataFrame, age: str | None = None, age_column: str = "age",
     table = raw
     if age:
         table = table.withColumn(age_column, prepare.binarize_threshold(q(age_column), negated=age == "negated"))
-    detected = profile.detect_categorical(table, features, probe_rows).filter(F.col("categorical") == 1)
+    detected = profile.detect_categorical(table, features).filter(F.col("categorical") == 1)
     # One row per column of the table.
     found = {r["col"] for r in detected.collect()}
     categorical = [c for c in features if c in found]

@@ -90,15 +90,12 @@ def _(spark, sf):
     return variants(spark, sf).select("row_id", "variant_id", "p", "bin")
 
 
-DIMS = 8
-
-
 def _lead_dims(spark, sf):
-    lead = F.transform(F.slice("embedding", 1, DIMS), lambda v: v.cast("double"))
+    lead = F.transform("embedding", lambda v: v.cast("double"))
     return table(spark, sf, "embeddings").select("vec_id", "label", lead.alias("v"))
 
 
-LEAD_SQL = f"lead AS (SELECT vec_id, label, CAST(embedding[1:{DIMS}] AS DOUBLE[]) AS v FROM embeddings)"
+LEAD_SQL = "lead AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 
 
 @query(

@@ -119,7 +119,8 @@ def _(spark, sf):
 
 
 # Answers made from the customers with hashed faults, three attempts each.
-FAULTS = ["dropped_key", "bad_json", "unchanged", "typo", "no_match", "no_answer", "reordered", "array", "fine", "fine"]
+FAULTS = ["dropped_key", "bad_json", "unchanged", "typo", "no_match", "no_answer", "reordered", "array"]
+FAULTS += ["trailing", "single_quotes", "two_objects", "fine", "fine"]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
@@ -152,6 +153,9 @@ def attempts(spark, sf) -> DataFrame:
         .when(F.col("fault") == "array", F.concat(F.lit("["), obj(segment, nation, balance), F.lit("]")))
         .when(F.col("fault") == "dropped_key", obj(segment, nation))
         .when(F.col("fault") == "reordered", obj(balance, segment, nation))
+        .when(F.col("fault") == "trailing", F.concat(obj(segment, nation, balance), F.lit(" trailing text")))
+        .when(F.col("fault") == "single_quotes", F.translate(obj(segment, nation, balance), '"', "'"))
+        .when(F.col("fault") == "two_objects", F.concat(obj(segment, nation, balance), obj(balance)))
         .otherwise(obj(segment, nation, balance))
     )
     return named.select("request_id", F.col("attempt").cast("int").alias("attempt"), response.alias("response"))
@@ -168,6 +172,9 @@ fields AS (SELECT *, '"Segment":"' || answer || '"' AS s, '"Nation":' || nation
 attempts AS (SELECT request_id, CAST(attempt AS INT) AS attempt, segment AS original, CASE fault WHEN 'no_answer' THEN NULL
   WHEN 'bad_json' THEN 'Sure: {{' || s || ',' || n || ',' || b || '}}' WHEN 'array' THEN '[{{' || s || ',' || n || ',' || b || '}}]'
   WHEN 'dropped_key' THEN '{{' || s || ',' || n || '}}' WHEN 'reordered' THEN '{{' || b || ',' || s || ',' || n || '}}'
+  WHEN 'trailing' THEN '{{' || s || ',' || n || ',' || b || '}} trailing text'
+  WHEN 'single_quotes' THEN translate('{{' || s || ',' || n || ',' || b || '}}', '"', chr(39))
+  WHEN 'two_objects' THEN '{{' || s || ',' || n || ',' || b || '}}{{' || b || '}}'
   ELSE '{{' || s || ',' || n || ',' || b || '}}' END AS response FROM fields)"""
 
 IS_OBJECT = "(coalesce(json_valid(response), false) AND coalesce(CASE WHEN json_valid(response) THEN json_type(response) END = 'OBJECT', false))"

@@ -17,11 +17,27 @@ def test_negated_age_blank_and_bad_are_old(spark):
     assert got == ["young", "old", "old", "old", "old", "young"]
 
 
-def test_detection_reads_the_whole_column_unless_asked_to_probe(spark):
+def test_detection_reads_the_whole_column(spark):
     rows = [(str(i),) for i in range(6)] + [("?",)]
     df = spark.createDataFrame(rows, "v STRING").coalesce(1)
     assert profile.detect_categorical(df, ["v"]).first()["categorical"] == 1
-    assert profile.detect_categorical(df, ["v"], probe_rows=5).first()["categorical"] == 0
+    suffixed = spark.createDataFrame([("1d",), ("2",)], "v STRING")
+    assert profile.detect_categorical(suffixed, ["v"]).first()["categorical"] == 1
+    assert [r["v"] for r in prepare.mean_impute(suffixed, ["v"]).collect()] == [2.0, 2.0]
+
+
+def test_null_stays_null_when_clipped(spark):
+    df = spark.createDataFrame([(None,), (-5,), (50,)], "v INT")
+    assert [r["v"] for r in prepare.clip_to_bounds(df, {"v": (0, 9)}).collect()] == [None, 0, 9]
+    assert [r[0] for r in df.select(prepare.scale_clip(F.col("v"), 1, 0, 9)).collect()] == [None, 0, 9]
+    assert [r["b"] for r in prepare.equal_width_bin(df, "v", 5, "b").collect()] == [None, 1, 5]
+    assert [r["v"] for r in prepare.out_of_bounds(df, {"v": (0, 9)}).collect()] == [-5, 50]
+
+
+def test_last_line_of_a_repeated_key_counts(spark):
+    df = spark.createDataFrame([("a: 1\n\n\nb : x:y\na:2",), (None,), ("",)], "t STRING")
+    got = [tuple(r) for r in df.select(*prepare.parse_key_values(F.col("t"), ["a", "b", "c"])).collect()]
+    assert got == [("2", "x:y", None), (None, None, None), (None, None, None)]
 
 
 def test_bounds_are_numeric_not_lexicographic(spark):

@@ -127,3 +127,10 @@ def test_fixed_and_l1(spark):
     df = spark.createDataFrame([([1.0, 2.0], [0.0, 4.0])], "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>")
     assert values(df.select(scalar.l1_mean(F.col("a"), F.col("b")))) == [1.5]
     assert values(df.select(scalar.fixed(F.lit(math.pi), 3))) == [3.142]
+
+
+def test_only_one_whole_json_object_is_ok(spark):
+    texts = ['{"a":1}', ' {"a":1} ', '{"a":1} trailing', "{'a':1}", '{"a":1}{"b":2}', '[{"a":1}]', "1", "", '{"a":1},{"b":2}', None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    got = [tuple(r) for r in rows.select(scalar.json_parse_status(F.col("t")), scalar.has_all_keys(F.col("t"), ["a"])).collect()]
+    assert got == [("ok", True)] * 2 + [("format_error", False)] * 7 + [("other_error", False)]
