@@ -63,10 +63,10 @@ def label_encoder(df: DataFrame, name: str, max_codes: int = 1_000_000) -> DataF
 
 
 def label_encode(df: DataFrame, name: str, encoder: DataFrame, out: str | None = None) -> DataFrame:
-    """Replace values by codes; a value the encoder does not know becomes NULL."""
+    """Replace values by codes (BIGINT); a value the encoder does not know becomes NULL."""
     side = broadcast_if_small(encoder.select(F.col("value").alias("_value"), F.col("code").alias("_code")))
     coded = df.join(side, q(name) == F.col("_value"), "left").drop("_value")
-    return coded.withColumn(out or name, F.col("_code").cast("int")).drop("_code")
+    return coded.withColumn(out or name, F.col("_code").cast("bigint")).drop("_code")
 
 
 def label_decode(df: DataFrame, name: str, encoder: DataFrame, out: str | None = None) -> DataFrame:

@@ -36,13 +36,15 @@ def category_lists(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def dense_codes(distinct: DataFrame, max_codes: int = 1_000_000) -> DataFrame:
-    """(value, code) by sorted value from a table of distinct values.
+    """(value, code BIGINT) by sorted value from a table of distinct values.
 
     A small set is ranked by one window. A larger one is range-sorted and checkpointed; the row
-    position inside its sorted range plus the sizes of the earlier ranges is the code.
+    position inside its sorted range plus the sizes of the earlier ranges is the code. Rows and types
+    are the same either way.
     """
     if is_small(distinct, max_codes):
-        return distinct.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("code"))
+        rank = F.row_number().over(Window.orderBy("value")).cast("bigint")
+        return distinct.select("value", (rank - 1).alias("code"))
     placed = cut_lineage(distinct.orderBy("value").withColumn("_id", F.monotonically_increasing_id()))
     placed = placed.select(
         "value", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")

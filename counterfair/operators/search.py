@@ -8,6 +8,7 @@ All choices come from md5 hashes of (seed, step), never from a task's random sta
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass
 
@@ -231,24 +232,41 @@ def _flip_view(frontier: DataFrame, model, space: SearchSpace) -> DataFrame:
     return judged.withColumn("n_value", value).drop("pv", "_partner")
 
 
+# Chance that a walker leaves a discriminatory position for one that is not: exp(-1), one unit of the objective.
+LEAVE = math.exp(-1)
+
+
+def _kept_position(done: DataFrame, names: list[str], parts: list[Column]) -> DataFrame:
+    """Walkers after a try: where ``flips`` was lost, most stay at ``_was_…``; else all move on."""
+    keep = F.col("flips") | ~F.col("_was_flips") | (hash_unit(F.lit("accept"), *parts) < LEAVE)
+    judged = picks.pinned(done, {"_keep": keep})
+    back = {n: F.when(F.col("_keep"), q(n)).otherwise(q(f"_was_{n}")) for n in [*names, "flips"]}
+    return judged.withColumns(back).drop("_keep", "_was_flips", *[f"_was_{n}" for n in names])
+
+
 def _flip_walk(starts: DataFrame, model, space: SearchSpace, max_rounds: int, gradients) -> DataFrame:
-    """Local walk of the single-attribute searches: positions tried with their ``flips`` flag."""
-    walkers, tried = starts, []
+    """Local walk of the single-attribute searches: positions tried with their ``flips`` flag.
+
+    A walker starts at a find. It gives up a position that flips for one that does not with probability
+    exp(-1) only; every other try is accepted.
+    """
+    walkers, tried = starts.withColumn("flips", F.lit(True)), []
     for step in range(max_rounds):
         parts = [F.lit(space.salt), F.col("seed_id"), F.lit("local"), F.lit(step)]
         probs = inverse_gradient_prob(F.col("grad"), F.col("grad_twin"), space.movable())
         sign = F.when(hash_int(F.lit("sign"), *parts) % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
         chosen = _drawn_feature(gradients(walkers), probs, parts)
-        stepped = chosen.withColumns(
+        before = {f"_was_{n}": q(n) for n in [*space.features, "flips"]}
+        stepped = chosen.withColumns(before).withColumns(
             {
                 f: space.clip(f, q(f) + F.when(F.col("_at") == i, sign).otherwise(F.lit(0)))
                 for i, f in enumerate(space.features)
             }
-        ).select("seed_id", "n_value", *[q(f) for f in space.features])
-        judged = _flip_view(stepped.withColumnRenamed("n_value", "_n"), model, space)
+        ).select("seed_id", F.col("n_value").alias("_n"), *[q(f) for f in [*space.features, *before]])
+        judged = _flip_view(stepped, model, space)
         done = cut_lineage(judged.drop("n_value").withColumnRenamed("_n", "n_value"))
         tried.append(done.select("seed_id", F.lit(step).alias("step"), *[q(f) for f in space.features], "flips"))
-        walkers = done.select("seed_id", "n_value", *[q(f) for f in space.features])
+        walkers = _kept_position(done, space.features, parts)
     return union_tables(*tried)
 
 
@@ -258,24 +276,27 @@ def guided_search(
     """Frame of the single-attribute searches: a seed stops at its first new find.
 
     ``gradients(df)`` adds grad and grad_twin; ``next_move(df, parts)`` adds the array column _move.
-    Found keys collapse to the smallest seed per round and are anti-joined against earlier finds.
+    Found keys collapse to the smallest seed per round and are anti-joined against earlier finds. Each
+    round writes its own finds only.
     """
     state_columns = [c for c in seeds.columns if c not in ("seed_id", *space.features)]
     state = seeds.withColumn("seed_id", F.col("seed_id").cast("bigint"))
-    found, tried = None, []
+    founds, tried = [], []
     for step in range(max_iter + 1):
         seen = cut_lineage(_flip_view(state, model, space))
         tried.append(seen.select("seed_id", F.lit(step).alias("step"), *[q(f) for f in space.features], "flips"))
         hits = seen.filter("flips").select("seed_id", F.lit(step).alias("step"), *[q(f) for f in space.features], "n_value")
-        fresh = not_seen(hits, space.key(), ["seed_id"], *([found] if found is not None else []))
-        found = cut_lineage(fresh if found is None else found.unionByName(fresh))
+        earlier = [union_tables(*founds)] if founds else []
+        fresh = cut_lineage(not_seen(hits, space.key(), ["seed_id"], *earlier))
+        founds.append(fresh)
         if step == max_iter:
             break
-        # A seed is in the found table at most once, so this anti join is one row per seed on both sides.
-        alive = seen.join(found.select("seed_id"), "seed_id", "left_anti")
+        # Seeds of earlier finds have left already; of this round's, each is in ``fresh`` at most once.
+        alive = seen.join(fresh.select("seed_id"), "seed_id", "left_anti")
         parts = _hash_parts(space, "seed_id") + [F.lit(step)]
         stepped = next_move(gradients(alive), parts)
         state = _apply_move(stepped, space, "_move").select("seed_id", *[q(f) for f in space.features], *state_columns)
+    found = union_tables(*founds)
     result = _single_found(found, space, "global")
     visited = distinct_tries(union_tables(*tried), space, "global")
     if local_rounds:
@@ -387,14 +408,19 @@ class WalkWeights:
         self.feature = [f / total for f in self.feature] if total > 0 else [1.0 / len(self.feature)] * len(self.feature)
 
 
+def _walk_parts(space: SearchSpace, step: int) -> list[Column]:
+    return [F.lit(space.salt), F.col("seed_id"), F.lit("walk"), F.lit(step)]
+
+
 def random_step(walkers: DataFrame, model, space: SearchSpace, weights: WalkWeights, step: int) -> DataFrame:
-    """One round of the adaptive walk: (seed_id, features, at, direction, flips)."""
-    parts = [F.lit(space.salt), F.col("seed_id"), F.lit("walk"), F.lit(step)]
+    """One round of the adaptive walk: (seed_id, features, at, direction, flips), before as ``_was_…``."""
+    parts = _walk_parts(space, step)
     probs = F.array(*[F.lit(w) for w in weights.feature])
     down = F.array(*[F.lit(w) for w in weights.down])
     lows = F.array(*[F.lit(space.bounds[f][0]) for f in space.features])
     highs = F.array(*[F.lit(space.bounds[f][1]) for f in space.features])
-    chosen = picks.pinned(walkers, {"at": weighted_choice(probs, hash_unit(F.lit("feature"), *parts))})
+    before = {f"_was_{n}": q(n) for n in [*space.features, "flips"]}
+    chosen = picks.pinned(walkers.withColumns(before), {"at": weighted_choice(probs, hash_unit(F.lit("feature"), *parts))})
     slot = F.col("at") + 1
     value = F.element_at(F.array(*[q(f).cast("int") for f in space.features]), slot)
     edge = (value == F.element_at(lows, slot)) | (value == F.element_at(highs, slot))
@@ -423,14 +449,14 @@ def random_search(
     result = _single_found(found, space, "global")
     if local_rounds:
         weights = WalkWeights.uniform(len(space.features))
-        walkers, walked = found.select("seed_id", *[q(f) for f in space.features]), []
+        walkers, walked = found.select("seed_id", *[q(f) for f in space.features], F.lit(True).alias("flips")), []
         for step in range(local_rounds):
             done = cut_lineage(random_step(walkers, model, space, weights, step))
             good = F.col("flips").cast("int")
             counts = done.groupBy("at", "direction").agg(F.sum(good).alias("g"), F.sum(1 - good).alias("b"))
             weights.update([(r["at"], r["direction"], r["g"], r["b"]) for r in counts.orderBy("at", "direction").collect()])
             walked.append(done.withColumn("step", F.lit(step)).select("seed_id", "step", *[q(f) for f in space.features], "flips"))
-            walkers = done.select("seed_id", *[q(f) for f in space.features])
+            walkers = _kept_position(done, space.features, _walk_parts(space, step)).drop("at", "direction")
         steps = union_tables(*walked)
         fresh = not_seen(steps.filter("flips"), space.key(), ["step", "seed_id"], found)
         result = result.unionByName(_single_found(fresh, space, "local"))

@@ -105,29 +105,27 @@ def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = placed.join(per_customer, "c_custkey", "left")
     rows = joined.select(
         F.col("c_custkey").alias("row_id"),
-        "seg",
+        F.col("seg").cast("int").alias("seg"),
         F.col("n_regionkey").cast("int").alias("reg"),
         "bal",
-        F.least(F.coalesce("_n", F.lit(0)), F.lit(20)).cast("int").alias("n_ord"),
+        F.coalesce("_n", F.lit(0)).cast("int").alias("n_ord"),
         F.coalesce((F.col("_avg") > overall).cast("int"), F.lit(0)).alias("label"),
     )
     return by_row(rows, "row_id", customer.count())
 
 
-ROWS_PER_PARTITION = 10_000
+ROWS_PER_PARTITION = 500_000
 
 
 def by_row(df: DataFrame, key: str, count: int) -> DataFrame:
     """Partition by row id once, for everything that follows.
 
-    Expansion and scoring keep this partitioning, so per-row aggregates need no further shuffle. Where
-    a join has already hashed the rows this way Spark drops the exchange; where a small side was
-    broadcast, it spreads a few large input splits over all cores before the costly scoring. ``count``
-    (from the file footers) keeps a small table from being cut into mostly empty partitions.
+    Expansion and scoring keep this partitioning, so per-row aggregates need no further shuffle; it also
+    spreads a few large input splits over all cores before the costly scoring. The number of partitions
+    grows with ``count`` (from the file footers): few bytes a row, but much work, so bytes would tell too little.
     """
-    session = df.sparkSession
-    wanted = max(session.sparkContext.defaultParallelism, count // ROWS_PER_PARTITION)
-    return df.repartition(min(int(session.conf.get("spark.sql.shuffle.partitions")), wanted), key)
+    wanted = -(-count // ROWS_PER_PARTITION)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, wanted), key)
 
 
 _BOUNDS: dict[str, dict[str, tuple[int, int]]] = {}
@@ -171,7 +169,7 @@ APPLICANTS_SQL = """applicants AS (
     CAST(n.n_regionkey AS INT) AS reg,
     CAST(CASE WHEN s.mx = s.mn THEN 1
          ELSE least(greatest(ceil((c.c_acctbal - s.mn) / ((s.mx - s.mn) / 10e0)), 1), 10) END AS INT) AS bal,
-    CAST(least(coalesce(o.n, 0), 20) AS INT) AS n_ord,
+    CAST(coalesce(o.n, 0) AS INT) AS n_ord,
     CAST(coalesce(o.m > (SELECT avg(o_totalprice) FROM orders), false) AS INT) AS label
   FROM customer c
   JOIN nation n ON c.c_nationkey = n.n_nationkey

@@ -119,23 +119,26 @@ def _(spark, sf):
     return vectors.select("vec_id", fixed(scalar.l1_mean(F.col("v"), F.reverse("v")), 9).alias("d"))
 
 
-# Gradient pairs for the move functions, taken from the embedding signs so that zeros occur.
+# Gradient pairs for the move functions: the two halves of an embedding, rounded so that zeros occur.
 def _gradients(spark, sf):
     def coarse(v):
-        return F.round(v.cast("double") * 10, 0) / 10
+        return F.round(v.cast("double") * 100, 0) / 100
 
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    place = F.sequence(F.lit(0), half - 1)
     return table(spark, sf, "embeddings").select(
         "vec_id",
-        F.transform(F.slice("embedding", 1, 6), coarse).alias("g"),
-        F.transform(F.slice("embedding", 7, 6), coarse).alias("h"),
-        F.array(*[F.lit(x) for x in (0.0, 1.0, 1.0, 0.0, 1.0, 1.0)]).alias("movable"),
+        F.transform(F.slice("embedding", F.lit(1), half), coarse).alias("g"),
+        F.transform(F.slice("embedding", half + 1, half), coarse).alias("h"),
+        F.transform(place, lambda i: (i % 3 > 0).cast("double")).alias("movable"),
     )
 
 
-GRADIENTS_SQL = """grads AS (SELECT vec_id, unnest(range(0, 6)) AS pos,
-    unnest([round(CAST(x AS DOUBLE) * 10) / 10 + 0e0 for x in embedding[1:6]]) AS g,
-    unnest([round(CAST(x AS DOUBLE) * 10) / 10 + 0e0 for x in embedding[7:12]]) AS h,
-    unnest([0, 1, 1, 0, 1, 1]) AS movable FROM embeddings)"""
+GRADIENTS_SQL = """grads AS (SELECT vec_id, unnest(range(0, half)) AS pos,
+    unnest([round(CAST(x AS DOUBLE) * 100) / 100 + 0e0 for x in embedding[1:half]]) AS g,
+    unnest([round(CAST(x AS DOUBLE) * 100) / 100 + 0e0 for x in embedding[half + 1:2 * half]]) AS h,
+    unnest([CAST(i % 3 > 0 AS INT) for i in range(0, half)]) AS movable
+  FROM (SELECT *, len(embedding) // 2 AS half FROM embeddings))"""
 
 
 @query(
@@ -154,8 +157,8 @@ def _(spark, sf):
 PROBS_SQL = f"""{GRADIENTS_SQL},
 w AS (SELECT *, CASE WHEN movable = 0 THEN 0e0 WHEN abs(g) + abs(h) = 0 THEN 'inf'::DOUBLE
     ELSE 1e0 / (abs(g) + abs(h)) END AS weight FROM grads),
-t AS (SELECT *, sum(weight) OVER (PARTITION BY vec_id) AS total FROM w),
-probs AS (SELECT vec_id, pos, CASE WHEN isinf(total) THEN movable / 4e0 ELSE weight / total END AS prob FROM t)"""
+t AS (SELECT *, sum(weight) OVER (PARTITION BY vec_id) AS total, sum(movable) OVER (PARTITION BY vec_id) AS free FROM w),
+probs AS (SELECT vec_id, pos, CASE WHEN isinf(total) THEN CAST(movable AS DOUBLE) / free ELSE weight / total END AS prob FROM t)"""
 
 
 @query(

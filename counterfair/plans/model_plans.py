@@ -9,6 +9,7 @@ from counterfair.operators import debug, metrics, picks, score, train
 from counterfair.operators.expand import expand_protected, flip_protected
 from counterfair.operators.joins import attach_by_key
 from counterfair.plans.base import (
+    APPLICANTS_SQL,
     EPS,
     FEATURES,
     LOGISTIC,
@@ -260,14 +261,13 @@ def _(spark, sf):
 
 @query(
     "j6_group_max_distance",
-    f"""WITH lead AS (SELECT vec_id, label, CAST(embedding[1:8] AS DOUBLE[]) AS v FROM embeddings)
-      SELECT a.label, {rounded('max(list_sum([abs(a.v[i] - b.v[i]) for i in range(1, 9)]) / 8)', DIGITS)} AS distance
-      FROM lead a JOIN lead b ON a.label = b.label AND a.vec_id <= b.vec_id GROUP BY a.label""",
+    f"""WITH {APPLICANTS_SQL}
+      SELECT a.label, {rounded(f"max({' + '.join(f'abs(a.{f} - b.{f})' for f in FEATURES)}) / {len(FEATURES)}e0", DIGITS)} AS distance
+      FROM applicants a JOIN applicants b ON a.label = b.label AND a.row_id <= b.row_id GROUP BY a.label""",
 )
 def _(spark, sf):
-    vectors = table(spark, sf, "embeddings")
-    dims = [F.col("embedding")[i] for i in range(8)]
-    return debug.group_max_distance(vectors, "label", dims).withColumn("distance", fixed(F.col("distance"), DIGITS))
+    dims = [F.col(f) for f in FEATURES]
+    return debug.group_max_distance(applicants(spark, sf), "label", dims).withColumn("distance", fixed(F.col("distance"), DIGITS))
 
 
 @query(

@@ -84,8 +84,8 @@ def _(spark, sf):
 
 @query(
     "p6_label_encode",
-    """SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INT) AS brand_code,
-      CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INT) AS type_code FROM part""",
+    """SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS brand_code,
+      dense_rank() OVER (ORDER BY p_type) - 1 AS type_code FROM part""",
 )
 def _(spark, sf):
     part = table(spark, sf, "part")
@@ -289,14 +289,12 @@ def _(spark, sf):
     """SELECT a.o_custkey, a.o_orderpriority, a.o_orderkey AS "o_orderkey.x", b.o_orderkey AS "o_orderkey.y",
       a.o_totalprice AS "o_totalprice.x", b.o_totalprice AS "o_totalprice.y"
       FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority
-      WHERE a.o_orderstatus = 'F' AND b.o_orderstatus = 'O'""",
+      WHERE a.o_orderkey % 2 = 1 AND b.o_orderkey % 2 = 0""",
 )
 def _(spark, sf):
-    orders = table(spark, sf, "orders").select(
-        "o_custkey", "o_orderpriority", "o_orderkey", "o_totalprice", "o_orderstatus"
-    )
-    first = orders.filter(F.col("o_orderstatus") == "F").drop("o_orderstatus")
-    second = orders.filter(F.col("o_orderstatus") == "O").drop("o_orderstatus")
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderpriority", "o_orderkey", "o_totalprice")
+    first = orders.filter(F.col("o_orderkey") % 2 == 1)
+    second = orders.filter(F.col("o_orderkey") % 2 == 0)
     return joins.merge_on_keys(first, second, ["o_custkey", "o_orderpriority"])
 
 
@@ -347,12 +345,12 @@ def _(spark, sf):
 @query(
     "u1_union_tables",
     f"{WITH} SELECT row_id, seg, reg, bal, n_ord, 'local' AS phase FROM applicants WHERE label = 1"
-    " UNION ALL SELECT row_id, seg, reg, bal, n_ord, 'global' FROM applicants WHERE bal > 5",
+    " UNION ALL SELECT row_id, seg, reg, bal, n_ord, 'global' FROM applicants WHERE label = 0",
 )
 def _(spark, sf):
     rows = applicants(spark, sf)
     local = rows.filter(F.col("label") == 1).select("row_id", *FEATURES, F.lit("local").alias("phase"))
-    wide = rows.filter(F.col("bal") > 5).select(F.lit("global").alias("phase"), *reversed(FEATURES), "row_id")
+    wide = rows.filter(F.col("label") == 0).select(F.lit("global").alias("phase"), *reversed(FEATURES), "row_id")
     return prepare.union_tables(local, wide)
 
 
@@ -385,9 +383,9 @@ def raw_customers(spark, sf):
 @query(
     "raw_table_recipe",
     f"""WITH {RAW_SQL}, n AS (SELECT *, try_cast(nullif(number, '') AS DOUBLE) AS v FROM raw)
-      SELECT CAST(CAST(age AS INT) < 40 AS INT) AS age, CAST(dense_rank() OVER (ORDER BY segment) - 1 AS INT) AS segment,
+      SELECT CAST(CAST(age AS INT) < 40 AS INT) AS age, dense_rank() OVER (ORDER BY segment) - 1 AS segment,
         floor(coalesce(v, (SELECT avg(v) FROM n)) * 1e4 + 0.5e0) / 1e4 AS number,
-        CAST(dense_rank() OVER (ORDER BY income) - 1 AS INT) AS income FROM n""",
+        dense_rank() OVER (ORDER BY income) - 1 AS income FROM n""",
 )
 def _(spark, sf):
     ready = recipes.prepare_raw(raw_customers(spark, sf), age="plain")

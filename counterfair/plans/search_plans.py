@@ -37,6 +37,7 @@ from counterfair.plans.model_plans import (
 )
 
 MAX_ITER = 10
+GUIDED_MOVES = 40
 LOCAL_ROUNDS = 4
 
 
@@ -316,6 +317,24 @@ f{n} AS (SELECT * EXCLUDE (other, own_p, p, flip, diff), coalesce(min(other) FIL
     coalesce(bool_or(flip), false) AS flips FROM fd{n} GROUP BY ALL)"""
 
 
+def _befores(names: list[str]) -> str:
+    return ", ".join(f"{f} AS b_{f}" for f in names)
+
+
+def _olds(names: list[str]) -> str:
+    return ", ".join(f"x.b_{f}" for f in names)
+
+
+def _accept(at: tuple[str, ...]) -> str:
+    """Whether a walker takes the position tried: a flip is given up with probability exp(-1) only."""
+    return f"(flips OR NOT was OR {_unit('accept', *at)} < {double(search.LEAVE)})"
+
+
+def _kept(names: list[str]) -> str:
+    back = ", ".join(f"CASE WHEN keep THEN {f} ELSE b_{f} END AS {f}" for f in names)
+    return f"{back}, CASE WHEN keep THEN flips ELSE was END AS was"
+
+
 def _flip_walk_sql(model, rounds: int) -> str:
     ctes = []
     for n in range(rounds):
@@ -323,10 +342,11 @@ def _flip_walk_sql(model, rounds: int) -> str:
         ctes.append(f"""
 wg{n} AS (SELECT *, {_gradients(model, KEY, reg='n_value')} FROM ww{n}),
 wc{n} AS (SELECT *, {_drawn(KEY, at)} AS pick, {_sign(at)} AS sgn FROM wg{n}),
-wm{n} AS (SELECT seed_id, n_value AS old_n, reg, {', '.join(_clip(f, f"{f} + CASE WHEN pick = '{f}' THEN sgn ELSE 0 END") + f' AS {f}' for f in KEY)}
+wm{n} AS (SELECT seed_id, n_value AS old_n, reg, was, {_befores(KEY)},
+    {', '.join(_clip(f, f"{f} + CASE WHEN pick = '{f}' THEN sgn ELSE 0 END") + f' AS {f}' for f in KEY)}
   FROM wc{n}, limits),
-{_flip_sql(model, f'w{n}', f'wm{n}', 'x.seed_id, x.old_n')},
-ww{n + 1} AS (SELECT seed_id, old_n AS n_value, seg, reg, bal, n_ord FROM fw{n})""")
+{_flip_sql(model, f'w{n}', f'wm{n}', f'x.seed_id, x.old_n, x.was, {_olds(KEY)}')},
+ww{n + 1} AS (SELECT seed_id, old_n AS n_value, reg, {_kept(KEY)} FROM (SELECT *, {_accept(at)} AS keep FROM fw{n}))""")
     tried = " UNION ALL ".join(f"SELECT seed_id, {n} AS step, seg, bal, n_ord, flips FROM fw{n}" for n in range(rounds))
     return ", ".join(ctes) + f", walked AS ({tried})"
 
@@ -372,7 +392,7 @@ al{n} AS (SELECT a.*, {_gradients(model, KEY, reg='n_value')} FROM fa{n} a WHERE
 am{n} AS (SELECT *, {moves} FROM al{n}),
 as{n + 1} AS (SELECT seed_id, reg, {shifted} FROM am{n} CROSS JOIN limits)""")
     tried = " UNION ALL ".join(f"SELECT seed_id, step, seg, bal, n_ord, flips FROM fa{n}" for n in range(rounds + 1))
-    local = f"""ww0 AS (SELECT seed_id, n_value, seg, reg, bal, n_ord FROM found{rounds}), {_flip_walk_sql(model, local_rounds)},"""
+    local = f"""ww0 AS (SELECT seed_id, n_value, seg, reg, bal, n_ord, true AS was FROM found{rounds}), {_flip_walk_sql(model, local_rounds)},"""
     first = "row_number() OVER (PARTITION BY seg, bal, n_ord ORDER BY NOT flips, step, seed_id) = 1"
     return f"""{HEAD_SQL}{model.ctes}, {', '.join(ctes)}, {local}
 tried AS ({tried}),
@@ -420,7 +440,7 @@ def _walk_sql(model, rounds: int) -> str:
     n_features = len(FEATURES)
     ctes = [
         f"""fresh_found AS (SELECT * FROM fq WHERE flips QUALIFY row_number() OVER (PARTITION BY seg, bal, n_ord ORDER BY seed_id) = 1),
-wa0 AS (SELECT seed_id, seg, reg, bal, n_ord FROM fresh_found),
+wa0 AS (SELECT seed_id, seg, reg, bal, n_ord, true AS was FROM fresh_found),
 pw0 AS (SELECT [{', '.join([double(1.0 / n_features)] * n_features)}] AS fp, [{', '.join(['0.5e0'] * n_features)}] AS dp)"""
     ]
     for n in range(rounds):
@@ -444,9 +464,9 @@ wb{n} AS (SELECT *, {_unit('feature', *at)} AS u FROM wa{n}, pw{n}),
 wd{n} AS (SELECT *, CASE {cases} ELSE -1 END AS pick FROM wb{n}),
 we{n} AS (SELECT *, CASE WHEN {_unit('direction', *at)} < CASE WHEN {edge} THEN 0.5e0 ELSE dp[pick + 1] END THEN -1 ELSE 1 END AS direction
   FROM wd{n}, limits),
-wf{n} AS (SELECT seed_id, pick, direction, {', '.join(_clip(f, f'{f} + CASE WHEN pick = {i} THEN direction ELSE 0 END') + f' AS {f}' for i, f in enumerate(FEATURES))} FROM we{n}),
-{_flip_sql(model, f'z{n}', f'wf{n}', 'x.seed_id, x.pick, x.direction')},
-wa{n + 1} AS (SELECT seed_id, seg, reg, bal, n_ord FROM fz{n}),
+wf{n} AS (SELECT seed_id, pick, direction, was, {_befores(FEATURES)}, {', '.join(_clip(f, f'{f} + CASE WHEN pick = {i} THEN direction ELSE 0 END') + f' AS {f}' for i, f in enumerate(FEATURES))} FROM we{n}),
+{_flip_sql(model, f'z{n}', f'wf{n}', f'x.seed_id, x.pick, x.direction, x.was, {_olds(FEATURES)}')},
+wa{n + 1} AS (SELECT seed_id, {_kept(FEATURES)} FROM (SELECT *, {_accept(at)} AS keep FROM fz{n})),
 pu{n} AS (SELECT [{', '.join(up)}] AS fp, [{', '.join(down)}] AS dp FROM pw{n}),
 pw{n + 1} AS (SELECT [v / list_sum(fp) for v in fp] AS fp, dp FROM pu{n})""")
     walked = " UNION ALL ".join(f"SELECT seed_id, {n} AS step, seg, bal, n_ord, flips FROM fz{n}" for n in range(rounds))
@@ -466,11 +486,11 @@ def _(spark, sf):
     return search.random_search(spark, formula_mlp(), space(spark, sf, ["reg"]), samples, LOCAL_ROUNDS)
 
 
-@query("g5_neuron_guided_search", f"WITH {_guided_sql(PAIR, MAX_ITER, LOCAL_ROUNDS)} SELECT * FROM searched")
+@query("g5_neuron_guided_search", f"WITH {_guided_sql(PAIR, GUIDED_MOVES, LOCAL_ROUNDS)} SELECT * FROM searched")
 def _(spark, sf):
     mask = mask_values(spark, sf)
     where = space(spark, sf, ["reg"])
-    return search.neuron_guided_search(seeds(spark, sf), formula_mlp(), where, MASK_LAYER, mask, MAX_ITER, LOCAL_ROUNDS)
+    return search.neuron_guided_search(seeds(spark, sf), formula_mlp(), where, MASK_LAYER, mask, GUIDED_MOVES, LOCAL_ROUNDS)
 
 
 @query(

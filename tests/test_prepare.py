@@ -47,8 +47,9 @@ def test_bounds_are_numeric_not_lexicographic(spark):
 
 def test_codes_by_ranges_equal_codes_by_window(spark):
     df = spark.createDataFrame([(f"v{i * 37 % 101:03d}",) for i in range(300)], "v STRING")
-    small = {tuple(r) for r in prepare.label_encoder(df, "v").collect()}
-    large = {tuple(r) for r in prepare.label_encoder(df, "v", max_codes=5).collect()}
+    by_window, by_range = prepare.label_encoder(df, "v"), prepare.label_encoder(df, "v", max_codes=5)
+    assert by_window.dtypes == by_range.dtypes == [("value", "string"), ("code", "bigint")]
+    small, large = ({tuple(r) for r in e.collect()} for e in (by_window, by_range))
     assert small == large and sorted(c for _, c in small) == list(range(101))
 
 
