@@ -18,7 +18,8 @@ from counterfair.functions.scalar import (
     too_similar,
 )
 from counterfair.operators.joins import pair_by_position
-from counterfair.session import broadcast_if_small
+from counterfair.operators.prepare import union_tables
+from counterfair.session import broadcast_if_small, cut_lineage
 
 ATTEMPT_SCHEMA = "request_id BIGINT, attempt INT, response STRING"
 
@@ -51,8 +52,62 @@ def request_messages(requests: DataFrame, doc: str = "requests") -> DataFrame:
 def generate_counterfactuals(
     requests: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 ) -> DataFrame:
-    """Attempts table from the caller's generator, which sees batches of (request_id, system, content)."""
-    return requests.select("request_id", "system", "content").mapInPandas(fn, ATTEMPT_SCHEMA)
+    """Attempts table from the caller's generator, which sees batches of (request_id, system, content).
+
+    Where ``requests`` has a column ``attempt``, the generator sees that too.
+    """
+    seen = [c for c in ("request_id", "system", "content", "attempt") if c in requests.columns]
+    return requests.select(*seen).mapInPandas(fn, ATTEMPT_SCHEMA)
+
+
+def generate_until_valid(
+    requests: DataFrame,
+    originals: DataFrame,
+    fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
+    encoder: DataFrame,
+    columns: list[str],
+    categorical: list[str],
+    protected: list[str],
+    max_retries: int = 5,
+    max_errors: int = 10,
+) -> DataFrame:
+    """All attempts with their status: round n asks again only for requests still without a valid answer.
+
+    (request_id, attempt, status, encoded) as ``validate_responses`` gives it; the number of the round is
+    the attempt, whatever the generator says. Answers are written once per round, because a generator may
+    answer differently when asked again; a request it leaves out is open in the next round too.
+    """
+    waiting, rounds = requests, []
+    for attempt in range(1, max_retries + 1):
+        asked = waiting.withColumn("attempt", F.lit(attempt))
+        answers = cut_lineage(generate_counterfactuals(asked, fn)).withColumn("attempt", F.lit(attempt))
+        judged = validate_responses(
+            answers, originals, encoder, columns, categorical, protected, max_retries, max_errors
+        )
+        rounds.append(cut_lineage(judged))
+        done = rounds[-1].filter(F.col("status") == "ok").select("request_id")
+        waiting = waiting.join(done, "request_id", "left_anti")
+        if attempt < max_retries and waiting.isEmpty():
+            break
+    return union_tables(*rounds)
+
+
+def answer_variants(originals: DataFrame, validated: DataFrame, row_id: str, features: list[str]) -> DataFrame:
+    """(row_id, variant_id, features…): each row as variant 0, its first valid answer as variant 1.
+
+    The shape of ``expand_protected``, so scores and partition metrics apply. ``originals`` is encoded;
+    the answers' ``encoded`` follows ``features``. A row without a valid answer has variant 0 only.
+    """
+    answered = first_valid(validated).filter(F.col("encoded").isNotNull())
+    own = originals.select(
+        q(row_id).alias("row_id"), F.lit(0).alias("variant_id"), *[q(f).cast("double").alias(f) for f in features]
+    )
+    other = answered.select(
+        F.col("request_id").alias("row_id"),
+        F.lit(1).alias("variant_id"),
+        *[F.col("encoded")[i].alias(f) for i, f in enumerate(features)],
+    )
+    return union_tables(own, other)
 
 
 def closest_values(values: DataFrame, encoders: DataFrame, max_errors: int = 10) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pandas as pd
@@ -9,11 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterfair.functions import scalar
+from counterfair.functions.models import LogisticModel
 from counterfair.functions.scalar import hash_int
 from counterfair.operators import counterfactual as cf
 from counterfair.operators import logs, profile
-from counterfair.operators.prepare import label_encoder
-from counterfair.plans.base import digest_sql, query, table
+from counterfair.operators.metrics import add_bin
+from counterfair.operators.prepare import label_encode, label_encoder
+from counterfair.operators.score import score_logistic
+from counterfair.plans.base import EPS, bin_sql, digest_sql, double, query, rounded, table
 
 COLUMNS = ["Segment", "Nation", "Balance"]
 CATEGORICAL = ["Segment"]
@@ -282,6 +286,81 @@ def _(spark, sf):
     return cf.generate_counterfactuals(requests, next_segment)
 
 
+def faulty_segment(batches):
+    """A generator with the hashed faults of ``attempts``: some answers are right only when asked again."""
+    for batch in batches:
+        answers = []
+        for number, content, attempt in zip(batch["request_id"], batch["content"], batch["attempt"]):
+            row = json.loads(content)
+            digest = hashlib.md5(f"fault|{number}|{attempt}".encode()).hexdigest()
+            fault = FAULTS[int(digest[:8], 16) % len(FAULTS)]
+            new = SEGMENTS[(SEGMENTS.index(row["Segment"]) + 1) % len(SEGMENTS)]
+            wrong = {"unchanged": row["Segment"], "typo": new[0] + new[2:], "no_match": NO_MATCH}
+            fields = {"Segment": wrong.get(fault, new), "Nation": row["Nation"], "Balance": row["Balance"]}
+            if fault == "dropped_key":
+                del fields["Balance"]
+            good = json.dumps(fields)
+            forms = {
+                "no_answer": None,
+                "bad_json": f"Sure: {good}",
+                "array": f"[{good}]",
+                "trailing": f"{good} trailing text",
+                "single_quotes": good.replace('"', "'"),
+                "two_objects": f"{good}{good}",
+            }
+            answers.append(forms.get(fault, good))
+        yield pd.DataFrame({"request_id": batch["request_id"], "attempt": 1, "response": answers})
+
+
+def _until_valid(spark, sf) -> DataFrame:
+    rows = originals(spark, sf)
+    encoder = label_encoder(table(spark, sf, "customer"), "c_mktsegment")
+    named = encoder.select(F.lit("Segment").alias("col"), "value", "code")
+    requests = cf.build_requests(rows, "request_id", COLUMNS, SENSITIVE)
+    return cf.generate_until_valid(requests, rows, faulty_segment, named, COLUMNS, CATEGORICAL, SENSITIVE, MAX_RETRIES)
+
+
+UNTIL_SQL = f"""{VALIDATED_SQL},
+until_valid AS (SELECT v.* FROM validated v LEFT JOIN (SELECT request_id, min(attempt) AS tries FROM validated
+    WHERE status = 'ok' GROUP BY request_id) f USING (request_id) WHERE v.attempt <= coalesce(f.tries, {MAX_RETRIES}))"""
+
+
+@query("g9_generate_until_valid", f"WITH {UNTIL_SQL} SELECT request_id, attempt, status, encoded FROM until_valid")
+def _(spark, sf):
+    return _until_valid(spark, sf).withColumn("encoded", _text(F.col("encoded")))
+
+
+ANSWER_MODEL = LogisticModel(tuple(COLUMNS), (0.35, -0.04, 0.0002), -0.5)
+ANSWER_P_SQL = rounded(
+    f"1e0 / (1e0 + exp(-({double(ANSWER_MODEL.bias)} + "
+    + " + ".join(f"CAST(split_part(enc, ',', {i + 1}) AS DOUBLE) * {double(w)}" for i, w in enumerate(ANSWER_MODEL.weights))
+    + ")))",
+    9,
+)
+
+
+@query(
+    "g9_answer_variants",
+    f"""WITH {UNTIL_SQL},
+both_variants AS (SELECT o.request_id AS row_id, 0 AS variant_id, c.code || ',' || o.nation || ',' || o.balance AS enc
+    FROM originals o JOIN choices c ON c.choice = o.segment
+  UNION ALL SELECT request_id, 1, encoded FROM until_valid WHERE status = 'ok'),
+scored AS (SELECT *, {ANSWER_P_SQL} AS p FROM both_variants), binned AS (SELECT *, {bin_sql()} AS bin FROM scored)
+SELECT row_id, CAST(count(*) AS INT) AS n_variants, CAST(count(DISTINCT bin) AS INT) AS k,
+  CAST(max(bin) - min(bin) AS INT) AS spread FROM binned GROUP BY row_id""",
+)
+def _(spark, sf):
+    rows = originals(spark, sf)
+    encoded = label_encode(rows, "Segment", label_encoder(table(spark, sf, "customer"), "c_mktsegment"))
+    variants = cf.answer_variants(encoded, _until_valid(spark, sf), "request_id", COLUMNS)
+    binned = add_bin(score_logistic(variants, ANSWER_MODEL), EPS)
+    return binned.groupBy("row_id").agg(
+        F.count(F.lit(1)).cast("int").alias("n_variants"),
+        F.count_distinct("bin").cast("int").alias("k"),
+        (F.max("bin") - F.min("bin")).alias("spread"),
+    )
+
+
 @query(
     "g10_flatten_pairs",
     f"""WITH {ATTEMPTS_SQL}, firsts AS (SELECT a.request_id, o.segment, o.nation, o.balance, a.response
