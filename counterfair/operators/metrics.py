@@ -128,22 +128,22 @@ def top_k_frequencies(metrics: DataFrame, ranks: int = 3) -> DataFrame:
 def search_report(found: DataFrame, by: list[str]) -> DataFrame:
     """Search quality per trial from found rows with init_k, k, elapsed, disc and both entropies."""
     hit = F.col("disc") == 1
-    totals = found.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_found"),
-        fixed(F.avg("init_k"), 6).alias("k_init"),
-        fixed(F.avg("k"), 6).alias("k_final"),
-        fixed(F.avg("elapsed"), 6).alias("t_final"),
-        fixed(F.avg(F.when(hit, F.col("min_entropy"))), 6).alias("q_inf"),
-        fixed(F.avg(F.when(hit, F.col("sh_entropy"))), 6).alias("q_1"),
-    )
-    # K never exceeds the number of bins, so the ranking below sees a few rows per trial.
-    per_k = found.groupBy(*by, "k").agg(F.count(F.lit(1)).alias("n"))
+    means = {
+        "k_init": F.col("init_k"),
+        "k_final": F.col("k"),
+        "t_final": F.col("elapsed"),
+        "q_inf": F.when(hit, F.col("min_entropy")),
+        "q_1": F.when(hit, F.col("sh_entropy")),
+    }
+    parts = [p for n, c in means.items() for p in (F.sum(c).alias(f"_s_{n}"), F.count(c).alias(f"_c_{n}"))]
+    # One pass over the finds. K never exceeds the number of bins, so what follows sees a few rows per trial.
+    per_k = found.groupBy(*by, "k").agg(F.count(F.lit(1)).alias("n"), *parts)
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("k")))
-    ranked = per_k.withColumn("r", rank).filter(F.col("r") <= 3)
-    tops = ranked.groupBy(*by).agg(
-        *[F.coalesce(F.sum(F.when(F.col("r") == i, F.col("n"))), F.lit(0)).alias(f"ik{i}f") for i in (1, 2, 3)]
+    return per_k.withColumn("r", rank).groupBy(*by).agg(
+        F.sum("n").alias("n_found"),
+        *[fixed(F.try_divide(F.sum(f"_s_{n}"), F.sum(f"_c_{n}")), 6).alias(n) for n in means],
+        *[F.coalesce(F.sum(F.when(F.col("r") == i, F.col("n"))), F.lit(0)).alias(f"ik{i}f") for i in (1, 2, 3)],
     )
-    return totals.join(tops, by)
 
 
 def first_n(df: DataFrame, keys: list[str], order: str, n: int, out: str = "_r", salts: int = 32) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from counterfair.functions.scalar import (
     clipped,
+    fixed,
     hash_int,
     hash_unit,
     inverse_gradient_prob,
@@ -24,11 +25,11 @@ from counterfair.functions.scalar import (
     sign_move,
     weighted_choice,
 )
-from counterfair.operators import picks
+from counterfair.operators import metrics, picks
 from counterfair.operators.expand import Domain
 from counterfair.operators.joins import not_seen
 from counterfair.operators.prepare import column_difference, mask_protected, union_tables
-from counterfair.operators.score import array_udf, variant_bins, variant_probabilities
+from counterfair.operators.score import array_udf, row_metrics, variant_bins, variant_probabilities
 from counterfair.session import cut_lineage
 
 
@@ -152,6 +153,22 @@ def _found(rows: DataFrame, space: SearchSpace, phase: str) -> DataFrame:
     )
 
 
+def rescored(found: DataFrame, seeds: DataFrame, model, space: SearchSpace) -> DataFrame:
+    """Found rows of ``global_search`` as ``metrics.search_report`` takes them.
+
+    Every find is scored again under all protected values (k, spread, sh_entropy, min_entropy, disc);
+    ``init_k`` is the K of the seed it came from. A seed leads to a few finds per round at most.
+    """
+    measured = row_metrics(found.drop("k", "spread"), model, space.domain, space.eps)
+    first = row_metrics(seeds.select("seed_id", *[q(f) for f in space.features]), model, space.domain, space.eps)
+    starts = first.select(F.col("seed_id").cast("bigint").alias("seed_id"), F.col("k").alias("init_k"))
+    disc = metrics.discriminatory_score(F.col("p_min"), F.col("p_max"))
+    judged = measured.withColumns(
+        {"disc": disc, "sh_entropy": fixed(F.abs("sh_entropy"), 6), "min_entropy": metrics.min_entropy(F.col("k"))}
+    )
+    return judged.drop("p_min", "p_max").join(starts, "seed_id")
+
+
 def local_starts(found: DataFrame, space: SearchSpace) -> DataFrame:
     """Walkers of the local search: the row under its lowest-bin values, the highest-bin values as twin."""
     domain = space.domain

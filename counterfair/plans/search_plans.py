@@ -293,6 +293,40 @@ def _(spark, sf):
     return found.drop("elapsed")
 
 
+def _searched_report_sql(model, rounds: int, local_rounds: int) -> str:
+    """Finds of both phases, scored again and reported per phase; the step stands for the time."""
+    totals = {
+        "k_init": "avg(init_k)",
+        "k_final": "avg(k)",
+        "t_final": "avg(elapsed)",
+        "q_inf": "avg(CASE WHEN disc = 1 THEN min_entropy END)",
+        "q_1": "avg(CASE WHEN disc = 1 THEN sh_entropy END)",
+    }
+    return f"""WITH {_global_sql(model, rounds)}, {_starts_sql('uniq')}, {_local_sql(model, local_rounds)},
+finds AS (SELECT 'global' AS phase, seed_id, step, bal, n_ord FROM uniq
+  UNION ALL SELECT 'local', seed_id, step, bal, n_ord FROM fresh),
+{_variants_sql(model, 'q', 'finds', 'x.phase, x.seed_id, x.step, x.bal, x.n_ord')},
+find_bins AS (SELECT phase, seed_id, step, bal, n_ord, bin, count(*) AS n, min(p) AS p_min, max(p) AS p_max FROM vq GROUP BY ALL),
+find_shares AS (SELECT *, n * 1e0 / sum(n) OVER (PARTITION BY bal, n_ord) AS share FROM find_bins),
+measured AS (SELECT phase, seed_id, step, bal, n_ord, count(*) AS k, {rounded('-sum(share * log2(share))', 6)} AS sh_entropy,
+  {rounded('log2(count(*))', 2)} AS min_entropy, CAST(max(p_max) > 0.5 AND min(p_min) < 0.5 AS INT) AS disc FROM find_shares GROUP BY ALL),
+rescored AS (SELECT m.*, CAST(m.step AS DOUBLE) AS elapsed, s.k AS init_k FROM measured m JOIN k0 s USING (seed_id)),
+tops AS (SELECT phase, k, count(*) AS n, row_number() OVER (PARTITION BY phase ORDER BY k DESC) AS r FROM rescored GROUP BY phase, k),
+top_counts AS (SELECT phase, {', '.join(f"CAST(coalesce(sum(CASE WHEN r = {i} THEN n END), 0) AS BIGINT) AS ik{i}f" for i in (1, 2, 3))}
+  FROM tops GROUP BY phase),
+report AS (SELECT phase, count(*) AS n_found, {', '.join(f'{rounded(e, 6)} AS {n}' for n, e in totals.items())}
+  FROM rescored GROUP BY phase)
+SELECT * FROM report JOIN top_counts USING (phase)"""
+
+
+@query("a12_report_of_search", _searched_report_sql(NETWORK, MAX_ITER, LOCAL_ROUNDS))
+def _(spark, sf):
+    where, start = space(spark, sf, PROTECTED), seeds(spark, sf)
+    found = search.global_search(start, formula_mlp(), where, MAX_ITER, LOCAL_ROUNDS)
+    scored = search.rescored(found, start, formula_mlp(), where)
+    return metrics.search_report(scored.withColumn("elapsed", F.col("step").cast("double")), ["phase"])
+
+
 @query("g1_clustered_seeds_search")
 def _(spark, sf):
     rows, _ = train.seed_clusters(applicants(spark, sf), FEATURES)

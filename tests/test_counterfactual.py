@@ -69,3 +69,30 @@ def test_request_generation_and_pairs(spark):
     flat = {(r["pair_id"], r["side"]): (r["age"], r["sex"]) for r in cf.flatten_pairs(chat, COLUMNS).collect()}
     assert flat == {(0, "original"): ("39", "Male"), (0, "counterfactual"): ("NaN", "NaN"),
                     (1, "original"): ("x", "Female"), (1, "counterfactual"): ("NaN", "NaN")}
+
+
+def test_open_requests_are_asked_again(spark):
+    rows = spark.createDataFrame([(i, "39", "Male", "Private") for i in range(4)], "request_id BIGINT, age STRING, sex STRING, job STRING")
+    encoder = spark.createDataFrame(ENCODER, "col STRING, value STRING, code INT")
+    requests = cf.build_requests(rows, "request_id", COLUMNS, ["sex"])
+    good = answer()
+
+    def fn(batches):  # request i is answered well in round i + 1; request 3 is left out at first
+        for b in batches:
+            said = [good if t > i else "sorry" for i, t in zip(b["request_id"], b["attempt"])]
+            yield pd.DataFrame({"request_id": b["request_id"], "attempt": 9, "response": said})[(b["request_id"] < 3) | (b["attempt"] > 1)]
+
+    args = (requests, rows, fn, encoder, COLUMNS, ["sex", "job"], ["sex"])
+    tried = cf.generate_until_valid(*args, max_retries=3)
+    got = sorted((r["request_id"], r["attempt"], r["status"]) for r in tried.collect())
+    bad = "format_error"
+    assert got == [(0, 1, "ok"), (1, 1, bad), (1, 2, "ok"), (2, 1, bad), (2, 2, bad), (2, 3, "ok"), (3, 2, bad), (3, 3, bad)]
+    assert cf.generate_until_valid(*args, max_retries=9).filter("status = 'ok'").count() == 4
+
+    coded = spark.createDataFrame([(i, 39, 1, 0) for i in range(4)], "request_id BIGINT, age INT, sex INT, job INT")
+    variants = cf.answer_variants(coded, tried, "request_id", COLUMNS).collect()
+    assert sorted((r["row_id"], r["variant_id"], r["sex"]) for r in variants) == sorted(
+        [(i, 0, 1.0) for i in range(4)] + [(i, 1, 0.0) for i in range(3)]
+    )
+    nothing = cf.generate_until_valid(requests.limit(0), *args[1:], max_retries=3)
+    assert nothing.count() == 0

@@ -11,7 +11,7 @@ from tools.check_oracle import rows_of
 
 SF_DIR = "/root/testdata/sf0.001"
 # The long searches repeat one round many times; the tools script checks them at full length.
-SLOW = ("g1_global_search", "g1_clustered", "g4_", "g5_", "a13_search")
+SLOW = ("g1_global_search", "g1_clustered", "g4_", "g5_", "a13_search", "a12_report_of_search")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
