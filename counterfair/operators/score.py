@@ -27,12 +27,20 @@ def _matrix(parts: tuple[pd.Series, ...]) -> np.ndarray:
 def array_udf(
     fn: Callable[[np.ndarray], np.ndarray], features: list[str], element: T.DataType = T.DoubleType()
 ) -> Column:
-    """``fn(matrix) -> matrix`` as an array column, one Arrow batch at a time."""
+    """``fn(matrix) -> matrix`` as an array column, one Arrow batch at a time.
+
+    A row with a NULL input has a NULL result.
+    """
 
     @F.pandas_udf(T.ArrayType(element))
     def apply(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for parts in batches:
-            yield pd.Series(list(fn(_matrix(parts))))
+            x = _matrix(parts)
+            known = np.flatnonzero(~np.isnan(x).any(axis=1))
+            out = [None] * len(x)
+            for i, v in zip(known, fn(x[known]) if len(known) else ()):
+                out[i] = v
+            yield pd.Series(out, dtype=object)
 
     return apply(*[q(f) for f in features])
 
@@ -204,7 +212,8 @@ METRIC_FIELDS = [
 def row_metrics(df: DataFrame, model, domain: Domain, eps: float = 0.025) -> DataFrame:
     """Per row: K, bin spread, entropy and score range over all variants, in one narrow pass.
 
-    The table is never expanded or shuffled; only five numbers per row leave the Arrow batch.
+    The table is never expanded or shuffled; only five numbers per row leave the Arrow batch. A row with
+    a NULL feature has NULL metrics.
     """
     features = list(model.features)
     schema = T.StructType([*df.schema.fields, *METRIC_FIELDS])
@@ -213,18 +222,19 @@ def row_metrics(df: DataFrame, model, domain: Domain, eps: float = 0.025) -> Dat
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features])
-            p = variant_scores(x, features, model, domain)
+            unknown = np.isnan(x).any(axis=1)
+            p = variant_scores(np.where(unknown[:, None], 0.0, x), features, model, domain)
             bins = score_bins(p, eps)
             cell = np.arange(len(p))[:, None] * width + bins
             counts = np.bincount(cell.ravel(), minlength=len(p) * width).reshape(len(p), width)
             share = counts / domain.size
             entropy = -(share * np.log2(np.where(share > 0, share, 1.0))).sum(axis=1)
             extra = [
-                pa.array((counts > 0).sum(axis=1), pa.int32()),
-                pa.array(bins.max(axis=1) - bins.min(axis=1), pa.int32()),
-                pa.array(entropy, pa.float64()),
-                pa.array(p.min(axis=1), pa.float64()),
-                pa.array(p.max(axis=1), pa.float64()),
+                pa.array((counts > 0).sum(axis=1), pa.int32(), mask=unknown),
+                pa.array(bins.max(axis=1) - bins.min(axis=1), pa.int32(), mask=unknown),
+                pa.array(entropy, pa.float64(), mask=unknown),
+                pa.array(p.min(axis=1), pa.float64(), mask=unknown),
+                pa.array(p.max(axis=1), pa.float64(), mask=unknown),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=schema.names)
 

@@ -12,6 +12,8 @@ import math
 import time
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +31,15 @@ from counterfair.operators import metrics, picks
 from counterfair.operators.expand import Domain
 from counterfair.operators.joins import not_seen
 from counterfair.operators.prepare import column_difference, mask_protected, union_tables
-from counterfair.operators.score import array_udf, row_metrics, variant_bins, variant_probabilities
+from counterfair.operators.score import (
+    MATRIX_ROWS,
+    array_udf,
+    row_metrics,
+    score_bins,
+    variant_bins,
+    variant_probabilities,
+    variant_scores,
+)
 from counterfair.session import cut_lineage
 
 
@@ -117,24 +127,69 @@ def search_step(frontier: DataFrame, model, space: SearchSpace) -> DataFrame:
     return stepped.withColumns(nexts).drop("grad", "grad_twin", "_move", *[f"_t_{p}" for p in space.protected])
 
 
+TAGS = (*picks.PICKS[2:], "feature", "sign")
+
+
+def _agreeing_move(grad: np.ndarray, twin: np.ndarray, movable: np.ndarray) -> np.ndarray:
+    """Array form of ``functions.scalar.sign_move``."""
+    mine, theirs = np.sign(grad), np.sign(twin)
+    mask = np.where(theirs.any(axis=1)[:, None], mine == theirs, mine)
+    return mine * mask * movable
+
+
+def search_paths(seeds: DataFrame, model, space: SearchSpace, max_iter: int, began: float) -> DataFrame:
+    """All positions of all seeds, one row per ``search_step``: the same moves as repeating that step.
+
+    The hashes of every step are known beforehand and come from the JVM; the path itself is one Arrow pass
+    without checkpoints. A seed with a NULL feature has no path.
+    """
+    features, domain, steps = space.features, space.domain, max_iter + 1
+    slots = [features.index(p) for p in domain.names]
+    free = np.array([features.index(f) for f in space.free])
+    movable = np.array([0.0 if f in space.protected else 1.0 for f in features])
+    low, high = (np.array([space.bounds[f][i] for f in features], dtype=float) for i in (0, 1))
+    seed_id = F.col("seed_id").cast("bigint")
+    hashes = [hash_int(F.lit(t), F.lit(space.salt), seed_id, F.lit(n)) for n in range(steps) for t in TAGS]
+    known = seeds.dropna(subset=features)
+    start = known.select(seed_id.alias("seed_id"), *[q(f).cast("double").alias(f) for f in features], F.array(*hashes).alias("_h"))
+    ints = ["k", "spread", "member", "partner", "low", "high"]
+    names = ["seed_id", "step", *features, *ints, "elapsed"]
+    schema = "seed_id BIGINT, " + ", ".join(f"`{c}` INT" for c in names[1:-1]) + ", elapsed DOUBLE"
+
+    def walk(batches):
+        grid = domain.grid()
+        for batch in batches:
+            piece = max(1, MATRIX_ROWS // len(grid))
+            for at in range(0, batch.num_rows, piece):
+                rows = batch.slice(at, piece)
+                x = np.column_stack([rows.column(f).to_numpy(zero_copy_only=False) for f in features]).astype(float)
+                h = rows.column("_h").flatten().to_numpy(zero_copy_only=False).reshape(len(x), steps, len(TAGS))
+                for n in range(steps):
+                    picked = picks.pick_variants(score_bins(variant_scores(x, features, model, domain), space.eps), h[:, n])
+                    twin = x.copy()
+                    x[:, slots], twin[:, slots] = grid[picked[:, 2]], grid[picked[:, 3]]
+                    columns = [rows.column("seed_id"), pa.array(np.full(len(x), n), pa.int32())]
+                    columns += [pa.array(v.astype(np.int32)) for v in (*x.T, *picked.T)]
+                    columns.append(pa.array(np.full(len(x), time.time() - began)))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    move = _agreeing_move(model.gradient(x), model.gradient(twin), movable)
+                    still = np.flatnonzero(~move.any(axis=1))
+                    move[still, free[h[still, n, 4] % len(free)]] = np.where(h[still, n, 5] % 2 == 0, 1.0, -1.0)
+                    x = np.clip(x + move, low, high)
+
+    return start.mapInArrow(walk, schema)
+
+
 def global_search(
     seeds: DataFrame, model, space: SearchSpace, max_iter: int = 10, local_rounds: int = 0
 ) -> DataFrame:
     """Found rows (phase, seed_id, step, features, k, spread, elapsed), unique by masked key.
 
-    A seed's path does not depend on what others found, so rounds need no shuffle; duplicates are
-    removed once, keeping the earliest (step, seed).
+    A seed's path does not depend on what others found, so all its rounds are one narrow pass; duplicates
+    are removed once, keeping the earliest (step, seed). ``elapsed`` is when a task reached the position.
     """
     began = time.time()
-    state = seeds.select(F.col("seed_id").cast("bigint").alias("seed_id"), F.lit(0).alias("step"), *[q(f) for f in space.features])
-    rounds = []
-    for step in range(max_iter + 1):
-        done = cut_lineage(search_step(state, model, space)).withColumn("elapsed", F.lit(time.time() - began))
-        rounds.append(done)
-        state = done.select(
-            "seed_id", F.lit(step + 1).alias("step"), *[q(f"next_{f}").alias(f) for f in space.features]
-        )
-    paths = union_tables(*rounds)
+    paths = search_paths(seeds, model, space, max_iter, began)
     unique = not_seen(paths, space.key(), ["step", "seed_id"])
     found = _found(unique, space, "global")
     if not local_rounds:

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from counterfair.functions.scalar import hash_unit
-from counterfair.operators import search
+from counterfair.operators import picks, score, search
 from counterfair.plans.base import FEATURES, LOGISTIC, formula_mlp
 
 BOUNDS = {"seg": (0, 4), "reg": (0, 4), "bal": (1, 10), "n_ord": (1, 20)}
@@ -97,3 +97,25 @@ def test_walkers_leave_a_find_only_when_their_hash_allows(spark):
     for r in out:
         stays = r["lost"] and r["chance"] >= search.LEAVE
         assert (r["bal"], r["flips"]) == ((4, True) if stays else (5, r["tried"]))
+
+
+@pytest.mark.parametrize("model", [LOGISTIC, formula_mlp()])
+def test_paths_in_one_pass_are_the_steps_repeated(seeds, model):
+    names = ["seed_id", "step", *FEATURES, "k", "spread", "low", "high"]
+    got = search.search_paths(seeds, model, BOTH, 3, 0.0).select(*names).collect()
+    state, want = seeds.withColumn("step", F.lit(0)), []
+    for step in range(4):
+        done = search.search_step(state, model, BOTH).cache()
+        want += done.select(*names).collect()
+        state = done.select("seed_id", F.lit(step + 1).alias("step"), *[F.col(f"next_{f}").alias(f) for f in FEATURES])
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_a_seed_with_a_null_feature_has_no_path(spark):
+    rows = spark.createDataFrame([(1, 2, 2, 5, None), (2, 2, 2, 5, 9)], "seed_id BIGINT, seg INT, reg INT, bal INT, n_ord INT")
+    assert {r["seed_id"] for r in search.search_paths(rows, LOGISTIC, BOTH, 2, 0.0).collect()} == {2}
+    assert search.search_paths(rows.limit(0), LOGISTIC, BOTH, 2, 0.0).count() == 0
+    measured = {r["seed_id"]: r["k"] for r in score.row_metrics(rows, LOGISTIC, BOTH.domain).collect()}
+    assert measured[1] is None and measured[2] > 0
+    picked = {r["seed_id"]: r["member"] for r in picks.partition_picks(rows, LOGISTIC, BOTH.domain, 0.025, F.col("seed_id")).collect()}
+    assert picked[1] is None and picked[2] is not None
