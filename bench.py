@@ -41,6 +41,7 @@ HEADLINE = [
     "a8_mixed_group_count",
     "a12_search_report",
     "g1_search_step",
+    "g1_global_search",
     "g2_local_search",
     "j6_pairwise_max_distance",
     "a15_neuron_stats",

@@ -43,21 +43,26 @@ def train_logistic(df: DataFrame, features: list[str], label: str, max_iter: int
     return LogisticModel(tuple(features), tuple(float(w) for w in fitted.coefficients), float(fitted.intercept))
 
 
+def _exists(df: DataFrame, path: str) -> bool:
+    context = df.sparkSession.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()).exists(place)
+
+
 def seed_clusters(
     df: DataFrame, features: list[str], k: int = 4, seed: int = 2019, path: str | None = None
 ) -> tuple[DataFrame, KMeansModel]:
-    """Rows with their ``cluster``, and the model; a model saved at ``path`` is loaded instead of fitted."""
+    """Rows with their ``cluster``, and the model; a model saved at ``path`` is loaded instead of fitted.
+
+    Only an absent path means fitting; a model that cannot be read is an error and stays as it is.
+    """
     rows = _assembled(df, features)
-    model = None
-    if path:
-        try:
-            model = KMeansModel.load(path)
-        except Exception:  # noqa: BLE001 - nothing saved there yet
-            model = None
-    if model is None:
+    if path and _exists(df, path):
+        model = KMeansModel.load(path)
+    else:
         kept = rows.persist()
         model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(kept)
         kept.unpersist()
         if path:
-            model.write().overwrite().save(path)
+            model.write().save(path)
     return model.transform(rows).drop("_features").withColumn("cluster", F.col("cluster").cast("int")), model

@@ -219,11 +219,31 @@ def _(spark, sf):
 
 @query("m8_train_classifier")
 def _(spark, sf):
-    rows = applicants(spark, sf).cache()
-    model = train.train_classifier(rows, FEATURES, "label", max_iter=30)
+    rows = applicants(spark, sf)
+    model = train.train_classifier(rows, FEATURES, "label")
     return train.predict(rows, FEATURES, model).select("row_id", "label", F.col("prediction").cast("int").alias("cls"))
 
 
+# Training on data with a known answer: what the model must say follows from the rows.
+@query("m8_train_separable", f"WITH {APPLICANTS_SQL} SELECT row_id, CAST(bal > 5 AS INT) AS cls FROM applicants")
+def _(spark, sf):
+    side = F.when(F.col("bal") > 5, 1.0).otherwise(-1.0)
+    rows = applicants(spark, sf).select("row_id", side.alias("x"), (F.col("seg") / 10).alias("y"), (F.col("bal") > 5).cast("int").alias("label"))
+    model = train.train_classifier(rows, ["x", "y"], "label", hidden=[4])
+    return train.predict(rows, ["x", "y"], model).select("row_id", F.col("prediction").cast("int").alias("cls"))
+
+
+@query(
+    "m10_separate_groups",
+    f"WITH {APPLICANTS_SQL} SELECT row_id, min(row_id) OVER (PARTITION BY row_id % 4) AS first_mate FROM applicants",
+)
+def _(spark, sf):
+    rows = applicants(spark, sf).select("row_id", (F.col("row_id") % 4 * 1000.0).alias("x"), F.col("bal").alias("y"))
+    clustered, _ = train.seed_clusters(rows, ["x", "y"])
+    firsts = clustered.groupBy("cluster").agg(F.min("row_id").alias("first_mate"))
+    return clustered.join(F.broadcast(firsts), "cluster").select("row_id", "first_mate")
+
+
 @query("m10_kmeans_seed_clusters")
 def _(spark, sf):
     rows, _ = train.seed_clusters(applicants(spark, sf), FEATURES)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from counterfair.operators import score, train
@@ -23,3 +24,12 @@ def test_clusters_repeat_and_can_be_kept(spark, tmp_path):
     again, _ = train.seed_clusters(df, ["x"], k=3, path=str(tmp_path / "km"))
     assert sorted(first.collect()) == sorted(again.collect())
     assert first.select("cluster").distinct().count() == 3
+
+
+def test_an_unreadable_model_is_not_replaced(spark, tmp_path):
+    (tmp_path / "km").mkdir()
+    (tmp_path / "km" / "note").write_text("not a model")
+    df = spark.range(9).select("id", F.col("id").cast("double").alias("x"))
+    with pytest.raises(Exception):
+        train.seed_clusters(df, ["x"], k=3, path=str(tmp_path / "km"))
+    assert (tmp_path / "km" / "note").read_text() == "not a model"
