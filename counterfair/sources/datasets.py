@@ -91,7 +91,7 @@ ANSWER_CODES = {
         "India": 7, "Japan": 8, "Greece": 9, "China": 10, "Cuba": 11, "Iran": 12,
     },
 }
-ANSWER_NUMBERS = ["Age", "Capital Gain", "Capital Loss"]
+ANSWER_NUMBERS = ["Age", "Capital Gain", "Capital Loss", "Hours per Week"]
 
 # Keys every answer about a person must hold.
 REQUIRED_KEYS = [

@@ -16,10 +16,11 @@ def test_bank_by_fixed_lists(spark):
 
 
 def test_answer_to_numbers(spark):
-    text = "Age: 42\nWorkclass: Private\nEducation: Bachelors\nMarital Status: Divorced\nRace: Martian\nSex: Male\nCapital Gain: 5000\nCapital Loss: 0\nNative Country: United-States"
+    text = "Age: 42\nWorkclass: Private\nEducation: Bachelors\nMarital Status: Divorced\nRace: Martian\nSex: Male\nCapital Gain: 5000\nCapital Loss: 0\nHours per Week: 38\nNative Country: United-States"
     row = recipes.encode_answer(spark.createDataFrame([(text,)], "t STRING"), "t").first()
     assert (row["Age"], row["Workclass"], row["Education"], row["Marital Status"]) == (42, 1, 1, 2)
     assert (row["Race"], row["Sex"], row["Capital Gain"], row["Occupation"]) == (None, 1, 5000, None)
+    assert row["Hours per Week"] == 38
 
 
 def test_students(spark):
