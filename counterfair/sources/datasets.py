@@ -24,23 +24,6 @@ DATASETS: dict[str, dict] = {
     },
 }
 
-# Bounds of the encoded census table, inclusive, in column order.
-CENSUS_BOUNDS = {
-    "age": (1, 9),
-    "workclass": (0, 7),
-    "fnlwgt": (0, 39),
-    "education": (0, 15),
-    "marital_status": (0, 6),
-    "occupation": (0, 13),
-    "relationship": (0, 5),
-    "race": (0, 4),
-    "sex": (0, 1),
-    "capital_gain": (0, 99),
-    "capital_loss": (0, 39),
-    "hours_per_week": (0, 99),
-    "native_country": (0, 39),
-}
-
 # Value lists of the bank table; a value's position is its code.
 BANK_VALUES = {
     "job": [
@@ -93,12 +76,6 @@ ANSWER_CODES = {
 }
 ANSWER_NUMBERS = ["Age", "Capital Gain", "Capital Loss", "Hours per Week"]
 
-# Keys every answer about a person must hold.
-REQUIRED_KEYS = [
-    "Index", "Age", "Workclass", "fnlwgt", "Education", "Education.num", "Marital.status", "Occupation",
-    "Relationship", "Race", "Sex", "Capital.gain", "Capital.loss", "Hours.per.week", "Native.country", "Income",
-]
-
 # Student columns that are not label-encoded, and those whose codes start at 1.
 STUDENT_PLAIN = ["age", "absences", "G1", "G2", "G3"]
 STUDENT_SHIFTED = [
