@@ -238,6 +238,25 @@ def test_passages_against_brute_force(spark):
     assert got[2, 0]["likeness"] > 0.85 and got[2, 0]["end_word"] - got[2, 0]["start_word"] >= 60
 
 
+def test_passages_of_four_equal_words_in_five(spark):
+    """Planted changed copies against their brute-force likeness: all evenly changed ones, and nearly all others."""
+    rng = random.Random(13)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows, even, mixed = [], set(), set()
+    for k in range(200):
+        own = fresh(60 if k < 80 else 100)
+        changed = set(range(k % 5, 60, 5 + k // 20)) if k < 80 else set(rng.sample(range(1, 99), 10 + (k - 80) // 12))
+        copy = [w if j not in changed else f"c{rng.randrange(10**9)}" for j, w in enumerate(own)]
+        assert sum(a == b for a, b in zip(own, copy)) >= 0.8 * len(own)
+        (even if k < 80 else mixed).add((2 * k + 1, 2 * k))
+        rows += [(2 * k, " ".join(fresh(40) + own + fresh(40))), (2 * k + 1, " ".join(fresh(25) + copy + fresh(40)))]
+    out = passages.shared_passages(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    got = {(r["doc_id"], r["other_id"]) for r in out}
+    print(f"even {len(even & got)} of {len(even)}, mixed {len(mixed & got)} of {len(mixed)}")
+    assert even <= got <= even | mixed and len(mixed & got) >= 0.97 * len(mixed)
+    assert all(r["likeness"] >= 0.8 for r in out)
+
+
 def test_passages_odd(odd, empty):
     assert all(r["doc_id"] > r["other_id"] for r in passages.shared_passages(odd, min_words=8).collect())
     assert passages.shared_passages(empty).count() == 0
