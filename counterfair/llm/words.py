@@ -95,6 +95,16 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def runs_at(hashes: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of ``k`` words that begin at ``places``."""
+    if len(places) == 0:
+        return hashes[:0]
+    power, inverse = _tables(len(hashes))
+    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * power, out=total[1:])
+    return mix((total[places + k] - total[places]) * inverse[places] + np.uint64(k))
+
+
 def chunks(texts: Iterable[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about ``limit`` bytes each, with the place of the first; a longer text is a run of its own."""
     start, held, size = 0, [], 0

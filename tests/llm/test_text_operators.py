@@ -238,6 +238,37 @@ def test_passages_against_brute_force(spark):
     assert got[2, 0]["likeness"] > 0.85 and got[2, 0]["end_word"] - got[2, 0]["start_word"] >= 60
 
 
+def test_passages_whose_parts_stand_in_earlier_documents(spark):
+    rng = random.Random(11)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    s, t = [fresh(30), fresh(30)], [fresh(30), fresh(30)]
+    u = [fresh(30), fresh(30)]
+    texts = [s[0], s[1], s[0] + s[1], s[0] + s[1]]
+    texts += [t[0], t[1], fresh(9) + t[0] + t[1] + fresh(9), t[0], t[1], fresh(9) + t[0] + t[1] + fresh(9)]  # neither first nor last
+    texts += [u[0], u[1], u[0] + u[1], u[0] + fresh(4) + u[1]]  # no seed across the border
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING")
+    got = {(r["doc_id"], r["other_id"]): r for r in passages.shared_passages(docs).collect()}
+    assert set(got) == {(3, 2), (9, 6), (13, 12)}
+    assert (got[3, 2]["start_word"], got[3, 2]["end_word"], got[3, 2]["likeness"]) == (0, 60, 1.0)
+    assert (got[9, 6]["start_word"], got[9, 6]["end_word"], got[9, 6]["other_start"]) == (9, 69, 9)
+    assert (got[13, 12]["end_word"], got[13, 12]["equal_words"]) == (64, 60)
+
+
+def test_every_exact_run_lies_in_a_passage(spark):
+    rng = random.Random(12)
+    lines = [[f"u{rng.randrange(10**9)}" for _ in range(rng.randint(4, 9))] for _ in range(12)]
+    texts = [sum((rng.choice(lines) for _ in range(rng.randint(2, 9))), []) for _ in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING")
+    rows = defaultdict(list)
+    for r in passages.shared_passages(docs, min_words=15).collect():
+        rows[r["doc_id"]].append((r["start_word"], r["end_word"]))
+    seen = set()
+    for i, t in enumerate(texts):
+        runs = [tuple(t[k : k + 15]) for k in range(len(t) - 14)]
+        assert all(any(a <= k and k + 15 <= b for a, b in rows[i]) for k, run in enumerate(runs) if run in seen)
+        seen.update(runs)
+
+
 def test_passages_of_four_equal_words_in_five(spark):
     """Planted changed copies against their brute-force likeness: all evenly changed ones, and nearly all others."""
     rng = random.Random(13)
