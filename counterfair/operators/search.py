@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import math
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -274,21 +276,93 @@ def local_step(walkers: DataFrame, model, space: SearchSpace, step: int) -> Data
     return scored.withColumn("_keep", accept)
 
 
+def _drawn_features(grad: np.ndarray, twin: np.ndarray, movable: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """Array form of ``inverse_gradient_prob`` and ``weighted_choice``: the feature each walker moves, or -1."""
+    size = np.abs(grad) + np.abs(twin)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        weights = np.where(movable == 0, 0.0, 1.0 / size)
+        total = np.cumsum(weights, axis=1)[:, -1:]
+        probs = np.where((total > 0) & (total < math.inf), weights / total, movable / movable.sum())
+    upto = np.cumsum(probs, axis=1)
+    hit = (probs > 0) & (upto > unit[:, None] * upto[:, -1:])
+    return np.where(hit.any(axis=1), hit.argmax(axis=1), -1)
+
+
+def walk_paths(starts: DataFrame, space: SearchSpace, middle: Column, twins: dict[str, Column], gain: Column, rounds: int, pair, judge, fields: str, began: float) -> DataFrame:
+    """All rounds of all walkers in one Arrow pass: the positions tried, with the ``fields`` that ``judge`` gives them.
+
+    A walker's path does not depend on other walkers. ``pair(x, twin)`` gives both gradients; the last column of
+    ``judge(x)`` is what a walker wants to keep, ``gain`` its value at the start. A position where it drops is
+    kept with probability exp(drop). Of equal masked keys in a batch only the earliest (step, seed) is returned.
+    """
+    features = space.features
+    slots, partners = [features.index(p) for p in twins], [f"_t_{p}" for p in twins]
+    free = [features.index(f) for f in space.free]
+    movable = np.array([0.0 if f in space.protected else 1.0 for f in features])
+    low, high = (np.array([space.bounds[f][i] for f in features], dtype=float) for i in (0, 1))
+    start = starts.select(
+        F.col("seed_id").cast("bigint").alias("seed_id"),
+        F.concat_ws("|", F.lit(space.salt), "seed_id", middle).alias("_head"),
+        *[q(f).cast("double").alias(f) for f in features],
+        *[c.cast("double").alias(f"_t_{p}") for p, c in twins.items()],
+        gain.cast("bigint").alias("_gain"),
+    )
+    parts = int(starts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["seed_id", "step", *features, *[f.split()[0] for f in fields.split(", ")], "elapsed"]
+    schema = "seed_id BIGINT, step INT, " + ", ".join(f"`{f}` INT" for f in features) + f", {fields}, elapsed DOUBLE"
+    piece = max(1, MATRIX_ROWS // space.domain.size)
+
+    def numbers(tag: str, heads: list[str], step: int) -> np.ndarray:
+        return np.array([int(md5(f"{tag}|{h}|{step}".encode()).hexdigest()[:8], 16) for h in heads])
+
+    def walk(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, piece):
+                rows = batch.slice(at, piece).to_pandas().sort_values("seed_id", kind="stable")
+                ids, heads = rows["seed_id"].to_numpy(), rows["_head"].tolist()
+                x, was = rows[features].to_numpy(dtype=float), rows["_gain"].to_numpy()
+                partner = rows[partners].to_numpy()
+                seen = set()
+                for n in range(rounds):
+                    twin = x.copy()
+                    twin[:, slots] = partner
+                    chosen = _drawn_features(*pair(x, twin), movable, numbers("feature", heads, n) / 4294967296.0)
+                    sign = np.where(numbers("sign", heads, n) % 2 == 0, 1.0, -1.0)
+                    tried = np.clip(x + np.where(np.arange(len(features)) == chosen[:, None], sign[:, None], 0.0), low, high)
+                    judged = judge(tried)
+                    now = judged[:, -1].astype(np.int64)
+                    new = []
+                    for i, key in enumerate(map(bytes, np.ascontiguousarray(tried[:, free].astype(np.int64)))):
+                        if key not in seen:
+                            seen.add(key)
+                            new.append(i)
+                    if new:
+                        columns = [pa.array(ids[new], pa.int64()), pa.array(np.full(len(new), n), pa.int32())]
+                        columns += [pa.array(v.astype(np.int32)) for v in tried[new].T]
+                        columns += [pa.array(v) for v in judged[new].T]
+                        columns.append(pa.array(np.full(len(new), time.time() - began)))
+                        yield pa.RecordBatch.from_arrays(columns, names=names)
+                    keep = (now >= was) | (numbers("accept", heads, n) / 4294967296.0 < np.exp((now - was).astype(float)))
+                    x, was = np.where(keep[:, None], tried, x), np.where(keep, now, was)
+
+    return start.repartition(parts, "seed_id").mapInArrow(walk, schema)
+
+
 def local_search(starts: DataFrame, model, space: SearchSpace, max_rounds: int, began: float | None = None) -> DataFrame:
-    """All positions tried by the walkers, with their K and spread (duplicates included)."""
+    """All positions tried by the walkers, with their K and spread: the same as repeating ``local_step``."""
     began = began or time.time()
-    walkers, tried = starts, []
-    for step in range(max_rounds):
-        done = cut_lineage(local_step(walkers, model, space, step)).withColumn("elapsed", F.lit(time.time() - began))
-        tried.append(done.select("seed_id", F.lit(step).alias("step"), *[q(f) for f in space.features], "k", "spread", "elapsed"))
-        walkers = done.select(
-            "seed_id",
-            "origin",
-            F.when(F.col("_keep"), F.col("spread")).otherwise(F.col("_spread")).alias("spread"),
-            *[F.when(F.col("_keep"), q(f)).otherwise(q(f"_at_{f}")).alias(f) for f in space.features],
-            *[q(f"_t_{p}") for p in space.protected],
-        )
-    return union_tables(*tried)
+    features, domain = space.features, space.domain
+
+    def ends(x: np.ndarray) -> np.ndarray:
+        bins = np.sort(score_bins(variant_scores(x, features, model, domain), space.eps), axis=1)
+        k = (np.diff(bins, axis=1) != 0).sum(axis=1) + 1
+        return np.column_stack([k, bins[:, -1] - bins[:, 0]]).astype(np.int32)
+
+    def pair(x: np.ndarray, twin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return model.gradient(x), model.gradient(twin)
+
+    twins = {p: F.col(f"_t_{p}") for p in space.protected}
+    return walk_paths(starts, space, F.col("origin"), twins, F.col("spread"), max_rounds, pair, ends, "k INT, spread INT", began)
 
 
 def _flip_view(frontier: DataFrame, model, space: SearchSpace) -> DataFrame:
@@ -316,38 +390,28 @@ def _kept_position(done: DataFrame, names: list[str], parts: list[Column]) -> Da
     return judged.withColumns(back).drop("_keep", "_was_flips", *[f"_was_{n}" for n in names])
 
 
-def _flip_walk(starts: DataFrame, model, space: SearchSpace, max_rounds: int, gradients) -> DataFrame:
+def _flip_walk(starts: DataFrame, model, space: SearchSpace, max_rounds: int, pair: Callable) -> DataFrame:
     """Local walk of the single-attribute searches: positions tried with their ``flips`` flag.
 
     A walker starts at a find. It gives up a position that flips for one that does not with probability
     exp(-1) only; every other try is accepted.
     """
-    walkers, tried = starts.withColumn("flips", F.lit(True)), []
-    for step in range(max_rounds):
-        parts = [F.lit(space.salt), F.col("seed_id"), F.lit("local"), F.lit(step)]
-        probs = inverse_gradient_prob(F.col("grad"), F.col("grad_twin"), space.movable())
-        sign = F.when(hash_int(F.lit("sign"), *parts) % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
-        chosen = _drawn_feature(gradients(walkers), probs, parts)
-        before = {f"_was_{n}": q(n) for n in [*space.features, "flips"]}
-        stepped = chosen.withColumns(before).withColumns(
-            {
-                f: space.clip(f, q(f) + F.when(F.col("_at") == i, sign).otherwise(F.lit(0)))
-                for i, f in enumerate(space.features)
-            }
-        ).select("seed_id", F.col("n_value").alias("_n"), *[q(f) for f in [*space.features, *before]])
-        judged = _flip_view(stepped, model, space)
-        done = cut_lineage(judged.drop("n_value").withColumnRenamed("_n", "n_value"))
-        tried.append(done.select("seed_id", F.lit(step).alias("step"), *[q(f) for f in space.features], "flips"))
-        walkers = _kept_position(done, space.features, parts)
-    return union_tables(*tried)
+
+    def flips(x: np.ndarray) -> np.ndarray:
+        classes = variant_scores(x, space.features, model, space.domain) > 0.5
+        return (classes.any(axis=1) & ~classes.all(axis=1))[:, None]
+
+    twins = {space.protected[0]: F.col("n_value")}
+    walked = walk_paths(starts, space, F.lit("local"), twins, F.lit(1), max_rounds, pair, flips, "flips BOOLEAN", time.time())
+    return cut_lineage(walked.drop("elapsed"))
 
 
 def guided_search(
-    seeds: DataFrame, model, space: SearchSpace, max_iter: int, local_rounds: int, gradients, next_move
+    seeds: DataFrame, model, space: SearchSpace, max_iter: int, local_rounds: int, gradients, next_move, pair
 ) -> DataFrame:
     """Frame of the single-attribute searches: a seed stops at its first new find.
 
-    ``gradients(df)`` adds grad and grad_twin; ``next_move(df, parts)`` adds the array column _move.
+    ``gradients(df)`` adds grad and grad_twin, ``pair(x, twin)`` gives them for matrices; ``next_move(df, parts)`` adds the array column _move.
     Found keys collapse to the smallest seed per round and are anti-joined against earlier finds. Each
     round writes its own finds only.
     """
@@ -373,7 +437,7 @@ def guided_search(
     visited = distinct_tries(union_tables(*tried), space, "global")
     if local_rounds:
         starts = found.select("seed_id", "n_value", *[q(f) for f in space.features])
-        walked = _flip_walk(starts, model, space, local_rounds, gradients)
+        walked = _flip_walk(starts, model, space, local_rounds, pair)
         fresh = not_seen(walked.filter("flips"), space.key(), ["step", "seed_id"], found)
         result = result.unionByName(_single_found(fresh, space, "local"))
         visited = visited.unionByName(distinct_tries(walked, space, "local", visited))
@@ -407,8 +471,11 @@ def adf_search(seeds: DataFrame, model, space: SearchSpace, max_iter: int = 10,
         move = sign_move(F.col("grad"), F.col("grad_twin"), space.movable())
         return _nonzero_move(df, move, space, parts)
 
+    def pair(x: np.ndarray, twin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return model.gradient(x), model.gradient(twin)
+
     start = seeds.select("seed_id", *[q(f) for f in space.features])
-    return guided_search(start, model, space, max_iter, local_rounds, gradients, next_move)
+    return guided_search(start, model, space, max_iter, local_rounds, gradients, next_move, pair)
 
 
 def neuron_guided_search(
@@ -419,16 +486,14 @@ def neuron_guided_search(
     width, n = len(space.features), len(space.features)
     twin = [f"_t_{f}" if f in space.protected else f for f in space.features]
 
-    def pair(x):
-        import numpy as np
-
+    def mine(x):
         return model.pair_gradient(x[:, :width], x[:, width:], layer, np.asarray(mask, dtype=float))
 
     def gradients(df: DataFrame) -> DataFrame:
         return df.withColumn(f"_t_{name}", F.col("n_value")).withColumns(
             {
-                "grad": array_udf(pair, [*space.features, *twin]),
-                "grad_twin": array_udf(pair, [*twin, *space.features]),
+                "grad": array_udf(mine, [*space.features, *twin]),
+                "grad_twin": array_udf(mine, [*twin, *space.features]),
             }
         )
 
@@ -446,7 +511,10 @@ def neuron_guided_search(
     start = seeds.select(
         "seed_id", *[q(f) for f in space.features], constant(0.0).alias("m1"), constant(1.0).alias("m2"), constant(-1.0).alias("m3")
     )
-    return guided_search(start, model, space, max_iter, local_rounds, gradients, next_move)
+    def pair(x: np.ndarray, twin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return mine(np.column_stack([x, twin])), mine(np.column_stack([twin, x]))
+
+    return guided_search(start, model, space, max_iter, local_rounds, gradients, next_move, pair)
 
 
 def random_rows(spark: SparkSession, n: int, space: SearchSpace) -> DataFrame:

@@ -38,7 +38,8 @@ from counterfair.plans.model_plans import (
 
 MAX_ITER = 10
 GUIDED_MOVES = 40
-LOCAL_ROUNDS = 4
+LOCAL_ROUNDS = 4  # of the queries whose SQL unrolls the rounds
+LOCAL_STEPS = 1000  # of a walker in the reference
 
 
 def seeds(spark, sf) -> DataFrame:
@@ -539,3 +540,48 @@ def _(spark, sf):
     adf = search.adf_search(seeds(spark, sf), formula_mlp(), space(spark, sf, ["reg"]), MAX_ITER, LOCAL_ROUNDS)
     timed = adf.withColumns({"trial": F.lit(0), "elapsed": F.col("step").cast("double")})
     return metrics.compare_report(timed, ["trial"], 100)
+
+
+# The searches at the reference's number of local steps. Their rounds are those that the SQL of the queries above checks.
+@query("g2_local_search_full")
+def _(spark, sf):
+    found = search.global_search(seeds(spark, sf), LOGISTIC, space(spark, sf, PROTECTED), 0, LOCAL_STEPS)
+    return found.drop("elapsed")
+
+
+@query("g1_global_search_network_full")
+def _(spark, sf):
+    found = search.global_search(seeds(spark, sf), formula_mlp(), space(spark, sf, PROTECTED), MAX_ITER, LOCAL_STEPS)
+    return found.drop("elapsed")
+
+
+@query("a12_report_of_search_full")
+def _(spark, sf):
+    where, start = space(spark, sf, PROTECTED), seeds(spark, sf)
+    found = search.global_search(start, formula_mlp(), where, MAX_ITER, LOCAL_STEPS)
+    scored = search.rescored(found, start, formula_mlp(), where)
+    return metrics.search_report(scored.withColumn("elapsed", F.col("step").cast("double")), ["phase"])
+
+
+@query("g4_adf_search_full")
+def _(spark, sf):
+    return search.adf_search(seeds(spark, sf), LOGISTIC, space(spark, sf, ["reg"]), MAX_ITER, LOCAL_STEPS)
+
+
+@query("g4_adf_search_network_full")
+def _(spark, sf):
+    return search.adf_search(seeds(spark, sf), formula_mlp(), space(spark, sf, ["reg"]), MAX_ITER, LOCAL_STEPS)
+
+
+@query("g5_neuron_guided_search_full")
+def _(spark, sf):
+    mask = mask_values(spark, sf)
+    where = space(spark, sf, ["reg"])
+    return search.neuron_guided_search(seeds(spark, sf), formula_mlp(), where, MASK_LAYER, mask, GUIDED_MOVES, LOCAL_STEPS)
+
+
+@query("a13_search_comparison_full")
+def _(spark, sf):
+    adf = search.adf_search(seeds(spark, sf), formula_mlp(), space(spark, sf, ["reg"]), MAX_ITER, LOCAL_STEPS)
+    timed = adf.withColumns({"trial": F.lit(0), "elapsed": F.col("step").cast("double")})
+    return metrics.compare_report(timed, ["trial"], 100)

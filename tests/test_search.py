@@ -119,3 +119,33 @@ def test_a_seed_with_a_null_feature_has_no_path(spark):
     assert measured[1] is None and measured[2] > 0
     picked = {r["seed_id"]: r["member"] for r in picks.partition_picks(rows, LOGISTIC, BOTH.domain, 0.025, F.col("seed_id")).collect()}
     assert picked[1] is None and picked[2] is not None
+
+
+@pytest.mark.parametrize("model", [LOGISTIC, formula_mlp()])
+def test_local_walks_in_one_pass_are_the_steps_repeated(seeds, model):
+    state = seeds.select("seed_id", F.lit(0).alias("origin"), F.lit(1).alias("spread"), *FEATURES, F.lit(1).alias("_t_seg"), F.lit(3).alias("_t_reg"))
+    got = search.local_search(state, model, BOTH, 5).collect()
+    want = {}
+    for step in range(5):
+        done = search.local_step(state, model, BOTH, step).cache()
+        for r in done.collect():
+            key = (r["bal"], r["n_ord"])
+            want[key] = min(want.get(key, (9,)), (step, r["seed_id"], r["k"], r["spread"]))
+        back = [F.when(F.col("_keep"), F.col(f)).otherwise(F.col(f"_at_{f}")).alias(f) for f in FEATURES]
+        spread = F.when(F.col("_keep"), F.col("spread")).otherwise(F.col("_spread")).alias("spread")
+        state = done.select("seed_id", "origin", spread, *back, "_t_seg", "_t_reg")
+    mine = {}
+    for r in got:
+        key = (r["bal"], r["n_ord"])
+        mine[key] = min(mine.get(key, (9,)), (r["step"], r["seed_id"], r["k"], r["spread"]))
+    assert mine == want
+
+
+def test_local_walks_take_all_steps_of_the_reference(seeds):
+    from counterfair.plans import search_plans
+
+    assert search_plans.LOCAL_STEPS == 1000
+    few = search.adf_search(seeds, formula_mlp(), REG, 1, search_plans.LOCAL_ROUNDS)
+    rows = search.adf_search(seeds, formula_mlp(), REG, 1, search_plans.LOCAL_STEPS).filter("phase = 'local'").collect()
+    assert max(r["step"] for r in rows) >= 50 and all(bool(r["disc"]) == flips(formula_mlp(), r) for r in rows)
+    assert sum(r["disc"] for r in rows) > few.filter("phase = 'local' AND disc = 1").count()
