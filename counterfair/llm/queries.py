@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from counterfair.llm import (
     context_tree,
+    divergence,
+    filters,
     fingerprint,
     jaccard,
     lines,
@@ -172,3 +174,89 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_context_tree_scores")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score_texts(read(spark, sf_dir, "documents"))
+
+
+FAILURES = {
+    "A": filters.few_words(200),
+    "B": filters.repeated_words(50),
+    "C": filters.many_capitals(3),
+    "D": filters.holds("[#$%&*|]"),
+}
+AUDIT_SQL = r"""WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (CASE WHEN len(words) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+    + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS fails
+  FROM w LEFT JOIN marks USING (doc_id)),
+counts AS (SELECT part, fails, count(*) AS n, sum(good) AS n_good, sum(toxic) AS n_toxic FROM m GROUP BY part, fails),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+steps AS (
+  SELECT filter_order, CAST(step AS INT) AS step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INT) AS state
+  FROM orders, range(1, 6) r(step)),
+audit AS (
+  SELECT part, filter_order, step, bit,
+    sum(n) FILTER (fails & (state | bit) = 0) AS kept,
+    sum(n) FILTER (fails & state = 0 AND fails & bit <> 0) AS removed,
+    sum(n) FILTER (fails & state <> 0 AND fails & bit <> 0) AS redundant,
+    sum(n) FILTER (fails = bit) AS unique_fails,
+    sum(n_good) FILTER (fails & state = 0 AND fails & bit <> 0) AS good_lost,
+    sum(n_toxic) FILTER (fails & state = 0 AND fails & bit <> 0) AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley
+FROM audit"""
+
+
+@query("op11_filter_audit", AUDIT_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return filters.filter_audit(docs, FAILURES, labels, copies="E")
+
+
+DIVERGENCE_SQL = r"""WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+t AS (SELECT lang, source, i, unnest(words) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT i) AS docs FROM t GROUP BY lang, source, term),
+k AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY lang, term HAVING sum(docs) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(total) AS nl FROM k GROUP BY lang),
+s AS (
+  SELECT g.lang, g.source, coalesce(v.v, 0) AS v, coalesce(v.nl, 0) AS nl,
+    coalesce((SELECT sum(c.n) FROM c JOIN k USING (lang, term) WHERE c.lang = g.lang AND c.source = g.source), 0) AS ns
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN v USING (lang)),
+grid AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (s.ns + s.v)::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (k.total + 1)) // (s.nl + s.v)::HUGEINT AS q
+  FROM s JOIN k USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM grid WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
+@query("op12_source_divergence", DIVERGENCE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(read(spark, sf_dir, "documents"))
