@@ -16,6 +16,7 @@ from counterfair.llm import (
     passages,
     quality,
     sentencepieces,
+    suffixes,
     vectors,
     warc,
 )
@@ -260,3 +261,31 @@ FROM ranked WHERE part = 'pair' OR rank <= 200"""
 @query("op12_source_divergence", DIVERGENCE_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(read(spark, sf_dir, "documents"))
+
+
+SUFFIX_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n_bytes FROM d),
+w AS (SELECT doc_id, s, substr(h, CAST(2 * s + 1 AS BIGINT), 100) AS g FROM n, LATERAL (SELECT unnest(range(0, n_bytes - 49)) AS s)),
+first AS (SELECT g, min(doc_id) AS m FROM w GROUP BY g),
+gone AS (SELECT doc_id, s FROM w JOIN first USING (g) WHERE doc_id > m),
+marked AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS new FROM gone),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM marked),
+spans AS (SELECT doc_id, island, min(s) AS a, max(s) + 50 AS b FROM numbered GROUP BY doc_id, island),
+edges AS (SELECT *, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM spans),
+cut AS (
+  SELECT n.doc_id, CAST(count(*) AS BIGINT) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed,
+    substr(any_value(h), 1, CAST(2 * min(a) AS BIGINT))
+      || string_agg(substr(h, CAST(2 * b + 1 AS BIGINT), CAST(2 * (coalesce(next, n_bytes) - b) AS BIGINT)), '' ORDER BY a) AS left_over
+  FROM edges JOIN n USING (doc_id) GROUP BY n.doc_id)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(left_over, h))) AS kept_sha256
+FROM n LEFT JOIN cut USING (doc_id)"""
+
+
+@query("op13_suffix_dedup", SUFFIX_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.suffix_dedup(read(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return out.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
