@@ -195,8 +195,8 @@ def _pairs(kept: DataFrame, sources: DataFrame, scale: int) -> DataFrame:
     def multiply(rows: pd.DataFrame, shape: pd.DataFrame) -> pd.DataFrame:
         shape = shape.sort_values("place")
         codes, names = pd.factorize(rows["term"])
-        if len(names) == 0:
-            return pd.DataFrame({"lang": [], "g": [], "h": [], "value": []})
+        if len(names) == 0 or len(shape) == 1:
+            return pd.DataFrame({c: np.zeros(0, dtype=object) for c in ("lang", "g", "h", "value")})
         counts = np.zeros((len(names), len(shape)), dtype=np.int64)
         counts[codes, rows["g"].to_numpy()] = rows["n"].to_numpy()
         low = int(shape["tile"].iloc[0]) * SOURCES
