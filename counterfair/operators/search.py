@@ -2,21 +2,25 @@
 
 One round advances every seed by one move. Rounds are narrow wherever the next move of a seed does
 not depend on other seeds; the shuffle by masked key happens once per round or once at the end. The
-frontier is checkpointed each round, so plans stay short and a lost executor restarts one round.
+frontier is checkpointed each round, so plans stay short and a lost executor restarts one round. Paths that depend on
+other seeds only by where they end are walked first and matched afterwards; walkers that share probabilities walk together.
 All choices come from md5 hashes of (seed, step), never from a task's random state.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import md5
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import BarrierTaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from counterfair.functions.scalar import (
@@ -406,35 +410,100 @@ def _flip_walk(starts: DataFrame, model, space: SearchSpace, max_rounds: int, pa
     return cut_lineage(walked.drop("elapsed"))
 
 
+def _partners(x: np.ndarray, model, space: SearchSpace) -> tuple[np.ndarray, np.ndarray]:
+    """Array form of ``_flip_view``: the partner's protected value, and whether some value changes the class."""
+    name = space.protected[0]
+    slot, lo = space.features.index(name), space.bounds[name][0]
+    p = variant_scores(x, space.features, model, space.domain)
+    own = (x[:, slot] - lo).astype(np.int64)
+    mine = np.take_along_axis(p, own[:, None], axis=1)
+    other = (p > 0.5) != (mine > 0.5)
+    flips = other.any(axis=1)
+    change = np.abs(np.maximum(p, 1 - p) - np.maximum(mine, 1 - mine))
+    np.put_along_axis(change, own[:, None], -1.0, axis=1)
+    farthest = np.where(change.max(axis=1) > 0, change.argmax(axis=1), own)
+    return np.where(flips, other.argmax(axis=1), farthest) + lo, flips
+
+
+def guided_paths(seeds: DataFrame, model, space: SearchSpace, max_iter: int, tags: tuple[str, ...], mover) -> DataFrame:
+    """(seed_id, step, features, flips, n_value): all positions of all seeds in one Arrow pass, whoever finds what.
+
+    ``mover()`` makes a function of (matrix, matrix with the partner's value, hashes of the step by tag) that returns
+    the move; it may remember earlier moves of the same rows. A seed with a NULL feature has no path.
+    """
+    features, steps = space.features, max_iter + 1
+    slot = features.index(space.protected[0])
+    low, high = (np.array([space.bounds[f][i] for f in features], dtype=float) for i in (0, 1))
+    seed_id = F.col("seed_id").cast("bigint")
+    hashes = [hash_int(F.lit(t), F.lit(space.salt), seed_id, F.lit(n)) for n in range(max_iter) for t in tags]
+    start = seeds.dropna(subset=features).select(
+        seed_id.alias("seed_id"), *[q(f).cast("double").alias(f) for f in features], F.array(*hashes).cast("array<bigint>").alias("_h")
+    )
+    names = ["seed_id", "step", *features, "flips", "n_value"]
+    schema = "seed_id BIGINT, step INT, " + ", ".join(f"`{f}` INT" for f in features) + ", flips BOOLEAN, n_value INT"
+
+    def walk(batches):
+        piece = max(1, MATRIX_ROWS // space.domain.size)
+        for batch in batches:
+            for at in range(0, batch.num_rows, piece):
+                rows = batch.slice(at, piece)
+                x = np.column_stack([rows.column(f).to_numpy(zero_copy_only=False) for f in features]).astype(float)
+                h = rows.column("_h").flatten().to_numpy(zero_copy_only=False).reshape(len(x), max_iter, len(tags))
+                move = mover()
+                for n in range(steps):
+                    value, flips = _partners(x, model, space)
+                    columns = [rows.column("seed_id"), pa.array(np.full(len(x), n), pa.int32())]
+                    columns += [pa.array(v.astype(np.int32)) for v in x.T]
+                    columns += [pa.array(flips), pa.array(value.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    if n < max_iter:
+                        twin = x.copy()
+                        twin[:, slot] = value
+                        x = np.clip(x + move(x, twin, h[:, n]), low, high)
+
+    return start.mapInArrow(walk, schema)
+
+
+def earliest_matches(edges: DataFrame, left: list[str], right: list[str], order: list[str]) -> DataFrame:
+    """The edges that a pass in ascending ``order`` takes, where each left and each right end can be taken once.
+
+    An edge that is the least left at both of its ends is taken whatever happens elsewhere, so each round takes all
+    of those and drops the other edges of their ends. ``order`` must differ between the edges of one end. Rounds end
+    with the edges, after as many rounds as there are different first values of ``order`` at most.
+    """
+    place = F.struct(*[q(c) for c in order])
+    rest, taken = cut_lineage(edges.withColumn("_place", place)), []
+    while True:
+        at_left = rest.groupBy(*left).agg(F.min("_place").alias("_l"))
+        at_right = rest.groupBy(*right).agg(F.min("_place").alias("_r"))
+        least = rest.join(at_left, left).join(at_right, right)
+        now = cut_lineage(least.where("_place = _l AND _place = _r").select(*rest.columns))
+        taken.append(now)
+        ends = [now.select(*[q(c) for c in side]) for side in (left, right)]
+        rest = cut_lineage(rest.join(ends[0], left, "left_anti").join(ends[1], right, "left_anti"))
+        if rest.isEmpty():
+            return union_tables(*taken).select(*[q(c) for c in edges.columns])
+
+
 def guided_search(
-    seeds: DataFrame, model, space: SearchSpace, max_iter: int, local_rounds: int, gradients, next_move, pair
+    seeds: DataFrame, model, space: SearchSpace, max_iter: int, local_rounds: int, tags: tuple[str, ...], mover, pair
 ) -> DataFrame:
     """Frame of the single-attribute searches: a seed stops at its first new find.
 
-    ``gradients(df)`` adds grad and grad_twin, ``pair(x, twin)`` gives them for matrices; ``next_move(df, parts)`` adds the array column _move.
-    Found keys collapse to the smallest seed per round and are anti-joined against earlier finds. Each
-    round writes its own finds only.
+    What others find only ends a seed's path, so all paths are walked to the end first. Finds are then the matches of
+    seeds with keys, earliest (step, seed) first, and a seed's positions count up to its find. ``pair(x, twin)`` gives
+    both gradients for the local walk.
     """
-    state_columns = [c for c in seeds.columns if c not in ("seed_id", *space.features)]
-    state = seeds.withColumn("seed_id", F.col("seed_id").cast("bigint"))
-    founds, tried = [], []
-    for step in range(max_iter + 1):
-        seen = cut_lineage(_flip_view(state, model, space))
-        tried.append(seen.select("seed_id", F.lit(step).alias("step"), *[q(f) for f in space.features], "flips"))
-        hits = seen.filter("flips").select("seed_id", F.lit(step).alias("step"), *[q(f) for f in space.features], "n_value")
-        earlier = [union_tables(*founds)] if founds else []
-        fresh = cut_lineage(not_seen(hits, space.key(), ["seed_id"], *earlier))
-        founds.append(fresh)
-        if step == max_iter:
-            break
-        # Seeds of earlier finds have left already; of this round's, each is in ``fresh`` at most once.
-        alive = seen.join(fresh.select("seed_id"), "seed_id", "left_anti")
-        parts = _hash_parts(space, "seed_id") + [F.lit(step)]
-        stepped = next_move(gradients(alive), parts)
-        state = _apply_move(stepped, space, "_move").select("seed_id", *[q(f) for f in space.features], *state_columns)
-    found = union_tables(*founds)
+    if len(space.protected) != 1:
+        raise ValueError("this search takes exactly one protected attribute")
+    paths = cut_lineage(guided_paths(seeds, model, space, max_iter, tags, mover))
+    first = Window.partitionBy("seed_id", *[q(f) for f in space.key()]).orderBy("step")
+    visits = paths.where("flips").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "flips")
+    found = cut_lineage(earliest_matches(visits, ["seed_id"], space.key(), ["step", "seed_id"]))
+    stops = found.select("seed_id", F.col("step").alias("_stop"))
+    tried = paths.join(stops, "seed_id", "left").where("_stop IS NULL OR step <= _stop").drop("_stop", "n_value")
     result = _single_found(found, space, "global")
-    visited = distinct_tries(union_tables(*tried), space, "global")
+    visited = distinct_tries(tried, space, "global")
     if local_rounds:
         starts = found.select("seed_id", "n_value", *[q(f) for f in space.features])
         walked = _flip_walk(starts, model, space, local_rounds, pair)
@@ -460,61 +529,55 @@ def _single_found(rows: DataFrame, space: SearchSpace, phase: str) -> DataFrame:
     return rows.select(F.lit(phase).alias("phase"), "seed_id", "step", *[q(f) for f in space.key()])
 
 
-def adf_search(seeds: DataFrame, model, space: SearchSpace, max_iter: int = 10, local_rounds: int = 0) -> DataFrame:
-    """Gradient-guided search on one protected attribute: (phase, seed_id, step, free features, disc)."""
-    name = space.protected[0]
+def _other_moves(move: np.ndarray, h: np.ndarray, space: SearchSpace) -> np.ndarray:
+    """Array form of ``_nonzero_move``; ``h`` holds the hashes for the feature and the sign."""
+    free = np.array([space.features.index(f) for f in space.free])
+    still = np.flatnonzero(~move.any(axis=1))
+    move[still, free[h[still, 0] % len(free)]] = np.where(h[still, 1] % 2 == 0, 1.0, -1.0)
+    return move
 
-    def gradients(df: DataFrame) -> DataFrame:
-        return _pair_gradients(df, model, space, {name: F.col("n_value")})
 
-    def next_move(df: DataFrame, parts: list[Column]) -> DataFrame:
-        move = sign_move(F.col("grad"), F.col("grad_twin"), space.movable())
-        return _nonzero_move(df, move, space, parts)
+def adf_search(seeds: DataFrame, model, space: SearchSpace, max_iter: int = 10, local_rounds: int = 0) -> DataFrame:
+    """Gradient-guided search on one protected attribute: (phase, seed_id, step, free features, disc)."""
+    movable = np.array([0.0 if f in space.protected else 1.0 for f in space.features])
 
     def pair(x: np.ndarray, twin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return model.gradient(x), model.gradient(twin)
 
+    def mover():
+        return lambda x, twin, h: _other_moves(_agreeing_move(*pair(x, twin), movable), h, space)
+
     start = seeds.select("seed_id", *[q(f) for f in space.features])
-    return guided_search(start, model, space, max_iter, local_rounds, gradients, next_move, pair)
+    return guided_search(start, model, space, max_iter, local_rounds, ("feature", "sign"), mover, pair)
 
 
 def neuron_guided_search(
     seeds: DataFrame, model, space: SearchSpace, layer: int, mask: list[int], max_iter: int = 40, local_rounds: int = 0
 ) -> DataFrame:
     """As ``adf_search`` with gradients of masked hidden vectors and a hashed restart on oscillation."""
-    name = space.protected[0]
-    width, n = len(space.features), len(space.features)
-    twin = [f"_t_{f}" if f in space.protected else f for f in space.features]
-
-    def mine(x):
-        return model.pair_gradient(x[:, :width], x[:, width:], layer, np.asarray(mask, dtype=float))
-
-    def gradients(df: DataFrame) -> DataFrame:
-        return df.withColumn(f"_t_{name}", F.col("n_value")).withColumns(
-            {
-                "grad": array_udf(mine, [*space.features, *twin]),
-                "grad_twin": array_udf(mine, [*twin, *space.features]),
-            }
-        )
-
-    def constant(value: float) -> Column:
-        return F.array(*[F.lit(value) for _ in range(n)])
-
-    def next_move(df: DataFrame, parts: list[Column]) -> DataFrame:
-        signs = F.transform("grad", lambda g: F.signum(g))
-        stuck = ~F.exists("grad", lambda g: g != 0) | (F.col("m1") == F.col("m3"))
-        shuffled = F.array(*[(hash_int(F.lit(f), *parts) % 3 - 1).cast("double") for f in space.features])
-        move = F.zip_with(F.when(stuck, shuffled).otherwise(signs), space.movable(), lambda a, b: a * b)
-        moved = picks.pinned(df, {"_move": move})
-        return moved.withColumns({"m1": F.col("m2"), "m2": F.col("m3"), "m3": F.col("_move")})
-
-    start = seeds.select(
-        "seed_id", *[q(f) for f in space.features], constant(0.0).alias("m1"), constant(1.0).alias("m2"), constant(-1.0).alias("m3")
-    )
+    keep = np.asarray(mask, dtype=float)
+    movable = np.array([0.0 if f in space.protected else 1.0 for f in space.features])
+
     def pair(x: np.ndarray, twin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return mine(np.column_stack([x, twin])), mine(np.column_stack([twin, x]))
+        return model.pair_gradient(x, twin, layer, keep), model.pair_gradient(twin, x, layer, keep)
+
+    def mover():
+        before: list[np.ndarray] = []  # the last three moves, at first 0, 1 and -1 everywhere
+
+        def move(x: np.ndarray, twin: np.ndarray, h: np.ndarray) -> np.ndarray:
+            if not before:
+                before.extend(np.full(x.shape, v) for v in (0.0, 1.0, -1.0))
+            grad = model.pair_gradient(x, twin, layer, keep)
+            stuck = ~grad.any(axis=1) | (before[0] == before[2]).all(axis=1)
+            now = np.where(stuck[:, None], (h % 3 - 1).astype(float), np.sign(grad)) * movable
+            before.append(now)
+            before.pop(0)
+            return now
 
-    return guided_search(start, model, space, max_iter, local_rounds, gradients, next_move, pair)
+        return move
+
+    start = seeds.select("seed_id", *[q(f) for f in space.features])
+    return guided_search(start, model, space, max_iter, local_rounds, tuple(space.features), mover, pair)
 
 
 def random_rows(spark: SparkSession, n: int, space: SearchSpace) -> DataFrame:
@@ -575,29 +638,103 @@ def random_step(walkers: DataFrame, model, space: SearchSpace, weights: WalkWeig
     return _flip_view(moved, model, space).drop("n_value")
 
 
+def _rounds_together(rows: list, walk_round, rounds: int) -> Iterator:
+    """Each round of this task's walkers, then its counts to all tasks and theirs back."""
+    context = BarrierTaskContext.get()
+    for step in range(rounds):
+        positions, counts = walk_round(step)
+        yield positions
+        heard = [json.loads(m) for m in context.allGather(json.dumps(counts))]
+        total: dict[tuple[int, int], list[int]] = {}
+        for told in heard:
+            for at, direction, good, bad in told:
+                held = total.setdefault((at, direction), [0, 0])
+                held[0], held[1] = held[0] + good, held[1] + bad
+        rows.append([(*k, *v) for k, v in sorted(total.items())])
+
+
+def adaptive_walk(starts: DataFrame, model, space: SearchSpace, rounds: int) -> DataFrame:
+    """All rounds of the adaptive walk as one barrier stage: the positions tried, (seed_id, step, features, flips).
+
+    The same as repeating ``random_step`` and updating the shared weights. Walkers stay in their tasks; after each round the
+    tasks tell each other their success counts (a few numbers per feature), and all update the weights alike. There
+    are as many tasks as cores, all of which must run at once. Of equal masked keys in a task only the earliest
+    (step, seed) is returned. A lost task restarts the stage, with the same choices.
+    """
+    features = space.features
+    free = [features.index(f) for f in space.free]
+    low, high = (np.array([space.bounds[f][i] for f in features], dtype=float) for i in (0, 1))
+    start = starts.select(
+        F.col("seed_id").cast("bigint").alias("seed_id"),
+        F.concat_ws("|", F.lit(space.salt), "seed_id", F.lit("walk")).alias("_head"),
+        *[q(f).cast("double").alias(f) for f in features],
+    )
+    names = ["seed_id", "step", *features, "flips"]
+    schema = "seed_id BIGINT, step INT, " + ", ".join(f"`{f}` INT" for f in features) + ", flips BOOLEAN"
+
+    def walk(batches):
+        mine = [b.to_pandas() for b in batches]  # a task without walkers still takes part in every exchange
+        held = pd.concat(mine) if mine else pd.DataFrame(columns=["seed_id", "_head", *features])
+        held = held.sort_values("seed_id", kind="stable")
+        ids, heads = held["seed_id"].to_numpy(dtype=np.int64), held["_head"].tolist()
+        state = {"x": held[features].to_numpy(dtype=float), "was": np.ones(len(held), dtype=bool)}
+        weights, told, seen = WalkWeights.uniform(len(features)), [], set()
+        lines = np.arange(len(held))
+
+        def units(tag: str, step: int) -> np.ndarray:
+            return np.array([int(md5(f"{tag}|{h}|{step}".encode()).hexdigest()[:8], 16) for h in heads]) / 4294967296.0
+
+        def walk_round(step: int):
+            if told:
+                weights.update(told.pop())
+            x, was = state["x"], state["was"]
+            probs = np.array(weights.feature)
+            upto = np.cumsum(probs)
+            hit = (probs > 0) & (upto > units("feature", step)[:, None] * upto[-1])
+            at = np.where(hit.any(axis=1), hit.argmax(axis=1), -1)
+            value = x[lines, at]
+            chance = np.where((value == low[at]) | (value == high[at]), 0.5, np.array(weights.down)[at])
+            direction = np.where(units("direction", step) < chance, -1, 1)
+            tried = np.clip(x + np.where(np.arange(len(features)) == at[:, None], direction[:, None], 0), low, high)
+            flips = np.zeros(len(tried), dtype=bool)
+            piece = max(1, MATRIX_ROWS // space.domain.size)
+            for s in range(0, len(tried), piece):
+                flips[s : s + piece] = _partners(tried[s : s + piece], model, space)[1]
+            new = []
+            for i, key in enumerate(map(bytes, np.ascontiguousarray(tried[:, free].astype(np.int64)))):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(i)
+            columns = [pa.array(ids[new], pa.int64()), pa.array(np.full(len(new), step), pa.int32())]
+            columns += [pa.array(v.astype(np.int32)) for v in tried[new].T] + [pa.array(flips[new], pa.bool_())]
+            counts = [
+                [int(a), int(d), int((flips & mine).sum()), int((~flips & mine).sum())]
+                for a in np.unique(at).tolist()
+                for d in (-1, 1)
+                if (mine := (at == a) & (direction == d)).any()
+            ]
+            keep = flips | ~was | (units("accept", step) < LEAVE)
+            state["x"], state["was"] = np.where(keep[:, None], tried, x), np.where(keep, flips, was)
+            return pa.RecordBatch.from_arrays(columns, names=names), counts
+
+        yield from _rounds_together(told, walk_round, rounds)
+
+    tasks = starts.sparkSession.sparkContext.defaultParallelism
+    return start.repartition(tasks).mapInArrow(walk, schema, barrier=True)
+
+
 def random_search(
     spark: SparkSession, model, space: SearchSpace, samples: int, local_rounds: int = 0
 ) -> DataFrame:
-    """Uniform global sampling, then an adaptive local walk from every find.
-
-    Result as in ``adf_search``. Only per-feature success counts reach the driver between rounds.
-    """
+    """Uniform global sampling, then an adaptive local walk from every find; result as in ``adf_search``."""
     drawn = cut_lineage(_flip_view(random_rows(spark, samples, space), model, space))
     tried = drawn.withColumn("step", F.lit(0))
     found = cut_lineage(not_seen(tried.filter("flips").drop("n_value"), space.key(), ["seed_id"]))
     visited = distinct_tries(tried, space, "global")
     result = _single_found(found, space, "global")
     if local_rounds:
-        weights = WalkWeights.uniform(len(space.features))
-        walkers, walked = found.select("seed_id", *[q(f) for f in space.features], F.lit(True).alias("flips")), []
-        for step in range(local_rounds):
-            done = cut_lineage(random_step(walkers, model, space, weights, step))
-            good = F.col("flips").cast("int")
-            counts = done.groupBy("at", "direction").agg(F.sum(good).alias("g"), F.sum(1 - good).alias("b"))
-            weights.update([(r["at"], r["direction"], r["g"], r["b"]) for r in counts.orderBy("at", "direction").collect()])
-            walked.append(done.withColumn("step", F.lit(step)).select("seed_id", "step", *[q(f) for f in space.features], "flips"))
-            walkers = _kept_position(done, space.features, _walk_parts(space, step)).drop("at", "direction")
-        steps = union_tables(*walked)
+        # The shuffle by key ends the barrier stage: a failed task restarts it, which a stage of results would not.
+        steps = cut_lineage(not_seen(adaptive_walk(found, model, space, local_rounds), space.key(), ["step", "seed_id"]))
         fresh = not_seen(steps.filter("flips"), space.key(), ["step", "seed_id"], found)
         result = result.unionByName(_single_found(fresh, space, "local"))
         visited = visited.unionByName(distinct_tries(steps, space, "local", visited))

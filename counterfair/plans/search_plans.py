@@ -585,3 +585,9 @@ def _(spark, sf):
     adf = search.adf_search(seeds(spark, sf), formula_mlp(), space(spark, sf, ["reg"]), MAX_ITER, LOCAL_STEPS)
     timed = adf.withColumns({"trial": F.lit(0), "elapsed": F.col("step").cast("double")})
     return metrics.compare_report(timed, ["trial"], 100)
+
+
+@query("g3_random_search_walk_full")
+def _(spark, sf):
+    samples = table(spark, sf, "customer").count()
+    return search.random_search(spark, formula_mlp(), space(spark, sf, ["reg"]), samples, LOCAL_STEPS)

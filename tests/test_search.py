@@ -149,3 +149,54 @@ def test_local_walks_take_all_steps_of_the_reference(seeds):
     rows = search.adf_search(seeds, formula_mlp(), REG, 1, search_plans.LOCAL_STEPS).filter("phase = 'local'").collect()
     assert max(r["step"] for r in rows) >= 50 and all(bool(r["disc"]) == flips(formula_mlp(), r) for r in rows)
     assert sum(r["disc"] for r in rows) > few.filter("phase = 'local' AND disc = 1").count()
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_adaptive_walk_in_one_stage_is_the_rounds_repeated(spark, seeds, few):
+    model, rounds = formula_mlp(), 6
+    starts = seeds.where("seed_id < 2") if few else seeds  # fewer walkers than tasks, too
+    got = search.adaptive_walk(starts, model, REG, rounds).collect()
+    weights, want = search.WalkWeights.uniform(len(FEATURES)), {}
+    walkers = starts.withColumn("flips", F.lit(True))
+    for step in range(rounds):
+        done = search.random_step(walkers, model, REG, weights, step).cache()
+        rows = done.orderBy("seed_id").collect()
+        counts = {}
+        for r in rows:
+            held = counts.setdefault((r["at"], r["direction"]), [0, 0])
+            held[not r["flips"]] += 1
+            key = (r["seg"], r["bal"], r["n_ord"])
+            want[key] = min(want.get(key, (99,)), (step, r["seed_id"], r["flips"]))
+        weights.update([(*k, *v) for k, v in sorted(counts.items())])
+        walkers = search._kept_position(done, FEATURES, search._walk_parts(REG, step)).drop("at", "direction")
+    mine = {}
+    for r in got:
+        key = (r["seg"], r["bal"], r["n_ord"])
+        mine[key] = min(mine.get(key, (99,)), (r["step"], r["seed_id"], r["flips"]))
+    assert mine == want
+
+
+def test_earliest_matches_are_those_of_one_pass_in_order(spark):
+    rng = np.random.default_rng(3)
+    edges = {(int(rng.integers(0, 12)), int(s), int(rng.integers(0, 25))) for s in rng.integers(0, 40, 300)}
+    edges = {(t, s): k for t, s, k in edges}  # one key per seed and step
+    frame = spark.createDataFrame([(t, s, k) for (t, s), k in edges.items()], "step INT, seed_id INT, k INT")
+    seeds_taken, keys_taken, want = set(), set(), set()
+    for (t, s), k in sorted(edges.items()):
+        if s not in seeds_taken and k not in keys_taken:
+            seeds_taken.add(s)
+            keys_taken.add(k)
+            want.add((t, s, k))
+    assert {tuple(r) for r in search.earliest_matches(frame, ["seed_id"], ["k"], ["step", "seed_id"]).collect()} == want
+    assert search.earliest_matches(frame.limit(0), ["seed_id"], ["k"], ["step", "seed_id"]).count() == 0
+
+
+def test_a_guided_seed_stops_at_its_first_new_find(spark, seeds):
+    model = formula_mlp()
+    rows = search.adf_search(seeds, model, REG, max_iter=6).collect()
+    hits = [(r["step"], r["seed_id"]) for r in rows if r["disc"]]
+    stop = {s: t for t, s in hits}
+    assert len(stop) == len(hits) and all(r["step"] <= stop.get(r["seed_id"], 99) for r in rows)
+    odd = spark.createDataFrame([(1, 2, None, 5, 9), (2, 2, 2, 5, 9)], "seed_id BIGINT, seg INT, reg INT, bal INT, n_ord INT")
+    assert {r["seed_id"] for r in search.adf_search(odd, model, REG, 2).collect()} == {2}
+    assert search.adf_search(odd.limit(0), model, REG, 2).count() == 0
