@@ -32,14 +32,14 @@ from counterfair.llm.words import mix
 K = 26
 CHUNK_BYTES = 8 << 20
 PART_BYTES = 8 << 20
-BLOCK = 1 << 19  # window starts hashed at a time
+BLOCK = 1 << 16  # window starts hashed at a time
 HOT = 32  # chunks
 STRATUM = 5  # neighbouring windows of a hot run that meet in one part
 _BITS = np.random.Generator(np.random.PCG64(77))
 _BYTE = _BITS.integers(0, 2**64, 256, dtype=np.uint64)
 _WORD = _BITS.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_PLACE = np.uint64((1 << 20) - 1)
+_PLACE = np.uint64((1 << 17) - 1)
 CHUNK = "chunk BIGINT, n_bytes BIGINT, ids BINARY, sizes BINARY, body BINARY"
 SENT = "chunk BIGINT, part INT, kind INT, n INT, data BINARY"
 
@@ -102,16 +102,16 @@ def pack_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rolled(data: np.ndarray, width: int) -> np.ndarray:
-    """Hash of the ``width`` bytes from each place on, by doubling."""
-    n = len(data) - width + 1
+    """Hash of the ``width`` bytes from each place on (of each row), by doubling."""
+    n = data.shape[-1] - width + 1
     power, step, done = _BYTE[data], 1, 0
-    out = np.zeros(n, dtype=np.uint64)
+    out = np.zeros((*data.shape[:-1], n), dtype=np.uint64)
     while step <= width:
         if width & step:
-            out = out * np.uint64(pow(int(_BASE), step, 1 << 64)) + power[done : done + n]
+            out = out * np.uint64(pow(int(_BASE), step, 1 << 64)) + power[..., done : done + n]
             done += step
         if 2 * step <= width:
-            power = power[:-step] * np.uint64(pow(int(_BASE), step, 1 << 64)) + power[step:]
+            power = power[..., :-step] * np.uint64(pow(int(_BASE), step, 1 << 64)) + power[..., step:]
         step *= 2
     return mix(out)
 
@@ -146,7 +146,7 @@ def leaders(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarra
         runs = lead[cut[:-1]]
         some = runs >= 0
         places.append(runs[some] + start)
-        keys.append(hashes[runs[some]])
+        keys.append(mix(hashes[runs[some]]))  # least hashes are small: mixed again, they fill the key space evenly
         lows.append(cut[:-1][some] + start)
         highs.append(cut[1:][some] - 1 + start)
     if not places:
@@ -160,7 +160,7 @@ def leaders(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarra
 
 def _distinct(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and whether more than one document id holds each."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, ids = keys[order], ids[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
     if len(first) == 0:
@@ -238,7 +238,7 @@ def _contexts(chunk: Chunk, low: np.ndarray, high: np.ndarray, width: int, wide:
     return out, (high - low + 1).astype(np.uint8)
 
 
-def _candidates(chunk: Chunk, answers: pd.DataFrame, width: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _candidates(chunk: Chunk, answers: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, first and last windows of all runs that more than one document holds; those of hot runs in strata."""
     at, keys, low, high = leaders(chunk.data, chunk.bounds, width)
     known, _ = _distinct(keys, chunk.ids[_owners(chunk, at)])
@@ -263,26 +263,31 @@ def _candidates(chunk: Chunk, answers: pd.DataFrame, width: int, bits: int) -> t
     return keys, low, high
 
 
+def _records(chunk: Chunk, answers: pd.DataFrame, width: int) -> tuple[np.ndarray, ...]:
+    """Occurrences (keys, first windows) in the order of their contexts, where each distinct context begins, its text and windows."""
+    keys, low, high = _candidates(chunk, answers, width)
+    wide = -(-(2 * width - K) // 8) * 8
+    text, windows = _contexts(chunk, low, high, width, wide)
+    code = _context_hash(text.view(np.uint64), windows)
+    order = np.lexsort((low, code, keys))
+    keys, code, low = keys[order], code[order], low[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (code[1:] != code[:-1])
+    heads = np.flatnonzero(new)
+    return keys, low, heads, text[order[heads]], windows[order[heads]]
+
+
 def _send_contexts(rows: pd.DataFrame, answers: pd.DataFrame, width: int, bits: int) -> pd.DataFrame:
-    """One record per distinct context of the chunk to its part, and (part -1) the chunk's own list of occurrences."""
+    """One record per distinct context of the chunk to its part."""
     schema = ["chunk", "part", "kind", "n", "data"]
     if len(rows) == 0:
         return pd.DataFrame(columns=schema)
     chunk = Chunk(*rows.iloc[0][["ids", "sizes", "body"]])
-    keys, low, high = _candidates(chunk, answers, width, bits)
-    if len(keys) == 0:
+    keys, low, heads, text, windows = _records(chunk, answers, width)
+    if len(heads) == 0:
         return pd.DataFrame(columns=schema)
-    wide = -(-(2 * width - K) // 8) * 8
-    text, windows = _contexts(chunk, low, high, width, wide)
-    code = _context_hash(text.view(np.uint64), windows)
-    order = np.lexsort((code, keys))
-    keys, code, low = keys[order], code[order], low[order]
-    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (code[1:] != code[:-1])])
-    heads = np.flatnonzero(new)
     ids = chunk.ids[_owners(chunk, low)]
     least, most = np.minimum.reduceat(ids, heads), np.maximum.reduceat(ids, heads)
-    picked = order[heads]
-    text, windows = text[picked], windows[picked]
     edges = _by_part(keys[heads], bits)
     some = np.flatnonzero(np.diff(edges))
     data = []
@@ -290,9 +295,7 @@ def _send_contexts(rows: pd.DataFrame, answers: pd.DataFrame, width: int, bits:
         s = slice(edges[p], edges[p + 1])
         data.append(_pack_all(text[s], windows[s], least[s], most[s] - least[s]))
     name = rows["chunk"].iloc[0]
-    sent = pd.DataFrame({"chunk": name, "part": some, "kind": 2, "n": np.diff(edges)[some], "data": data})
-    own = _pack_all(low.astype("<i8"), np.diff(np.append(heads, len(low))).astype("<i4"))
-    return pd.concat([sent, pd.DataFrame({"chunk": [name], "part": [-1], "kind": [3], "n": [len(heads)], "data": [own]})])
+    return pd.DataFrame({"chunk": name, "part": some, "kind": 2, "n": np.diff(edges)[some], "data": data})
 
 
 def suffix_array(text: np.ndarray, row: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -374,12 +377,9 @@ def _repeats(rows: pd.DataFrame, width: int, listed: bool) -> pd.DataFrame:
     row = np.repeat(np.arange(len(windows), dtype=np.int64), windows)
     first = np.concatenate([[0], np.cumsum(windows, dtype=np.int64)])[:-1]
     at = np.arange(len(row), dtype=np.int64) - np.repeat(first, windows)
-    begin = np.zeros(len(row), dtype=np.uint64)
-    flat = text.ravel()
-    place = row * wide + at
-    base = np.uint64(_BASE)
-    for j in range(width):
-        begin = begin * base + _BYTE[flat[place + j]]
+    starts = np.arange(text.shape[1] - width + 1)
+    begin = [_rolled(text[s : s + 4096], width)[starts < windows[s : s + 4096, None]] for s in range(0, len(text), 4096)]
+    begin = np.concatenate(begin) if begin else np.zeros(0, dtype=np.uint64)
     order = np.argsort(begin)
     alike = begin[order[1:]] == begin[order[:-1]]
     shared = order[np.concatenate([alike, [False]]) | np.concatenate([[False], alike])] if len(order) else order
@@ -427,13 +427,13 @@ def _repeats(rows: pd.DataFrame, width: int, listed: bool) -> pd.DataFrame:
     return pd.DataFrame({"chunk": rows["chunk"], "part": rows["part"], "kind": 4, "n": rows["n"], "data": back})
 
 
-def _told(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+def _told(chunk: Chunk, rows: pd.DataFrame, width: int) -> tuple[np.ndarray, ...]:
     """Occurrences of a chunk's repeats: start, length, least id of the repeat, its number."""
-    own = rows[rows["kind"] == 3]
-    if len(own) == 0:
+    if len(rows) == 0:
         return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
-    low, count = _unpack_all(own["data"].iloc[0], "<i8", "<i4")
-    first = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+    _, low, heads, _, _ = _records(chunk, rows[rows["kind"] == 1], width)
+    first = np.append(heads, len(low))
+    count = np.diff(first)
     back = rows[rows["kind"] == 4].sort_values("part")
     out, base = [], 0
     for n, data in zip(back["n"].tolist(), back["data"]):
@@ -451,10 +451,10 @@ def _told(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
 KEPT = "doc_id BIGINT, kept BINARY, n_bytes BIGINT, spans ARRAY<STRUCT<start: BIGINT, stop: BIGINT>>"
 
 
-def _cut(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+def _cut(rows: pd.DataFrame, told: pd.DataFrame, width: int) -> pd.DataFrame:
     """Each document without the bytes that a repeat with a smaller least id covers."""
     chunk = Chunk(*rows.iloc[0][["ids", "sizes", "body"]])
-    start, size, owner, _ = _told(told)
+    start, size, owner, _ = _told(chunk, told, width)
     if len(start):
         gone = chunk.ids[_owners(chunk, start)] > owner
         start, size = start[gone], size[gone]
@@ -479,9 +479,9 @@ def _cut(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
 LISTED = "repeat_id BIGINT, length INT, doc_id BIGINT, start BIGINT"
 
 
-def _listed(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+def _listed(rows: pd.DataFrame, told: pd.DataFrame, width: int) -> pd.DataFrame:
     chunk = Chunk(*rows.iloc[0][["ids", "sizes", "body"]])
-    start, size, _, number = _told(told)
+    start, size, _, number = _told(chunk, told, width)
     owner = _owners(chunk, start)
     return pd.DataFrame({"repeat_id": number, "length": size, "doc_id": chunk.ids[owner], "start": start - chunk.bounds[owner]})
 
@@ -499,13 +499,12 @@ def _exchanged(docs: DataFrame, text: str, key: str, width: int, listed: bool) -
         parts *= 2
     bits = parts.bit_length() - 1
     sent = chunks.mapInArrow(lambda b: _send_keys(b, width, bits), SENT)
-    answers = sent.groupBy("part").applyInPandas(_answer_keys, SENT)
+    answers = staged(sent.groupBy("part").applyInPandas(_answer_keys, SENT), "suffix-answers")
     contexts = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
         lambda a, b: _send_contexts(a, b, width, bits), SENT
     )
-    contexts = staged(contexts, "suffix-contexts")
-    told = contexts.where("part >= 0").groupBy("part").applyInPandas(lambda p: _repeats(p, width, listed), SENT)
-    return chunks, told.unionByName(contexts.where("part < 0"))
+    told = contexts.groupBy("part").applyInPandas(lambda p: _repeats(p, width, listed), SENT)
+    return chunks, told.unionByName(answers)
 
 
 def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 50) -> DataFrame:
@@ -518,7 +517,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", width
     another lose bytes. Other columns are not read; an empty table gives no rows.
     """
     chunks, told = _exchanged(docs, text, key, width, listed=False)
-    cut = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_cut, KEPT)
+    cut = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(lambda a, b: _cut(a, b, width), KEPT)
     loose = docs.where(F.col(key).isNull()).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("kept"))
     loose = loose.select("doc_id", "kept", F.octet_length("kept").cast("long").alias("n_bytes"), F.array().cast(KEPT.split("spans ")[1].lower()).alias("spans"))
     return cut.unionByName(loose)
@@ -533,4 +532,4 @@ def maximal_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     over. Rows without id and other columns are left out.
     """
     chunks, told = _exchanged(docs, text, key, width, listed=True)
-    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_listed, LISTED)
+    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(lambda a, b: _listed(a, b, width), LISTED)

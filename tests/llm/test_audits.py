@@ -192,9 +192,8 @@ def _plain_parts(rows, width, bits):
     sent = pd.concat([b.to_pandas() for b in suffixes._send_keys([pa.RecordBatch.from_pandas(table)], width, bits)])
     answers = pd.concat([suffixes._answer_keys(g) for _, g in sent.groupby("part")])
     contexts = pd.concat([suffixes._send_contexts(table[table["chunk"] == n], answers[answers["chunk"] == n], width, bits) for n in table["chunk"]])
-    told = [suffixes._repeats(g, width, False) for p, g in contexts.groupby("part") if p >= 0]
-    told = pd.concat([*told, contexts[contexts["part"] < 0]])
-    return pd.concat([suffixes._cut(table[table["chunk"] == n], told[told["chunk"] == n]) for n in table["chunk"]]), contexts
+    told = pd.concat([*(suffixes._repeats(g, width, False) for _, g in contexts.groupby("part")), answers])
+    return pd.concat([suffixes._cut(table[table["chunk"] == n], told[told["chunk"] == n], width) for n in table["chunk"]]), contexts
 
 
 @pytest.mark.parametrize("hot", [2, 5, 10_000])
