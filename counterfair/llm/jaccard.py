@@ -19,7 +19,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from counterfair.llm.common import staged
 from counterfair.llm.components import components
@@ -143,17 +142,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     The set of a text is its distinct runs of ``width`` words (fewer words: the whole sequence); sets link when
     100 * intersection >= percent * union. ``component_id`` is the smallest id reachable by links. A null, empty or
     blank text has the empty set and links with nothing; a row without id links with nothing and has no component;
-    rows that repeat an id are one node of the graph.
+    rows that repeat an id are one node of the graph, whatever their texts. A very long text is one row of a chunk of its
+    own; an empty table gives no rows; other columns are not read.
     """
-    sets = staged(shingle_sets(docs, text, key, width, percent), "jaccard-sets")
-    able = sets.where("core IS NOT NULL AND doc_id IS NOT NULL")
-    classes = staged(able.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rid")), "jaccard-classes")
-    held = able.join(classes, ["n", "s1", "s2"]).where("doc_id = rid").select("rid", "n", "core", "s1", "s2")
-    one = Window.partitionBy("rid", "s1", "s2").orderBy("n")
-    held = held.withColumn("_r", F.row_number().over(one)).where("_r = 1").drop("_r", "s1", "s2")
-    found = components(class_links(held, percent))
-    named = classes.join(found, F.col("rid") == F.col("node"), "left")
-    named = named.select("n", "s1", "s2", F.coalesce("component", "rid").alias("c"))
-    out = sets.join(named, ["n", "s1", "s2"], "left")
+    sets = shingle_sets(docs, text, key, width, percent)
+    # A class has a key of its own: an id may lead several. Sets that cannot link are classes of their id alone.
+    alone = F.xxhash64(F.lit("alone"), "doc_id")
+    sets = sets.withColumn("ck", F.when(F.col("core").isNotNull(), F.xxhash64("n", "s1", "s2")).otherwise(alone)).drop("s1", "s2")
+    sets = staged(sets, "jaccard-sets")
+    known = sets.where("doc_id IS NOT NULL")
+    classes = staged(known.groupBy("ck").agg(F.min("doc_id").alias("first")), "jaccard-classes")
+    able = known.where("core IS NOT NULL").join(classes, "ck").where("doc_id = first")
+    held = able.groupBy("ck").agg(F.min(F.struct("n", "core")).alias("m")).select(F.col("ck").alias("rid"), "m.*")
+    # Classes of one id are one node: edges from each to the least of them.
+    several = known.groupBy("doc_id").agg(F.min("ck").alias("a"), F.max("ck").alias("b")).where("a <> b").drop("b")
+    same_id = known.select("doc_id", F.col("ck").alias("b")).join(several, "doc_id").where("a <> b").select("a", "b")
+    found = staged(components(class_links(held, percent).union(same_id)), "jaccard-components")
+    least = found.join(classes, F.col("node") == F.col("ck")).groupBy("component").agg(F.min("first").alias("c"))
+    named = found.join(least, "component").select(F.col("node").alias("ck"), "c")
+    named = classes.join(named, "ck", "left").select("ck", F.coalesce("c", "first").alias("c"))
+    out = sets.join(named, "ck", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -34,3 +34,20 @@ def test_stage_takes_odd_tables(spark, odd, empty, name):
     stage = dict(corpus_pipeline.STAGES)[name]
     assert stage(spark, empty, SF_DIR).count() == 0
     assert stage(spark, odd, SF_DIR).count() > 0
+
+
+def test_tokens_carry_the_order_of_the_mix_over_several_files(spark):
+    from pyspark.sql import functions as F
+
+    from counterfair.llm import mixing
+    from counterfair.llm.queries import MIX_BLOCK, MIX_WEIGHTS
+
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    mixed = mixing.mix(docs, MIX_WEIGHTS, block_rows=MIX_BLOCK)
+    want = [r["doc_id"] for r in mixed.select("position", "row.doc_id").orderBy("position").collect()]
+    ordered = mixed.repartitionByRange(7, "position").sortWithinPartitions("position").select("row.*")
+    table = staged(ordered, "order-test")
+    assert table.select(F.input_file_name()).distinct().count() > 3
+    got = corpus_pipeline.encode(spark, table, SF_DIR).select("position", "doc_id").collect()
+    assert sorted(r["position"] for r in got) == list(range(len(want)))
+    assert [r["doc_id"] for r in sorted(got)] == want

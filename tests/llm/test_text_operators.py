@@ -318,3 +318,34 @@ def test_tokens_odd(odd, empty, library):
     assert {r["doc_id"]: r["ids"] for r in out}[8] == library.encode("é▁日本語 😀 \x00 end")
     assert {r["doc_id"]: r["ids"] for r in out}[5] == []
     assert sentencepieces.encode(empty).count() == 0
+
+
+def test_rows_of_one_id_are_one_node(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (9, b), (9, ""), (20, c), (21, c), (20, b), (30, None), (30, c + " end"), (40, "")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {*((i, 1) for i in (1, 5, 9, 20, 21, 30)), (40, 40)}
+
+
+def test_both_texts_of_an_id_stay_sets_of_their_own(spark):
+    """Two texts of equal size led by one id: a third text like their union alone links with neither."""
+    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a)), (3, " ".join(b)), (7, " ".join(a[:20] + b[:20]))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 7}
+
+
+def test_models_that_normalise_are_refused(monkeypatch):
+    real = sentencepiece.SentencePieceProcessor
+
+    class Normalising(real):
+        def encode(self, text, **kw):
+            import unicodedata
+
+            return super().encode(unicodedata.normalize("NFKC", text), **kw)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Normalising)
+    sentencepieces.load.cache_clear()
+    with pytest.raises(ValueError, match="normalise"):
+        sentencepieces.load(sentencepieces.default_model())
+    sentencepieces.load.cache_clear()
