@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 
 from counterfair.functions.scalar import (
     format_request,
-    fuzzy_closest,
     has_all_keys,
     is_json_object,
     json_parse_status,
     q,
     too_similar,
 )
+from counterfair.operators.fuzzy import closest_values
 from counterfair.operators.joins import pair_by_position
 from counterfair.operators.prepare import union_tables
-from counterfair.session import broadcast_if_small, cut_lineage
+from counterfair.session import cut_lineage
 
 ATTEMPT_SCHEMA = "request_id BIGINT, attempt INT, response STRING"
 
@@ -110,26 +110,6 @@ def answer_variants(originals: DataFrame, validated: DataFrame, row_id: str, fea
     return union_tables(own, other)
 
 
-def closest_values(values: DataFrame, encoders: DataFrame, max_errors: int = 10) -> DataFrame:
-    """(col, value, closest, code) for each distinct (col, value); closest is NULL when nothing matches.
-
-    ``encoders`` is (col, values, codes): the sorted choices of one column per row.
-    """
-    distinct = values.select("col", "value").distinct().join(broadcast_if_small(encoders), "col")
-    closest = fuzzy_closest(F.col("value"), F.col("values"), max_errors)
-    matched = distinct.withColumn("closest", closest)
-    code = F.element_at("codes", F.array_position("values", F.col("closest")).cast("int"))
-    return matched.select("col", "value", "closest", F.when(F.col("closest").isNotNull(), code).alias("code"))
-
-
-def encoder_lists(encoder: DataFrame) -> DataFrame:
-    """(col, values, codes) from a (col, value, code) table."""
-    pairs = F.array_sort(F.collect_list(F.struct("value", "code")))
-    return encoder.groupBy("col").agg(pairs.alias("p")).select(
-        "col", F.col("p.value").alias("values"), F.col("p.code").alias("codes")
-    )
-
-
 def attribute(response: Column, name: str) -> Column:
     """One value of a JSON answer as text."""
     return F.try_element_at(F.from_json(response, "map<string,string>"), F.lit(name))
@@ -161,13 +141,13 @@ def validate_responses(
     if categorical:
         pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(slot[c]).alias("value")) for c in categorical])
         seen = parsed.select(F.inline(pairs)).filter(F.col("value").isNotNull())
-        matches = closest_values(seen, encoder_lists(encoder), max_errors).cache()
+        matches = cut_lineage(closest_values(seen, encoder, max_errors))
     for c in columns:
         if c in categorical:
             side = matches.filter(F.col("col") == c).select(
                 F.col("value").alias(slot[c]), F.col("code").cast("double").alias(f"_e{slot[c]}")
             )
-            parsed = parsed.join(broadcast_if_small(side), slot[c], "left")
+            parsed = parsed.join(side, slot[c], "left")
         else:
             parsed = parsed.withColumn(f"_e{slot[c]}", F.col(slot[c]).try_cast("double"))
     before = originals.select("request_id", *[q(p).cast("string").alias(f"_o{i}") for i, p in enumerate(protected)])

@@ -66,7 +66,7 @@ def _(spark, sf):
     values = _part_values(spark, sf).select(F.lit("p_type").alias("col"), F.col("wrong_type").alias("value"))
     unmatched = values.groupBy("col").agg(F.lit(NO_MATCH).alias("value"))
     encoder = label_encoder(table(spark, sf, "part"), "p_type").select(F.lit("p_type").alias("col"), "value", "code")
-    matched = cf.closest_values(values.unionByName(unmatched), cf.encoder_lists(encoder))
+    matched = cf.closest_values(values.unionByName(unmatched), encoder)
     return matched.select(
         "value", F.coalesce("closest", F.lit("none")).alias("closest"), F.coalesce(F.col("code").cast("int"), F.lit(-1)).alias("code")
     )
