@@ -159,18 +159,15 @@ def _indexed(values: DataFrame, choices: DataFrame) -> DataFrame:
 
 def _compared(values: DataFrame, choices: DataFrame, max_errors: int) -> DataFrame:
     """(col, value, d, closest, code): each value against all choices of its column, block by block."""
-    blocks = choices.groupBy("col").agg(F.ceil(F.count("*") / CHOICES).cast("int").alias("blocks"))
-    crowds = values.groupBy("col").agg(F.ceil(F.count("*") / VALUES).cast("int").alias("crowds"))
-    shape = blocks.join(crowds, "col")
+    blocks, crowds = (max(1, -(-x.count() // size)) for x, size in ((choices, CHOICES), (values, VALUES)))
 
-    def dealt(rows: DataFrame, name: str, own: str, other: str) -> DataFrame:
+    def dealt(rows: DataFrame, name: str, own: int, other: int) -> DataFrame:
         """Rows dealt into their own blocks, once for each block of the other side."""
-        own_block = F.pmod(F.xxhash64(name), F.col(own)).cast("int")
-        each = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        return rows.join(shape, "col").select(*rows.columns, own_block.alias("_own"), each.alias("_other"))
+        own_block = F.pmod(F.xxhash64(name), F.lit(own)).cast("int")
+        return rows.select(*rows.columns, own_block.alias("_own"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("_other"))
 
-    left = dealt(values, "value", "crowds", "blocks").select(F.col("col").alias("col"), F.col("_own").alias("x"), F.col("_other").alias("y"), "value")
-    right = dealt(choices, "choice", "blocks", "crowds").select(F.col("col").alias("col"), F.col("_other").alias("x"), F.col("_own").alias("y"), "choice", "code")
+    left = dealt(values, "value", crowds, blocks).select(F.col("col").alias("col"), F.col("_own").alias("x"), F.col("_other").alias("y"), "value")
+    right = dealt(choices, "choice", blocks, crowds).select(F.col("col").alias("col"), F.col("_other").alias("x"), F.col("_own").alias("y"), "choice", "code")
 
     def compare(values: pd.DataFrame, choices: pd.DataFrame) -> pd.DataFrame:
         if len(values) == 0 or len(choices) == 0:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from counterfair.functions.scalar import clipped, number, q
-from counterfair.session import broadcast_if_small
+from counterfair.session import SMALL_BYTES, broadcast_if_small
 
 Bounds = dict[str, tuple[int, int]]
 
@@ -50,16 +50,27 @@ def equal_width_bin(df: DataFrame, name: str, bins: int, out: str | None = None)
     return df.withColumn(out or name, F.when(high == low, 1).otherwise(clipped(code, 1, bins)).cast("int"))
 
 
-def label_encoder(df: DataFrame, name: str, max_codes: int = 1_000_000) -> DataFrame:
+def label_encoder(df: DataFrame, name: str) -> DataFrame:
     """(value, code): dense codes by sorted value, computed over the distinct values only.
 
-    Up to ``max_codes`` values are ranked in one pass; a larger set is ranked by sorted ranges.
+    The values are written once, so later joins read them instead of the table. ``profile.column_codes`` codes many
+    columns at once.
     """
     from counterfair.operators.profile import dense_codes
 
-    distinct = df.select(q(name).alias("value")).filter(F.col("value").isNotNull()).distinct()
-    # Kept, so that size checks and every later join read the values instead of the table again.
-    return dense_codes(distinct.cache(), max_codes)
+    return dense_codes(df.select(q(name).alias("value")).filter(F.col("value").isNotNull()).distinct())
+
+
+def encode_columns(df: DataFrame, codes: DataFrame, names: list[str]) -> DataFrame:
+    """Replace the values of many columns by their codes of (col, value, code); an unknown value becomes NULL."""
+    width = F.sum(F.octet_length("value") + 16)
+    sizes = {r["col"]: r["b"] for r in codes.groupBy("col").agg(width.alias("b")).collect()}  # one row per column
+    for i, n in enumerate(names):
+        side = codes.filter(F.col("col") == n).select(F.col("value").alias("_value"), F.col("code").alias(f"_code{i}"))
+        side = F.broadcast(side) if sizes.get(n, 0) <= SMALL_BYTES else side
+        df = df.join(side, q(n).cast("string") == F.col("_value"), "left").drop("_value")
+    coded = {n: F.col(f"_code{i}") for i, n in enumerate(names)}
+    return df.withColumns(coded).drop(*[f"_code{i}" for i in range(len(names))])
 
 
 def label_encode(df: DataFrame, name: str, encoder: DataFrame, out: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from counterfair.functions.scalar import number, q
-from counterfair.session import broadcast_if_small, cut_lineage, is_small
+from counterfair.session import broadcast_if_small, cut_lineage
 
 
 def _unpivot(df: DataFrame, names: list[str]) -> DataFrame:
@@ -30,33 +30,56 @@ def category_values(df: DataFrame, names: list[str]) -> DataFrame:
     return _unpivot(df, names).filter(F.col("value").isNotNull()).distinct()
 
 
-def category_lists(df: DataFrame, names: list[str]) -> DataFrame:
-    """(col, values): the sorted value list of each categorical column."""
-    return category_values(df, names).groupBy("col").agg(F.array_sort(F.collect_list("value")).alias("values"))
+def _placed(distinct: DataFrame, order: list[str]) -> DataFrame:
+    """``distinct`` with ``_place``: 0, 1, ... in ``order``.
 
-
-def dense_codes(distinct: DataFrame, max_codes: int = 1_000_000) -> DataFrame:
-    """(value, code BIGINT) by sorted value from a table of distinct values.
-
-    A small set is ranked by one window. A larger one is range-sorted and checkpointed; the row
-    position inside its sorted range plus the sizes of the earlier ranges is the code. Rows and types
-    are the same either way.
+    Sorted by ranges and checkpointed; a row's place is its own in its range plus the sizes of the ranges before, one
+    number per range.
     """
-    if is_small(distinct, max_codes):
-        rank = F.row_number().over(Window.orderBy("value")).cast("bigint")
-        return distinct.select("value", (rank - 1).alias("code"))
-    placed = cut_lineage(distinct.orderBy("value").withColumn("_id", F.monotonically_increasing_id()))
-    placed = placed.select(
-        "value", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")
+    ranged = cut_lineage(distinct.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    ranged = ranged.select(
+        *distinct.columns, F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")
     )
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    return placed.join(broadcast_if_small(starts), "_part").select(
-        "value", (F.col("_first") + F.col("_at")).cast("bigint").alias("code")
+    return ranged.join(broadcast_if_small(starts), "_part").select(
+        *distinct.columns, (F.col("_first") + F.col("_at")).cast("bigint").alias("_place")
     )
 
 
+def dense_codes(distinct: DataFrame) -> DataFrame:
+    """(value, code BIGINT) by sorted value from a table of distinct values."""
+    return _placed(distinct, ["value"]).select("value", F.col("_place").alias("code"))
+
+
+def column_codes(df: DataFrame, names: list[str]) -> DataFrame:
+    """(col, value, code BIGINT) for all columns from one scan of the table and one sort; values as text."""
+    placed = _placed(category_values(df, names), ["col", "value"])
+    first = placed.groupBy("col").agg(F.min("_place").alias("_from"))  # one row per column
+    return placed.join(F.broadcast(first), "col").select("col", "value", (F.col("_place") - F.col("_from")).alias("code"))
+
+
+def column_summary(df: DataFrame, names: list[str]) -> dict[str, dict]:
+    """For each column, from one aggregate over the table: categorical (some non-blank value is no number), bounds and mean."""
+    aggs = []
+    for i, n in enumerate(names):
+        text = q(n).cast("string")
+        v = number(text)
+        bad = v.isNull() & text.isNotNull() & (text != "")
+        aggs += [
+            F.coalesce(F.max(bad.cast("int")), F.lit(0)).alias(f"c{i}"),
+            F.coalesce(F.floor(F.min(v)), F.lit(0)).cast("bigint").alias(f"l{i}"),
+            F.coalesce(F.ceil(F.max(v)), F.lit(0)).cast("bigint").alias(f"h{i}"),
+            F.avg(v).alias(f"m{i}"),
+        ]
+    row = df.agg(*aggs).first()
+    return {
+        n: {"categorical": row[f"c{i}"] == 1, "lo": row[f"l{i}"], "hi": row[f"h{i}"], "mean": row[f"m{i}"]}
+        for i, n in enumerate(names)
+    }
+
+
 def column_bounds(df: DataFrame, names: list[str]) -> DataFrame:
     """(col, lo, hi): floor of the minimum and ceiling of the maximum, [0, 0] if nothing is numeric."""
     aggs = []
@@ -78,28 +101,24 @@ def bounds_dict(profile: DataFrame) -> dict[str, tuple[int, int]]:
 
 
 def column_profile(df: DataFrame, names: list[str], categorical: list[str]) -> DataFrame:
-    """(col, pos, kind, lo, hi, values) for every feature column."""
+    """(col, pos, kind, lo, hi) for every feature column; the codes of a categorical one go from 0 to ``hi``."""
     numeric = [n for n in names if n not in set(categorical)]
-    parts = []
-    if numeric:
-        parts.append(
-            column_bounds(df, numeric).select(
-                "col", F.lit("numeric").alias("kind"), "lo", "hi", F.lit(None).cast("array<string>").alias("values")
-            )
+    counts = category_values(df, categorical).groupBy("col").agg((F.count("*") - 1).alias("hi")) if categorical else None
+    return shaped(names, {r["col"]: (r["lo"], r["hi"]) for r in column_bounds(df, numeric).collect()} if numeric else {}, counts, df)
+
+
+def shaped(names: list[str], bounds: dict[str, tuple[int, int]], counts: DataFrame | None, df: DataFrame) -> DataFrame:
+    """The profile of columns: numeric ones with their bounds, the others with ``counts`` (col, hi)."""
+    rows = [(n, i, "numeric", *bounds[n]) for i, n in enumerate(names) if n in bounds]
+    others = [(n, i, "categorical") for i, n in enumerate(names) if n not in bounds]
+    spark = df.sparkSession
+    table = spark.createDataFrame(rows, "col STRING, pos INT, kind STRING, lo BIGINT, hi BIGINT")
+    if others:
+        listed = spark.createDataFrame(others, "col STRING, pos INT, kind STRING").join(counts, "col", "left")
+        table = table.unionByName(
+            listed.select("col", "pos", "kind", F.lit(0).cast("bigint").alias("lo"), F.coalesce("hi", F.lit(-1)).cast("bigint").alias("hi"))
         )
-    if categorical:
-        parts.append(
-            category_lists(df, categorical).select(
-                "col",
-                F.lit("categorical").alias("kind"),
-                F.lit(0).cast("bigint").alias("lo"),
-                (F.size("values") - 1).cast("bigint").alias("hi"),
-                "values",
-            )
-        )
-    table = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    places = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
-    return table.withColumn("pos", F.element_at(places, F.col("col")))
+    return table
 
 
 # The wording of one attribute in the schema text.
@@ -111,8 +130,13 @@ AGE_TEXT = (
 )
 
 
-def schema_prompt(profile: DataFrame) -> DataFrame:
-    """One row (attributes, template): every column with its values or range, and the JSON template."""
+def schema_prompt(profile: DataFrame, values: DataFrame) -> DataFrame:
+    """One row (attributes, template): every column with its values or range, and the JSON template.
+
+    ``values`` is (col, value). The text names every value of the categorical columns, so here they are one list.
+    """
+    lists = values.groupBy("col").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    profile = profile.join(lists, "col", "left")
     listed = F.format_string(CATEGORICAL_TEXT, "col", F.array_join("values", "', '"))
     ranged = F.format_string(NUMERIC_TEXT, "col", "lo", "hi")
     text = (

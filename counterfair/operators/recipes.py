@@ -7,55 +7,49 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from counterfair.functions.scalar import q
+from counterfair.functions.scalar import number, q
 from counterfair.operators import prepare, profile
 from counterfair.sources import datasets
 
 
 @dataclass
 class Prepared:
-    """Encoded table with what is needed to read it back: features, encoders, profile."""
+    """Encoded table with what is needed to read it back: features, codes (col, value, code), profile."""
 
     table: DataFrame
     features: list[str]
     target: str
     categorical: list[str]
-    encoders: dict[str, DataFrame]
+    codes: DataFrame
     profile: DataFrame
 
     def encoder_table(self) -> DataFrame:
         """(col, value, code) over all categorical features."""
-        parts = [
-            e.select(F.lit(c).alias("col"), "value", F.col("code").cast("int").alias("code"))
-            for c, e in self.encoders.items()
-            if c in self.categorical
-        ]
-        return prepare.union_tables(*parts)
+        return self.codes.filter(F.col("col").isin(self.categorical)).withColumn("code", F.col("code").cast("int"))
 
 
 def prepare_raw(raw: DataFrame, age: str | None = None, age_column: str = "age") -> Prepared:
     """Encode an all-string table whose last column is the label.
 
     Age is cut into young and old if asked; categorical columns are found and label-encoded, the
-    label like any of them; the other columns become numbers with blanks filled by the mean.
+    label like any of them; the other columns become numbers with blanks filled by the mean. However many columns there
+    are, the table is read three times: for detection, bounds and means; for the distinct values, which only
+    categorical columns send; and to be encoded.
     """
     target, features = raw.columns[-1], raw.columns[:-1]
     table = raw
     if age:
         table = table.withColumn(age_column, prepare.binarize_threshold(q(age_column), negated=age == "negated"))
-    detected = profile.detect_categorical(table, features).filter(F.col("categorical") == 1)
-    # One row per column of the table.
-    found = {r["col"] for r in detected.collect()}
-    categorical = [c for c in features if c in found]
-    encoders = {c: prepare.label_encoder(table, c) for c in [*categorical, target]}
-    coded = table
-    for c, encoder in encoders.items():
-        coded = prepare.label_encode(coded, c, encoder)
-    numeric = [c for c in features if c not in found]
-    if numeric:
-        coded = prepare.mean_impute(coded, numeric)
-    shape = profile.column_profile(table, features, categorical)
-    return Prepared(coded.select(*[q(c) for c in raw.columns]), features, target, categorical, encoders, shape)
+    summary = profile.column_summary(table, features)
+    categorical = [c for c in features if summary[c]["categorical"]]
+    codes = profile.column_codes(table, [*categorical, target])
+    means = {
+        c: F.coalesce(number(q(c).cast("string")), F.lit(summary[c]["mean"]).cast("double")) for c in features if c not in categorical
+    }
+    coded = prepare.encode_columns(table, codes, [*categorical, target]).withColumns(means)
+    counts = codes.groupBy("col").agg(F.max("code").alias("hi"))
+    shape = profile.shaped(features, {c: (summary[c]["lo"], summary[c]["hi"]) for c in means}, counts, raw)
+    return Prepared(coded.select(*[q(c) for c in raw.columns]), features, target, categorical, codes, shape)
 
 
 def encode_bank(raw: DataFrame) -> DataFrame:
@@ -82,10 +76,9 @@ def encode_answer(answers: DataFrame, text: str) -> DataFrame:
 
 def encode_students(*tables: DataFrame) -> DataFrame:
     """Student tables in one: categories coded by value, some codes from 1, pass mark as label."""
-    table = coded = prepare.union_tables(*tables)
-    for c in table.columns:
-        if c not in datasets.STUDENT_PLAIN:
-            coded = prepare.label_encode(coded, c, prepare.label_encoder(table, c))
+    table = prepare.union_tables(*tables)
+    names = [c for c in table.columns if c not in datasets.STUDENT_PLAIN]
+    coded = prepare.encode_columns(table, profile.column_codes(table, names), names)
     coded = prepare.shift_codes(coded, [c for c in datasets.STUDENT_SHIFTED if c in coded.columns])
     numbers = {c: q(c).cast("int") for c in datasets.STUDENT_PLAIN if c in coded.columns}
     return coded.withColumns({**numbers, "G3": prepare.binarize_label(q("G3").cast("int"))}).select(*table.columns)

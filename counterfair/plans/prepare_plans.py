@@ -89,10 +89,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     part = table(spark, sf, "part")
-    coded = part
-    for c, out in (("p_brand", "brand_code"), ("p_type", "type_code")):
-        coded = prepare.label_encode(coded, c, prepare.label_encoder(part, c), out)
-    return coded.select("p_partkey", "brand_code", "type_code")
+    codes = profile.column_codes(part, ["p_brand", "p_type"])
+    coded = prepare.encode_columns(part, codes, ["p_brand", "p_type"])
+    return coded.select("p_partkey", F.col("p_brand").alias("brand_code"), F.col("p_type").alias("type_code"))
 
 
 @query("p7_label_decode", "SELECT p_partkey, p_brand AS brand, p_type AS type FROM part")
@@ -400,6 +399,5 @@ def _(spark, sf):
 )
 def _(spark, sf):
     ready = recipes.prepare_raw(raw_customers(spark, sf), age="plain")
-    return ready.profile.select(
-        "col", "pos", "kind", "lo", "hi", F.coalesce(F.array_join("values", ","), F.lit("")).alias("vals")
-    )
+    vals = ready.codes.groupBy("col").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("vals"))
+    return ready.profile.join(vals, "col", "left").select("col", "pos", "kind", "lo", "hi", F.coalesce("vals", F.lit("")).alias("vals"))

@@ -394,4 +394,6 @@ def _(spark, sf):
 )
 def _(spark, sf):
     names = ["c_mktsegment", "c_acctbal", "c_nationkey"]
-    return profile.schema_prompt(profile.column_profile(table(spark, sf, "customer"), names, ["c_mktsegment"]))
+    customer = table(spark, sf, "customer")
+    shape = profile.column_profile(customer, names, ["c_mktsegment"])
+    return profile.schema_prompt(shape, profile.category_values(customer, ["c_mktsegment"]))

@@ -7,7 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+SMALL_BYTES = 64 << 20
+NESTED = (T.ArrayType, T.MapType, T.StructType)
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
@@ -45,5 +48,15 @@ def is_small(df: DataFrame, max_rows: int) -> bool:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting; a larger side is left to a shuffled join."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+    """Hint a broadcast only after counting rows and bytes; a larger side is left to a shuffled join."""
+    width = sum(
+        (
+            F.coalesce(F.octet_length(F.to_json(F.struct(f"`{f.name}`")) if isinstance(f.dataType, NESTED) else F.col(f"`{f.name}`")), F.lit(1))
+            if isinstance(f.dataType, (*NESTED, T.StringType, T.BinaryType))
+            else F.lit(16)
+            for f in df.schema
+        ),
+        F.lit(0),
+    )
+    rows, size = df.select(width.alias("_w")).limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum("_w"), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= SMALL_BYTES else df

@@ -45,12 +45,35 @@ def test_bounds_are_numeric_not_lexicographic(spark):
     assert profile.bounds_dict(profile.column_bounds(df, ["n", "t"])) == {"n": (-3, 100), "t": (0, 0)}
 
 
-def test_codes_by_ranges_equal_codes_by_window(spark):
-    df = spark.createDataFrame([(f"v{i * 37 % 101:03d}",) for i in range(300)], "v STRING")
-    by_window, by_range = prepare.label_encoder(df, "v"), prepare.label_encoder(df, "v", max_codes=5)
-    assert by_window.dtypes == by_range.dtypes == [("value", "string"), ("code", "bigint")]
-    small, large = ({tuple(r) for r in e.collect()} for e in (by_window, by_range))
-    assert small == large and sorted(c for _, c in small) == list(range(101))
+def test_codes_are_places_among_the_sorted_values(spark):
+    df = spark.createDataFrame([(f"v{i * 37 % 101:03d}", f"w{i * 11 % 7}", None) for i in range(300)], "v STRING, w STRING, x STRING")
+    encoder = prepare.label_encoder(df, "v")
+    assert encoder.dtypes == [("value", "string"), ("code", "bigint")]
+    assert {tuple(r) for r in encoder.collect()} == {(f"v{i:03d}", i) for i in range(101)}
+    many = profile.column_codes(df.repartition(9), ["v", "w", "x"])
+    want = {("v", f"v{i:03d}", i) for i in range(101)} | {("w", f"w{i}", i) for i in range(7)}
+    assert {tuple(r) for r in many.collect()} == want
+    coded = prepare.encode_columns(df, many, ["v", "w", "x"]).collect()
+    assert {(r["v"], r["w"], r["x"]) for r in coded} == {(i * 37 % 101, i * 11 % 7, None) for i in range(300)}
+    assert prepare.label_encoder(df.limit(0), "v").count() == 0 and profile.column_codes(df.limit(0), ["v"]).count() == 0
+
+
+def test_summary_of_all_columns_is_one_aggregate(spark):
+    rows = [("9", "x", "1d", None), ("100", "", "2", ""), ("-2.5", "?", "", "")]
+    got = profile.column_summary(spark.createDataFrame(rows, "n STRING, t STRING, d STRING, e STRING"), ["n", "t", "d", "e"])
+    assert {c: r["categorical"] for c, r in got.items()} == {"n": False, "t": True, "d": True, "e": False}
+    assert (got["n"]["lo"], got["n"]["hi"], got["n"]["mean"]) == (-3, 100, 35.5)
+    assert (got["e"]["lo"], got["e"]["hi"], got["e"]["mean"]) == (0, 0, None)
+
+
+def test_wide_rows_are_not_broadcast(spark, monkeypatch):
+    from counterfair import session
+
+    df = spark.createDataFrame([("x" * 1000, [1, 2]), (None, None)], "t STRING, a ARRAY<INT>")
+    hinted = lambda d: "broadcast" in d.join(session.broadcast_if_small(d), "t")._jdf.queryExecution().logical().toString().lower()
+    assert hinted(df)
+    monkeypatch.setattr(session, "SMALL_BYTES", 900)
+    assert not hinted(df)
 
 
 def test_decode_inverts_encode_and_unknown_is_null(spark):
@@ -118,6 +141,6 @@ def test_one_hot_and_mask(spark):
 
 def test_schema_prompt_order_and_wording(spark):
     df = spark.createDataFrame([("3", "b"), ("7", "a")], "size STRING, kind STRING")
-    row = profile.schema_prompt(profile.column_profile(df, ["kind", "size"], ["kind"])).first()
+    row = profile.schema_prompt(profile.column_profile(df, ["kind", "size"], ["kind"]), profile.category_values(df, ["kind"])).first()
     assert row["attributes"] == " kind (['a', 'b']) size (numerical value, range is 3 - 7)"
     assert row["template"] == '{"kind":..., "size":...}'
