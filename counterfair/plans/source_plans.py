@@ -55,6 +55,13 @@ def _(spark, sf):
     return chat.read_chat_json(spark, path, "file")
 
 
+@query("s3_read_chat_blocks", MESSAGES_SQL.format(pos=RANKED) + "")
+def _(spark, sf):
+    path = shared_path(spark, "chat")
+    chat.write_chat_json(_messages(spark, sf), path, "file")
+    return chat.read_chat_json(spark, path, "blocks")
+
+
 @query("s6_write_chat_json", MESSAGES_SQL.format(pos="turn"))
 def _(spark, sf):
     path = shared_path(spark, "chat")

@@ -120,3 +120,35 @@ def test_size_checks_and_checkpoint(spark):
     kept = cut_lineage(df.withColumn("x", F.col("id") * 2))
     assert "Range" not in kept._jdf.queryExecution().executedPlan().toString()
     assert checkpoint_root(spark) and kept.agg(F.sum("x")).first()[0] == 90
+
+
+ODD_TEXTS = ['plain', 'brace } in text', '"quoted" and {"a": [1, 2}', 'back\\slash \\" end\\', ']}, {"role": "x"}', "", "line\nbreak\t}", "é日本 😀 }", "{" * 40, '"' * 31]
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+@pytest.mark.parametrize("extra", [{}, {"doc": "named }"}])
+def test_one_document_is_read_by_many_tasks(spark, tmp_path, indent, extra):
+    import random
+
+    rng = random.Random(5)
+    content = [rng.choice(ODD_TEXTS) * rng.randint(1, 30) for _ in range(300)]
+    content[7:9] = [{"a": {"b": ["}", {"c": 1}]}}, [1, {"x": "]"}]]
+    messages = [{"role": rng.choice(["user", "system"]), "content": c} for c in content]
+    text = json.dumps({**extra, "messages": messages, "tools": [{"name": "t"}, {"name": "u"}]}, indent=indent, ensure_ascii=False)
+    (tmp_path / "a.json").write_text(text + "\n")
+    (tmp_path / "b.json").write_text(json.dumps({"messages": messages[:3]}))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = chat.read_chat_json(spark, str(tmp_path), "blocks")
+        rows = got.collect()
+        splits = spark.read.option("lineSep", "}").text(str(tmp_path / "a.json")).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert splits > 20
+    name = extra.get("doc")
+    mine = sorted((r["pos"], r["role"], r["content"]) for r in rows if (r["doc"] == name if name else r["doc"].endswith("a.json")))
+    assert [m[:2] for m in mine] == [(i, m["role"]) for i, m in enumerate(messages)]
+    for (_, _, c), m in zip(mine, messages):
+        assert c == m["content"] if isinstance(m["content"], str) else json.loads(c) == m["content"]
+    assert sum(r["doc"].endswith("b.json") for r in rows) == 3
