@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from counterfair.functions.scalar import fixed, q, score_bin
+from counterfair.operators.ordered import MAX_ROWS_PER_TASK, running_sum, with_blocks
+from counterfair.session import cut_lineage
+
+BUCKETS = 1000  # of the histogram that finds a key's n-th row
 
 
 def add_bin(variants: DataFrame, eps: float = 0.025, p: str = "p") -> DataFrame:
@@ -146,26 +153,41 @@ def search_report(found: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def first_n(df: DataFrame, keys: list[str], order: str, n: int, out: str = "_r", salts: int = 32) -> DataFrame:
+def first_n(df: DataFrame, keys: list[str], order: str, n: int, out: str = "_r", max_rows: int = MAX_ROWS_PER_TASK) -> DataFrame:
     """The first ``n`` rows of each key by ``order`` (unique), with their rank.
 
-    Ranked twice: within hashed slices of the key, then among the slices' first ``n``. No task sorts a
-    whole hot key, and a row outside its slice's first ``n`` cannot be in the key's.
+    A key of more than ``max_rows`` rows is cut down first: a histogram of equally full buckets tells in which bucket its
+    n-th row lies, and rows above that bucket go. What is left is ranked by ranges of the order, so that neither the key
+    nor its first ``n`` rows need one task.
     """
-    slice_of = F.pmod(F.hash(q(order)), F.lit(salts))
-    inner = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(order))
-    outer = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    sliced = df.withColumn("_slice", slice_of).withColumn("_i", inner).filter(F.col("_i") <= n)
-    return sliced.withColumn(out, outer).filter(F.col(out) <= n).drop("_slice", "_i")
-
-
-def time_to_nth(found: DataFrame, by: list[str], n: int = 1000, time: str = "elapsed") -> DataFrame:
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
+    hot = cut_lineage(counts)  # at most one row per ``max_rows`` rows of the table
+    if hot.isEmpty():
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+        return df.withColumn(out, rank).filter(F.col(out) <= n)
+    rest = df
+    if isinstance(df.schema[order].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        names = F.broadcast(hot.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n"))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+        own = [f"_k{i}" for i in range(len(keys))]
+        edges = F.percentile_approx(order, [i / BUCKETS for i in range(1, BUCKETS + 1)], 10 * BUCKETS)
+        edges = df.join(names, same).groupBy(*own, "_n").agg(edges.alias("_e"))
+        # An edge's rank is off by a tenth of a bucket at most, so two buckets further on the n-th row is below it.
+        at = F.ceil(F.lit(n) * BUCKETS / F.col("_n")).cast("int") + 2
+        bound = F.when(at <= BUCKETS, F.element_at("_e", F.least(at, F.lit(BUCKETS))))
+        bounds = cut_lineage(edges.select(*own, bound.alias("_bound")))
+        rest = df.join(F.broadcast(bounds), same, "left").filter(F.col("_bound").isNull() | (F.col(order) <= F.col("_bound"))).select(*df.columns)
+    blocked, block = with_blocks(rest, keys, order, max_rows)
+    ranked = running_sum(blocked, F.lit(1), keys, [order], out, block).filter(F.col(out) <= n)
+    return ranked.drop(block) if block else ranked
+
+
+def time_to_nth(found: DataFrame, by: list[str], n: int = 1000, time: str = "elapsed", max_rows: int = MAX_ROWS_PER_TASK) -> DataFrame:
     """(by, time_to_first, time_to_n): NULL when fewer than ``n`` were found."""
-    # Equal times share one row with their count, so a slice never holds more than n distinct times.
+    # Equal times share one row with their count; the counts are summed up by ranges of time.
     times = found.groupBy(*by, time).agg(F.count(F.lit(1)).alias("_n"))
-    head = first_n(times, by, time, n)
-    reached = Window.partitionBy(*by).orderBy(time).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    head = head.withColumn("_total", F.sum("_n").over(reached))
+    blocked, block = with_blocks(times, by, time, max_rows)
+    head = running_sum(blocked, F.col("_n"), by, [time], "_total", block)
     return head.groupBy(*by).agg(
         F.min(time).alias("time_to_first"), F.min(F.when(F.col("_total") >= n, F.col(time))).alias("time_to_n")
     )

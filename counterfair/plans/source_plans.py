@@ -223,7 +223,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     events = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
-    blocked, block = ordered.with_blocks(events, ["user_id"], "ts")
+    blocked, block = ordered.with_blocks(events, ["user_id"], ["ts", "event_id"])
     marker = F.col("event_type") == "signup"
     sessions = logs.sessionize_by_marker(blocked, marker, ["user_id"], ["ts", "event_id"], block)
     return sessions.select("user_id", "event_id", "event_type", "call")
@@ -236,7 +236,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     events = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type", "value")
-    blocked, block = ordered.with_blocks(events, ["user_id"], "ts")
+    blocked, block = ordered.with_blocks(events, ["user_id"], ["ts", "event_id"])
     known = F.when(F.col("event_type") == "signup", F.col("value"))
     filled = ordered.running_last(blocked, known, ["user_id"], ["ts", "event_id"], "filled", block)
     return filled.select("user_id", "event_id", F.coalesce("filled", F.lit(-1.0)).alias("filled"))

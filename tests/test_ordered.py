@@ -36,6 +36,19 @@ def test_blocks_on_timestamps(spark):
         assert len(ends) > 3 and all(a["hi"] < b["lo"] for a, b in zip(ends, ends[1:]))
 
 
+def test_a_key_with_one_time_for_all_rows_is_spread(spark):
+    df = spark.range(2000).select(F.lit(None).cast("int").alias("k"), F.lit(7).alias("t"), "id", F.when(F.col("id") % 50 == 3, F.col("id")).alias("v"))
+    df = df.union(spark.range(5).selectExpr("CAST(1 AS INT)", "7", "id + 5000", "id"))
+    blocked, block = ordered.with_blocks(df, ["k"], ["t", "id"], max_rows=200)
+    sizes = [r["count"] for r in blocked.where("k IS NULL").groupBy(block).count().collect()]
+    assert len(sizes) >= 10 and max(sizes) <= 600
+    w = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("id", F.sum("t").over(w).alias("x"), F.last("v", ignorenulls=True).over(w).alias("y"))
+    summed = ordered.running_sum(blocked, F.col("t"), ["k"], ["t", "id"], "x", block)
+    got = ordered.running_last(summed, F.col("v"), ["k"], ["t", "id"], "y", block).select("id", "x", "y")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_no_hot_key_means_no_blocks(spark):
     df = skewed(spark)
     same, block = ordered.with_blocks(df, ["k"], "t")
@@ -82,10 +95,30 @@ def test_oscillation_and_time_to_nth(spark):
 def test_first_n_of_a_hot_key_equals_plain_rank(spark):
     df = skewed(spark)
     plain = df.withColumn("_r", F.row_number().over(Window.partitionBy("k").orderBy("id"))).filter("_r <= 7")
-    assert sorted(map(str, metrics.first_n(df, ["k"], "id", 7, salts=5).collect())) == sorted(map(str, plain.collect()))
+    assert sorted(map(str, metrics.first_n(df, ["k"], "id", 7, max_rows=40).collect())) == sorted(map(str, plain.collect()))
 
 
 def test_time_to_nth_counts_equal_times(spark):
     df = spark.createDataFrame([(0, 1.0)] * 3 + [(0, 2.0)] * 2, "trial INT, elapsed DOUBLE")
     times = [metrics.time_to_nth(df, ["trial"], n).first()["time_to_n"] for n in (1, 3, 4, 5, 6)]
     assert times == [1.0, 1.0, 2.0, 2.0, None]
+
+
+def test_first_n_is_the_window_at_any_n(spark):
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 3).alias("k"), ((F.col("id") * 7919) % 60_013).alias("t"))
+    df = df.union(spark.range(50).selectExpr("9", "id"))
+    for n in (1, 900, 15_000, 30_000):
+        plain = df.withColumn("_r", F.row_number().over(Window.partitionBy("k").orderBy("t"))).filter(F.col("_r") <= n)
+        got = metrics.first_n(df, ["k"], "t", n, max_rows=2000)
+        assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
+    named = df.withColumn("s", F.lpad(F.col("t").cast("string"), 8, "0"))
+    by_name = metrics.first_n(named, ["k"], "s", 40, max_rows=2000).select("k", "t", "_r")
+    assert by_name.exceptAll(metrics.first_n(df, ["k"], "t", 40)).isEmpty() and by_name.count() == 160
+
+
+def test_time_to_nth_by_ranges(spark):
+    df = spark.range(5000).select((F.col("id") % 2).alias("trial"), (F.col("id") % 977).cast("double").alias("elapsed"))
+    for n in (1, 700, 2500, 2501):
+        got = metrics.time_to_nth(df, ["trial"], n, max_rows=100).orderBy("trial").collect()
+        times = [sorted(float(i % 977) for i in range(5000) if i % 2 == t) for t in (0, 1)]
+        assert [(r["time_to_first"], r["time_to_n"]) for r in got] == [(x[0], x[n - 1] if n <= len(x) else None) for x in times]
