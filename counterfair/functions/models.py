@@ -6,6 +6,7 @@ p(class 1) per row; ``gradient(x)`` is needed only by the gradient-guided search
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -88,13 +89,31 @@ class MlpModel:
             h = self._layer(number, h)
         return fixed_np(self.softmax(h)[:, 1])
 
+    def forced_probas(self, hidden: np.ndarray, layer: int, cells: list[tuple[int, float]]) -> Iterator[np.ndarray]:
+        """``proba_forced`` for each (neuron, value).
+
+        The sums of the layer above are worked out once; forcing a neuron adds its change times its row of weights.
+        Units are rows here, so that every step runs along the samples.
+        """
+        w, b = self.layers[layer]
+        outputs = np.ascontiguousarray(hidden.T)
+        base = w.T @ outputs + b[:, None]
+        for neuron, value in cells:
+            z = base + w[neuron][:, None] * (value - outputs[neuron])
+            for above, bias in self.layers[layer + 1 :]:
+                z = above.T @ np.maximum(z, 0.0, out=z) + bias[:, None]
+            e = np.exp(z - z.max(axis=0))
+            yield fixed_np(e[1] / e.sum(axis=0))
+
     @staticmethod
     def softmax(logits: np.ndarray) -> np.ndarray:
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
     def proba(self, x: np.ndarray) -> np.ndarray:
-        return fixed_np(self.softmax(self.activations(x)[-1])[:, 1])
+        logits = np.ascontiguousarray(self.activations(x)[-1].T)  # two long rows instead of many short ones
+        e = np.exp(logits - logits.max(axis=0))
+        return fixed_np(e[1] / e.sum(axis=0))
 
     def backward(self, acts: list[np.ndarray], delta: np.ndarray, top: int) -> np.ndarray:
         """Push ``delta`` (gradient at the output of layer ``top``) down to the inputs."""
@@ -121,21 +140,25 @@ class MlpModel:
         return self.backward(acts, delta, layer)
 
 
-def mlp_from_table(weights: DataFrame, features: list[str], max_cells: int = 5_000_000) -> MlpModel:
+def mlp_from_table(weights: DataFrame, features: list[str], widths: list[int]) -> MlpModel:
     """Model from a ``weights(layer, i, j, w)`` table; i = -1 holds the bias.
 
-    A network is a fixed-size object, but the size is checked before it comes to the driver.
+    ``widths`` declares the units of every layer, the logits included, and so how many weights come to the driver. A
+    table that has more, fewer or others is an error.
     """
-    cells = weights.select("layer", "i", "j", "w").limit(max_cells + 1).toPandas()
-    if len(cells) > max_cells:
-        raise ValueError(f"network has more than {max_cells} weights")
-    layers = []
-    for _, part in cells.groupby("layer", sort=True):
-        bias = part[part.i < 0]
-        body = part[part.i >= 0]
-        w = np.zeros((int(body.i.max()) + 1, int(part.j.max()) + 1))
-        b = np.zeros(w.shape[1])
-        w[body.i.astype(int), body.j.astype(int)] = body.w
-        b[bias.j.astype(int)] = bias.w
-        layers.append((w, b))
+    sizes = [len(features), *widths]
+    count = sum((a + 1) * b for a, b in zip(sizes, widths))
+    layers = [(np.full((a, b), np.nan), np.full(b, np.nan)) for a, b in zip(sizes, widths)]
+    rows = weights.select("layer", "i", "j", "w").limit(count + 1).collect()
+    try:
+        for layer, i, j, value in rows:
+            w, b = layers[layer - 1 if layer > 0 else count]
+            if i < 0:
+                b[j] = value
+            else:
+                w[i, j] = value
+    except IndexError as error:
+        raise ValueError(f"the network is not of the widths {widths}") from error
+    if len(rows) != count or any(np.isnan(w).any() or np.isnan(b).any() for w, b in layers):
+        raise ValueError(f"the network is not of the widths {widths}")
     return MlpModel(tuple(features), tuple(layers))

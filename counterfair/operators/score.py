@@ -255,10 +255,10 @@ def forced_metrics(
         parts = [np.zeros((0, len(cells)))]
         for n, wide in variant_chunks(x, features, domain):
             hidden = model.activations(wide, layer)[-1]
-            columns = []
-            for neuron, value in cells:
-                p = model.proba_forced(hidden, layer, neuron, value).reshape(n, domain.size)
-                columns.append(distinct_bins(score_bins(p, eps), count).astype(float))
+            columns = [
+                distinct_bins(score_bins(p.reshape(n, domain.size), eps), count).astype(float)
+                for p in model.forced_probas(hidden, layer, cells)
+            ]
             parts.append(np.stack(columns, axis=1))
         return np.concatenate(parts)
 
@@ -302,11 +302,8 @@ def forced_accuracy(df: DataFrame, model: MlpModel, label: str, layer: int, forc
     def hits(x: np.ndarray) -> dict[str, np.ndarray]:
         rows, truth = x[:, :-1], x[:, -1] > 0.5
         hidden = model.activations(rows, layer)[-1]
-        right = [
-            float(((model.proba_forced(hidden, layer, neuron, value) > 0.5) == truth).sum())
-            for values in forces
-            for neuron, value in enumerate(values)
-        ]
+        cells = [(neuron, value) for values in forces for neuron, value in enumerate(values)]
+        right = [float(((p > 0.5) == truth).sum()) for p in model.forced_probas(hidden, layer, cells)]
         return {"hit": np.array(right), "n": np.full(len(right), float(len(x)))}
 
     cells = batch_totals(df, [*model.features, label], hits, width * len(forces), ["hit", "n"])

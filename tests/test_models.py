@@ -67,10 +67,21 @@ def test_pair_gradient_matches_finite_differences(rows):
 
 
 def test_weights_table_round_trip(spark, rows):
-    model = mlp_from_table(weights_table(spark), FEATURES)
+    widths = [w.shape[1] for w, _ in formula_mlp().layers]
+    model = mlp_from_table(weights_table(spark), FEATURES, widths)
     assert np.allclose(model.proba(matrix(rows)), formula_mlp().proba(matrix(rows)))
-    with pytest.raises(ValueError):
-        mlp_from_table(weights_table(spark), FEATURES, max_cells=10)
+    for wrong in (widths[:-1], [*widths, 2], [widths[0] + 1, *widths[1:]], [widths[0] - 1, *widths[1:]]):
+        with pytest.raises(ValueError):
+            mlp_from_table(weights_table(spark), FEATURES, wrong)
+
+
+@pytest.mark.parametrize("layer", [1, 3, 5])
+def test_forced_neurons_by_rank_one_updates(rows, layer):
+    model, x = formula_mlp(), matrix(rows)
+    hidden = model.activations(x, layer)[-1]
+    cells = [(n, v) for n in range(model.width(layer)) for v in (0.0, 0.7, 3.0)]
+    for (n, v), p in zip(cells, model.forced_probas(hidden, layer, cells)):
+        assert np.allclose(p, model.proba_forced(hidden, layer, n, v), atol=2e-9)
 
 
 def test_logistic_column_equals_matrix_form(rows):
