@@ -23,6 +23,41 @@ from counterfair.operators.score import (
 )
 
 RATE_EPSILON = 1e-7
+PIVOTS = 3
+PAIRS = 1 << 15  # compared at a time
+
+
+def widest_pair(a: np.ndarray, pivots: int = PIVOTS) -> tuple[np.ndarray, int]:
+    """Per row of (rows x variants x units), the largest mean absolute difference of two variants; comparisons made.
+
+    The distances of all variants to a few pivots, each the variant farthest from the one before, bound every pair: it
+    is no farther apart than the two are from a pivot together. Only pairs whose bound exceeds the best so far are compared;
+    the pair with the largest bound goes first.
+    """
+    n, size, _ = a.shape
+    if size < 2 or n == 0:
+        return np.zeros(n), 0
+    rows, left, right = np.arange(n), *np.triu_indices(size, 1)
+    best, bound, at, made = np.zeros(n), np.full((n, len(left)), np.inf), np.zeros(n, dtype=np.int64), 0
+    for _ in range(min(pivots, size)):
+        away = np.abs(a - a[rows, at][:, None]).mean(axis=2)
+        made += n * (size - 1)
+        best = np.maximum(best, away.max(axis=1))
+        np.minimum(bound, away[:, left] + away[:, right], out=bound)
+        at = away.argmax(axis=1)
+
+    def compare(row: np.ndarray, pair: np.ndarray) -> None:
+        for s in range(0, len(row), PAIRS):
+            r, p = row[s : s + PAIRS], pair[s : s + PAIRS]
+            np.maximum.at(best, r, np.abs(a[r, left[p]] - a[r, right[p]]).mean(axis=1))
+
+    first = bound.argmax(axis=1)
+    open_ = np.flatnonzero(bound[rows, first] > best)
+    compare(open_, first[open_])
+    bound[rows, first] = -1.0
+    row, pair = np.nonzero(bound > best[:, None])
+    compare(row, pair)
+    return best, made + len(open_) + len(row)
 
 
 def pairwise_max_distance(df: DataFrame, model: MlpModel, domain: Domain, out: str = "distance") -> DataFrame:
@@ -35,12 +70,8 @@ def pairwise_max_distance(df: DataFrame, model: MlpModel, domain: Domain, out: s
     def distances(x: np.ndarray) -> np.ndarray:
         parts = [np.zeros((0, model.hidden_count))]
         for n, wide in variant_chunks(x, features, domain):
-            per_layer = []
-            for act in model.activations(wide)[:-1]:
-                a = act.reshape(n, size, -1)
-                shifted = [np.abs(a[:, s:] - a[:, :-s]).mean(axis=2).max(axis=1) for s in range(1, size)]
-                per_layer.append(np.max(shifted, axis=0) if shifted else np.zeros(n))
-            parts.append(np.stack(per_layer, axis=1))
+            acts = model.activations(wide)[:-1]
+            parts.append(np.stack([widest_pair(act.reshape(n, size, -1))[0] for act in acts], axis=1))
         return np.concatenate(parts)
 
     return df.withColumn(out, array_udf(distances, features))

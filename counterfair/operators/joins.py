@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from counterfair.functions.scalar import q
+from counterfair.session import cut_lineage
+
+PROBES = 6
+SLICE = 1 << 13  # bytes of a filter sent at a time
+SALTS = 32  # groups of tasks whose filters are joined first
 
 
 def merge_on_keys(left: DataFrame, right: DataFrame, keys: list[str], suffixes: tuple[str, str] = (".x", ".y")) -> DataFrame:
@@ -32,6 +44,72 @@ def not_seen(candidates: DataFrame, key: list[str], order: list[str], *visited:
     return fresh.select(*[q(c) for c in candidates.columns])
 
 
+def not_seen_among_many(
+    candidates: DataFrame, key: list[str], order: list[str], visited: DataFrame, max_bytes: int = 16 << 20
+) -> DataFrame:
+    """``not_seen`` where ``visited`` is far larger than the candidates that it may hold.
+
+    Tasks set the bits of their visited keys in a Bloom filter of ten bits a key, filters are joined by a bitwise or, and
+    candidates without all their bits are new for certain. Only the others go into the anti-join, and of the visited keys
+    nothing but filters is shuffled until then. A filter beyond ``max_bytes`` is not built; the plain join does.
+    """
+    fresh = not_seen(candidates, key, order)
+    kinds = {k: candidates.schema[k].dataType for k in key}
+    bits = 1 << max(16, (10 * visited.count() - 1).bit_length())
+    if bits > 8 * max_bytes:
+        return not_seen(candidates, key, order, visited)
+
+    def code(df: DataFrame) -> Column:
+        """Equal keys have equal codes: the candidates' types, and one zero."""
+        same = [q(k).try_cast(t) for k, t in kinds.items()]
+        return F.xxhash64(*[c + F.lit(0.0) if isinstance(t, (T.DoubleType, T.FloatType)) else c for c, t in zip(same, kinds.values())])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(bits // 8, dtype=np.uint8)
+        for batch in batches:
+            for at in _bit_places(batch.column(0).to_numpy(zero_copy_only=False), bits):
+                np.bitwise_or.at(held, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        slices = held.reshape(-1, SLICE)
+        some = np.flatnonzero(slices.any(axis=1))
+        salt = TaskContext.get().partitionId() % SALTS
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some, pa.int64()), pa.array(np.full(len(some), salt), pa.int64()), pa.array([slices[i].tobytes() for i in some], pa.binary())],
+            names=["slice", "salt", "bits"],
+        )
+
+    def either(rows: pd.DataFrame) -> pd.DataFrame:
+        joined = np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in rows["bits"]])
+        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "bits": [joined.tobytes()]})
+
+    built = visited.select(code(visited).alias("c")).mapInArrow(build, "slice BIGINT, salt BIGINT, bits BINARY")
+    merged = built.groupBy("slice", "salt").applyInPandas(either, "slice BIGINT, bits BINARY")
+    merged = merged.groupBy("slice").applyInPandas(either, "slice BIGINT, bits BINARY")
+    whole = np.zeros((bits // 8 // SLICE, SLICE), dtype=np.uint8)
+    for r in merged.toLocalIterator():  # ``max_bytes`` at most
+        whole[r["slice"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    shared = candidates.sparkSession.sparkContext.broadcast(whole.ravel())
+
+    @F.pandas_udf("boolean")
+    def maybe(codes: pd.Series) -> pd.Series:
+        held, found = shared.value, np.ones(len(codes), dtype=bool)
+        for at in _bit_places(codes.to_numpy(), bits):
+            found &= held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 != 0
+        return pd.Series(found)
+
+    marked = cut_lineage(fresh.withColumn("_maybe", maybe(code(fresh))))
+    new, open_ = marked.filter(~F.col("_maybe")).drop("_maybe"), marked.filter("_maybe").drop("_maybe")
+    seen = visited.select(*[q(k) for k in key])
+    return new.unionByName(open_.join(seen, key, "left_anti").select(*new.columns))
+
+
+def _bit_places(codes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The PROBES bits of each code."""
+    code = codes.astype(np.int64).view(np.uint64)
+    step = (code >> np.uint64(32)) | np.uint64(1)
+    for i in range(PROBES):
+        yield (code + np.uint64(i) * step) & np.uint64(bits - 1)
+
+
 def pair_by_position(messages: DataFrame, doc: str, pos: str, payload: list[str], first: int = 1) -> DataFrame:
     """Messages ``first``, ``first + 1`` are a pair, and so on: one row per pair with both payloads.
 

@@ -313,6 +313,20 @@ def _(spark, sf):
     )
 
 
+@query(
+    "j5_not_seen_among_many",
+    """SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'
+        AND o_custkey NOT IN (SELECT o.o_custkey FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE l.l_returnflag = 'R' AND l.l_quantity > 30)
+      GROUP BY o_custkey""",
+)
+def _(spark, sf):
+    orders = table(spark, sf, "orders")
+    returned = table(spark, sf, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 30").select(F.col("l_orderkey").alias("o_orderkey"))
+    visited = orders.join(returned, "o_orderkey").select("o_custkey")
+    urgent = orders.filter("o_orderpriority = '1-URGENT'").select("o_custkey", "o_orderkey")
+    return joins.not_seen_among_many(urgent, ["o_custkey"], ["o_orderkey"], visited)
+
+
 @query(
     "j7_attach_by_key",
     f"""WITH {VARIANTS_SQL}, acc AS (SELECT seg, reg, floor(avg(CAST(cls = label AS INT)) * 1e6 + 0.5e0) / 1e6 AS acc

@@ -194,3 +194,18 @@ def test_array_bins_are_digitize(eps):
     assert np.array_equal(score.score_bins(p, eps), np.digitize(p, edges) - 1)
     rows = score.score_bins(np.random.default_rng(3).random((50, 30)), eps)
     assert score.distinct_bins(rows, score.bin_count(eps)).tolist() == [len(set(r)) for r in rows]
+
+
+@pytest.mark.parametrize("size", [1, 2, 25, 200])
+def test_widest_pair_by_pivots_is_that_of_all_pairs(size):
+    rng = np.random.default_rng(size)
+    model = formula_mlp()
+    x = np.column_stack([rng.integers(lo, hi, 12 * size) for lo, hi in ((0, 5), (0, 5), (1, 11), (1, 21))]).astype(float)
+    for act in [*model.activations(x)[:-1], rng.random((12 * size, 6)), np.zeros((12 * size, 4))]:
+        a = act.reshape(12, size, -1)
+        got, made = debug.widest_pair(a)
+        want = np.array([max((np.abs(r[i] - r[j]).mean() for i in range(size) for j in range(i)), default=0.0) for r in a])
+        assert np.allclose(got, want, rtol=1e-12, atol=0)
+        assert made <= 12 * (size * (size - 1) // 2 + debug.PIVOTS * size)
+        if size == 200 and act is not x and act.shape[1] > 6:
+            assert made < 0.5 * 12 * size * (size - 1) / 2  # 19,900 pairs a row
