@@ -26,7 +26,7 @@ MARK = "▁"
 UNKNOWN_CHAR = -2
 START = -1
 BATCH_CHARS = 3_000_000
-INDEX_CHARS = 200_000  # of new distinct words indexed at a time
+INDEX_CHARS = 600_000  # of new distinct words indexed at a time
 
 
 def default_model() -> str:
