@@ -95,9 +95,9 @@ class Sketches:
             np.add.at(self.keys, at, signed)
             np.add.at(self.checks, at, checks)
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Empty the cells that can be; returns how many digests came out of each, and which sketches failed."""
-        out = np.zeros(len(self.widths), dtype=np.int64)
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Empty the cells that can be; returns the sketch, digest and sign of all that came out, and which sketches failed."""
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         table = (np.arange(len(self.count)) - self.first[self.owner]) // self.widths[self.owner]
         idle, j = 0, 0
         live = [np.flatnonzero(table == k) for k in range(3)]
@@ -111,23 +111,25 @@ class Sketches:
             at, keys, sign = at[good], keys[good], sign[good]
             if len(at):
                 self.add(self.owner[at], keys, -sign)
-                out += np.bincount(self.owner[at], minlength=len(out))
+                found.append((self.owner[at], keys, sign))
                 idle = 0
             else:
                 idle += 1
             j = (j + 1) % 3
         left = (self.count != 0) | (self.keys != 0) | (self.checks != 0)
-        failed = np.bincount(self.owner, weights=left, minlength=len(out)) > 0
-        return out, failed, left
+        failed = np.bincount(self.owner, weights=left, minlength=len(self.widths)) > 0
+        none = np.zeros(0, dtype=np.int64)
+        owner, keys, sign = (np.concatenate(x) for x in zip((none, none.astype(np.uint64), none), *found))
+        return owner, keys, sign, failed
 
 
-def likeness(a: Digests, ia: np.ndarray, b: Digests, ib: np.ndarray) -> np.ndarray:
-    """Shared share of the digests of texts ``a[ia]`` and ``b[ib]``: intersection over union, 1 for two empty texts.
+def differences(a: Digests, ia: np.ndarray, b: Digests, ib: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, digest, sign) of every digest in which texts ``a[ia]`` and ``b[ib]`` differ, by pair; sign 1 is of ``a`` only.
 
-    Only the differing digests are counted, by subtracting sketches and peeling them; sizes are known.
+    Recovered by subtracting sketches and peeling; pairs whose sketch fails are sketched again four times larger.
     """
     na, nb = a.counts[ia], b.counts[ib]
-    out = np.ones(len(ia))
+    out = []
     open_ = np.flatnonzero(na + nb > 0)
     width = np.full(len(ia), CELLS // 3, dtype=np.int64)
     while len(open_):
@@ -140,24 +142,79 @@ def likeness(a: Digests, ia: np.ndarray, b: Digests, ib: np.ndarray) -> np.ndarr
             start = side.bounds[index[open_]]
             at = np.arange(n.sum()) + np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
             cells.add(np.repeat(np.arange(len(open_)), n), side.keys[at], np.full(len(at), sign, dtype=np.int64))
-        differ, failed, _ = cells.peel()
-        done = open_[~failed]
-        both = (na[done] + nb[done] - differ[~failed]) / 2
-        out[done] = both / (both + differ[~failed])
+        owner, keys, sign, failed = cells.peel()
+        sure = ~failed[owner]
+        out.append((open_[owner[sure]], keys[sure], sign[sure]))
         open_ = open_[failed]
         width[open_] *= 4
-    return out
+    none = np.zeros(0, dtype=np.int64)
+    pair, keys, sign = (np.concatenate(x) for x in zip((none, none.astype(np.uint64), none), *out))
+    order = np.lexsort((keys, pair))
+    return pair[order], keys[order], sign[order]
 
 
-def fingerprints(d: Digests, n: int) -> list[str]:
-    """Text form of the smallest sketch: the number of digests, then its cells."""
-    cells = Sketches(np.full(n, CELLS // 3, dtype=np.int64))
+def likeness(a: Digests, ia: np.ndarray, b: Digests, ib: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Intersection over union of the digests of texts ``a[ia]`` and ``b[ib]``, 1 for two empty texts; ``pair`` as from ``differences``."""
+    differ = np.bincount(pair, minlength=len(ia))
+    both = (a.counts[ia] + b.counts[ib] - differ) / 2
+    return np.where(both + differ > 0, both / np.maximum(both + differ, 1), 1.0)
+
+
+STORED = np.dtype([("n", "<u2"), ("key", "<u8"), ("check", "<u2")])
+
+
+def fingerprints(d: Digests, n: int, size: int = CELLS) -> list[str]:
+    """Text form of a sketch of ``size`` cells: the number of digests, then its cells.
+
+    Counts and checks are kept modulo 2**16, so that two fingerprints of one size subtract (``subtract``).
+    """
+    cells = Sketches(np.full(n, size // 3, dtype=np.int64))
     cells.add(d.text, d.keys, np.ones(len(d.keys), dtype=np.int64))
-    packed = np.zeros(n * CELLS, dtype=[("n", "<u2"), ("key", "<u8"), ("check", "<u2")])
-    packed["n"], packed["key"], packed["check"] = cells.count % 65536, cells.keys, cells.checks >> np.uint64(48)
-    raw = packed.tobytes()
-    size = packed.itemsize * CELLS
-    return [f"{d.counts[i]}:{base64.b64encode(raw[i * size : (i + 1) * size]).decode()}" for i in range(n)]
+    packed = np.zeros(n * size, dtype=STORED)
+    packed["n"], packed["key"], packed["check"] = cells.count % 65536, cells.keys, cells.checks & np.uint64(0xFFFF)
+    raw, width = packed.tobytes(), STORED.itemsize * size
+    return [f"{d.counts[i]}:{base64.b64encode(raw[i * width : (i + 1) * width]).decode()}" for i in range(n)]
+
+
+def subtract(a: str, b: str) -> tuple[list[int], list[int]] | None:
+    """The digests that only the text of fingerprint ``a`` or only that of ``b`` holds; None where more differ than its cells can tell."""
+    (na, x), (nb, y) = ((int(n), np.frombuffer(base64.b64decode(c), dtype=STORED)) for n, c in (f.split(":") for f in (a, b)))
+    if len(x) != len(y):
+        raise ValueError("fingerprints of different sizes")
+    width = np.array([len(x) // 3])
+    count, check = ((x[f].astype(np.int64) - y[f]) % 65536 for f in ("n", "check"))
+    key = x["key"] - y["key"]
+    only: dict[int, list[int]] = {1: [], -1: []}
+    again = True
+    while again:
+        again = False
+        for i in range(len(x)):
+            sign = {1: 1, 65535: -1}.get(int(count[i]))
+            if sign is None:
+                continue
+            digest = key[i : i + 1] * np.int64(sign).astype(np.uint64)
+            own = int(mix(digest ^ _CHECK)[0]) & 0xFFFF
+            if sign * own % 65536 != check[i] or _cell(digest, i // int(width[0]), width)[0] != i % width[0]:
+                continue
+            if int(digest[0]) in (*only[1], *only[-1]):
+                return None  # a cell that only looked like one digest came out before
+            for j in range(3):
+                at = j * int(width[0]) + int(_cell(digest, j, width)[0])
+                count[at], check[at] = (count[at] - sign) % 65536, (check[at] - sign * own) % 65536
+                key[at : at + 1] -= digest * np.int64(sign).astype(np.uint64)
+            only[sign].append(int(digest[0]))
+            again = True
+    if count.any() or check.any() or key.any() or len(only[1]) - len(only[-1]) != na - nb:
+        return None
+    return sorted(only[1]), sorted(only[-1])
+
+
+def changed_digests(a: str, b: str) -> tuple[list[int], list[int]]:
+    """``subtract`` for two texts: their fingerprints, four times larger until the difference can be told."""
+    size, texts = CELLS, [Digests([t.encode("utf-8", "surrogatepass")]) for t in (a, b)]
+    while (found := subtract(*(fingerprints(d, 1, size)[0] for d in texts))) is None:
+        size *= 4
+    return found
 
 
 def edited(text: str, following: str) -> str:
@@ -168,11 +225,12 @@ def edited(text: str, following: str) -> str:
 
 RESULT = (
     "doc_id BIGINT, n_chars BIGINT, edited_sha256 STRING, fingerprint STRING, edited_fingerprint STRING,"
-    " near_edited DOUBLE, near_next DOUBLE"
+    " near_edited DOUBLE, near_next DOUBLE, lost ARRAY<BIGINT>, gained ARRAY<BIGINT>"
 )
 _RESULT = pa.schema(
     [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string())]
     + [("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+    + [("lost", pa.list_(pa.int64())), ("gained", pa.list_(pa.int64()))]
 )
 _EDGE = pa.schema([*_RESULT, ("part", pa.int32()), ("side", pa.string()), ("text", pa.string())])
 EDGE = RESULT + ", part INT, side STRING, text STRING"
@@ -184,14 +242,18 @@ def _compare(ids: list, texts: list[str], following: list[str]) -> dict[str, lis
     raw = [[t.encode("utf-8", "surrogatepass") for t in x] for x in (texts, changed, following)]
     own, other, after = (Digests(x) for x in raw)
     every = np.arange(len(texts))
+    pair, keys, sign = differences(own, every, other, every)
+    lost, gained = ([x.view(np.int64) for x in np.split(keys[mine], np.searchsorted(pair[mine], every[1:]))] for mine in (sign > 0, sign < 0))
     return {
         "doc_id": ids,
         "n_chars": [len(t) for t in texts],
         "edited_sha256": [hashlib.sha256(x).hexdigest() for x in raw[1]],
         "fingerprint": fingerprints(own, len(texts)),
         "edited_fingerprint": fingerprints(other, len(texts)),
-        "near_edited": likeness(own, every, other, every),
-        "near_next": likeness(own, every, after, every),
+        "near_edited": likeness(own, every, other, every, pair),
+        "near_next": likeness(own, every, after, every, differences(own, every, after, every)[0]),
+        "lost": lost,
+        "gained": gained,
     }
 
 
@@ -248,6 +310,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint_versions(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Fingerprint each text and its edited version, whose last quarter comes from the next document.
 
+    ``lost`` and ``gained`` are the digests of paragraphs that only the text or only its edited version holds.
+
     The next document is that with the next larger id (after the last: the first); rows with equal ids follow each
     other in the order of their compressed texts, rows without id come first. A null text is empty; two empty texts have likeness 1, an empty and
     another 0. Rows are sorted by ranges once; only the first and last rows of the ranges are met again by a join.

@@ -1,8 +1,9 @@
 """Line dedup: drop lines that many documents share, all but in one document.
 
 Lines are compared by key: surrounding white space stripped, A-Z lower-cased. Keys meet as a pair of 64- and 32-bit
-hashes; counts of distinct documents are partly summed before the shuffle, so a line that every document holds is as
-cheap as any other. What comes back to a document is only the places of its lines to drop.
+hashes; counts of distinct documents are partly summed before the shuffle. To be marked, the occurrences of a line are
+dealt by document over SALTS tasks, each with its own copy of the line's one row, so a line that every document holds is
+no single task. What comes back to a document is only the places of its lines to drop.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from counterfair.llm.common import SPACES, lower_ascii
 
+SALTS = 16
+
 
 def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(SPACES)))
@@ -50,8 +53,10 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", min_cha
         .where(F.col("_n") >= min_docs)
         .drop("_n")
     )
+    shared = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     gone = (
-        long.join(shared, ["_a", "_b"])
+        long.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+        .join(shared, ["_a", "_b", "_salt"])
         .where(F.col("_id") != F.col("_keep"))
         .groupBy("_id", "_v")
         .agg(F.collect_set("_at").alias("_gone"))

@@ -159,12 +159,71 @@ def test_fingerprints_against_sets(documents):
         following = rows[(k + 1) % len(rows)][1]
         e = fingerprint.edited(t, following)
         assert got[i]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
+        gone, new = ({x % 2**64 for x in got[i][c]} for c in ("lost", "gained"))
+        assert (gone, new) == (_digests(t) - _digests(e), _digests(e) - _digests(t))
         for name, other in (("near_edited", e), ("near_next", following)):
             a, b = _digests(t), _digests(other)
             assert math.isclose(got[i][name], len(a & b) / len(a | b) if a | b else 1, abs_tol=1e-12)
     assert np.mean([r["near_edited"] > r["near_next"] for r in got.values()]) > 0.95
 
 
+def _plain_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % 2**64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def _paragraphs(text):
+    """Paragraphs with how often each came before, cut byte by byte."""
+    out, start, seen = [], 0, Counter()
+    for k, byte in enumerate(text):
+        last = sum(text[k - back] << 8 * back for back in range(4) if k >= back)
+        mask = next(m for limit, m in fingerprint.CUTS if k < limit)
+        if byte == 10 or k + 1 == len(text) or _plain_mix(last) & mask == 0:
+            p = text[start : k + 1]
+            out.append((p, seen[p]))
+            seen[p] += 1
+            start = k + 1
+    return out
+
+
+def test_digests_stand_for_paragraphs(documents, odd):
+    texts = [(r["text"] or "").encode() for t in (documents.limit(60), odd) for r in t.collect()]
+    texts += [b"", b"\n", b"\n\n\n", b"ab" * 700]
+    of = {}
+    d = fingerprint.Digests(texts)
+    for i, t in enumerate(texts):
+        mine = set(_paragraphs(t))
+        keys = set(d.keys[d.bounds[i] : d.bounds[i + 1]].tolist())
+        assert len(keys) == len(mine)
+        one = fingerprint.Digests([t])
+        assert set(one.keys.tolist()) == keys
+        of[i] = (mine, keys)
+    for i in range(0, len(texts) - 1):
+        (m1, k1), (m2, k2) = of[i], of[i + 1]
+        assert len(m1 & m2) == len(k1 & k2)
+
+
+def test_differing_digests_are_recovered(documents):
+    texts = [r["text"] for r in documents.orderBy("doc_id").limit(80).collect()] + ["", "x"]
+    changed = [t if k % 4 == 0 else t[: len(t) // 3] + " new words here " + t[len(t) // 3 :] if k % 4 == 1 else texts[k - 1] for k, t in enumerate(texts)]
+    a, b = (fingerprint.Digests([t.encode() for t in x]) for x in (texts, changed))
+    every = np.arange(len(texts))
+    pair, keys, sign = fingerprint.differences(a, every, b, every)
+    small = 0
+    for k in range(len(texts)):
+        one, two = _digests(texts[k]), _digests(changed[k])
+        mine = [{int(x) for x in keys[(pair == k) & (sign == s)]} for s in (1, -1)]
+        assert mine == [one - two, two - one]
+        found = fingerprint.subtract(fingerprint.fingerprints(a, len(texts))[k], fingerprint.fingerprints(b, len(texts))[k])
+        small += found is not None
+        assert found in (None, (sorted(one - two), sorted(two - one)))
+        assert fingerprint.changed_digests(texts[k], changed[k]) == (sorted(one - two), sorted(two - one))
+    assert small >= len(texts) // 3
+
+
 def test_fingerprints_odd(odd, empty, spark):
     out = fingerprint.fingerprint_versions(odd).collect()
     assert len(out) == 12
