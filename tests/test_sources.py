@@ -152,3 +152,29 @@ def test_one_document_is_read_by_many_tasks(spark, tmp_path, indent, extra):
     for (_, _, c), m in zip(mine, messages):
         assert c == m["content"] if isinstance(m["content"], str) else json.loads(c) == m["content"]
     assert sum(r["doc"].endswith("b.json") for r in rows) == 3
+
+
+def test_a_request_is_carried_over_split_borders(spark, tmp_path):
+    body, want, request = ["id,age,job"], [], None
+    for i in range(600):
+        if i % 150 == 0:
+            request = f"attr{i}"
+            body.append(f",CF {request},")
+        body.append(f"{i},{20 + i % 50},job{i % 7}")
+        want.append((str(i), request))
+    (tmp_path / "a.csv").write_text("\n".join(body) + "\n")
+    log = [f"M_INSTANCE CALL: {i // 40}" if i % 40 == 0 else "FAILED TO CHANGE SENSITIVE PARAMETER." for i in range(400)]
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "run.log").write_text("\n".join(log) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        rows = lines.read_sectioned_csv(spark, str(tmp_path / "a.csv"), ["id", "age", "job"])
+        blocks = lines.read_blocks(spark, str(tmp_path / "logs"))
+        got = [(r["id"], r["request"]) for r in rows.orderBy("line_no").collect()]
+        calls = logs.log_summary(blocks).orderBy("call").collect()
+        splits = blocks.select("block").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == want and splits > 10
+    assert [(r["call_id"], r["failed_sensitive"]) for r in calls] == [(i, 39) for i in range(10)]
