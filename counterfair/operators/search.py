@@ -638,13 +638,13 @@ def random_step(walkers: DataFrame, model, space: SearchSpace, weights: WalkWeig
     return _flip_view(moved, model, space).drop("n_value")
 
 
-def _rounds_together(rows: list, walk_round, rounds: int) -> Iterator:
+def _rounds_together(rows: list, walk_round, rounds: int, tasks: int) -> Iterator:
     """Each round of this task's walkers, then its counts to all tasks and theirs back."""
-    context = BarrierTaskContext.get()
+    context = BarrierTaskContext.get() if tasks > 1 else None
     for step in range(rounds):
         positions, counts = walk_round(step)
         yield positions
-        heard = [json.loads(m) for m in context.allGather(json.dumps(counts))]
+        heard = [json.loads(m) for m in context.allGather(json.dumps(counts))] if context else [counts]
         total: dict[tuple[int, int], list[int]] = {}
         for told in heard:
             for at, direction, good, bad in told:
@@ -653,12 +653,16 @@ def _rounds_together(rows: list, walk_round, rounds: int) -> Iterator:
         rows.append([(*k, *v) for k, v in sorted(total.items())])
 
 
+WALKERS = 20_000  # of a task in the adaptive walk
+
+
 def adaptive_walk(starts: DataFrame, model, space: SearchSpace, rounds: int) -> DataFrame:
     """All rounds of the adaptive walk as one barrier stage: the positions tried, (seed_id, step, features, flips).
 
     The same as repeating ``random_step`` and updating the shared weights. Walkers stay in their tasks; after each round the
-    tasks tell each other their success counts (a few numbers per feature), and all update the weights alike. There
-    are as many tasks as cores, all of which must run at once. Of equal masked keys in a task only the earliest
+    tasks tell each other their success counts (a few numbers per feature), and all update the weights alike. An exchange
+    takes Spark about a second, so a task gets up to WALKERS walkers before another is used; there are at most as many
+    tasks as cores, all of which must run at once. Of equal masked keys in a task only the earliest
     (step, seed) is returned. A lost task restarts the stage, with the same choices.
     """
     features = space.features
@@ -717,9 +721,9 @@ def adaptive_walk(starts: DataFrame, model, space: SearchSpace, rounds: int) ->
             state["x"], state["was"] = np.where(keep[:, None], tried, x), np.where(keep, flips, was)
             return pa.RecordBatch.from_arrays(columns, names=names), counts
 
-        yield from _rounds_together(told, walk_round, rounds)
+        yield from _rounds_together(told, walk_round, rounds, tasks)
 
-    tasks = starts.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(starts.sparkSession.sparkContext.defaultParallelism, -(-starts.count() // WALKERS)))
     return start.repartition(tasks).mapInArrow(walk, schema, barrier=True)
 
 

@@ -151,10 +151,11 @@ def test_local_walks_take_all_steps_of_the_reference(seeds):
     assert sum(r["disc"] for r in rows) > few.filter("phase = 'local' AND disc = 1").count()
 
 
-@pytest.mark.parametrize("few", [True, False])
-def test_adaptive_walk_in_one_stage_is_the_rounds_repeated(spark, seeds, few):
+@pytest.mark.parametrize("few, walkers", [(True, 1), (False, 6), (False, 1000)])
+def test_adaptive_walk_in_one_stage_is_the_rounds_repeated(spark, seeds, monkeypatch, few, walkers):
+    monkeypatch.setattr(search, "WALKERS", walkers)
     model, rounds = formula_mlp(), 6
-    starts = seeds.where("seed_id < 2") if few else seeds  # fewer walkers than tasks, too
+    starts = seeds.where("seed_id < 2") if few else seeds
     got = search.adaptive_walk(starts, model, REG, rounds).collect()
     weights, want = search.WalkWeights.uniform(len(FEATURES)), {}
     walkers = starts.withColumn("flips", F.lit(True))
