@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from zlib import crc32
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -96,6 +97,44 @@ def hash_unit(*parts: Column) -> Column:
     return hash_int(*parts) / F.lit(4294967296.0)
 
 
+MIX = 739982445  # odd and below 2^30, so that products of 32-bit words stay within 64 bits
+WORD = 0xFFFFFFFF
+
+
+def mix_int(tag: str, *parts: Column) -> Column:
+    """32-bit integer mixed from whole numbers by multiply and xor-shift rounds, one per 32-bit word.
+
+    For choices counted by step: unlike ``hash_int`` it has an array form (``mixed_numbers``), and needs no text.
+    """
+    longs = [p.cast("bigint") for p in parts]
+    words = [w for p in longs for w in (p.bitwiseAND(F.lit(WORD)), F.shiftright(p, 32).bitwiseAND(F.lit(WORD)))]
+
+    def mixed(state: Column, word: Column) -> Column:
+        product = (state.bitwiseXOR(word) * F.lit(MIX)).bitwiseAND(F.lit(WORD))
+        return product.bitwiseXOR(F.shiftright(product, 15))
+
+    zero = F.lit(0).cast("bigint")
+    return F.aggregate(F.array(*words, zero, zero), F.lit(crc32(tag.encode())).cast("bigint"), mixed)
+
+
+def mix_unit(tag: str, *parts: Column) -> Column:
+    """Uniform number in [0, 1) from ``mix_int``."""
+    return mix_int(tag, *parts) / F.lit(4294967296.0)
+
+
+def mixed_state(state, part):
+    """Array form of the rounds of ``mix_int`` over one part; the first state is a tag's ``crc32``."""
+    for word in (part & WORD, (part >> 32) & WORD):
+        product = ((state ^ word) * MIX) & WORD
+        state = product ^ (product >> 15)
+    return state
+
+
+def mixed_numbers(state, part):
+    """Array form of ``mix_int``: the state before the last part, and that part."""
+    return mixed_state(mixed_state(state, part), 0)
+
+
 def weighted_choice(probs: Column, unit: Column) -> Column:
     """Zero-based index whose cumulative probability first exceeds ``unit``."""
     start = F.struct(F.lit(0.0).alias("acc"), F.lit(-1).alias("idx"), F.lit(0).alias("pos"))

@@ -4,7 +4,8 @@ One round advances every seed by one move. Rounds are narrow wherever the next m
 not depend on other seeds; the shuffle by masked key happens once per round or once at the end. The
 frontier is checkpointed each round, so plans stay short and a lost executor restarts one round. Paths that depend on
 other seeds only by where they end are walked first and matched afterwards; walkers that share probabilities walk together.
-All choices come from md5 hashes of (seed, step), never from a task's random state.
+All choices come from hashes of (seed, step), never from a task's random state: md5 where the JVM works them out, mixed
+integers where walkers take thousands of steps inside a task.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import math
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from hashlib import md5
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,11 @@ from counterfair.functions.scalar import (
     clipped,
     fixed,
     hash_int,
-    hash_unit,
     inverse_gradient_prob,
+    mix_int,
+    mix_unit,
+    mixed_numbers,
+    mixed_state,
     q,
     sign_move,
     weighted_choice,
@@ -247,7 +251,7 @@ def local_starts(found: DataFrame, space: SearchSpace) -> DataFrame:
 
 def _drawn_feature(df: DataFrame, probs: Column, parts: list[Column]) -> DataFrame:
     """Adds ``_at``, the index of the feature to move."""
-    drawn = weighted_choice(F.col("_p"), hash_unit(F.lit("feature"), *parts))
+    drawn = weighted_choice(F.col("_p"), mix_unit("feature", *parts))
     return picks.pinned(picks.pinned(df, {"_p": probs}), {"_at": drawn}).drop("_p")
 
 
@@ -261,7 +265,7 @@ def local_step(walkers: DataFrame, model, space: SearchSpace, step: int) -> Data
     twins = {p: F.col(f"_t_{p}") for p in space.protected}
     graded = _pair_gradients(walkers, model, space, twins)
     probs = inverse_gradient_prob(F.col("grad"), F.col("grad_twin"), space.movable())
-    sign = F.when(hash_int(F.lit("sign"), *parts) % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
+    sign = F.when(mix_int("sign", *parts) % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
     chosen = _drawn_feature(graded, probs, parts)
     tried = chosen.withColumns(
         {
@@ -275,7 +279,7 @@ def local_step(walkers: DataFrame, model, space: SearchSpace, step: int) -> Data
     ends = {"k": F.size(F.array_distinct("bins")), "spread": F.array_max("bins") - F.array_min("bins")}
     scored = variant_bins(at_try, model, space.domain, space.eps).withColumns(ends).drop("bins")
     accept = (F.col("spread") >= F.col("_spread")) | (
-        hash_unit(F.lit("accept"), *parts) < F.exp((F.col("spread") - F.col("_spread")).cast("double"))
+        mix_unit("accept", *parts) < F.exp((F.col("spread") - F.col("_spread")).cast("double"))
     )
     return scored.withColumn("_keep", accept)
 
@@ -292,6 +296,15 @@ def _drawn_features(grad: np.ndarray, twin: np.ndarray, movable: np.ndarray, uni
     return np.where(hit.any(axis=1), hit.argmax(axis=1), -1)
 
 
+# In the place of the round that a local walker starts from: walks of the single-attribute searches.
+LOCAL, WALK = -1, -2
+
+
+def _heads(tags: tuple[str, ...], salt: int, ids: np.ndarray, origin) -> dict[str, np.ndarray]:
+    """Mixed states of each tag's choices by walker; what is missing is the step."""
+    return {t: mixed_state(mixed_state(mixed_state(crc32(t.encode()), salt), ids), origin) for t in tags}
+
+
 def walk_paths(starts: DataFrame, space: SearchSpace, middle: Column, twins: dict[str, Column], gain: Column, rounds: int, pair, judge, fields: str, began: float) -> DataFrame:
     """All rounds of all walkers in one Arrow pass: the positions tried, with the ``fields`` that ``judge`` gives them.
 
@@ -306,7 +319,7 @@ def walk_paths(starts: DataFrame, space: SearchSpace, middle: Column, twins: dic
     low, high = (np.array([space.bounds[f][i] for f in features], dtype=float) for i in (0, 1))
     start = starts.select(
         F.col("seed_id").cast("bigint").alias("seed_id"),
-        F.concat_ws("|", F.lit(space.salt), "seed_id", middle).alias("_head"),
+        middle.cast("bigint").alias("_origin"),
         *[q(f).cast("double").alias(f) for f in features],
         *[c.cast("double").alias(f"_t_{p}") for p, c in twins.items()],
         gain.cast("bigint").alias("_gain"),
@@ -316,22 +329,22 @@ def walk_paths(starts: DataFrame, space: SearchSpace, middle: Column, twins: dic
     schema = "seed_id BIGINT, step INT, " + ", ".join(f"`{f}` INT" for f in features) + f", {fields}, elapsed DOUBLE"
     piece = max(1, MATRIX_ROWS // space.domain.size)
 
-    def numbers(tag: str, heads: list[str], step: int) -> np.ndarray:
-        return np.array([int(md5(f"{tag}|{h}|{step}".encode()).hexdigest()[:8], 16) for h in heads])
+    salt = space.salt
 
     def walk(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, piece):
                 rows = batch.slice(at, piece).to_pandas().sort_values("seed_id", kind="stable")
-                ids, heads = rows["seed_id"].to_numpy(), rows["_head"].tolist()
+                ids = rows["seed_id"].to_numpy()
+                heads = _heads(("feature", "sign", "accept"), salt, ids, rows["_origin"].to_numpy())
                 x, was = rows[features].to_numpy(dtype=float), rows["_gain"].to_numpy()
                 partner = rows[partners].to_numpy()
                 seen = set()
                 for n in range(rounds):
                     twin = x.copy()
                     twin[:, slots] = partner
-                    chosen = _drawn_features(*pair(x, twin), movable, numbers("feature", heads, n) / 4294967296.0)
-                    sign = np.where(numbers("sign", heads, n) % 2 == 0, 1.0, -1.0)
+                    chosen = _drawn_features(*pair(x, twin), movable, mixed_numbers(heads["feature"], n) / 4294967296.0)
+                    sign = np.where(mixed_numbers(heads["sign"], n) % 2 == 0, 1.0, -1.0)
                     tried = np.clip(x + np.where(np.arange(len(features)) == chosen[:, None], sign[:, None], 0.0), low, high)
                     judged = judge(tried)
                     now = judged[:, -1].astype(np.int64)
@@ -346,7 +359,7 @@ def walk_paths(starts: DataFrame, space: SearchSpace, middle: Column, twins: dic
                         columns += [pa.array(v) for v in judged[new].T]
                         columns.append(pa.array(np.full(len(new), time.time() - began)))
                         yield pa.RecordBatch.from_arrays(columns, names=names)
-                    keep = (now >= was) | (numbers("accept", heads, n) / 4294967296.0 < np.exp((now - was).astype(float)))
+                    keep = (now >= was) | (mixed_numbers(heads["accept"], n) / 4294967296.0 < np.exp((now - was).astype(float)))
                     x, was = np.where(keep[:, None], tried, x), np.where(keep, now, was)
 
     return start.repartition(parts, "seed_id").mapInArrow(walk, schema)
@@ -388,7 +401,7 @@ LEAVE = math.exp(-1)
 
 def _kept_position(done: DataFrame, names: list[str], parts: list[Column]) -> DataFrame:
     """Walkers after a try: where ``flips`` was lost, most stay at ``_was_…``; else all move on."""
-    keep = F.col("flips") | ~F.col("_was_flips") | (hash_unit(F.lit("accept"), *parts) < LEAVE)
+    keep = F.col("flips") | ~F.col("_was_flips") | (mix_unit("accept", *parts) < LEAVE)
     judged = picks.pinned(done, {"_keep": keep})
     back = {n: F.when(F.col("_keep"), q(n)).otherwise(q(f"_was_{n}")) for n in [*names, "flips"]}
     return judged.withColumns(back).drop("_keep", "_was_flips", *[f"_was_{n}" for n in names])
@@ -406,7 +419,7 @@ def _flip_walk(starts: DataFrame, model, space: SearchSpace, max_rounds: int, pa
         return (classes.any(axis=1) & ~classes.all(axis=1))[:, None]
 
     twins = {space.protected[0]: F.col("n_value")}
-    walked = walk_paths(starts, space, F.lit("local"), twins, F.lit(1), max_rounds, pair, flips, "flips BOOLEAN", time.time())
+    walked = walk_paths(starts, space, F.lit(LOCAL), twins, F.lit(1), max_rounds, pair, flips, "flips BOOLEAN", time.time())
     return cut_lineage(walked.drop("elapsed"))
 
 
@@ -612,7 +625,7 @@ class WalkWeights:
 
 
 def _walk_parts(space: SearchSpace, step: int) -> list[Column]:
-    return [F.lit(space.salt), F.col("seed_id"), F.lit("walk"), F.lit(step)]
+    return [F.lit(space.salt), F.col("seed_id"), F.lit(WALK), F.lit(step)]
 
 
 def random_step(walkers: DataFrame, model, space: SearchSpace, weights: WalkWeights, step: int) -> DataFrame:
@@ -623,12 +636,12 @@ def random_step(walkers: DataFrame, model, space: SearchSpace, weights: WalkWeig
     lows = F.array(*[F.lit(space.bounds[f][0]) for f in space.features])
     highs = F.array(*[F.lit(space.bounds[f][1]) for f in space.features])
     before = {f"_was_{n}": q(n) for n in [*space.features, "flips"]}
-    chosen = picks.pinned(walkers.withColumns(before), {"at": weighted_choice(probs, hash_unit(F.lit("feature"), *parts))})
+    chosen = picks.pinned(walkers.withColumns(before), {"at": weighted_choice(probs, mix_unit("feature", *parts))})
     slot = F.col("at") + 1
     value = F.element_at(F.array(*[q(f).cast("int") for f in space.features]), slot)
     edge = (value == F.element_at(lows, slot)) | (value == F.element_at(highs, slot))
     chance = F.when(edge, F.lit(0.5)).otherwise(F.element_at(down, slot))
-    direction = F.when(hash_unit(F.lit("direction"), *parts) < chance, F.lit(-1)).otherwise(F.lit(1))
+    direction = F.when(mix_unit("direction", *parts) < chance, F.lit(-1)).otherwise(F.lit(1))
     moved = picks.pinned(chosen, {"direction": direction}).withColumns(
         {
             f: space.clip(f, q(f) + F.when(F.col("at") == i, F.col("direction")).otherwise(F.lit(0)))
@@ -670,23 +683,24 @@ def adaptive_walk(starts: DataFrame, model, space: SearchSpace, rounds: int) ->
     low, high = (np.array([space.bounds[f][i] for f in features], dtype=float) for i in (0, 1))
     start = starts.select(
         F.col("seed_id").cast("bigint").alias("seed_id"),
-        F.concat_ws("|", F.lit(space.salt), "seed_id", F.lit("walk")).alias("_head"),
         *[q(f).cast("double").alias(f) for f in features],
     )
     names = ["seed_id", "step", *features, "flips"]
     schema = "seed_id BIGINT, step INT, " + ", ".join(f"`{f}` INT" for f in features) + ", flips BOOLEAN"
+    salt = space.salt
 
     def walk(batches):
         mine = [b.to_pandas() for b in batches]  # a task without walkers still takes part in every exchange
-        held = pd.concat(mine) if mine else pd.DataFrame(columns=["seed_id", "_head", *features])
+        held = pd.concat(mine) if mine else pd.DataFrame(columns=["seed_id", *features])
         held = held.sort_values("seed_id", kind="stable")
-        ids, heads = held["seed_id"].to_numpy(dtype=np.int64), held["_head"].tolist()
+        ids = held["seed_id"].to_numpy(dtype=np.int64)
+        heads = _heads(("feature", "direction", "accept"), salt, ids, WALK)
         state = {"x": held[features].to_numpy(dtype=float), "was": np.ones(len(held), dtype=bool)}
         weights, told, seen = WalkWeights.uniform(len(features)), [], set()
         lines = np.arange(len(held))
 
         def units(tag: str, step: int) -> np.ndarray:
-            return np.array([int(md5(f"{tag}|{h}|{step}".encode()).hexdigest()[:8], 16) for h in heads]) / 4294967296.0
+            return mixed_numbers(heads[tag], step) / 4294967296.0
 
         def walk_round(step: int):
             if told:

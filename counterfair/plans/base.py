@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterfair.functions.models import LogisticModel, MlpModel
+from counterfair.functions.scalar import MIX, WORD
 from counterfair.operators.expand import Domain, expand_protected
 from counterfair.operators.metrics import add_bin
 from counterfair.operators.prepare import equal_width_bin, label_encode, label_encoder
@@ -207,6 +209,14 @@ scored AS (SELECT *, {probability_sql()} AS p FROM raw_variants),
 variants AS (SELECT *, {bin_sql()} AS bin, CAST(p > 0.5 AS INT) AS cls FROM scored)"""
 
 
+def mix_sql(tag: str, *parts: str) -> str:
+    """SQL form of ``functions.scalar.mix_int``."""
+    words = [w for p in parts for w in (f"CAST({p} AS BIGINT) & {WORD}", f"(CAST({p} AS BIGINT) >> 32) & {WORD}")]
+    product = f"((xor(h, w) * {MIX}) & {WORD})"
+    listed = ", ".join([f"CAST({crc32(tag.encode())} AS BIGINT)", *words, "0", "0"])
+    return f"list_reduce(CAST([{listed}] AS BIGINT[]), lambda h, w: xor({product}, {product} >> 15))"
+
+
 def digest_sql(*parts: str) -> str:
     """SQL form of ``functions.scalar.hash_int``."""
     return f"CAST(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8)) AS BIGINT)"

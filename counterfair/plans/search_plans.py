@@ -19,6 +19,7 @@ from counterfair.plans.base import (
     digest_sql,
     double,
     formula_mlp,
+    mix_sql,
     probability_sql,
     query,
     rounded,
@@ -39,6 +40,7 @@ from counterfair.plans.model_plans import (
 MAX_ITER = 10
 GUIDED_MOVES = 40
 LOCAL_ROUNDS = 4  # of the queries whose SQL unrolls the rounds
+SALT = "/*salt*/ 0"  # of a search without trials; that of a trial takes its place
 LOCAL_STEPS = 1000  # of a walker in the reference
 
 
@@ -54,11 +56,11 @@ seeds AS (SELECT row_id AS seed_id, 0 AS step, seg, reg, bal, n_ord FROM applica
 
 
 def _hash(tag: str, *parts: str) -> str:
-    return digest_sql(f"'{tag}'", "'0'", *[f"CAST({p} AS VARCHAR)" for p in parts])
+    return digest_sql(f"'{tag}'", f"CAST({SALT} AS VARCHAR)", *[f"CAST({p} AS VARCHAR)" for p in parts])
 
 
 def _unit(tag: str, *parts: str) -> str:
-    return f"({_hash(tag, *parts)} / 4294967296e0)"
+    return f"({mix_sql(tag, SALT, *parts)} / 4294967296e0)"
 
 
 def _clip(feature: str, expr: str) -> str:
@@ -182,7 +184,7 @@ def _drawn(free: list[str], at: tuple[str, ...]) -> str:
 
 
 def _sign(at: tuple[str, ...]) -> str:
-    return f"CASE WHEN {_hash('sign', *at)} % 2 = 0 THEN 1 ELSE -1 END"
+    return f"CASE WHEN {mix_sql('sign', SALT, *at)} % 2 = 0 THEN 1 ELSE -1 END"
 
 
 def _variants_sql(model, n: str, source: str, keys: str) -> str:
@@ -373,7 +375,7 @@ def _kept(names: list[str]) -> str:
 def _flip_walk_sql(model, rounds: int) -> str:
     ctes = []
     for n in range(rounds):
-        at = ("seed_id", "'local'", str(n))
+        at = ("seed_id", str(search.LOCAL), str(n))
         ctes.append(f"""
 wg{n} AS (SELECT *, {_gradients(model, KEY, reg='n_value')} FROM ww{n}),
 wc{n} AS (SELECT *, {_drawn(KEY, at)} AS pick, {_sign(at)} AS sgn FROM wg{n}),
@@ -479,7 +481,7 @@ wa0 AS (SELECT seed_id, seg, reg, bal, n_ord, true AS was FROM fresh_found),
 pw0 AS (SELECT [{', '.join([double(1.0 / n_features)] * n_features)}] AS fp, [{', '.join(['0.5e0'] * n_features)}] AS dp)"""
     ]
     for n in range(rounds):
-        at = ("seed_id", "'walk'", str(n))
+        at = ("seed_id", str(search.WALK), str(n))
         cases = " ".join(
             f"WHEN fp[{i + 1}] > 0 AND {' + '.join(f'fp[{j + 1}]' for j in range(i + 1))} > u * list_sum(fp) THEN {i}"
             for i in range(n_features)

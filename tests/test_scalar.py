@@ -1,5 +1,6 @@
 import json
 import math
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -75,6 +76,19 @@ def test_hash_unit_range_and_repeatability(spark):
     assert first == second and 0 <= min(first) and max(first) < 1 and abs(np.mean(first) - 0.5) < 0.03
 
 
+def test_mixed_numbers_are_those_of_the_array_form_and_even(spark):
+    df = spark.range(-3000, 3000).select("id", scalar.mix_int("sign", F.lit(7), F.col("id") * (1 << 29), F.lit(3)).alias("v"))
+    rows = sorted((r["id"], r["v"]) for r in df.collect())
+    ids = np.array([i for i, _ in rows], dtype=np.int64) * (1 << 29)
+    state = scalar.mixed_state(scalar.mixed_state(crc32(b"sign"), 7), ids)
+    assert scalar.mixed_numbers(state, 3).tolist() == [v for _, v in rows]
+    by_step = np.array([scalar.mixed_numbers(state, n) for n in range(50)])
+    assert abs(by_step.mean() / 2**32 - 0.5) < 0.005 and abs((by_step % 2).mean() - 0.5) < 0.005
+    units = by_step / 2**32  # neither neighbouring walkers nor neighbouring steps go together
+    assert abs(np.corrcoef(units[0], units[1])[0, 1]) < 0.05 and abs(np.corrcoef(units[:, :-1].ravel(), units[:, 1:].ravel())[0, 1]) < 0.02
+    assert all(0.05 < (units[0] < (b + 1) / 10).mean() - (units[0] < b / 10).mean() < 0.15 for b in range(10))
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

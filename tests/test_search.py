@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from counterfair.functions.scalar import hash_unit
+from counterfair.functions.scalar import mix_unit
 from counterfair.operators import picks, score, search
 from counterfair.plans.base import FEATURES, LOGISTIC, formula_mlp
 
@@ -89,8 +89,8 @@ def test_random_rows_cover_the_bounds(spark):
 def test_walkers_leave_a_find_only_when_their_hash_allows(spark):
     rows = [(i, 5, was, now, 4) for i, (was, now) in enumerate([(a, b) for a in (True, False) for b in (True, False)] * 50)]
     done = spark.createDataFrame(rows, "seed_id BIGINT, bal INT, _was_flips BOOLEAN, flips BOOLEAN, _was_bal INT")
-    parts = [F.lit(0), F.col("seed_id"), F.lit("walk"), F.lit(3)]
-    unit = hash_unit(F.lit("accept"), *parts)
+    parts = [F.lit(0), F.col("seed_id"), F.lit(search.WALK), F.lit(3)]
+    unit = mix_unit("accept", *parts)
     marked = done.withColumns({"lost": F.col("_was_flips") & ~F.col("flips"), "chance": unit, "tried": F.col("flips")})
     out = search._kept_position(marked, ["bal"], parts).collect()
     assert {r["lost"] and r["chance"] >= search.LEAVE for r in out} == {True, False}
