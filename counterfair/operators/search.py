@@ -137,6 +137,15 @@ def search_step(frontier: DataFrame, model, space: SearchSpace) -> DataFrame:
     return stepped.withColumns(nexts).drop("grad", "grad_twin", "_move", *[f"_t_{p}" for p in space.protected])
 
 
+def _trials(df: DataFrame) -> list[str]:
+    return ["trial"] if "trial" in df.columns else []
+
+
+def _salt(df: DataFrame, space: SearchSpace) -> Column:
+    """Salt of a row's choices: its trial's number further than that of the space."""
+    return F.lit(space.salt) + F.col("trial") if _trials(df) else F.lit(space.salt)
+
+
 TAGS = (*picks.PICKS[2:], "feature", "sign")
 
 
@@ -151,20 +160,22 @@ def search_paths(seeds: DataFrame, model, space: SearchSpace, max_iter: int, beg
     """All positions of all seeds, one row per ``search_step``: the same moves as repeating that step.
 
     The hashes of every step are known beforehand and come from the JVM; the path itself is one Arrow pass
-    without checkpoints. A seed with a NULL feature has no path.
+    without checkpoints. A seed with a NULL feature has no path. A column ``trial`` sets seeds of other trials apart.
     """
+    trials, salt = _trials(seeds), _salt(seeds, space)
     features, domain, steps = space.features, space.domain, max_iter + 1
     slots = [features.index(p) for p in domain.names]
     free = np.array([features.index(f) for f in space.free])
     movable = np.array([0.0 if f in space.protected else 1.0 for f in features])
     low, high = (np.array([space.bounds[f][i] for f in features], dtype=float) for i in (0, 1))
     seed_id = F.col("seed_id").cast("bigint")
-    hashes = [hash_int(F.lit(t), F.lit(space.salt), seed_id, F.lit(n)) for n in range(steps) for t in TAGS]
+    hashes = [hash_int(F.lit(t), salt, seed_id, F.lit(n)) for n in range(steps) for t in TAGS]
     known = seeds.dropna(subset=features)
-    start = known.select(seed_id.alias("seed_id"), *[q(f).cast("double").alias(f) for f in features], F.array(*hashes).alias("_h"))
+    start = known.select(*trials, seed_id.alias("seed_id"), *[q(f).cast("double").alias(f) for f in features], F.array(*hashes).alias("_h"))
     ints = ["k", "spread", "member", "partner", "low", "high"]
-    names = ["seed_id", "step", *features, *ints, "elapsed"]
-    schema = "seed_id BIGINT, " + ", ".join(f"`{c}` INT" for c in names[1:-1]) + ", elapsed DOUBLE"
+    numbers = ["step", *features, *ints]
+    names = [*trials, "seed_id", *numbers, "elapsed"]
+    schema = "".join(f"{t} INT, " for t in trials) + "seed_id BIGINT, " + ", ".join(f"`{c}` INT" for c in numbers) + ", elapsed DOUBLE"
 
     def walk(batches):
         grid = domain.grid()
@@ -178,7 +189,7 @@ def search_paths(seeds: DataFrame, model, space: SearchSpace, max_iter: int, beg
                     picked = picks.pick_variants(score_bins(variant_scores(x, features, model, domain), space.eps), h[:, n])
                     twin = x.copy()
                     x[:, slots], twin[:, slots] = grid[picked[:, 2]], grid[picked[:, 3]]
-                    columns = [rows.column("seed_id"), pa.array(np.full(len(x), n), pa.int32())]
+                    columns = [*[rows.column(c) for c in (*trials, "seed_id")], pa.array(np.full(len(x), n), pa.int32())]
                     columns += [pa.array(v.astype(np.int32)) for v in (*x.T, *picked.T)]
                     columns.append(pa.array(np.full(len(x), time.time() - began)))
                     yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -197,24 +208,26 @@ def global_search(
 
     A seed's path does not depend on what others found, so all its rounds are one narrow pass; duplicates
     are removed once, keeping the earliest (step, seed). ``elapsed`` is when a task reached the position.
+    Seeds with a column ``trial`` are searched trial by trial in the same pass: finds are unique within a trial.
     """
+    key = [*_trials(seeds), *space.key()]
     began = time.time()
     paths = search_paths(seeds, model, space, max_iter, began)
-    unique = not_seen(paths, space.key(), ["step", "seed_id"])
+    unique = not_seen(paths, key, ["step", "seed_id"])
     found = _found(unique, space, "global")
     if not local_rounds:
         return found
     unique = cut_lineage(unique)
     starts = unique.filter(F.col("k") >= 2)
     local = local_search(local_starts(starts, space), model, space, local_rounds, began)
-    fresh = not_seen(local, space.key(), ["step", "seed_id"], unique)
+    fresh = not_seen(local, key, ["step", "seed_id"], unique)
     return _found(unique, space, "global").unionByName(_found(fresh, space, "local"))
 
 
 def _found(rows: DataFrame, space: SearchSpace, phase: str) -> DataFrame:
     masked = mask_protected(rows, list(space.protected))
     return masked.select(
-        F.lit(phase).alias("phase"), "seed_id", "step", *[q(f) for f in space.features], "k", "spread", "elapsed"
+        *_trials(rows), F.lit(phase).alias("phase"), "seed_id", "step", *[q(f) for f in space.features], "k", "spread", "elapsed"
     )
 
 
@@ -234,10 +247,24 @@ def rescored(found: DataFrame, seeds: DataFrame, model, space: SearchSpace) -> D
     return judged.drop("p_min", "p_max").join(starts, "seed_id")
 
 
+def search_trials(
+    seeds: DataFrame, model, space: SearchSpace, trials: int, max_iter: int = 10, local_rounds: int = 0
+) -> DataFrame:
+    """Finds of ``trials`` repetitions of ``global_search`` with other choices, scored again; a column ``trial`` counts from 0.
+
+    One search over all trials' seeds, not one after the other. The result is what ``metrics.search_report`` takes
+    by trial, and ``metrics.mean_std_over_trials`` after it. No seeds or no trials give no rows.
+    """
+    numbers = F.array(*[F.lit(t) for t in range(trials)]).cast("array<int>")
+    repeated = seeds.drop("trial").withColumn("trial", F.explode(numbers))
+    return rescored(global_search(repeated, model, space, max_iter, local_rounds), seeds, model, space)
+
+
 def local_starts(found: DataFrame, space: SearchSpace) -> DataFrame:
     """Walkers of the local search: the row under its lowest-bin values, the highest-bin values as twin."""
     domain = space.domain
     return found.select(
+        *_trials(found),
         "seed_id",
         F.col("step").alias("origin"),
         "spread",
@@ -300,7 +327,7 @@ def _drawn_features(grad: np.ndarray, twin: np.ndarray, movable: np.ndarray, uni
 LOCAL, WALK = -1, -2
 
 
-def _heads(tags: tuple[str, ...], salt: int, ids: np.ndarray, origin) -> dict[str, np.ndarray]:
+def _heads(tags: tuple[str, ...], salt, ids: np.ndarray, origin) -> dict[str, np.ndarray]:
     """Mixed states of each tag's choices by walker; what is missing is the step."""
     return {t: mixed_state(mixed_state(mixed_state(crc32(t.encode()), salt), ids), origin) for t in tags}
 
@@ -310,33 +337,34 @@ def walk_paths(starts: DataFrame, space: SearchSpace, middle: Column, twins: dic
 
     A walker's path does not depend on other walkers. ``pair(x, twin)`` gives both gradients; the last column of
     ``judge(x)`` is what a walker wants to keep, ``gain`` its value at the start. A position where it drops is
-    kept with probability exp(drop). Of equal masked keys in a batch only the earliest (step, seed) is returned.
+    kept with probability exp(drop). Of equal masked keys of a trial in a batch only the earliest (step, seed) is returned.
     """
+    trials = _trials(starts)
     features = space.features
     slots, partners = [features.index(p) for p in twins], [f"_t_{p}" for p in twins]
     free = [features.index(f) for f in space.free]
     movable = np.array([0.0 if f in space.protected else 1.0 for f in features])
     low, high = (np.array([space.bounds[f][i] for f in features], dtype=float) for i in (0, 1))
     start = starts.select(
+        *trials,
         F.col("seed_id").cast("bigint").alias("seed_id"),
+        _salt(starts, space).cast("bigint").alias("_salt"),
         middle.cast("bigint").alias("_origin"),
         *[q(f).cast("double").alias(f) for f in features],
         *[c.cast("double").alias(f"_t_{p}") for p, c in twins.items()],
         gain.cast("bigint").alias("_gain"),
     )
     parts = int(starts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ["seed_id", "step", *features, *[f.split()[0] for f in fields.split(", ")], "elapsed"]
-    schema = "seed_id BIGINT, step INT, " + ", ".join(f"`{f}` INT" for f in features) + f", {fields}, elapsed DOUBLE"
+    names = [*trials, "seed_id", "step", *features, *[f.split()[0] for f in fields.split(", ")], "elapsed"]
+    schema = "".join(f"{t} INT, " for t in trials) + "seed_id BIGINT, step INT, " + ", ".join(f"`{f}` INT" for f in features) + f", {fields}, elapsed DOUBLE"
     piece = max(1, MATRIX_ROWS // space.domain.size)
 
-    salt = space.salt
-
     def walk(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, piece):
                 rows = batch.slice(at, piece).to_pandas().sort_values("seed_id", kind="stable")
-                ids = rows["seed_id"].to_numpy()
-                heads = _heads(("feature", "sign", "accept"), salt, ids, rows["_origin"].to_numpy())
+                ids, salts = rows["seed_id"].to_numpy(), rows["_salt"].to_numpy()
+                heads = _heads(("feature", "sign", "accept"), salts, ids, rows["_origin"].to_numpy())
                 x, was = rows[features].to_numpy(dtype=float), rows["_gain"].to_numpy()
                 partner = rows[partners].to_numpy()
                 seen = set()
@@ -349,12 +377,13 @@ def walk_paths(starts: DataFrame, space: SearchSpace, middle: Column, twins: dic
                     judged = judge(tried)
                     now = judged[:, -1].astype(np.int64)
                     new = []
-                    for i, key in enumerate(map(bytes, np.ascontiguousarray(tried[:, free].astype(np.int64)))):
+                    for i, key in enumerate(map(bytes, np.column_stack([salts, tried[:, free].astype(np.int64)]))):
                         if key not in seen:
                             seen.add(key)
                             new.append(i)
                     if new:
-                        columns = [pa.array(ids[new], pa.int64()), pa.array(np.full(len(new), n), pa.int32())]
+                        columns = [pa.array(rows[t].to_numpy()[new], pa.int32()) for t in trials]
+                        columns += [pa.array(ids[new], pa.int64()), pa.array(np.full(len(new), n), pa.int32())]
                         columns += [pa.array(v.astype(np.int32)) for v in tried[new].T]
                         columns += [pa.array(v) for v in judged[new].T]
                         columns.append(pa.array(np.full(len(new), time.time() - began)))
@@ -465,7 +494,7 @@ def guided_paths(seeds: DataFrame, model, space: SearchSpace, max_iter: int, tag
                 move = mover()
                 for n in range(steps):
                     value, flips = _partners(x, model, space)
-                    columns = [rows.column("seed_id"), pa.array(np.full(len(x), n), pa.int32())]
+                    columns = [*[rows.column(c) for c in (*trials, "seed_id")], pa.array(np.full(len(x), n), pa.int32())]
                     columns += [pa.array(v.astype(np.int32)) for v in x.T]
                     columns += [pa.array(flips), pa.array(value.astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(columns, names=names)

@@ -26,6 +26,7 @@ from counterfair.plans.base import (
     space,
     table,
 )
+from counterfair.plans.metric_plans import REPORT_COLUMNS
 from counterfair.plans.model_plans import (
     MASK_LAYER,
     MASK_SQL,
@@ -36,6 +37,8 @@ from counterfair.plans.model_plans import (
     forward_sql,
     mask_values,
 )
+from counterfair.session import shared_path
+from counterfair.sources import tables
 
 MAX_ITER = 10
 GUIDED_MOVES = 40
@@ -296,7 +299,7 @@ def _(spark, sf):
     return found.drop("elapsed")
 
 
-def _searched_report_sql(model, rounds: int, local_rounds: int) -> str:
+def _searched_report_sql(model, rounds: int, local_rounds: int, by: str = "") -> str:
     """Finds of both phases, scored again and reported per phase; the step stands for the time."""
     totals = {
         "k_init": "avg(init_k)",
@@ -306,8 +309,8 @@ def _searched_report_sql(model, rounds: int, local_rounds: int) -> str:
         "q_1": "avg(CASE WHEN disc = 1 THEN sh_entropy END)",
     }
     return f"""WITH {_global_sql(model, rounds)}, {_starts_sql('uniq')}, {_local_sql(model, local_rounds)},
-finds AS (SELECT 'global' AS phase, seed_id, step, bal, n_ord FROM uniq
-  UNION ALL SELECT 'local', seed_id, step, bal, n_ord FROM fresh),
+finds AS (SELECT {by or "'global'"} AS phase, seed_id, step, bal, n_ord FROM uniq
+  UNION ALL SELECT {by or "'local'"}, seed_id, step, bal, n_ord FROM fresh),
 {_variants_sql(model, 'q', 'finds', 'x.phase, x.seed_id, x.step, x.bal, x.n_ord')},
 find_bins AS (SELECT phase, seed_id, step, bal, n_ord, bin, count(*) AS n, min(p) AS p_min, max(p) AS p_max FROM vq GROUP BY ALL),
 find_shares AS (SELECT *, n * 1e0 / sum(n) OVER (PARTITION BY bal, n_ord) AS share FROM find_bins),
@@ -330,6 +333,31 @@ def _(spark, sf):
     return metrics.search_report(scored.withColumn("elapsed", F.col("step").cast("double")), ["phase"])
 
 
+TRIALS = 3
+TRIAL_ROUNDS = 3  # global rounds of a trial
+
+
+def _trials_sql() -> str:
+    """The report of each trial's search, then its mean and deviation."""
+    one = _searched_report_sql(LOG, TRIAL_ROUNDS, LOCAL_ROUNDS, by="'all'")
+    trials = " UNION ALL ".join(f"SELECT * FROM ({one.replace(SALT, str(t))})" for t in range(TRIALS))
+    stats = " UNION ALL ".join(
+        f"SELECT '{kind}' AS stat, " + ", ".join(f"{rounded(f'{fn}({c})', 4)} AS {c}" for c in REPORT_COLUMNS) + " FROM trials"
+        for kind, fn in (("mean", "avg"), ("std", "stddev_pop"))
+    )
+    return f"WITH trials AS MATERIALIZED ({trials}) {stats}"
+
+
+@query("g1_search_trials", _trials_sql())
+def _(spark, sf):
+    where, start = space(spark, sf, PROTECTED), seeds(spark, sf)
+    scored = search.search_trials(start, LOGISTIC, where, TRIALS, TRIAL_ROUNDS, LOCAL_ROUNDS)
+    report = metrics.search_report(scored.withColumn("elapsed", F.col("step").cast("double")), ["trial"])
+    path = shared_path(spark, "trials")
+    tables.write_report(metrics.mean_std_over_trials(report, REPORT_COLUMNS, 4), path)
+    return spark.read.csv(path, header=True, schema="stat STRING, " + ", ".join(f"{c} DOUBLE" for c in REPORT_COLUMNS))
+
+
 @query("g1_clustered_seeds_search")
 def _(spark, sf):
     rows, _ = train.seed_clusters(applicants(spark, sf), FEATURES)

@@ -141,6 +141,20 @@ def test_local_walks_in_one_pass_are_the_steps_repeated(seeds, model):
     assert mine == want
 
 
+def test_trials_in_one_pass_are_searches_with_their_salts(spark, seeds):
+    names = ["phase", "seed_id", "step", *FEATURES]
+    got = search.search_trials(seeds, LOGISTIC, BOTH, 2, 2, 3).select("trial", *names).collect()
+    want = []
+    for t in range(2):
+        space = search.SearchSpace(BOTH.bounds, BOTH.protected, BOTH.eps, salt=t)
+        found = search.global_search(seeds, LOGISTIC, space, 2, 3).select(*names).collect()
+        want += [(t, *r) for r in found]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {r[1:] for r in want if r[0] == 0} != {r[1:] for r in want if r[0] == 1}
+    assert search.search_trials(seeds.limit(0), LOGISTIC, BOTH, 2, 1, 2).count() == 0
+    assert search.search_trials(seeds, LOGISTIC, BOTH, 0, 1, 2).count() == 0
+
+
 def test_local_walks_take_all_steps_of_the_reference(seeds):
     from counterfair.plans import search_plans
 
