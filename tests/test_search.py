@@ -99,6 +99,17 @@ def test_walkers_leave_a_find_only_when_their_hash_allows(spark):
         assert (r["bal"], r["flips"]) == ((4, True) if stays else (5, r["tried"]))
 
 
+def test_guided_paths_hold_every_step_of_every_seed(seeds):
+    def mover():
+        return lambda x, twin, h: np.tile([0.0, 0.0, 1.0, 0.0], (len(x), 1))
+
+    rows = search.guided_paths(seeds, LOGISTIC, REG, 2, ("feature",), mover).collect()
+    start = {r["seed_id"]: r["bal"] for r in seeds.collect()}
+    assert sorted((r["seed_id"], r["step"], r["bal"]) for r in rows) == [
+        (i, n, min(bal + n, BOUNDS["bal"][1])) for i, bal in sorted(start.items()) for n in range(3)
+    ]
+
+
 @pytest.mark.parametrize("model", [LOGISTIC, formula_mlp()])
 def test_paths_in_one_pass_are_the_steps_repeated(seeds, model):
     names = ["seed_id", "step", *FEATURES, "k", "spread", "low", "high"]
