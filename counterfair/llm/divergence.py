@@ -56,17 +56,20 @@ def _sent(held: dict) -> pa.RecordBatch:
 
 def _count_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    size = 0
     for batch in batches:
         for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
             seen: set[bytes] = set()
             terms, docs = held.setdefault((lang, source), (Counter(), Counter()))
+            size -= len(terms)
             for found in term_lists(text.lower()):
                 terms.update(found)
                 seen.update(found)
             docs.update(seen)
-        if sum(len(t) for t, _ in held.values()) >= HELD_TERMS:
-            yield _sent(held)
-            held = {}
+            size += len(terms)
+            if size >= HELD_TERMS:  # within a batch too: its texts may hold many times as many terms
+                yield _sent(held)
+                held, size = {}, 0
     if any(t for t, _ in held.values()):
         yield _sent(held)
 

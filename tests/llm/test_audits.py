@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from counterfair.llm import divergence, filters, suffixes
@@ -102,6 +103,22 @@ def _divergence(rows, min_docs=3, scale=10**9, top=200):
     return out
 
 
+def test_terms_are_sent_within_a_batch(monkeypatch):
+    monkeypatch.setattr(divergence, "HELD_TERMS", 10)
+    texts = ["".join(chr(97 + i // 10) + chr(97 + (i + j) % 10) + " " for j in range(4)).encode() for i in range(60)]
+    names = ["lang", "source", "text"]
+    batch = pa.record_batch([pa.array(["en"] * 60), pa.array([str(i % 2) for i in range(60)]), pa.array(texts, pa.binary())], names=names)
+    sent = list(divergence._count_terms([batch]))
+    assert len(sent) > 5 and max(b.num_rows for b in sent) < 10 + 4
+    got, want = Counter(), Counter()
+    for r in (r for b in sent for r in b.to_pylist()):
+        got[r["source"], r["term"]] += r["n"]
+        assert r["n"] == r["docs"]
+    for i, t in enumerate(texts):
+        want.update((str(i % 2), w) for w in t.decode().split())
+    assert got == want
+
+
 @pytest.mark.parametrize("table", ["odd", "documents"])
 def test_source_divergence(request, monkeypatch, table):
     docs = request.getfixturevalue(table)
