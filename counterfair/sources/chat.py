@@ -122,7 +122,8 @@ def write_chat_json(messages: DataFrame, path: str, form: str = "messages") -> N
     ordered = F.array_sort(F.collect_list(F.struct("pos", "role", "content")))
     packed = messages.groupBy(F.col("doc").cast("string").alias("doc")).agg(ordered.alias("m"))
     bare = F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    # A file per document is many files: tasks put theirs in place, not the driver one after the other.
     writer = packed.select("doc", bare.alias("messages")).write.mode("overwrite")
     if form == "file":
-        writer = writer.option("maxRecordsPerFile", 1)
+        writer = writer.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2)
     writer.json(path)

@@ -52,6 +52,19 @@ def test_chat_round_trip(spark, tmp_path, form):
     assert (system.count(), user.count()) == (1, 2)
 
 
+def test_tasks_put_the_file_of_each_document_in_place(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    given, option = {}, DataFrameWriter.option
+    monkeypatch.setattr(DataFrameWriter, "option", lambda w, k, v: given.update({k: v}) or option(w, k, v))
+    rows = [(str(i), n, "user", f"{i} {n}") for i in range(30) for n in range(2)]
+    df = spark.createDataFrame(rows, "doc STRING, pos BIGINT, role STRING, content STRING")
+    chat.write_chat_json(df, str(tmp_path / "files"), "file")
+    assert given["mapreduce.fileoutputcommitter.algorithm.version"] == 2
+    assert len(list((tmp_path / "files").glob("part-*.json"))) == 30
+    assert sorted(map(tuple, chat.read_chat_json(spark, str(tmp_path / "files"), "file").collect())) == sorted(rows)
+
+
 def test_sectioned_csv(spark, tmp_path):
     (tmp_path / "s.csv").write_text("x,CF SEX,\nid,age,job\n1,39,a\n2,40,\"b,c\"\n\ny,CF RACE,\n3,41,d\n")
     rows = lines.read_sectioned_csv(spark, str(tmp_path), ["id", "age", "job"]).orderBy("line_no").collect()
