@@ -24,7 +24,7 @@ from counterfair.llm.common import staged
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")  # in UTF-8: all but 0x00-0x40, 0x5B-0x60 and 0x7B-0x7F
 GAP = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]")
 PIECE = 1 << 20  # bytes of one text whose terms are held as a list
-HELD_TERMS = 300_000  # distinct (group, term) counts held in a task before they are sent
+HELD_TERMS = 500_000  # distinct (group, term) counts held in a task before they are sent
 CELLS = 1 << 18  # counts (terms x sources) of one block
 ROWS, COLUMNS, LEAST_ROWS = 4096, 2048, 64  # terms and one-hot columns of one product
 SOURCES = 256  # sources on the left side of one task's products
