@@ -44,6 +44,7 @@ class Vocabulary:
     byte_of: dict[int, int]  # token -> byte
     tokens_of_byte: list[int]
     code_of: dict[str, int]  # character -> 1, 2, ...; 0 separates words
+    code_at: np.ndarray  # the same by code point, a further code for those without; the last place is for all beyond
     rank: np.ndarray  # by token: order of merging, -1 for characters
     left: np.ndarray
     right: np.ndarray
@@ -123,6 +124,8 @@ def load(path: str) -> Vocabulary:
         matched.append(i)
     characters = sorted({c for i in matched for c in pieces[i]})
     code_of = {c: k + 1 for k, c in enumerate(characters)}
+    code_at = np.full(max(map(ord, characters)) + 2, len(characters) + 1, dtype=np.int32)
+    code_at[[ord(c) for c in characters]] = np.arange(1, len(characters) + 1)
     longest = max(len(pieces[i]) for i in matched)
     codes = np.zeros((len(matched), longest), dtype=np.int64)
     for row, i in enumerate(matched):
@@ -134,6 +137,7 @@ def load(path: str) -> Vocabulary:
         byte_of=byte_of,
         tokens_of_byte=[t for t, _ in sorted(byte_of.items(), key=lambda x: x[1])],
         code_of=code_of,
+        code_at=code_at,
         rank=rank,
         left=left,
         right=right,
@@ -185,30 +189,25 @@ def stands(v: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Pairs:
-    """Answers of ``stands``, kept for the pairs met so far."""
+    """Answers of ``stands``; a slot keeps that of the last pair that came to it, so a pair in use is worked out seldom."""
 
-    LIMIT = 4_000_000
+    BITS = 20
+    SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, v: Vocabulary):
-        self.v, self.keys, self.answers = v, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+        self.v, self.held = v, np.full(1 << self.BITS, -1, dtype=np.int64)  # twice the pair's key, and its answer
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * len(self.v.pieces) + b
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = self.keys[at] == key
-            out = self.answers[at]
-        else:
-            known, out = np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
-        if not known.all():
-            new, inverse = np.unique(key[~known], return_inverse=True)
+        slot = (key.astype(np.uint64) * self.SPREAD) >> np.uint64(64 - self.BITS)
+        held = self.held[slot]
+        out = (held & 1).astype(bool)
+        missing = np.flatnonzero(held >> 1 != key)
+        if len(missing):
+            new, inverse = np.unique(key[missing], return_inverse=True)
             found = stands(self.v, new // len(self.v.pieces), new % len(self.v.pieces))
-            out[~known] = found[inverse]
-            if len(self.keys) > self.LIMIT:
-                self.keys, self.answers = self.keys[:0], self.answers[:0]
-            keys = np.concatenate([self.keys, new])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.answers = keys[order], np.concatenate([self.answers, found])[order]
+            out[missing] = found[inverse]
+            self.held[slot[missing]] = 2 * key[missing] + out[missing]
         return out
 
 
@@ -222,7 +221,7 @@ def edges(v: Vocabulary, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for j in range(per):
         window = (window << bits) | np.concatenate([padded[j:], np.zeros(j, dtype=np.int64)])
     # Suffixes by their first per * levels characters: sort by one window, then by (rank, rank of what follows).
-    suffixes = np.argsort(window[: len(text)], kind="stable")
+    suffixes = np.argsort(window[: len(text)])
     size, span = per, 1
     while span < levels:
         sorted_rank = np.zeros(len(padded) + per * levels, dtype=np.int64)
@@ -231,7 +230,7 @@ def edges(v: Vocabulary, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         new[1:] = key[1:] != key[:-1]
         sorted_rank[suffixes] = np.cumsum(new)
         combined = sorted_rank[: len(text)] * (len(text) + 2) + sorted_rank[size : size + len(text)]
-        suffixes = np.argsort(combined, kind="stable")
+        suffixes = np.argsort(combined)
         size, span = size * 2, span * 2
     piece = np.zeros((len(v.codes), per * levels), dtype=np.int64)
     piece[:, : v.codes.shape[1]] = v.codes
@@ -277,14 +276,12 @@ def encode_words(v: Vocabulary, words: list[str], pairs: Pairs) -> tuple[np.ndar
     sizes = np.array([len(w) for w in words], dtype=np.int64)
     raw = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     first = np.concatenate([[0], np.cumsum(sizes + 1)])  # a separator after each word
-    known = np.array(sorted(ord(c) for c in v.code_of), dtype=np.uint32)
-    code = np.array([v.code_of[chr(c)] for c in known], dtype=np.int64)
-    at = np.minimum(np.searchsorted(known, raw), len(known) - 1)
-    strange = known[at] != raw
+    coded = v.code_at[np.minimum(raw, len(v.code_at) - 1)]
+    strange = coded > len(v.code_of)
     word = np.repeat(np.arange(len(words)), sizes)
     place = np.arange(len(raw)) + word  # in the text with separators
     text = np.zeros(int(first[-1]), dtype=np.int64)
-    text[place] = np.where(strange, len(v.code_of) + 1, code[at])
+    text[place] = coded
     start, row = edges(v, text)
     token, end = v.matched[row], start + v.lengths[row]
     odd = place[strange]
@@ -310,18 +307,19 @@ def encode_words(v: Vocabulary, words: list[str], pairs: Pairs) -> tuple[np.ndar
     # Walk all words back at once.
     at = first[:-1] + sizes
     live = np.flatnonzero(sizes > 0)
-    found_word, found_token = [], []
+    found = []
     while len(live):
-        found_word.append(live)
-        found_token.append(last[at[live]])
+        found.append((live, last[at[live]]))
         at[live] = back[at[live]]
         live = live[at[live] > first[live]]
-    if not found_word:
-        return np.zeros(0, dtype=np.int64), np.zeros(len(words) + 1, dtype=np.int64)
-    owner, tokens = np.concatenate(found_word)[::-1], np.concatenate(found_token)[::-1]
-    order = np.argsort(owner, kind="stable")
-    counts = np.bincount(owner, minlength=len(words))
-    return tokens[order], np.concatenate([[0], np.cumsum(counts)])
+    bounds = np.zeros(len(words) + 1, dtype=np.int64)
+    for live, _ in found:
+        bounds[live + 1] += 1
+    bounds = np.cumsum(bounds)
+    tokens = np.zeros(bounds[-1], dtype=np.int64)
+    for n, (live, token) in enumerate(found, 1):
+        tokens[bounds[live + 1] - n] = token
+    return tokens, bounds
 
 
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")

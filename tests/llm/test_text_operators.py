@@ -371,6 +371,15 @@ def test_tokens_are_the_library_s(library, documents):
     assert _encoded(texts) == library.encode(texts, num_threads=1)
 
 
+def test_tokens_where_pairs_share_slots(library, monkeypatch):
+    monkeypatch.setattr(sentencepieces.Pairs, "BITS", 3)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdeh  éß.,01日😀\n") for _ in range(rng.randint(0, 60))) for _ in range(500)]
+    v = sentencepieces.load(sentencepieces.default_model())
+    assert len(sentencepieces.Pairs(v).held) == 8
+    assert _encoded(texts) == library.encode(texts, num_threads=1)
+
+
 def test_tokens_odd(odd, empty, library):
     out = sentencepieces.encode(odd).collect()
     assert len(out) == 12 and all(r["decoded_ok"] and r["n_tokens"] == len(r["ids"]) for r in out)
