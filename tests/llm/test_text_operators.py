@@ -347,6 +347,24 @@ def test_passages_of_four_equal_words_in_five(spark):
     assert all(r["likeness"] >= 0.8 for r in out)
 
 
+def test_changed_copies_between_other_holders_of_their_parts(spark):
+    """Both halves stand in two documents before and two after the one that a changed copy is of."""
+    rng = random.Random(14)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(8):
+        own = fresh(70)
+        copy = [w if j % 9 else f"c{rng.randrange(10**9)}" for j, w in enumerate(own, 1)]
+        halves = [own[:47], own[23:]]
+        texts = [*(h + fresh(30) for h in halves), fresh(20) + own + fresh(20), *(fresh(30) + h for h in halves), fresh(9) + copy]
+        rows += [(6 * k + j, " ".join(t)) for j, t in enumerate(texts)]
+        want.add((6 * k + 5, 6 * k + 2))
+    out = passages.shared_passages(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    found = {(r["doc_id"], r["other_id"]) for r in out}
+    assert want <= found and all(r["likeness"] >= 0.8 for r in out)
+    assert len(out) == len({(r["doc_id"], r["other_id"], r["start_word"], r["end_word"]) for r in out})
+
+
 def test_passages_odd(odd, empty):
     assert all(r["doc_id"] > r["other_id"] for r in passages.shared_passages(odd, min_words=8).collect())
     assert passages.shared_passages(empty).count() == 0
