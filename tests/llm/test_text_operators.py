@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import sentencepiece
 
@@ -365,6 +366,40 @@ def test_changed_copies_between_other_holders_of_their_parts(spark):
     assert len(out) == len({(r["doc_id"], r["other_id"], r["start_word"], r["end_word"]) for r in out})
 
 
+def test_packed_seed_places_against_brute_force():
+    """First and last earlier holders over chunks that send each key once, negative and large ids among them."""
+    rng = np.random.default_rng(15)
+    ids = np.append(rng.choice(10**12, 40, replace=False), [-5, 0, 7, 2**62])
+    chunks, parts = np.array_split(np.unique(ids), 5), 16
+    names = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    held = []
+    for c in chunks:
+        doc = rng.choice(c, 90)
+        held.append((rng.choice(names, 90), doc, rng.integers(0, 500, 90).astype(np.int32)))
+    every = [(int(k), int(d), int(a)) for keys, doc, at in held for k, d, a in zip(keys, doc, at)]
+    sent = pd.concat([passages.Holders(*h).sent(c, parts) for c, h in enumerate(held)])
+    assert len(sent) <= len(chunks) * parts
+    answers = pd.concat([passages._answered(g) for _, g in sent.groupby("part")])
+    for c, h in enumerate(held):
+        found = passages.Holders(*h).linked(answers[answers["chunk"] == c])
+        for key, doc, (first, first_at, last, last_at, before, crowded) in zip(h[0].tolist(), h[1].tolist(), zip(*found)):
+            same = [(d, a) for k, d, a in every if k == key]
+            earlier = [p for p in same if p[0] < doc]
+            assert (first, first_at) == min(same) and before == bool(earlier)
+            assert not before or (last, last_at) == max(earlier)
+            assert crowded == (len({d for d, _ in same}) > 3)
+
+
+def test_passages_leave_no_shuffle_files(spark, monkeypatch):
+    """The jobs that write the tables between the steps take their shuffle files away, and the setting is as before."""
+    before = spark.conf.get(passages.CLEANUP, None)
+    rows = [(i, " ".join(f"w{j * j}" for j in range(80))) for i in range(3)]
+    asked, written = [], passages.staged
+    monkeypatch.setattr(passages, "staged", lambda df, name: asked.append(spark.conf.get(passages.CLEANUP)) or written(df, name))
+    assert passages.shared_passages(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).count() > 0
+    assert asked == ["true"] * 6 and spark.conf.get(passages.CLEANUP, None) == before
+
+
 def test_passages_odd(odd, empty):
     assert all(r["doc_id"] > r["other_id"] for r in passages.shared_passages(odd, min_words=8).collect())
     assert passages.shared_passages(empty).count() == 0
