@@ -390,6 +390,22 @@ def test_packed_seed_places_against_brute_force():
             assert crowded == (len({d for d, _ in same}) > 3)
 
 
+def test_shared_pairs_are_those_that_span_enough(monkeypatch):
+    """Anchors in small lots, of pairs of which one stretch may hold a passage, against all pairs."""
+    rng = np.random.default_rng(16)
+    monkeypatch.setattr(passages, "ANCHORS_AT_ONCE", 64)
+    left, held = ((rng.integers(0, 40, n, dtype=np.uint64), rng.integers(low, 60, n), rng.integers(0, 90, n).astype(np.int32)) for n, low in ((300, 20), (500, 0)))
+    got = pd.concat(passages._shared_pairs(left, held, 50))
+    pairs = defaultdict(list)
+    for k, d, a in zip(*left):
+        for h, o, b in zip(*held):
+            if k == h and o < d:
+                pairs[int(d), int(o)].append((int(a), int(b)))
+    wide = {(d, o, *p) for (d, o), every in pairs.items() for p in every if max(every)[0] - min(every)[0] + passages.K >= 44}
+    assert wide and set(got.itertuples(index=False, name=None)) == wide
+    assert len(got) == sum(len(v) for (d, o), v in pairs.items() if max(v)[0] - min(v)[0] + passages.K >= 44)
+
+
 def test_passages_leave_no_shuffle_files(spark, monkeypatch):
     """The jobs that write the tables between the steps take their shuffle files away, and the setting is as before."""
     before = spark.conf.get(passages.CLEANUP, None)
