@@ -406,6 +406,55 @@ def test_shared_pairs_are_those_that_span_enough(monkeypatch):
     assert len(got) == sum(len(v) for (d, o), v in pairs.items() if max(v)[0] - min(v)[0] + passages.K >= 44)
 
 
+def test_a_common_line_is_not_looked_up_in_all_its_holders(monkeypatch):
+    """400 documents hold one line of 12 seeds, each two of them a longer passage too: only those are pairs."""
+    seeds = [(k, i, k) for i in range(400) for k in range(12)] + [(1000 * (i // 2 + 1) + k, i, 40 + k) for i in range(400) for k in range(50)]
+    table = tuple(np.array(v, dtype=np.int64) for v in zip(*sorted(seeds, key=lambda s: s[1:])))
+    looked_up, each = [], passages._each
+    monkeypatch.setattr(passages, "_each", lambda of, low, n: looked_up.append(int(n.sum())) or each(of, low, n))
+    got = pd.concat(passages._shared_pairs(table, table, 50, passages.REACH))
+    want = {(i, i - 1, a, a) for i in range(1, 400, 2) for a in [*range(12), *range(40, 90)]}
+    assert len(got) == len(want) and set(got.itertuples(index=False, name=None)) == want
+    assert sum(looked_up) < 120 * 400 < 12 * 400 * 399 / 2
+
+
+@pytest.mark.parametrize("n_keys", [6, 40, 300])
+def test_spared_seeds_lose_no_pair_that_can_hold_a_passage(monkeypatch, n_keys):
+    monkeypatch.setattr(passages, "SPARE_FROM", 0)
+    rng = np.random.default_rng(17)
+    weights = 1 / np.arange(1, n_keys + 1)
+    names = lambda n: rng.choice(n_keys, n, p=weights / weights.sum())
+    left, held = ((names(n), rng.integers(low, 40, n), rng.integers(0, 600, n).astype(np.int32)) for n, low in ((500, 10), (700, 0)))
+    pairs = defaultdict(list)
+    for k, d, a in zip(*left):
+        for h, o, b in zip(*held):
+            if k == h and o < d:
+                pairs[int(d), int(o)].append((int(a), int(b)))
+
+    def wide(pairs):
+        out = set()
+        for pair, every in pairs.items():
+            every = sorted(every)
+            keep = passages._regions(np.array([a for a, _ in every]), 50)
+            out |= {(*pair, *p) for p, k in zip(every, keep) if k}
+        return out
+
+    got = defaultdict(list)
+    for some in passages._shared_pairs(left, held, 50, passages.REACH):
+        for d, o, a, b in some.itertuples(index=False, name=None):
+            got[d, o].append((a, b))
+    assert wide(pairs) and wide(got) == wide(pairs)
+
+
+def test_seeds_packed_for_the_second_pass_come_back():
+    rng = np.random.default_rng(18)
+    doc = np.sort(rng.choice([-7, 0, 3, 2**62], 300))
+    at = rng.integers(0, 70_000, 300).astype(np.int32)
+    at = at[np.lexsort((at, doc))]
+    for key in (rng.integers(0, 2**40, 300), np.zeros(300, dtype=np.int64)):
+        assert all((a == b).all() for a, b in zip(passages._seeds_unpacked(*passages._seeds_packed(key, doc, at)), (key, doc, at)))
+
+
 def test_passages_leave_no_shuffle_files(spark, monkeypatch):
     """The jobs that write the tables between the steps take their shuffle files away, and the setting is as before."""
     before = spark.conf.get(passages.CLEANUP, None)
